@@ -1,21 +1,27 @@
 """Joins that hold when one key owns a large share of the rows.
 
-A side is broadcast only after its size was measured, or when its row count is
-bounded by construction. Beyond the bound the join shuffles, with the rows of
-hot keys spread over several tasks.
+A side is broadcast only after its size was measured. Beyond the bound the join
+shuffles; keys that own much of the left side are found beforehand with a sketch,
+and their rows are spread over several tasks. Where no key is hot, and that is
+the usual case, the join is a plain one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 
-# A key is hot when it owns more than one HOT_SHARE-th of the rows, so there are
-# fewer than HOT_SHARE hot keys whatever the data size.
+# A key is hot when it owns more than one HOT_SHARE-th of the rows and more rows
+# than HOT_FLOOR, which any task can hold. A rarer key's rows are at most that
+# share, so no task gets more of them than an even split over HOT_SHARE tasks gives.
 HOT_SHARE = 10_000
 HOT_FLOOR = 1_000_000
+SKETCH_ITEMS = 100_000
+SKETCH_GROUPS = 32
 
 
 def measured_bytes(frame: DataFrame) -> int:
@@ -29,79 +35,119 @@ def fits_broadcast(frame: DataFrame, max_bytes: int | None = None) -> bool:
     return measured_bytes(frame) <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
-def hot_keys(frame: DataFrame, keys: list[str], floor: int | None = None) -> DataFrame:
-    """Keys owning more than 1/HOT_SHARE of the rows and more than `floor` rows.
+def key_hash(keys: list[str]) -> Column:
+    return F.xxhash64(*keys)
 
-    `_pieces` is into how many parts the key's rows should be split so that no
-    part exceeds that share. Fewer than HOT_SHARE rows, null keys included.
-    """
-    counts = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    share = F.col("_n") * HOT_SHARE / total
-    return counts.where((F.col("_n") > (HOT_FLOOR if floor is None else floor)) & (share > 1)).select(
-        *keys, F.ceil(share).cast("int").alias("_pieces")
-    )
 
+def hot_keys(frame: DataFrame, keys: list[str], floor: int | None = None) -> list[tuple[int, int]]:
+    """(key hash, number of parts) of every hot key, from one job that shuffles only sketches.
 
-def with_pieces(frame: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds `_pieces`: the hot key's number of parts, 1 for all other keys."""
-    renamed = hot.select(*[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)], "_pieces")
-    same: Column = F.lit(True)
-    for i, key in enumerate(keys):
-        same = same & F.col(key).eqNullSafe(F.col(f"_hot_{i}"))
-    joined = frame.join(F.broadcast(renamed), same, "left")
-    return joined.drop(*[f"_hot_{i}" for i in range(len(keys))]).withColumn(
-        "_pieces", F.coalesce("_pieces", F.lit(1))
+    The sketches of groups of tasks are merged apart, so no task merges them all;
+    each finds every key above half the hot share. The answer steers where rows
+    go and never which rows there are, so an estimate is enough. It has at most a
+    few HOT_SHARE entries, whatever the data size.
+    """
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
+    sketches = (
+        frame.select(key_hash(keys).alias("_hash"))
+        .groupBy(group.alias("_group"))
+        .agg(
+            F.expr(f"approx_top_k(_hash, {HOT_SHARE}, {SKETCH_ITEMS})").alias("_top"),
+            F.count(F.lit(1)).alias("_n"),
+        )
     )
+    frequent = F.filter("_top", lambda x: x["count"] * 2 * HOT_SHARE > F.col("_n"))
+    rows = sketches.select(frequent.alias("top"), F.col("_n").alias("n")).collect()
+    total = sum(row["n"] for row in rows)
+    counts: dict[int, int] = {}
+    for row in rows:
+        for item in row["top"]:
+            counts[item["item"]] = counts.get(item["item"], 0) + item["count"]
+    least = HOT_FLOOR if floor is None else floor
+    return [
+        (item, math.ceil(n * HOT_SHARE / total))
+        for item, n in sorted(counts.items())
+        if n > least and n * HOT_SHARE > total
+    ]
+
+
+def with_pieces(frame: DataFrame, keys: list[str], hot: list[tuple[int, int]]) -> DataFrame:
+    """Adds `_pieces`: the hot key's number of parts, 1 for all other keys."""
+    listed = frame.sparkSession.createDataFrame(hot, "_hash long, _pieces long")
+    joined = frame.withColumn("_hash", key_hash(keys)).join(F.broadcast(listed), "_hash", "left")
+    return joined.drop("_hash").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
 
 
 def row_part(columns: list[str], pieces: Column) -> Column:
     """A part number that a rerun of the same task gives again.
 
-    The task number is added so that equal rows read by different tasks part too.
+    The task number is hashed too, so equal rows read by different tasks part.
     """
     return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), pieces)
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", floor: int | None = None
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    floor: int | None = None,
+    heat: DataFrame | None = None,
 ) -> DataFrame:
     """Equi join (inner, left, left_semi, left_anti) whose hot left keys are split.
 
-    Left rows of a hot key get a part number and the few right rows of that key
-    are repeated once per part, so every pair still meets exactly once.
+    Left rows of a hot key get a part number and the right rows of that key are
+    repeated once per part, so every pair still meets exactly once. `heat` is a
+    frame with the same keys as `left` that is cheaper to look at.
     """
-    hot = hot_keys(left, on, floor)
-    parted = with_pieces(left, hot, on).withColumn("_part", row_part(left.columns, F.col("_pieces")))
-    repeated = with_pieces(right, hot, on).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces").cast("long") - 1))
+    kinds = [[dict(side.dtypes)[key] for key in on] for side in (left, right)]
+    if kinds[0] != kinds[1]:
+        raise ValueError(f"join keys {on} have types {kinds[0]} and {kinds[1]}")
+    hot = hot_keys(left if heat is None else heat, on, floor)
+    if not hot:
+        return left.join(right, on, how)
+    parted = with_pieces(left, on, hot).withColumn("_part", row_part(left.columns, F.col("_pieces")))
+    repeated = with_pieces(right, on, hot).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1))
     )
     joined = parted.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_part"], how)
     return joined.drop("_part")
 
 
 def guarded_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", max_bytes: int | None = None
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    max_bytes: int | None = None,
+    bound: DataFrame | None = None,
+    floor: int | None = None,
 ) -> DataFrame:
-    """Broadcasts `right` when its measured size allows it, else a skew join."""
-    if fits_broadcast(right, max_bytes):
+    """Broadcasts `right` when its measured size allows it, else a skew join.
+
+    `bound` is a frame at least as large as `right` that is cheaper to measure.
+    """
+    if fits_broadcast(right if bound is None else bound, max_bytes):
         return left.join(F.broadcast(right), on, how)
-    return skew_join(left, right, on, how)
+    return skew_join(left, right, on, how, floor)
+
+
+def known_keys(members: DataFrame, key: str) -> DataFrame:
+    return members.select(key).where(F.col(key).isNotNull())
 
 
 def distinct_keys(members: DataFrame, key: str) -> DataFrame:
-    return members.select(key).where(F.col(key).isNotNull()).distinct()
+    return known_keys(members, key).distinct()
 
 
-def in_cohort(facts: DataFrame, members: DataFrame, key: str, max_bytes: int | None = None) -> DataFrame:
+def in_cohort(facts: DataFrame, members: DataFrame, key: str, **limits) -> DataFrame:
     """Facts whose key is among the members; never repeats a fact."""
-    return guarded_join(facts, distinct_keys(members, key), [key], "left_semi", max_bytes)
+    keys = distinct_keys(members, key)
+    return guarded_join(facts, keys, [key], "left_semi", bound=known_keys(members, key), **limits)
 
 
-def mark_cohort(
-    facts: DataFrame, members: DataFrame, key: str, flag: str, max_bytes: int | None = None
-) -> DataFrame:
+def mark_cohort(facts: DataFrame, members: DataFrame, key: str, flag: str, **limits) -> DataFrame:
     """All facts with a boolean column telling whether the key is among the members."""
     marked = distinct_keys(members, key).withColumn(flag, F.lit(True))
-    joined = guarded_join(facts, marked, [key], "left", max_bytes)
+    joined = guarded_join(facts, marked, [key], "left", bound=known_keys(members, key), **limits)
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))

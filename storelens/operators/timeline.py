@@ -5,7 +5,8 @@ cut into hours: each hour is a group of its own, and what an hour must know of
 the others (the last value before it, the count so far, the first time after it)
 comes from per-hour aggregates as one extra row. Such a key has one aggregate
 row per hour it was active, so that step is bounded by the calendar. Keys that
-are not hot keep one group and get no extra row.
+are not hot keep one group and get no extra row; without hot keys the plan is
+the plain window.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from storelens.operators.joins import hot_keys, row_part, with_pieces
 UNIT = "hour"
 
 
-def _cut(frame: DataFrame, keys: list[str], time: str, unit: str, floor: int | None) -> DataFrame:
+def _cut(frame: DataFrame, keys: list[str], time: str, unit: str, hot: list) -> DataFrame:
     """Adds `_slot`: the row's hour when its key is hot, else null."""
-    marked = with_pieces(frame, hot_keys(frame, keys, floor), keys)
+    marked = with_pieces(frame, keys, hot)
     slot = F.when(F.col("_pieces") > 1, F.date_trunc(unit, F.col(time)).cast("timestamp_ntz"))
     return marked.withColumn("_slot", slot).drop("_pieces")
 
@@ -32,6 +33,10 @@ def _known(columns: list[str]) -> Column:
     return known
 
 
+def _missing(kind) -> Column:
+    return F.lit(None).cast(kind)
+
+
 def last_before(
     left: DataFrame,
     right: DataFrame,
@@ -51,127 +56,129 @@ def last_before(
     """
     payload = payload or []
     last_type = right.select(F.struct(right_time, *payload).alias("last")).schema["last"].dataType
-    nothing = F.lit(None).cast(last_type)
     row_type = left.select(F.struct(*left.columns).alias("row")).schema["row"].dataType
-    ranks = {"carry": 0, "right": 1, "left": 2} if inclusive else {"carry": 0, "left": 1, "right": 2}
+    rank = {"carry": 0, "right": 1, "left": 2} if inclusive else {"carry": 0, "left": 1, "right": 2}
 
     # Left rows that can have no match are spread so that they form no hot group.
-    matchable = _known([*keys, left_time])
-    spread = F.when(matchable, F.lit(0)).otherwise(
-        1 + row_part(left.columns, F.lit(1000))
-    ).cast("long")
+    lone = 1 + row_part(left.columns, F.lit(1000))
+    spread = F.when(_known([*keys, left_time]), F.lit(0)).otherwise(lone).cast("long")
     left_rows = left.select(
         *keys,
         F.col(left_time).cast("timestamp_ntz").alias("_time"),
-        F.lit(ranks["left"]).alias("_rank"),
+        F.lit(rank["left"]).alias("_rank"),
         spread.alias("_spread"),
-        nothing.alias("_last"),
+        _missing(last_type).alias("_last"),
         F.struct(*left.columns).alias("_row"),
     )
-    right_rows = right.where(_known([*keys, right_time])).select(
+    matchable = right.where(_known([*keys, right_time]))
+    right_rows = matchable.select(
         *keys,
         F.col(right_time).cast("timestamp_ntz").alias("_time"),
-        F.lit(ranks["right"]).alias("_rank"),
+        F.lit(rank["right"]).alias("_rank"),
         F.lit(0).cast("long").alias("_spread"),
         F.struct(right_time, *payload).alias("_last"),
-        F.lit(None).cast(row_type).alias("_row"),
-    )
-    rows = _cut(left_rows.unionByName(right_rows), keys, "_time", unit, floor)
-
-    slots = rows.where(F.col("_slot").isNotNull() & (F.col("_spread") == 0)).groupBy(*keys, "_slot").agg(
-        F.max("_last").alias("_last")
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        slots.withColumn("_last", F.max("_last").over(earlier))
-        .where(F.col("_last").isNotNull())
-        .withColumn("_time", F.col("_slot"))
-        .withColumn("_rank", F.lit(ranks["carry"]))
-        .withColumn("_spread", F.lit(0).cast("long"))
-        .withColumn("_row", F.lit(None).cast(row_type))
+        _missing(row_type).alias("_row"),
     )
+    rows = left_rows.unionByName(right_rows)
+    group = [*keys, "_spread"]
+
+    hot = hot_keys(left.select(*keys).unionByName(matchable.select(*keys)), keys, floor)
+    if hot:
+        rows = _cut(rows, keys, "_time", unit, hot)
+        group.append("_slot")
+        earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            rows.where(F.col("_slot").isNotNull() & (F.col("_spread") == 0))
+            .groupBy(*keys, "_slot")
+            .agg(F.max("_last").alias("_last"))
+            .withColumn("_last", F.max("_last").over(earlier))
+            .where(F.col("_last").isNotNull())
+            .withColumn("_time", F.col("_slot"))
+            .withColumn("_rank", F.lit(rank["carry"]))
+            .withColumn("_spread", F.lit(0).cast("long"))
+            .withColumn("_row", _missing(row_type))
+        )
+        # The carry row sorts first in its hour: at the hour's start, with the lowest rank.
+        rows = rows.unionByName(carried)
     so_far = (
-        Window.partitionBy(*keys, "_slot", "_spread")
+        Window.partitionBy(*group)
         .orderBy("_time", "_rank")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # The carry row sorts first in its hour: its time is the hour's start and its rank is lowest.
-    found = rows.unionByName(carried).withColumn("last", F.max("_last").over(so_far))
+    found = rows.withColumn("last", F.max("_last").over(so_far))
     return found.where(F.col("_row").isNotNull()).select("_row.*", "last")
 
 
+# Sort positions within one group: the row that brings the count so far, the real
+# rows, the row that brings the first time after the hour.
+_HEAD, _ROW, _TAIL = 0, 1, 2
+
+
 def running_numbers(
     rows: DataFrame,
     owner: str,
     levels: dict[str, list[str]],
     time: str,
     tie: list[str],
+    next_time: str | None = None,
     unit: str = UNIT,
     floor: int | None = None,
 ) -> DataFrame:
     """Numbers each row 1, 2, ... by time within the owner and within finer groups of it.
 
     `levels` maps an output column to the columns that, with the owner, form the
-    group. One shuffle by owner (and hour, for hot owners) serves all levels.
+    group. `next_time` names a column for the time of the owner's next row. One
+    shuffle by owner (and hour, for hot owners) serves all of them.
     """
-    cut = _cut(rows, [owner], time, unit, floor)
-    parts = [cut.withColumn("_level", F.lit("")).withColumn("_weight", F.lit(1).cast("long"))]
-    hot = cut.where(F.col("_slot").isNotNull())
-    for name, columns in levels.items():
-        group = [owner, *[c for c in columns if c != owner]]
-        earlier = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            hot.groupBy(*group, "_slot")
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_weight", F.sum("_n").over(earlier))
-            .where(F.col("_weight").isNotNull())
-            .drop("_n")
-            .withColumn(time, F.col("_slot").cast(rows.schema[time].dataType))
-            .withColumn("_level", F.lit(name))
-        )
-        parts.append(carried)
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part, allowMissingColumns=True)
-    placed = merged.repartition(owner, "_slot")
+    hot = hot_keys(rows, [owner], floor)
+    placed = rows.withColumns({"_at": F.lit(_ROW), "_level": F.lit(""), "_weight": F.lit(1).cast("long")})
+    place = [owner]
+    if hot:
+        placed = _cut(placed, [owner], time, unit, hot)
+        place.append("_slot")
+        cut = placed.where(F.col("_slot").isNotNull())
+        for name, columns in levels.items():
+            group = [owner, *columns]
+            before = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+            heads = (
+                cut.groupBy(*group, "_slot")
+                .agg(F.count(F.lit(1)).alias("_weight"))
+                .withColumn("_weight", F.sum("_weight").over(before))
+                .where(F.col("_weight").isNotNull())
+                .withColumns({"_at": F.lit(_HEAD), "_level": F.lit(name)})
+            )
+            placed = placed.unionByName(heads, allowMissingColumns=True)
+        if next_time:
+            after = Window.partitionBy(owner).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+            tails = (
+                cut.groupBy(owner, "_slot")
+                .agg(F.min(time).alias(time))
+                .withColumn(time, F.min(time).over(after))
+                .where(F.col(time).isNotNull())
+                .withColumns({"_at": F.lit(_TAIL), "_level": F.lit("next")})
+            )
+            placed = placed.unionByName(tails, allowMissingColumns=True)
+    placed = placed.repartition(*place)
     for name, columns in levels.items():
-        group = [owner, "_slot", *[c for c in columns if c != owner]]
-        so_far = (
-            Window.partitionBy(*group)
-            .orderBy((F.col("_level") == "").cast("int"), time, *tie)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        order = Window.partitionBy(*place, *columns).orderBy("_at", time, *tie)
+        so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        weight = F.when(F.col("_level").isin("", name), F.col("_weight")).otherwise(0)
+        placed = placed.withColumn(name, F.sum(weight).over(so_far))
+    if next_time:
+        placed = placed.withColumn(
+            next_time, F.lead(time).over(Window.partitionBy(*place).orderBy("_at", time, *tie))
         )
-        counts = F.when(F.col("_level").isin("", name), F.col("_weight")).otherwise(0)
-        placed = placed.withColumn(name, F.sum(counts).over(so_far))
-    return placed.where(F.col("_level") == "").drop("_level", "_weight", "_slot")
+    extra = [c for c in ("_at", "_level", "_weight", "_slot") if c in placed.columns]
+    return placed.where(F.col("_at") == _ROW).drop(*extra)
 
 
 def validity_ranges(
-    versions: DataFrame,
-    key: str,
-    updated_at: str,
-    tie: list[str],
-    unit: str = UNIT,
-    floor: int | None = None,
+    versions: DataFrame, key: str, updated_at: str, tie: list[str], **cut
 ) -> DataFrame:
     """Adds `version_number`, `valid_from`, `valid_to` (next version's time) and `is_current`."""
-    numbered = running_numbers(versions, key, {"version_number": []}, updated_at, tie, unit, floor)
-    cut = _cut(numbered, [key], updated_at, unit, floor)
-    later = Window.partitionBy(key).orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    tails = (
-        cut.where(F.col("_slot").isNotNull())
-        .groupBy(key, "_slot")
-        .agg(F.min(updated_at).alias("_first"))
-        .withColumn(updated_at, F.min("_first").over(later))
-        .where(F.col(updated_at).isNotNull())
-        .drop("_first")
+    numbered = running_numbers(
+        versions, key, {"version_number": []}, updated_at, tie, next_time="valid_to", **cut
     )
-    order = Window.partitionBy(key, "_slot").orderBy(updated_at, F.col("version_number").asc_nulls_last())
-    merged = cut.unionByName(tails, allowMissingColumns=True)
-    ranged = merged.withColumn("valid_to", F.lead(updated_at).over(order))
-    return (
-        ranged.where(F.col("version_number").isNotNull())
-        .drop("_slot")
-        .withColumn("valid_from", F.col(updated_at))
-        .withColumn("is_current", F.col("valid_to").isNull())
+    return numbered.withColumns(
+        {"valid_from": F.col(updated_at), "is_current": F.col("valid_to").isNull()}
     )

@@ -270,5 +270,5 @@ def allocate_fee(
     """
     weights = lines.groupBy("campaign_id").agg(F.sum(weight).alias("_weights"))
     lump = fees.groupBy("campaign_id").agg(F.sum("fee").alias("_fee")).join(weights, "campaign_id")
-    joined = guarded_join(lines, lump, ["campaign_id"], "inner", max_bytes)
+    joined = guarded_join(lines, lump, ["campaign_id"], "inner", max_bytes, bound=fees)
     return joined.select(*lines.columns, (F.col("_fee") * safe_ratio(weight, "_weights")).alias("fee_alloc"))

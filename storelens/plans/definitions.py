@@ -104,25 +104,37 @@ def _type_finding() -> Column:
     return F.coalesce(_name_finding(), F.when(F.exists("types", lambda t: t.isNull()), MISSING_TYPE))
 
 
+def _readable(entries: DataFrame, finding: Column, *arrays: str) -> DataFrame:
+    """Empties the arrays of texts with a finding.
+
+    They are then exploded as outer and the one row of an emptied array dropped:
+    any filter on the arrays, also one Spark infers from a plain explode, would
+    be pushed below the parsing and parse every text again.
+    """
+    return entries.withColumns({a: F.when(finding.isNull(), F.col(a)) for a in arrays})
+
+
 def ddl_columns(definitions: DataFrame) -> DataFrame:
     """table_name, ordinal (from 0), column_name of every readable definition."""
-    entries = _entries(definitions, COMMENT_TEXT).where(_name_finding().isNull())
-    return entries.select("table_name", F.posexplode("names").alias("ordinal", "column_name"))
+    readable = _readable(_entries(definitions, COMMENT_TEXT), _name_finding(), "names")
+    columns = readable.select("table_name", F.posexplode_outer("names").alias("ordinal", "column_name"))
+    return columns.where("ordinal is not null")
 
 
 def ddl_types(definitions: DataFrame) -> DataFrame:
     """table_name, column_name, data_type of every definition whose columns all have a type."""
-    entries = _entries(definitions, COMMENT_TEXT).where(_type_finding().isNull())
-    pairs = entries.select("table_name", F.explode(F.arrays_zip("names", "types")).alias("c"))
-    return pairs.select(
-        "table_name", F.col("c.names").alias("column_name"), F.col("c.types").alias("data_type")
-    )
+    entries = _entries(definitions, COMMENT_TEXT)
+    pairs = entries.withColumn("columns", F.arrays_zip("names", "types"))
+    readable = _readable(pairs, _type_finding(), "columns")
+    typed = readable.select("table_name", F.inline_outer("columns").alias("column_name", "data_type"))
+    return typed.where("column_name is not null")
 
 
 def ddl_findings(definitions: DataFrame) -> DataFrame:
     """table_name, finding for each definition that ddl_types leaves out."""
     entries = _entries(definitions, COMMENT_TEXT)
-    return entries.select("table_name", _type_finding().alias("finding")).where("finding is not null")
+    found = entries.select("table_name", F.explode_outer(F.array(_type_finding())).alias("finding"))
+    return found.where("finding is not null")
 
 
 def _one_per_table(definitions: DataFrame) -> DataFrame:
@@ -168,7 +180,8 @@ def ddl_compare(new: DataFrame, old: DataFrame) -> DataFrame:
     equal_sized = judged.where("finding is null").select(
         "table_name", "new_columns", old_columns.alias("old")
     )
-    columns = equal_sized.select("table_name", "old", F.posexplode("new_columns").alias("at", "c")).select(
+    columns = equal_sized.select("table_name", "old", F.posexplode_outer("new_columns").alias("at", "c"))
+    columns = columns.where("at is not null").select(
         "table_name",
         F.col("c.names").alias("column_name"),
         F.upper("c.types").alias("type"),
@@ -182,7 +195,8 @@ def ddl_compare(new: DataFrame, old: DataFrame) -> DataFrame:
             F.when(F.col("before.at") != F.col("at"), POSITION_MISMATCH),
         )
     )
-    differences = columns.select("table_name", F.explode(kinds).alias("finding"), "column_name")
+    differences = columns.select("table_name", F.explode_outer(kinds).alias("finding"), "column_name")
+    differences = differences.where("finding is not null")
     whole = judged.where("finding is not null").select(
         "table_name", "finding", F.lit(None).cast("string").alias("column_name")
     )
@@ -243,30 +257,27 @@ def catalog_checks(catalog: DataFrame, tables: DataFrame) -> DataFrame:
     present = rows.select("table_name", "ordinal", F.lit(1).alias("there"))
     wanted = rows.select("table_name", (F.col("ordinal") + 1).alias("ordinal"), F.lit(0).alias("there"))
     first = rows.select("table_name", F.lit(1).alias("ordinal"), F.lit(0).alias("there"))
-    holes = (
+    ordinals = (
         present.unionByName(wanted)
         .unionByName(first)
         .where(F.col("ordinal").isNotNull())
         .groupBy("table_name", "ordinal")
-        .agg(F.max("there").alias("there"))
-        .where("there = 0")
+        .agg(F.sum("there").alias("times"))
+        .where("times <> 1")
     )
     last = rows.groupBy("table_name").agg(F.max("ordinal").alias("last"))
-    gaps = holes.join(last, "table_name").where(F.col("ordinal") < F.col("last"))
-    gaps = gaps.select(
+    inside = (F.col("times") > 1) | (F.col("ordinal") < F.col("last"))
+    ordinals = ordinals.join(last, "table_name").where(inside).select(
         F.col("table_name").alias("subject"),
-        F.lit("ordinal_gap").alias("finding"),
+        F.when(F.col("times") > 1, "duplicate_ordinal").otherwise("ordinal_gap").alias("finding"),
         F.col("ordinal").cast("string").alias("detail"),
     )
-
-    def repeated(column: str, finding: str) -> DataFrame:
-        counts = rows.where(F.col(column).isNotNull()).groupBy("table_name", column).count()
-        return counts.where("count > 1").select(
-            F.col("table_name").alias("subject"),
-            F.lit(finding).alias("finding"),
-            F.col(column).cast("string").alias("detail"),
-        )
-
+    columns = rows.where(F.col("column_name").isNotNull()).groupBy("table_name", "column_name").count()
+    columns = columns.where("count > 1").select(
+        F.col("table_name").alias("subject"),
+        F.lit("duplicate_column").alias("finding"),
+        F.col("column_name").alias("detail"),
+    )
     mixed = (
         rows.groupBy("column_name")
         .agg(F.countDistinct("data_type").alias("types"))
@@ -278,8 +289,5 @@ def catalog_checks(catalog: DataFrame, tables: DataFrame) -> DataFrame:
         )
     )
     return (
-        empty.unionByName(gaps)
-        .unionByName(repeated("ordinal", "duplicate_ordinal"))
-        .unionByName(repeated("column_name", "duplicate_column"))
-        .unionByName(mixed)
+        empty.unionByName(ordinals).unionByName(columns).unionByName(mixed)
     )

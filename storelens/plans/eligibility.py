@@ -126,5 +126,7 @@ def promo_eligibility(
 ) -> DataFrame:
     """The full result, one row per impression in the days and active campaign."""
     shown = impressions.where(day_window("event_date", start, end))
-    dated = with_membership(with_last_order(shown, orders), memberships)
-    return conform_to(with_eligibility(with_campaigns(dated, campaigns, start, end)), ELIGIBILITY)
+    earlier = orders.where(F.col("created_at") < F.date_add(F.lit(end).cast("date"), 1))
+    in_days = F.to_date("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    known = with_last_order(with_membership(shown, memberships.where(in_days)), earlier)
+    return conform_to(with_eligibility(with_campaigns(known, campaigns, start, end)), ELIGIBILITY)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scalars import Day, day_window
-from storelens.operators.joins import distinct_keys, fits_broadcast, in_cohort
+from storelens.operators.joins import distinct_keys, fits_broadcast, in_cohort, skew_join
 from storelens.operators.metrics import union_all
 from storelens.plans.overview import brand_stores
 
@@ -74,8 +74,10 @@ def _carts(tables, business_id: int) -> tuple[DataFrame, bool]:
     return carts, fits_broadcast(carts)
 
 
-def _hinted(frame: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(frame) if small else frame
+def _meet(facts: DataFrame, carts: DataFrame, small: bool, key: str, how: str = "inner") -> DataFrame:
+    if small:
+        return facts.join(F.broadcast(carts), key, how)
+    return skew_join(facts, carts, [key], how)
 
 
 def _checkouts(tables, start: Day, end: Day) -> DataFrame:
@@ -89,17 +91,11 @@ def items_ordered_by_consumers(tables, business_id: int, start: Day, end: Day) -
     copies of a checkout, delivery or item row never multiply in the joins.
     """
     carts, small = _carts(tables, business_id)
-    buyers = (
-        _checkouts(tables, start, end)
-        .join(_hinted(carts.select("order_uuid").distinct(), small), "order_uuid", "left_semi")
-        .select("order_uuid", "user_id")
-        .distinct()
-    )
-    items = (
-        tables.order_items.join(_hinted(carts, small), "delivery_id")
-        .select("order_uuid", "item_name")
-        .distinct()
-    )
+    orders = carts.select("order_uuid").distinct()
+    checkouts = _meet(_checkouts(tables, start, end), orders, small, "order_uuid", "left_semi")
+    buyers = checkouts.select("order_uuid", "user_id").distinct()
+    lines = _meet(tables.order_items, carts, small, "delivery_id")
+    items = lines.select("order_uuid", "item_name").distinct()
     return _by_item(items.join(buyers, "order_uuid").select("item_name", "user_id"), "user_id")
 
 
@@ -108,5 +104,5 @@ def unique_items_ordered(tables, business_id: int, start: Day, end: Day) -> Data
     carts, small = _carts(tables, business_id)
     orders = distinct_keys(_checkouts(tables, start, end), "order_uuid")
     bought = carts.join(orders, "order_uuid", "left_semi").select("delivery_id").distinct()
-    items = tables.order_items.join(_hinted(bought, small), "delivery_id", "left_semi")
+    items = _meet(tables.order_items, bought, small, "delivery_id", "left_semi")
     return items.agg(F.countDistinct("item_name").alias("unique_item_count"))
