@@ -83,6 +83,6 @@ def overlap(
 
     A null end is open; a null start means the range began before all others.
     """
-    first = F.greatest(*[as_column(c) for c in starts])
-    last = F.least(*[as_column(c) for c in ends])
+    first = F.array_max(F.array(*[as_column(c) for c in starts]))
+    last = F.array_min(F.array(*[as_column(c) for c in ends]))
     return first, last, F.coalesce(first < last, F.lit(True))

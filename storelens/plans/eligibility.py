@@ -62,29 +62,32 @@ def with_membership(impressions: DataFrame, memberships: DataFrame, floor: int |
 
 
 def with_campaigns(
-    impressions: DataFrame, campaigns: DataFrame, start: Day, end: Day, max_bytes: int | None = None
+    impressions: DataFrame,
+    campaigns: DataFrame,
+    start: Day,
+    end: Day,
+    max_bytes: int | None = None,
+    floor: int | None = None,
 ) -> DataFrame:
     """One row per impression in the days and campaign of its store then active.
 
     Active means starts_at <= impression < ends_at; no end is open. Campaigns are
-    listed per day of the window, so an impression meets only those of its own
-    day and store, never the store's whole history.
+    listed per month of the window, so an impression meets only those of its own
+    month and store, never the store's whole history.
     """
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
     from_day = F.greatest(F.to_date("starts_at"), first)
     to_day = F.least(F.coalesce(F.to_date("ends_at"), last), last)
-    daily = (
-        campaigns.where(from_day <= to_day)
-        .withColumn("_day", F.explode(F.sequence(from_day, to_day)))
-    )
+    months = F.sequence(F.trunc(from_day, "month"), F.trunc(to_day, "month"), F.expr("interval 1 month"))
+    monthly = campaigns.where(from_day <= to_day).withColumn("_month", F.explode(months))
     dated = impressions.where(day_window("event_date", start, end)).withColumn(
-        "_day", F.to_date("event_date")
+        "_month", F.trunc("event_date", "month")
     )
-    joined = guarded_join(dated, daily, ["store_id", "_day"], "inner", max_bytes)
+    joined = guarded_join(dated, monthly, ["store_id", "_month"], "inner", max_bytes, floor=floor)
     active = (F.col("starts_at") <= F.col("event_date")) & (
         F.col("ends_at").isNull() | (F.col("event_date") < F.col("ends_at"))
     )
-    return joined.where(active).drop("_day", "starts_at", "ends_at")
+    return joined.where(active).drop("_month", "starts_at", "ends_at")
 
 
 def _required(setting: str, met: Column) -> Column:

@@ -69,9 +69,8 @@ def _carts(tables, business_id: int) -> tuple[DataFrame, bool]:
         _on_brand(tables, core, business_id)
         .where(F.col("order_cart_uuid").isNotNull() & F.col("delivery_id").isNotNull())
         .select(F.col("order_cart_uuid").alias("order_uuid"), "delivery_id")
-        .distinct()
     )
-    return carts, fits_broadcast(carts)
+    return carts.distinct(), fits_broadcast(carts)
 
 
 def _meet(facts: DataFrame, carts: DataFrame, small: bool, key: str, how: str = "inner") -> DataFrame:

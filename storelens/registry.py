@@ -23,11 +23,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def _register(name: str, build: Callable[[StarTables], DataFrame], rounded: tuple[str, ...] = ()) -> None:
+def _register(name: str, build: Callable[[StarTables], DataFrame], rounded: tuple[str, ...] = (), digits: int = 4) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         result = build(StarTables(spark, folder))
         for column in rounded:
-            result = result.withColumn(column, F.round(column, 4))
+            result = result.withColumn(column, F.round(column, digits))
         return result
 
     query.__name__ = name
@@ -182,6 +182,7 @@ _register(
     "campaign_performance",
     lambda t: ads.campaign_performance(_campaign_parts(t)),
     ("sales", "cost", "click_through_rate", "conversion_rate", "aov", "cost_per_order", "roas"),
+    digits=8,
 )
 _register(
     "top_items",

@@ -380,12 +380,12 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "campaign_performance": _with(
         "actions",
-        """SELECT campaign_id, day, impressions, clicks, orders, round(sales, 4) AS sales, round(cost, 4) AS cost,
-        CASE WHEN impressions = 0 THEN 0 ELSE round(clicks / impressions, 4) END AS click_through_rate,
-        CASE WHEN clicks = 0 THEN 0 ELSE round(orders / clicks, 4) END AS conversion_rate,
-        CASE WHEN orders = 0 THEN 0 ELSE round(sales / orders, 4) END AS aov,
-        CASE WHEN orders = 0 THEN 0 ELSE round(cost / orders, 4) END AS cost_per_order,
-        CASE WHEN cost = 0 THEN 0 ELSE round(sales / cost, 4) END AS roas FROM sums""",
+        """SELECT campaign_id, day, impressions, clicks, orders, round(sales, 8) AS sales, round(cost, 8) AS cost,
+        CASE WHEN impressions = 0 THEN 0 ELSE round(clicks / impressions, 8) END AS click_through_rate,
+        CASE WHEN clicks = 0 THEN 0 ELSE round(orders / clicks, 8) END AS conversion_rate,
+        CASE WHEN orders = 0 THEN 0 ELSE round(sales / orders, 8) END AS aov,
+        CASE WHEN orders = 0 THEN 0 ELSE round(cost / orders, 8) END AS cost_per_order,
+        CASE WHEN cost = 0 THEN 0 ELSE round(sales / cost, 8) END AS roas FROM sums""",
         """sums AS (SELECT store_id AS campaign_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'view') AS impressions,
             count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase') AS orders,
             coalesce(sum(value) FILTER (event_type = 'purchase'), 0.0) AS sales,

@@ -29,7 +29,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.4f}"
+        return "nan" if math.isnan(value) else f"{value:.8f}"
     if isinstance(value, bool) or value is None:
         return str(value)
     if isinstance(value, int):

@@ -1,0 +1,215 @@
+"""Schema jobs on hand-made definitions, and against plain loops on random ones."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from storelens.plans import definitions as d
+from storelens.sources.catalog import EXPORT_COLUMNS, one_row, read_catalog
+
+
+def ddls(spark, **texts):
+    return spark.createDataFrame(list(texts.items()), "table_name string, ddl string")
+
+
+def listed(frame):
+    return sorted(tuple(r) for r in frame.collect())
+
+
+TEXTS = {
+    "x19": "T (ID NUMBER(38,0) COMMENT 'a, b', N TEXT)",
+    "x20": "T (ID NUMBER(38, 0), N TEXT)",
+    "none": "CREATE TABLE T",
+    "open": "CREATE TABLE T (ID NUMBER(38,0)",
+    "twice": "T (A TEXT, B TEXT, A DATE)",
+    "case": "T (A TEXT, a TEXT)",
+    "tail": "T) x (A\tTEXT, B TEXT) AS (SELECT 1)",
+    "lines": "T (\n\tA TEXT,\n\tB TEXT, \n\tC DATE\n)",
+    "quote": "T (A TEXT COMMENT 'it''s (fine)', B TEXT)",
+    "empty": "T ()",
+    "lower": "T (A TEXT comment 'a, b', B TEXT)",
+}
+
+
+def test_body_range(spark):
+    found = {r["table_name"]: tuple(r)[1:] for r in d.ddl_body_range(ddls(spark, **TEXTS)).collect()}
+    assert found["x19"] == (2, 41, None)
+    assert found["none"] == (None, None, d.NOT_A_DEFINITION)
+    assert found["open"] == (None, None, d.NOT_A_DEFINITION)
+    assert found["tail"][:2] == (5, TEXTS["tail"].index(")", 5))
+    assert found["empty"] == (2, 3, None)
+
+
+def test_columns_and_types(spark):
+    frame = ddls(spark, **TEXTS)
+    columns = {}
+    for table, ordinal, name in listed(d.ddl_columns(frame)):
+        columns.setdefault(table, []).append((ordinal, name))
+    types = {}
+    for table, name, kind in listed(d.ddl_types(frame)):
+        types.setdefault(table, {})[name] = kind
+    findings = dict(listed(d.ddl_findings(frame)))
+    assert columns["x19"] == [(0, "ID"), (1, "N")] and types["x19"] == {"ID": "NUMBER(38,0)", "N": "TEXT"}
+    # A blank after the comma inside a type cuts it in two; the second part has no type.
+    assert columns["x20"] == [(0, "ID"), (1, "0)"), (2, "N")] and findings["x20"] == d.MISSING_TYPE
+    assert findings["none"] == findings["open"] == d.NOT_A_DEFINITION
+    assert findings["twice"] == d.DUPLICATE_COLUMN and "twice" not in columns
+    assert columns["case"] == [(0, "A"), (1, "a")]
+    # Line breaks vanish first: a comma right before one does not part columns.
+    assert columns["lines"] == [(0, "A"), (1, "C")]
+    # Tabs vanish too.
+    assert columns["tail"] == [(0, "ATEXT"), (1, "B")] and findings["tail"] == d.MISSING_TYPE
+    assert findings["empty"] == d.EMPTY_COLUMN
+    assert columns["lower"] == [(0, "A"), (1, "b'"), (2, "B")]
+    # A doubled quote ends the comment early; what follows it stays.
+    assert columns["quote"] == [(0, "A"), (1, "B")]
+
+
+def loop_range(text):
+    start = text.find("(")
+    depth = 0
+    for i in range(start, len(text)) if start >= 0 else ():
+        depth += {"(": 1, ")": -1}.get(text[i], 0)
+        if depth == 0:
+            return start, i
+    return None
+
+
+def loop_columns(text, dropped):
+    """Names and types, or None where there is no answer."""
+    bounds = loop_range(text)
+    if bounds is None:
+        return None
+    body = text[bounds[0] + 1 : bounds[1]].replace("\n", "").replace("\t", "")
+    words = [entry.split() for entry in re.sub(dropped, "", body).split(", ")]
+    names = [w[0] for w in words if w]
+    if len(names) < len(words) or len(set(names)) < len(names):
+        return None
+    return [(w[0], w[1] if len(w) > 1 else None) for w in words]
+
+
+def random_texts(seed, n):
+    rng = random.Random(seed)
+    bits = ["A", "B", " TEXT", " DATE", ", ", ", ", ",", "(", ")", "'", "COMMENT '", "COMMENT'", "\n", "\t", " ", "é", " ", "\r"]
+    return {f"t{i}": "T (" + "".join(rng.choices(bits, k=rng.randrange(14))) + ")" for i in range(n)}
+
+
+def test_random_texts_against_loops(spark):
+    texts = random_texts(11, 400)
+    frame = ddls(spark, **texts)
+    ranges = {r["table_name"]: None if r["finding"] else (r["start"], r["end"]) for r in d.ddl_body_range(frame).collect()}
+    assert ranges == {t: loop_range(text) for t, text in texts.items()}
+    columns, types = {}, {}
+    for table, _, name in listed(d.ddl_columns(frame)):
+        columns.setdefault(table, []).append(name)
+    for table, name, kind in listed(d.ddl_types(frame)):
+        types.setdefault(table, set()).add((name, kind))
+    for table, text in texts.items():
+        wanted = loop_columns(text, r"COMMENT ?'(.*?)'")
+        assert columns.get(table) == (wanted and [name for name, _ in wanted]), text
+        typed = wanted is not None and all(kind for _, kind in wanted)
+        assert types.get(table) == (set(wanted) if typed else None), text
+
+
+def test_compare(spark):
+    base = "T (A TEXT, B DATE)"
+    new = {
+        "same": "T (A text COMMENT 'new', B DATE)",
+        "swap": "T (B DATE, A TEXT)",
+        "kind": "T (A TEXT, B TEXT)",
+        "count": "T (A TEXT, B DATE, C TEXT)",
+        "name": "T (A TEXT, C DATE)",
+        "dup": "T (A TEXT, A TEXT)",
+        "open": "T (A TEXT",
+        "bare": "T (A TEXT, B)",
+        "only_new": base,
+    }
+    old = {name: base for name in new if name != "only_new"}
+    assert listed(d.ddl_compare(ddls(spark, **new), ddls(spark, **old)).fillna("")) == [
+        ("bare", d.MISSING_TYPE, ""),
+        ("count", d.COUNT_MISMATCH, ""),
+        ("dup", d.DUPLICATE_COLUMN, ""),
+        ("kind", d.TYPE_MISMATCH, "B"),
+        ("name", d.MISSING_IN_OLD, "C"),
+        ("only_new", d.ONE_SIDED, ""),
+        ("open", d.NOT_A_DEFINITION, ""),
+        ("swap", d.POSITION_MISMATCH, "A"),
+        ("swap", d.POSITION_MISMATCH, "B"),
+    ]
+
+
+def test_compare_of_copies_and_versions(spark):
+    copies = [("a", "T (A TEXT)")] * 50 + [("b", "T (A TEXT)"), ("b", "T (A DATE)")]
+    new = spark.createDataFrame(copies, "table_name string, ddl string")
+    old = spark.createDataFrame([("a", "T (A TEXT)")] * 30 + [("b", "T (A TEXT)")], new.schema)
+    assert listed(d.ddl_compare(new, old).fillna("")) == [("b", d.SEVERAL_DEFINITIONS, "")]
+
+
+CATALOG = "table_name string, column_name string, ordinal int, data_type string"
+
+
+def test_catalog_checks(spark):
+    rows = [
+        ("t", "a", 1, "NUMBER"),
+        ("t", "b", 3, "TEXT"),
+        ("t", "c", 3, "TEXT"),
+        ("t", "d", 6, "DATE"),
+        ("u", "a", 2, "TEXT"),
+        ("u", "e", 3, "text"),
+        ("u", "e", 4, "TEXT"),
+    ]
+    catalog = spark.createDataFrame(rows, CATALOG)
+    tables = spark.createDataFrame([("t",), ("u",), ("v",)], "table_name string")
+    assert listed(d.catalog_checks(catalog, tables)) == [
+        ("a", "mixed_types", "2"),
+        ("t", "duplicate_ordinal", "3"),
+        ("t", "ordinal_gap", "2"),
+        ("t", "ordinal_gap", "4"),
+        ("u", "duplicate_column", "e"),
+        ("u", "ordinal_gap", "1"),
+        ("v", "empty_table", ""),
+    ]
+
+
+def test_catalog_struct(spark):
+    rows = [
+        ("t", "tags", 5, "ARRAY"),
+        ("t", "id", 1, "NUMBER"),
+        ("t", "ads_fee", 2, "NUMBER"),
+        ("t", "rank", 3, "NUMBER"),
+        ("t", "seen", 7, "timestamp_ntz"),
+        ("u", "other", 1, "TEXT"),
+    ]
+    struct = d.catalog_struct(spark.createDataFrame(rows, CATALOG), "t", {"RANK": "double"})
+    assert struct.simpleString() == (
+        "struct<id:bigint,ads_fee:decimal(38,6),rank:double,tags:array<string>,seen:timestamp_ntz>"
+    )
+
+
+def test_read_catalog(spark, tmp_path):
+    header = ",".join(EXPORT_COLUMNS)
+    line = "pg,DB,PUBLIC,T,{},{},{},{},,,,"
+    full = [header, line.format("B", 2, "TEXT", "16777216.0"), line.format("A", 1, "NUMBER", "")]
+    (tmp_path / "t.csv").write_text("\n".join(full) + "\n")
+    (tmp_path / "none.csv").write_text(header + "\n")
+    result = read_catalog(spark, str(tmp_path))
+    assert listed(result.select("table_name", "column_name", "ordinal", "data_type", F.coalesce("max_length", F.lit(-1)))) == [
+        ("T", "A", 1, "NUMBER", -1),
+        ("T", "B", 2, "TEXT", 16777216),
+    ]
+    assert dict(result.dtypes)["ordinal"] == "int" and dict(result.dtypes)["max_length"] == "bigint"
+
+
+def test_one_row(spark):
+    assert [tuple(r) for r in one_row(spark).collect()] == [(1,)]
+
+
+@pytest.mark.parametrize("ordinal", [None])
+def test_unknown_ordinals_make_no_gap(spark, ordinal):
+    catalog = spark.createDataFrame([("t", "a", ordinal, "TEXT")], CATALOG)
+    tables = spark.createDataFrame([("t",)], "table_name string")
+    assert listed(d.catalog_checks(catalog, tables)) == []

@@ -1,0 +1,72 @@
+"""Each join path gives the rows of the plain join, with all keys treated as hot."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from storelens.operators import joins
+
+
+def frames(spark):
+    rng = random.Random(3)
+    keys = [1] * 60 + [2] * 20 + [None] * 40 + list(range(3, 40))
+    left = spark.createDataFrame([(k, rng.randrange(5)) for k in keys], "k bigint, v int").repartition(6)
+    right = spark.createDataFrame([(k, f"r{k}") for k in (1, 2, 2, 5, 6, None, 99)], "k bigint, w string")
+    return left, right
+
+
+def rows(frame):
+    return sorted([str(r) for r in frame.collect()])
+
+
+def test_hot_keys_are_found_and_counted(spark):
+    left, _ = frames(spark)
+    hot = dict(joins.hot_keys(left, ["k"], floor=0))
+    hashes = {r["k"]: r["h"] for r in left.select("k", joins.key_hash(["k"]).alias("h")).distinct().collect()}
+    assert len(hot) == len(hashes)
+    assert hot[hashes[1]] > hot[hashes[None]] > hot[hashes[2]]
+    assert joins.hot_keys(left, ["k"], floor=50) == [(hashes[1], hot[hashes[1]])]
+    assert joins.hot_keys(left.where("v > 100"), ["k"], floor=0) == []
+    assert joins.hot_keys(left, ["k"]) == []
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_skew_join_equals_plain_join(spark, how):
+    left, right = frames(spark)
+    expected = rows(left.join(right, ["k"], how))
+    assert rows(joins.skew_join(left, right, ["k"], how, floor=0)) == expected
+    assert rows(joins.skew_join(left, right, ["k"], how)) == expected
+
+
+def test_skew_join_spreads_a_hot_key(spark):
+    left = spark.range(20_000).select(F.lit(1).cast("bigint").alias("k"), "id")
+    hot = joins.hot_keys(left, ["k"], floor=0)
+    parted = joins.with_pieces(left, ["k"], hot).select(joins.row_part(["k", "id"], F.col("_pieces")).alias("p"))
+    assert parted.distinct().count() > 5_000
+
+
+def test_skew_join_refuses_unlike_key_types(spark):
+    left, right = frames(spark)
+    with pytest.raises(ValueError):
+        joins.skew_join(left, right.withColumn("k", F.col("k").cast("int")), ["k"])
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_bytes": -1, "floor": 0}, {"max_bytes": -1}])
+def test_cohorts(spark, limits):
+    left, right = frames(spark)
+    inside = joins.in_cohort(left, right, "k", **limits)
+    assert inside.count() == 60 + 20 + 2
+    marked = joins.mark_cohort(left, right, "k", "hit", **limits)
+    assert marked.count() == left.count()
+    assert marked.where("hit").count() == 82
+    assert marked.where("hit is null").count() == 0
+
+
+def test_measured_bytes_bounds_the_broadcast(spark):
+    small = spark.createDataFrame([(1, "ab"), (22, None)], "k int, s string")
+    assert joins.measured_bytes(small) == (1 + 2 + 16) + (2 + 16)
+    assert joins.measured_bytes(small.where("k > 100")) == 0
+    assert joins.fits_broadcast(small, 37) and not joins.fits_broadcast(small, 36)

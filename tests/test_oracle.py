@@ -1,0 +1,81 @@
+"""Every registered query against DuckDB, and the reports against known answers."""
+
+from __future__ import annotations
+
+import pytest
+from oracle_check import connect, differences
+
+from storelens.registry import QUERIES
+from storelens.registry_sql import ORACLE_SQL
+
+SMALL = "/root/testdata/sf0.001"
+MIDDLE = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return connect(SMALL)
+
+
+def test_every_query_has_a_text():
+    assert set(QUERIES) == set(ORACLE_SQL)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_duckdb(spark, duck, name):
+    problems, _ = differences(spark, duck, SMALL, QUERIES[name], ORACLE_SQL[name])
+    assert problems == []
+
+
+# Worked out separately on the same role tables.
+ANSWERS = {
+    "business_overview": [4, 349, 191659.6181],
+    "impression_share": [146.0, 3725.0, 0.0392],
+    "consumer_reach": [1149.0, 77.0, 0.067],
+    "consumers_impressed": [109],
+    "consumers_visited": [28],
+    "consumers_added_item": [43],
+    "consumers_ordered": [204],
+    "unique_items_added": [30],
+    "unique_items_ordered": [52],
+    "ads_fee_share": [193797.8787, 9124.4264, 19151.0088],
+    "ads_fee_share_no_rivals_named": [193797.8787, 9124.4264, 240311.6682],
+    "promo_fee_share": [153073.321, 7842.0913, 15296.702],
+    "promo_fee_share_no_rivals_named": [153073.321, 7842.0913, 189797.0412],
+    "ads_fee_per_store": [1937.9788, 2281.1066, 2393.8761],
+    "ads_fee_per_store_no_rivals_named": [1937.9788, 2281.1066, 2403.1167],
+    "promo_fee_per_store": [1530.7332, 1960.5228, 1912.0878],
+    "promo_fee_per_store_no_rivals_named": [1530.7332, 1960.5228, 1897.9704],
+}
+
+
+@pytest.mark.parametrize("name", sorted(ANSWERS))
+def test_known_answers(spark, name):
+    rows = QUERIES[name](spark, MIDDLE).collect()
+    found = [row[-1] for row in rows] if len(rows) > 1 else list(rows[0])
+    assert found == pytest.approx(ANSWERS[name], abs=1e-4)
+
+
+def test_reports_agree_with_each_other(spark):
+    def rows(name):
+        return QUERIES[name](spark, MIDDLE).collect()
+
+    assert len(rows("items_added_by_consumers")) == rows("unique_items_added")[0][0]
+    named = [r for r in rows("items_ordered_by_consumers") if r["item_name"] is not None]
+    assert len(named) == rows("unique_items_ordered")[0][0]
+    for row in rows("keyword_rank"):
+        assert 0 <= row["impression_share_from_eligible_cx"] <= 1
+        assert 0 <= row["unique_cx_share"] <= 1
+
+
+@pytest.mark.parametrize("name", ["impression_share", "keyword_rank"])
+def test_one_scan_plan_equals_two_scan_text(spark, name):
+    """The report's text, with one scan per number, runs on Spark as well."""
+    for table in ("supplier", "orders", "lineitem", "events"):
+        spark.read.parquet(f"{MIDDLE}/{table}.parquet").createOrReplaceTempView(table)
+    columns = sorted(QUERIES[name](spark, MIDDLE).columns)
+    one = [tuple(r) for r in QUERIES[name](spark, MIDDLE).select(*columns).collect()]
+    two = [tuple(r) for r in spark.sql(ORACLE_SQL[name].replace("VARCHAR", "STRING")).select(*columns).collect()]
+    assert len(one) == len(two)
+    for left, right in zip(sorted(one, key=str), sorted(two, key=str)):
+        assert left == pytest.approx(right, abs=1e-4)
