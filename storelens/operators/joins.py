@@ -9,6 +9,7 @@ the usual case, the join is a plain one.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,22 +133,37 @@ def guarded_join(
     return skew_join(left, right, on, how, floor)
 
 
-def known_keys(members: DataFrame, key: str) -> DataFrame:
-    return members.select(key).where(F.col(key).isNotNull())
+def distinct_keys(members: DataFrame, key: str) -> DataFrame:
+    return members.select(key).where(F.col(key).isNotNull()).distinct()
 
 
-def distinct_keys(members: DataFrame, key: str) -> DataFrame:
-    return known_keys(members, key).distinct()
+@dataclass(frozen=True)
+class Cohort:
+    """Keys of some members, never null, and whether they were found small enough to broadcast."""
+
+    keys: DataFrame
+    key: str
+    small: bool
+
+
+def cohort(members: DataFrame, key: str, max_bytes: int | None = None) -> Cohort:
+    """Measures the members once, for all joins with them."""
+    keys = members.select(key).where(F.col(key).isNotNull())
+    return Cohort(keys, key, fits_broadcast(keys, max_bytes))
 
 
-def in_cohort(facts: DataFrame, members: DataFrame, key: str, **limits) -> DataFrame:
+def in_cohort(facts: DataFrame, members: Cohort, floor: int | None = None) -> DataFrame:
     """Facts whose key is among the members; never repeats a fact."""
-    keys = distinct_keys(members, key)
-    return guarded_join(facts, keys, [key], "left_semi", bound=known_keys(members, key), **limits)
+    if members.small:
+        return facts.join(F.broadcast(members.keys), members.key, "left_semi")
+    return skew_join(facts, members.keys.distinct(), [members.key], "left_semi", floor)
 
 
-def mark_cohort(facts: DataFrame, members: DataFrame, key: str, flag: str, **limits) -> DataFrame:
+def mark_cohort(facts: DataFrame, members: Cohort, flag: str, floor: int | None = None) -> DataFrame:
     """All facts with a boolean column telling whether the key is among the members."""
-    marked = distinct_keys(members, key).withColumn(flag, F.lit(True))
-    joined = guarded_join(facts, marked, [key], "left", bound=known_keys(members, key), **limits)
+    marked = members.keys.distinct().withColumn(flag, F.lit(True))
+    if members.small:
+        joined = facts.join(F.broadcast(marked), members.key, "left")
+    else:
+        joined = skew_join(facts, marked, [members.key], "left", floor)
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))

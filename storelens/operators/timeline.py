@@ -1,29 +1,27 @@
 """Ordered operations per key (last before, running number, validity range).
 
 A window per key puts the whole key into one task. Here a hot key's timeline is
-cut into hours: each hour is a group of its own, and what an hour must know of
-the others (the last value before it, the count so far, the first time after it)
-comes from per-hour aggregates as one extra row. Such a key has one aggregate
-row per hour it was active, so that step is bounded by the calendar. Keys that
-are not hot keep one group and get no extra row; without hot keys the plan is
-the plain window.
+cut into minutes: each minute is a group of its own, and what a minute must know
+of the others (the last value before it, the count so far, the first time after
+it) comes from per-minute aggregates as one extra row. Such a key has one
+aggregate row per minute it was active, so that step is bounded by the calendar.
+Keys that are not hot keep one group and get no extra row; without hot keys the
+plan is the plain window.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from storelens.operators.joins import hot_keys, row_part, with_pieces
+from storelens.operators.joins import hot_keys, row_part, skew_join, with_pieces
 
-UNIT = "hour"
+UNIT = "minute"
 
 
-def _cut(frame: DataFrame, keys: list[str], time: str, unit: str, hot: list) -> DataFrame:
-    """Adds `_slot`: the row's hour when its key is hot, else null."""
-    marked = with_pieces(frame, keys, hot)
-    slot = F.when(F.col("_pieces") > 1, F.date_trunc(unit, F.col(time)).cast("timestamp_ntz"))
-    return marked.withColumn("_slot", slot).drop("_pieces")
+def _slot(time: str, unit: str) -> Column:
+    return F.date_trunc(unit, F.col(time)).cast("timestamp_ntz")
 
 
 def _known(columns: list[str]) -> Column:
@@ -33,7 +31,7 @@ def _known(columns: list[str]) -> Column:
     return known
 
 
-def _missing(kind) -> Column:
+def _missing(kind: DataType) -> Column:
     return F.lit(None).cast(kind)
 
 
@@ -54,63 +52,91 @@ def last_before(
     equal right times are decided by the larger payload. Strictly before unless
     `inclusive`. Both sides meet in one union, so no pairs are ever formed.
     """
-    payload = payload or []
-    last_type = right.select(F.struct(right_time, *payload).alias("last")).schema["last"].dataType
-    row_type = left.select(F.struct(*left.columns).alias("row")).schema["row"].dataType
-    rank = {"carry": 0, "right": 1, "left": 2} if inclusive else {"carry": 0, "left": 1, "right": 2}
-
-    # Left rows that can have no match are spread so that they form no hot group.
-    lone = 1 + row_part(left.columns, F.lit(1000))
-    spread = F.when(_known([*keys, left_time]), F.lit(0)).otherwise(lone).cast("long")
-    left_rows = left.select(
+    values = F.struct(right_time, *(payload or []))
+    sought = left.withColumn("_time", F.col(left_time).cast("timestamp_ntz"))
+    given = right.where(_known([*keys, right_time])).select(
+        *keys, F.col(right_time).cast("timestamp_ntz").alias("_time"), values.alias("_last")
+    )
+    known = sought.where(_known([*keys, "_time"]))
+    hot = hot_keys(known.select(*keys).unionByName(given.select(*keys)), keys, floor)
+    if not hot:
+        return _in_one_group(sought, given, keys, inclusive)
+
+    def part(frame: DataFrame, of_hot: bool) -> DataFrame:
+        pieces = F.col("_pieces") > 1
+        return with_pieces(frame, keys, hot).where(pieces if of_hot else ~pieces).drop("_pieces")
+
+    cold = _in_one_group(part(sought, False), part(given, False), keys, inclusive)
+    split = _in_slots(part(sought, True), part(given, True), keys, inclusive, unit, floor)
+    return cold.unionByName(split)
+
+
+def _ranks(inclusive: bool) -> tuple[int, int]:
+    """Sort positions of left and right rows at the same time; 0 comes before both."""
+    return (2, 1) if inclusive else (1, 2)
+
+
+def _running_last(group: list[str]) -> Column:
+    order = Window.partitionBy(*group).orderBy("_time", "_rank")
+    return F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def _in_one_group(sought: DataFrame, given: DataFrame, keys: list[str], inclusive: bool) -> DataFrame:
+    left_rank, right_rank = _ranks(inclusive)
+    columns = [c for c in sought.columns if c != "_time"]
+    row_type = sought.select(F.struct(*columns).alias("row")).schema["row"].dataType
+    # Left rows that can have no match are spread, so that they form no large group.
+    lone = 1 + row_part(columns, F.lit(1000))
+    spread = F.when(_known([*keys, "_time"]), F.lit(0)).otherwise(lone).cast("long")
+    left_rows = sought.select(
         *keys,
-        F.col(left_time).cast("timestamp_ntz").alias("_time"),
-        F.lit(rank["left"]).alias("_rank"),
+        "_time",
+        F.lit(left_rank).alias("_rank"),
         spread.alias("_spread"),
-        _missing(last_type).alias("_last"),
-        F.struct(*left.columns).alias("_row"),
+        _missing(given.schema["_last"].dataType).alias("_last"),
+        F.struct(*columns).alias("_row"),
     )
-    matchable = right.where(_known([*keys, right_time]))
-    right_rows = matchable.select(
-        *keys,
-        F.col(right_time).cast("timestamp_ntz").alias("_time"),
-        F.lit(rank["right"]).alias("_rank"),
-        F.lit(0).cast("long").alias("_spread"),
-        F.struct(right_time, *payload).alias("_last"),
-        _missing(row_type).alias("_row"),
+    right_rows = given.withColumns(
+        {"_rank": F.lit(right_rank), "_spread": F.lit(0).cast("long"), "_row": _missing(row_type)}
     )
-    rows = left_rows.unionByName(right_rows)
-    group = [*keys, "_spread"]
+    found = left_rows.unionByName(right_rows).withColumn("last", _running_last([*keys, "_spread"]))
+    return found.where(F.col("_row").isNotNull()).select("_row.*", "last")
 
-    hot = hot_keys(left.select(*keys).unionByName(matchable.select(*keys)), keys, floor)
-    if hot:
-        rows = _cut(rows, keys, "_time", unit, hot)
-        group.append("_slot")
-        earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            rows.where(F.col("_slot").isNotNull() & (F.col("_spread") == 0))
-            .groupBy(*keys, "_slot")
-            .agg(F.max("_last").alias("_last"))
-            .withColumn("_last", F.max("_last").over(earlier))
-            .where(F.col("_last").isNotNull())
-            .withColumn("_time", F.col("_slot"))
-            .withColumn("_rank", F.lit(rank["carry"]))
-            .withColumn("_spread", F.lit(0).cast("long"))
-            .withColumn("_row", _missing(row_type))
-        )
-        # The carry row sorts first in its hour: at the hour's start, with the lowest rank.
-        rows = rows.unionByName(carried)
-    so_far = (
-        Window.partitionBy(*group)
-        .orderBy("_time", "_rank")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _in_slots(
+    sought: DataFrame, given: DataFrame, keys: list[str], inclusive: bool, unit: str, floor: int | None
+) -> DataFrame:
+    """The same for hot keys: only distinct times are ordered, then the answers joined back.
+
+    However many rows share a time, a minute has at most as many distinct times
+    as it has microseconds.
+    """
+    left_rank, right_rank = _ranks(inclusive)
+    last_type = given.schema["_last"].dataType
+    times = sought.select(*keys, "_time").distinct()
+    acts = given.groupBy(*keys, "_time").agg(F.max("_last").alias("_last"))
+    rows = (
+        times.withColumns({"_last": _missing(last_type), "_rank": F.lit(left_rank)})
+        .unionByName(acts.withColumn("_rank", F.lit(right_rank)))
+        .withColumn("_slot", _slot("_time", unit))
     )
-    found = rows.withColumn("last", F.max("_last").over(so_far))
-    return found.where(F.col("_row").isNotNull()).select("_row.*", "last")
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        rows.groupBy(*keys, "_slot")
+        .agg(F.max("_last").alias("_last"))
+        .withColumn("_last", F.max("_last").over(earlier))
+        .where(F.col("_last").isNotNull())
+        .withColumns({"_time": F.col("_slot"), "_rank": F.lit(0)})
+    )
+    # A carried row sorts first in its slot: at the slot's start, with the lowest rank.
+    ordered = rows.unionByName(carried).withColumn("last", _running_last([*keys, "_slot"]))
+    answers = ordered.where(F.col("_rank") == left_rank).select(*keys, "_time", "last")
+    joined = skew_join(sought, answers, [*keys, "_time"], "left", floor)
+    return joined.select(*[c for c in sought.columns if c != "_time"], "last")
 
 
 # Sort positions within one group: the row that brings the count so far, the real
-# rows, the row that brings the first time after the hour.
+# rows, the row that brings the first time after the slot.
 _HEAD, _ROW, _TAIL = 0, 1, 2
 
 
@@ -128,13 +154,14 @@ def running_numbers(
 
     `levels` maps an output column to the columns that, with the owner, form the
     group. `next_time` names a column for the time of the owner's next row. One
-    shuffle by owner (and hour, for hot owners) serves all of them.
+    shuffle by owner (and minute, for hot owners) serves all of them.
     """
     hot = hot_keys(rows, [owner], floor)
     placed = rows.withColumns({"_at": F.lit(_ROW), "_level": F.lit(""), "_weight": F.lit(1).cast("long")})
     place = [owner]
     if hot:
-        placed = _cut(placed, [owner], time, unit, hot)
+        slot = F.when(F.col("_pieces") > 1, _slot(time, unit))
+        placed = with_pieces(placed, [owner], hot).withColumn("_slot", slot).drop("_pieces")
         place.append("_slot")
         cut = placed.where(F.col("_slot").isNotNull())
         for name, columns in levels.items():

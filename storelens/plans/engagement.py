@@ -12,7 +12,7 @@ from storelens.plans.overview import brand_stores
 
 
 def _on_brand(tables, facts: DataFrame, business_id: int) -> DataFrame:
-    return in_cohort(facts, brand_stores(tables, business_id), "store_id")
+    return in_cohort(facts, brand_stores(tables, business_id))
 
 
 def consumers_impressed(tables, business_id: int, start: Day, end: Day) -> DataFrame:
@@ -90,8 +90,7 @@ def items_ordered_by_consumers(tables, business_id: int, start: Day, end: Day) -
     copies of a checkout, delivery or item row never multiply in the joins.
     """
     carts, small = _carts(tables, business_id)
-    orders = carts.select("order_uuid").distinct()
-    checkouts = _meet(_checkouts(tables, start, end), orders, small, "order_uuid", "left_semi")
+    checkouts = _meet(_checkouts(tables, start, end), carts, small, "order_uuid", "left_semi")
     buyers = checkouts.select("order_uuid", "user_id").distinct()
     lines = _meet(tables.order_items, carts, small, "delivery_id")
     items = lines.select("order_uuid", "item_name").distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.scalars import Day, cents, day_window, safe_ratio
 from storelens.operators.metrics import metric_rows, optional_in
+from storelens.plans.overview import brand_stores
 from storelens.plans.visibility import eligible_consumers
 
 # The labels readers of the reports know.
@@ -67,7 +68,7 @@ def _fee_summary(
         .groupBy("consumer_id", "store_id")
         .agg(F.sum(cents(fee)).alias("fee"))
     )
-    eligible = eligible_consumers(tables, business_id).withColumn("eligible", F.lit(True))
+    eligible = eligible_consumers(tables, brand_stores(tables, business_id)).withColumn("eligible", F.lit(True))
     per_store = (
         pairs.join(eligible, "consumer_id", "left")
         .groupBy("store_id")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scalars import Day, cents, date_part_between
+from storelens.operators.joins import Cohort, cohort
 
 
-def brand_stores(tables, business_id: int) -> DataFrame:
+def brand_stores(tables, business_id: int) -> Cohort:
     """Store ids of one business."""
-    return tables.stores.where(F.col("business_id") == business_id).select("store_id")
+    return cohort(tables.stores.where(F.col("business_id") == business_id), "store_id")
 
 
 def store_list(tables, business_id: int) -> DataFrame:

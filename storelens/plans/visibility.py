@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scalars import Day, day_window, product_surface, safe_ratio, search_label
-from storelens.operators.joins import distinct_keys, in_cohort, mark_cohort
+from storelens.operators.joins import Cohort, distinct_keys, in_cohort, mark_cohort
 from storelens.operators.metrics import metric_rows
 from storelens.plans.overview import brand_stores
 
@@ -28,28 +28,27 @@ REACH_LABELS = (
 )
 
 
-def eligible_consumers(tables, business_id: int) -> DataFrame:
-    """Consumers to whom a store of the business is available, each once, at any time."""
-    near = in_cohort(tables.availability, brand_stores(tables, business_id), "store_id")
-    return distinct_keys(near, "consumer_id")
+def eligible_consumers(tables, brand: Cohort) -> DataFrame:
+    """Consumers to whom a store of the brand is available, each once, at any time."""
+    return distinct_keys(in_cohort(tables.availability, brand), "consumer_id")
 
 
-def _marked_impressions(tables, business_id: int, start: Day, end: Day) -> DataFrame:
-    shown = tables.impressions.where(day_window("event_date", start, end))
-    return mark_cohort(shown, brand_stores(tables, business_id), "store_id", "on_brand")
+def _shown(tables, start: Day, end: Day) -> DataFrame:
+    return tables.impressions.where(day_window("event_date", start, end))
 
 
 def impression_share(tables, business_id: int, start: Day, end: Day) -> DataFrame:
     """Impressions on the business, all impressions, and their ratio, from eligible consumers."""
+    brand = brand_stores(tables, business_id)
     per_consumer = (
-        _marked_impressions(tables, business_id, start, end)
+        mark_cohort(_shown(tables, start, end), brand, "on_brand")
         .groupBy("consumer_id")
         .agg(
             F.count("id").alias("shown"),
             F.count(F.when(F.col("on_brand"), F.col("id"))).alias("shown_brand"),
         )
     )
-    eligible = per_consumer.join(eligible_consumers(tables, business_id), "consumer_id", "left_semi")
+    eligible = per_consumer.join(eligible_consumers(tables, brand), "consumer_id", "left_semi")
     summary = eligible.agg(
         F.coalesce(F.sum("shown"), F.lit(0)).alias("total"),
         F.coalesce(F.sum("shown_brand"), F.lit(0)).alias("brand"),
@@ -60,12 +59,11 @@ def impression_share(tables, business_id: int, start: Day, end: Day) -> DataFram
 
 def consumer_reach(tables, business_id: int, start: Day, end: Day) -> DataFrame:
     """Eligible consumers, those with an impression on the business, and their ratio."""
-    stores = brand_stores(tables, business_id)
-    shown = tables.impressions.where(day_window("event_date", start, end))
-    viewers = distinct_keys(in_cohort(shown, stores, "store_id"), "consumer_id")
+    brand = brand_stores(tables, business_id)
+    viewers = distinct_keys(in_cohort(_shown(tables, start, end), brand), "consumer_id")
     reached = viewers.withColumn("reached", F.lit(True))
     summary = (
-        eligible_consumers(tables, business_id)
+        eligible_consumers(tables, brand)
         .join(reached, "consumer_id", "left")
         .agg(F.count("consumer_id").alias("eligible"), F.count("reached").alias("reached"))
     )
@@ -80,9 +78,9 @@ def keyword_rank(tables, business_id: int, start: Day, end: Day) -> DataFrame:
     consumers become plain counts and a hot term or consumer shrinks before it
     is shuffled. A term the brand was never shown for is left out.
     """
-    rows = _marked_impressions(tables, business_id, start, end).where(
-        F.col("product_name").isNotNull()
-    )
+    brand = brand_stores(tables, business_id)
+    shown = _shown(tables, start, end).where(F.col("product_name").isNotNull())
+    rows = mark_cohort(shown, brand, "on_brand")
     brand_position = F.when(F.col("on_brand"), F.col("card_position"))
     per_consumer = rows.groupBy(
         search_label("search_term_clean", "product_name").alias("product_name"),
@@ -95,7 +93,7 @@ def keyword_rank(tables, business_id: int, start: Day, end: Day) -> DataFrame:
         F.count(brand_position).alias("position_count"),
         F.max("on_brand").alias("on_brand"),
     )
-    eligible = per_consumer.join(eligible_consumers(tables, business_id), "consumer_id", "left_semi")
+    eligible = per_consumer.join(eligible_consumers(tables, brand), "consumer_id", "left_semi")
     terms = (
         eligible.groupBy("product_name", "product_surface")
         .agg(

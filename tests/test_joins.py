@@ -54,12 +54,13 @@ def test_skew_join_refuses_unlike_key_types(spark):
         joins.skew_join(left, right.withColumn("k", F.col("k").cast("int")), ["k"])
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_bytes": -1, "floor": 0}, {"max_bytes": -1}])
-def test_cohorts(spark, limits):
+@pytest.mark.parametrize("max_bytes, floor", [(None, None), (-1, 0), (-1, None)])
+def test_cohorts(spark, max_bytes, floor):
     left, right = frames(spark)
-    inside = joins.in_cohort(left, right, "k", **limits)
-    assert inside.count() == 60 + 20 + 2
-    marked = joins.mark_cohort(left, right, "k", "hit", **limits)
+    members = joins.cohort(right, "k", max_bytes)
+    assert members.small == (max_bytes is None)
+    assert joins.in_cohort(left, members, floor).count() == 60 + 20 + 2
+    marked = joins.mark_cohort(left, members, "hit", floor)
     assert marked.count() == left.count()
     assert marked.where("hit").count() == 82
     assert marked.where("hit is null").count() == 0
