@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scalars import Day, day_window
-from storelens.operators.joins import distinct_keys, fits_broadcast, in_cohort, skew_join
+from storelens.operators.joins import distinct_keys, fits_broadcast, hot_keys, in_cohort, skew_join, with_pieces
 from storelens.operators.metrics import union_all
 from storelens.plans.overview import brand_stores
 
@@ -90,13 +90,48 @@ def items_ordered_by_consumers(tables, business_id: int, start: Day, end: Day) -
     copies of a checkout, delivery or item row never multiply in the joins.
     """
     carts, small = _carts(tables, business_id)
-    checkouts = _meet(_checkouts(tables, start, end), carts, small, "order_uuid", "left_semi")
-    buyers = checkouts.select("order_uuid", "user_id").distinct()
+    checkouts = _checkouts(tables, start, end)
+    bought = _meet(checkouts, carts, small, "order_uuid", "left_semi")
+    buyers = bought.select("order_uuid", "user_id").distinct()
     lines = _meet(tables.order_items, carts, small, "delivery_id")
     items = lines.select("order_uuid", "item_name").distinct()
+    crowded = hot_keys(checkouts, ["order_uuid"])
+    if crowded:
+        return _by_item_of_crowded_carts(items, buyers, crowded)
     return _by_item(items.join(buyers, "order_uuid").select("item_name", "user_id"), "user_id")
 
 
+def _by_item_of_crowded_carts(items: DataFrame, buyers: DataFrame, crowded: list) -> DataFrame:
+    """The same when a cart id was used by very many consumers.
+
+    Such a cart gives each of its items the same consumers, so they are counted
+    once per set of crowded carts that items share, not once per item. Consumers
+    an item has from other carts are added where the set does not hold them.
+    """
+
+    def part(frame: DataFrame, in_crowded: bool) -> DataFrame:
+        split = F.col("_pieces") > 1
+        marked = with_pieces(frame, ["order_uuid"], crowded)
+        return marked.where(split if in_crowded else ~split).drop("_pieces")
+
+    # There are few crowded carts, so an item's set of them is small.
+    sets = part(items, True).groupBy("item_name").agg(F.array_sort(F.collect_set("order_uuid")).alias("carts"))
+    shared = sets.select("carts").distinct().select("carts", F.explode("carts").alias("order_uuid"))
+    crowd = skew_join(part(buyers, True), shared, ["order_uuid"]).select("carts", "user_id").distinct()
+    sizes = crowd.groupBy("carts").agg(F.count("user_id").alias("consumers"))
+    of_sets = skew_join(sets, sizes, ["carts"]).select("item_name", "consumers")
+
+    pairs = part(items, False).join(part(buyers, False), "order_uuid").select("item_name", "user_id").distinct()
+    named = sets.withColumnRenamed("item_name", "_name")
+    placed = pairs.join(named, F.col("item_name").eqNullSafe(F.col("_name")), "left").drop("_name")
+    held = crowd.where(F.col("user_id").isNotNull()).withColumn("held", F.lit(True))
+    others = placed.join(held, ["carts", "user_id"], "left").select(
+        "item_name", F.when(F.col("held").isNull() & F.col("user_id").isNotNull(), 1).otherwise(0).alias("consumers")
+    )
+    counts = of_sets.unionByName(others).groupBy("item_name").agg(F.sum("consumers").alias("unique_cx_count"))
+    return counts.orderBy(F.desc("unique_cx_count"), "item_name")
+
+
 def unique_items_ordered(tables, business_id: int, start: Day, end: Day) -> DataFrame:
     """Distinct items checked out. Nothing of the checkout is kept, so semi joins suffice."""
     carts, small = _carts(tables, business_id)

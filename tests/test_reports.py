@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from role_frames import metrics, role_tables
@@ -214,6 +215,39 @@ def test_items_ordered(spark, cart_path):
     assert engagement.unique_items_ordered(tables, 7, D0, D1).first()[0] == 2
 
 
+@pytest.mark.parametrize("floor", [None, 0, 6])
+def test_items_of_crowded_carts(spark, floor, monkeypatch):
+    """Cart ids shared by many consumers and items, against a plain loop."""
+    from storelens.operators import joins
+
+    if floor is not None:
+        monkeypatch.setattr(joins, "HOT_FLOOR", floor)
+    rng = random.Random(2)
+    carts = ["A"] * 12 + ["B"] * 8 + list("CDEFGH")
+    names = ["tea", "bun", "pie", "jam", None, "fig", "nut"]
+    bought = [(rng.choice(carts), rng.choice([*range(9), None])) for _ in range(60)]
+    placed = [(i, rng.choice([*carts, "Z"])) for i in range(40)]
+    lines = [(rng.randrange(40), rng.choice(names)) for _ in range(60)]
+    tables = role_tables(
+        spark,
+        stores=STORES,
+        deliveries=[
+            {"delivery_id": i, "store_id": 1, "order_cart_uuid": c, "is_filtered_core": True} for i, c in placed
+        ],
+        order_items=[{"delivery_id": i, "item_name": n} for i, n in lines],
+        checkouts=[[{"order_uuid": c, "user_id": u, "timestamp": NOON} for c, u in bought], []],
+    )
+    wanted = {}
+    for cart, user in bought:
+        for delivery, placed_cart in placed:
+            for line_delivery, name in lines:
+                if cart == placed_cart and delivery == line_delivery:
+                    wanted.setdefault(name, set()).add(user)
+    rows = engagement.items_ordered_by_consumers(tables, 7, D0, D1).collect()
+    assert dict(map(tuple, rows)) == {name: len(users - {None}) for name, users in wanted.items()}
+    assert len(rows) == len(wanted)
+
+
 def fee(consumer, store_id, amount, at=NOON):
     return {
         "consumer_id": consumer,
