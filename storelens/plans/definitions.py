@@ -203,8 +203,11 @@ def ddl_compare(new: DataFrame, old: DataFrame) -> DataFrame:
     return whole.unionByName(differences)
 
 
-# Column names whose NUMBER holds money or a rate, not an id or a count.
-DECIMAL_NAMES = r"(?i)(fee|price|cost|sales|sale|amount|bid|budget|rate|roas|aov|subtotal|gov|discount|revenue|profit)"
+# Words in the names of columns whose NUMBER holds money or a rate, not an id or a count.
+DECIMAL_NAMES = (
+    r"(?i)(^|_)(fee|fees|price|cost|sale|sales|amount|bid|budget|rate|roas|aov|cpa|subtotal|gov|discount|"
+    r"revenue|profit|value|credit|score)(_|$)"
+)
 
 
 def catalog_fields(catalog: DataFrame, overrides: Mapping[str, str] | None = None) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from types import SimpleNamespace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed column contracts. Join keys are one type everywhere, although the raw
@@ -64,3 +67,19 @@ def conform(frame: DataFrame, role: str) -> DataFrame:
         column = F.col(name)
         columns.append(column if types[name] == wanted else column.try_cast(wanted).alias(name))
     return frame.select(*columns)
+
+
+# Roles read from several tables of one shape.
+SEVERAL_SOURCES = ("page_loads", "cart_adds", "checkouts")
+
+
+def role_tables(spark: SparkSession, names: Mapping[str, str | list[str]]) -> SimpleNamespace:
+    """The reports' input from catalogue tables: role to table name, or to a list of them."""
+    tables = {}
+    for role, name in names.items():
+        if role in SEVERAL_SOURCES:
+            sources = [name] if isinstance(name, str) else name
+            tables[role] = [conform(spark.table(source), role) for source in sources]
+        else:
+            tables[role] = conform(spark.table(name), role)
+    return SimpleNamespace(**tables)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
-from storelens.sources.roles import ROLES
-
-SEVERAL_SOURCES = ("page_loads", "cart_adds", "checkouts")
+from storelens.sources.roles import ROLES, SEVERAL_SOURCES
 
 
 def role_tables(spark, **rows):
