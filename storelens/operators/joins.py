@@ -123,6 +123,7 @@ def guarded_join(
     max_bytes: int | None = None,
     bound: DataFrame | None = None,
     floor: int | None = None,
+    heat: DataFrame | None = None,
 ) -> DataFrame:
     """Broadcasts `right` when its measured size allows it, else a skew join.
 
@@ -130,7 +131,7 @@ def guarded_join(
     """
     if fits_broadcast(right if bound is None else bound, max_bytes):
         return left.join(F.broadcast(right), on, how)
-    return skew_join(left, right, on, how, floor)
+    return skew_join(left, right, on, how, floor, heat)
 
 
 def distinct_keys(members: DataFrame, key: str) -> DataFrame:

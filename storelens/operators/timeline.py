@@ -45,19 +45,22 @@ def last_before(
     inclusive: bool = False,
     unit: str = UNIT,
     floor: int | None = None,
+    heat: DataFrame | None = None,
 ) -> DataFrame:
     """Left rows plus `last`, a struct of the latest right row at or before them.
 
     `last` holds `right_time` and the payload columns, null where there is none;
     equal right times are decided by the larger payload. Strictly before unless
     `inclusive`. Both sides meet in one union, so no pairs are ever formed.
+    `heat` is a frame with the left keys and times that is cheaper to look at.
     """
     values = F.struct(right_time, *(payload or []))
     sought = left.withColumn("_time", F.col(left_time).cast("timestamp_ntz"))
     given = right.where(_known([*keys, right_time])).select(
         *keys, F.col(right_time).cast("timestamp_ntz").alias("_time"), values.alias("_last")
     )
-    known = sought.where(_known([*keys, "_time"]))
+    looked_at = sought if heat is None else heat.withColumn("_time", F.col(left_time).cast("timestamp_ntz"))
+    known = looked_at.where(_known([*keys, "_time"])).select(*keys, "_time")
     hot = hot_keys(known.select(*keys).unionByName(given.select(*keys)), keys, floor)
     if not hot:
         return _in_one_group(sought, given, keys, inclusive)
@@ -67,7 +70,9 @@ def last_before(
         return with_pieces(frame, keys, hot).where(pieces if of_hot else ~pieces).drop("_pieces")
 
     cold = _in_one_group(part(sought, False), part(given, False), keys, inclusive)
-    split = _in_slots(part(sought, True), part(given, True), keys, inclusive, unit, floor)
+    split = _in_slots(
+        part(sought, True), part(given, True), part(known, True), keys, inclusive, unit, floor
+    )
     return cold.unionByName(split)
 
 
@@ -104,7 +109,13 @@ def _in_one_group(sought: DataFrame, given: DataFrame, keys: list[str], inclusiv
 
 
 def _in_slots(
-    sought: DataFrame, given: DataFrame, keys: list[str], inclusive: bool, unit: str, floor: int | None
+    sought: DataFrame,
+    given: DataFrame,
+    known: DataFrame,
+    keys: list[str],
+    inclusive: bool,
+    unit: str,
+    floor: int | None,
 ) -> DataFrame:
     """The same for hot keys: only distinct times are ordered, then the answers joined back.
 
@@ -131,7 +142,7 @@ def _in_slots(
     # A carried row sorts first in its slot: at the slot's start, with the lowest rank.
     ordered = rows.unionByName(carried).withColumn("last", _running_last([*keys, "_slot"]))
     answers = ordered.where(F.col("_rank") == left_rank).select(*keys, "_time", "last")
-    joined = skew_join(sought, answers, [*keys, "_time"], "left", floor)
+    joined = skew_join(sought, answers, [*keys, "_time"], "left", floor, heat=known)
     return joined.select(*[c for c in sought.columns if c != "_time"], "last")
 
 

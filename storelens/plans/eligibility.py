@@ -68,22 +68,34 @@ def with_campaigns(
     end: Day,
     max_bytes: int | None = None,
     floor: int | None = None,
+    heat: DataFrame | None = None,
 ) -> DataFrame:
     """One row per impression in the days and campaign of its store then active.
 
     Active means starts_at <= impression < ends_at; no end is open. Campaigns are
     listed per month of the window, so an impression meets only those of its own
-    month and store, never the store's whole history.
+    month and store, never the store's whole history. `heat` is a frame with the
+    same stores and dates that is cheaper to look at.
     """
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
     from_day = F.greatest(F.to_date("starts_at"), first)
     to_day = F.least(F.coalesce(F.to_date("ends_at"), last), last)
     months = F.sequence(F.trunc(from_day, "month"), F.trunc(to_day, "month"), F.expr("interval 1 month"))
     monthly = campaigns.where(from_day <= to_day).withColumn("_month", F.explode(months))
-    dated = impressions.where(day_window("event_date", start, end)).withColumn(
-        "_month", F.trunc("event_date", "month")
+
+    def dated(frame: DataFrame) -> DataFrame:
+        shown = frame.where(day_window("event_date", start, end))
+        return shown.withColumn("_month", F.trunc("event_date", "month"))
+
+    joined = guarded_join(
+        dated(impressions),
+        monthly,
+        ["store_id", "_month"],
+        "inner",
+        max_bytes,
+        floor=floor,
+        heat=None if heat is None else dated(heat),
     )
-    joined = guarded_join(dated, monthly, ["store_id", "_month"], "inner", max_bytes, floor=floor)
     active = (F.col("starts_at") <= F.col("event_date")) & (
         F.col("ends_at").isNull() | (F.col("event_date") < F.col("ends_at"))
     )
@@ -131,5 +143,6 @@ def promo_eligibility(
     shown = impressions.where(day_window("event_date", start, end))
     earlier = orders.where(F.col("created_at") < F.date_add(F.lit(end).cast("date"), 1))
     in_days = F.to_date("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    known = with_last_order(with_membership(shown, memberships.where(in_days)), earlier)
-    return conform_to(with_eligibility(with_campaigns(known, campaigns, start, end)), ELIGIBILITY)
+    known = with_last_order(with_membership(shown, memberships.where(in_days)), earlier, heat=shown)
+    rows = with_campaigns(known, campaigns, start, end, heat=shown)
+    return conform_to(with_eligibility(rows), ELIGIBILITY)

@@ -1,8 +1,9 @@
 """Ad and promotion fees of a brand, its rivals, and all stores its consumers can use.
 
-Fees are summed per consumer and store, then per store, and only then meet the
-store dimension. No fee row is shuffled unsummed by a single key, nothing is
-broadcast, and one scan serves all three rows of a report.
+One scan serves all three rows of a report. Fee rows are shuffled once, to meet
+the eligible consumers, with hot consumers split; they are then summed per store
+before they are shuffled again, and only those sums meet the store dimension, so
+nothing is broadcast and neither a store's nor a rival list's size matters.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scalars import Day, cents, day_window, safe_ratio
+from storelens.operators.joins import skew_join
 from storelens.operators.metrics import metric_rows, optional_in
 from storelens.plans.overview import brand_stores
 from storelens.plans.visibility import eligible_consumers
@@ -63,14 +65,13 @@ def _fee_summary(
     tables, fees: DataFrame, fee: str, business_id: int, rivals: Sequence[int], start: Day, end: Day
 ) -> DataFrame:
     """One row: fee sums and store counts of the reach, the brand and the rivals."""
-    pairs = (
-        fees.where(day_window("created_at", start, end))
-        .groupBy("consumer_id", "store_id")
-        .agg(F.sum(cents(fee)).alias("fee"))
+    brand = brand_stores(tables, business_id)
+    eligible = eligible_consumers(tables, brand).withColumn("eligible", F.lit(True))
+    rows = fees.where(day_window("created_at", start, end)).select(
+        "consumer_id", "store_id", cents(fee).alias("fee")
     )
-    eligible = eligible_consumers(tables, brand_stores(tables, business_id)).withColumn("eligible", F.lit(True))
     per_store = (
-        pairs.join(eligible, "consumer_id", "left")
+        skew_join(rows, eligible, ["consumer_id"], "left")
         .groupBy("store_id")
         .agg(
             F.sum("fee").alias("fee"),

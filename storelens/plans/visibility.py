@@ -1,8 +1,8 @@
 """Brand visibility: who could see the brand's stores, who did, and for which terms.
 
 Eligible consumers are those to whom a store of the brand is available. They may
-be many, so they are never broadcast; impressions are summed per consumer before
-they meet them, and no consumer can make one task heavy.
+be many, so they are never broadcast. Impressions are summed per consumer before
+they meet them, or, where the sums are finer, joined with hot consumers split.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scalars import Day, day_window, product_surface, safe_ratio, search_label
-from storelens.operators.joins import Cohort, distinct_keys, in_cohort, mark_cohort
+from storelens.operators.joins import Cohort, distinct_keys, in_cohort, mark_cohort, skew_join
 from storelens.operators.metrics import metric_rows
 from storelens.plans.overview import brand_stores
 
@@ -74,28 +74,32 @@ def consumer_reach(tables, business_id: int, start: Day, end: Day) -> DataFrame:
 def keyword_rank(tables, business_id: int, start: Day, end: Day) -> DataFrame:
     """Search terms and carousels that showed the brand, by impressions on it.
 
-    One scan: rows are first summed per term, surface and consumer, so distinct
-    consumers become plain counts and a hot term or consumer shrinks before it
-    is shuffled. A term the brand was never shown for is left out.
+    One scan and one shuffle of rows: the join with the eligible consumers leaves
+    the rows placed by consumer, as the sums per term, surface and consumer need
+    them; distinct consumers are then plain counts. A term the brand was never
+    shown for is left out.
     """
     brand = brand_stores(tables, business_id)
     shown = _shown(tables, start, end).where(F.col("product_name").isNotNull())
-    rows = mark_cohort(shown, brand, "on_brand")
-    brand_position = F.when(F.col("on_brand"), F.col("card_position"))
-    per_consumer = rows.groupBy(
+    rows = mark_cohort(shown, brand, "on_brand").select(
+        "consumer_id",
         search_label("search_term_clean", "product_name").alias("product_name"),
         product_surface("search_term").alias("product_surface"),
-        "consumer_id",
-    ).agg(
-        F.count("id").alias("shown"),
-        F.count(F.when(F.col("on_brand"), F.col("id"))).alias("shown_brand"),
-        F.sum(brand_position).alias("position_sum"),
-        F.count(brand_position).alias("position_count"),
+        "on_brand",
+        F.col("id").isNotNull().alias("counts"),
+        F.when(F.col("on_brand"), F.col("card_position")).alias("position"),
+    )
+    near = eligible_consumers(tables, brand)
+    eligible = skew_join(rows, near, ["consumer_id"], "left_semi", heat=shown)
+    per_consumer = eligible.groupBy("product_name", "product_surface", "consumer_id").agg(
+        F.count_if("counts").alias("shown"),
+        F.count_if(F.col("counts") & F.col("on_brand")).alias("shown_brand"),
+        F.sum("position").alias("position_sum"),
+        F.count("position").alias("position_count"),
         F.max("on_brand").alias("on_brand"),
     )
-    eligible = per_consumer.join(eligible_consumers(tables, brand), "consumer_id", "left_semi")
     terms = (
-        eligible.groupBy("product_name", "product_surface")
+        per_consumer.groupBy("product_name", "product_surface")
         .agg(
             F.sum("shown").alias("shown"),
             F.sum("shown_brand").alias("shown_brand"),
