@@ -160,14 +160,16 @@ def running_numbers(
     next_time: str | None = None,
     unit: str = UNIT,
     floor: int | None = None,
+    heat: DataFrame | None = None,
 ) -> DataFrame:
     """Numbers each row 1, 2, ... by time within the owner and within finer groups of it.
 
     `levels` maps an output column to the columns that, with the owner, form the
     group. `next_time` names a column for the time of the owner's next row. One
-    shuffle by owner (and minute, for hot owners) serves all of them.
+    shuffle by owner (and minute, for hot owners) serves all of them. `heat` is a
+    frame with the same owners that is cheaper to look at.
     """
-    hot = hot_keys(rows, [owner], floor)
+    hot = hot_keys(rows if heat is None else heat, [owner], floor)
     placed = rows.withColumns({"_at": F.lit(_ROW), "_level": F.lit(""), "_weight": F.lit(1).cast("long")})
     place = [owner]
     if hot:

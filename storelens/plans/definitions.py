@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from storelens.operators.joins import skew_join
 from storelens.sources.contracts import SPARK_TYPES, TYPE_NAMES
 
 # Fixed patterns. Line breaks are gone when they run, so a dot may match anything.
@@ -260,21 +261,25 @@ def catalog_checks(catalog: DataFrame, tables: DataFrame) -> DataFrame:
     present = rows.select("table_name", "ordinal", F.lit(1).alias("there"))
     wanted = rows.select("table_name", (F.col("ordinal") + 1).alias("ordinal"), F.lit(0).alias("there"))
     first = rows.select("table_name", F.lit(1).alias("ordinal"), F.lit(0).alias("there"))
-    ordinals = (
+    times = (
         present.unionByName(wanted)
         .unionByName(first)
         .where(F.col("ordinal").isNotNull())
         .groupBy("table_name", "ordinal")
         .agg(F.sum("there").alias("times"))
-        .where("times <> 1")
     )
+
+    def at_ordinal(found: DataFrame, finding: str) -> DataFrame:
+        return found.select(
+            F.col("table_name").alias("subject"),
+            F.lit(finding).alias("finding"),
+            F.col("ordinal").cast("string").alias("detail"),
+        )
+
     last = rows.groupBy("table_name").agg(F.max("ordinal").alias("last"))
-    inside = (F.col("times") > 1) | (F.col("ordinal") < F.col("last"))
-    ordinals = ordinals.join(last, "table_name").where(inside).select(
-        F.col("table_name").alias("subject"),
-        F.when(F.col("times") > 1, "duplicate_ordinal").otherwise("ordinal_gap").alias("finding"),
-        F.col("ordinal").cast("string").alias("detail"),
-    )
+    holes = skew_join(times.where("times = 0"), last, ["table_name"], heat=rows)
+    gaps = at_ordinal(holes.where(F.col("ordinal") < F.col("last")), "ordinal_gap")
+    repeats = at_ordinal(times.where("times > 1"), "duplicate_ordinal")
     columns = rows.where(F.col("column_name").isNotNull()).groupBy("table_name", "column_name").count()
     columns = columns.where("count > 1").select(
         F.col("table_name").alias("subject"),
@@ -292,5 +297,5 @@ def catalog_checks(catalog: DataFrame, tables: DataFrame) -> DataFrame:
         )
     )
     return (
-        empty.unionByName(ordinals).unionByName(columns).unionByName(mixed)
+        empty.unionByName(gaps).unionByName(repeats).unionByName(columns).unionByName(mixed)
     )

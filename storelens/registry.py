@@ -118,8 +118,14 @@ _register(
         t.raw("lineitem").select(*_LINE, "l_shipdate"), "l_partkey", "l_shipdate", ["l_orderkey", "l_linenumber", "l_suppkey"]
     ).drop("l_shipdate"),
 )
-_register("order_sequence", lambda t: ads.order_sequence(t.numbered_orders), ("subtotal",))
-_register("consumers_acquired", lambda t: ads.consumers_acquired(ads.order_sequence(t.numbered_orders)))
+
+
+def _order_sequence(t: StarTables) -> DataFrame:
+    return ads.order_sequence(t.numbered_orders, heat=t.past_orders)
+
+
+_register("order_sequence", _order_sequence, ("subtotal",))
+_register("consumers_acquired", lambda t: ads.consumers_acquired(_order_sequence(t)))
 _register(
     "reorder_retention",
     lambda t: ads.reorder_retention(t.numbered_orders),

@@ -37,6 +37,7 @@ def test_last_before(spark, floor, inclusive):
         ["act"],
         inclusive=inclusive,
         floor=floor,
+        heat=spark.createDataFrame(left, schema.format(t="seen", i="view")) if inclusive else None,
     ).collect()
     expected = {}
     for a, b, seen, view in left:
