@@ -50,8 +50,12 @@ def search_label(clean_term: Column | str, product_name: Column | str) -> Column
     return F.coalesce(F.trim(as_column(clean_term)), F.lower(as_column(product_name)))
 
 
+# Names of the places an impression can come from.
+CAROUSEL, SEARCH = "carousel", "search"
+
+
 def product_surface(search_term: Column | str) -> Column:
-    return F.when(as_column(search_term).isNull(), "carousel").otherwise("search")
+    return F.when(as_column(search_term).isNull(), CAROUSEL).otherwise(SEARCH)
 
 
 def empty_list(items: Column | str) -> Column:

@@ -250,36 +250,31 @@ def catalog_checks(catalog: DataFrame, tables: DataFrame) -> DataFrame:
     """
     rows = catalog.select("table_name", "column_name", "ordinal", F.upper("data_type").alias("data_type"))
 
-    empty = tables.select("table_name").distinct().join(
-        rows.select("table_name").distinct(), "table_name", "left_anti"
-    )
+    per_table = rows.groupBy("table_name").agg(F.max("ordinal").alias("last"))
+    empty = tables.select("table_name").distinct().join(per_table, "table_name", "left_anti")
     empty = empty.select(
         F.col("table_name").alias("subject"), F.lit("empty_table").alias("finding"), F.lit("").alias("detail")
     )
 
-    # An ordinal asks for its successor; the last ordinal of a table asks in vain.
-    present = rows.select("table_name", "ordinal", F.lit(1).alias("there"))
-    wanted = rows.select("table_name", (F.col("ordinal") + 1).alias("ordinal"), F.lit(0).alias("there"))
-    first = rows.select("table_name", F.lit(1).alias("ordinal"), F.lit(0).alias("there"))
+    # Each ordinal is there once and asks for 1 and for its successor; the last ordinal of
+    # a table asks in vain.
+    def entry(ordinal: Column, there: int) -> Column:
+        return F.struct(ordinal.alias("ordinal"), F.lit(there).alias("there"))
+
+    entries = F.array(entry(F.col("ordinal"), 1), entry(F.col("ordinal") + 1, 0), entry(F.lit(1), 0))
     times = (
-        present.unionByName(wanted)
-        .unionByName(first)
+        rows.select("table_name", F.inline(entries))
         .where(F.col("ordinal").isNotNull())
         .groupBy("table_name", "ordinal")
         .agg(F.sum("there").alias("times"))
     )
 
-    def at_ordinal(found: DataFrame, finding: str) -> DataFrame:
-        return found.select(
-            F.col("table_name").alias("subject"),
-            F.lit(finding).alias("finding"),
-            F.col("ordinal").cast("string").alias("detail"),
-        )
-
-    last = rows.groupBy("table_name").agg(F.max("ordinal").alias("last"))
-    holes = skew_join(times.where("times = 0"), last, ["table_name"], heat=rows)
-    gaps = at_ordinal(holes.where(F.col("ordinal") < F.col("last")), "ordinal_gap")
-    repeats = at_ordinal(times.where("times > 1"), "duplicate_ordinal")
+    odd = skew_join(times.where("times <> 1"), per_table, ["table_name"], "left", heat=rows)
+    ordinals = odd.where((F.col("times") > 1) | (F.col("ordinal") < F.col("last"))).select(
+        F.col("table_name").alias("subject"),
+        F.when(F.col("times") > 1, "duplicate_ordinal").otherwise("ordinal_gap").alias("finding"),
+        F.col("ordinal").cast("string").alias("detail"),
+    )
     columns = rows.where(F.col("column_name").isNotNull()).groupBy("table_name", "column_name").count()
     columns = columns.where("count > 1").select(
         F.col("table_name").alias("subject"),
@@ -297,5 +292,5 @@ def catalog_checks(catalog: DataFrame, tables: DataFrame) -> DataFrame:
         )
     )
     return (
-        empty.unionByName(gaps).unionByName(repeats).unionByName(columns).unionByName(mixed)
+        empty.unionByName(ordinals).unionByName(columns).unionByName(mixed)
     )

@@ -27,6 +27,13 @@ def test_query_matches_duckdb(spark, duck, name):
     assert problems == []
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plan_has_no_pairs_and_no_python(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    for step in ("NestedLoop", "CartesianProduct", "Python", "Pandas"):
+        assert step not in plan
+
+
 # Worked out separately on the same role tables.
 ANSWERS = {
     "business_overview": [4, 349, 191659.6181],
