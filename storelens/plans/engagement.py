@@ -10,6 +10,9 @@ from storelens.operators.joins import distinct_keys, fits_broadcast, hot_keys, i
 from storelens.operators.metrics import union_all
 from storelens.plans.overview import brand_stores
 
+# Checkouts of one cart id beyond which its consumers are no longer paired with its items.
+CROWDED_CART = 1000
+
 
 def _on_brand(tables, facts: DataFrame, business_id: int) -> DataFrame:
     return in_cohort(facts, brand_stores(tables, business_id))
@@ -95,7 +98,7 @@ def items_ordered_by_consumers(tables, business_id: int, start: Day, end: Day) -
     buyers = bought.select("order_uuid", "user_id").distinct()
     lines = _meet(tables.order_items, carts, small, "delivery_id")
     items = lines.select("order_uuid", "item_name").distinct()
-    crowded = hot_keys(checkouts, ["order_uuid"])
+    crowded = hot_keys(checkouts, ["order_uuid"], CROWDED_CART)
     if crowded:
         return _by_item_of_crowded_carts(items, buyers, crowded)
     return _by_item(items.join(buyers, "order_uuid").select("item_name", "user_id"), "user_id")

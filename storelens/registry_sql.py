@@ -143,6 +143,7 @@ _DAY24 = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' + INTERVA
 _BRAND = "store_id IN (SELECT store_id FROM store)"
 _NEAR = "consumer_id IN (SELECT consumer_id FROM near)"
 
+# local_event_time: all events lie in one winter month, so the zone is 8 hours behind.
 ORACLE_SQL: dict[str, str] = {
     "store_list": "SELECT s_suppkey AS store_id, s_name AS store_name FROM supplier WHERE s_nationkey = 15",
     "business_overview": _with(

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from oracle_check import connect, differences
 
+from storelens.operators import joins
+from storelens.plans import engagement
 from storelens.registry import QUERIES
 from storelens.registry_sql import ORACLE_SQL
 
@@ -27,6 +29,15 @@ def test_query_matches_duckdb(spark, duck, name):
     assert problems == []
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_duckdb_with_every_key_hot_and_nothing_broadcast(spark, duck, name, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(joins, "HOT_FLOOR", 0)
+    monkeypatch.setattr(engagement, "CROWDED_CART", 0)
+    problems, _ = differences(spark, duck, SMALL, QUERIES[name], ORACLE_SQL[name])
+    assert problems == []
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_has_no_pairs_and_no_python(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()

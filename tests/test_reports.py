@@ -173,6 +173,7 @@ def cart_path(request, monkeypatch):
 
         monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
         monkeypatch.setattr(joins, "HOT_FLOOR", 0)
+        monkeypatch.setattr(engagement, "CROWDED_CART", 0)
     return request.param
 
 
@@ -221,6 +222,7 @@ def test_items_of_crowded_carts(spark, floor, monkeypatch):
     from storelens.operators import joins
 
     if floor is not None:
+        monkeypatch.setattr(engagement, "CROWDED_CART", floor)
         monkeypatch.setattr(joins, "HOT_FLOOR", floor)
     rng = random.Random(2)
     carts = ["A"] * 12 + ["B"] * 8 + list("CDEFGH")
