@@ -139,9 +139,21 @@ def ddl_findings(definitions: DataFrame) -> DataFrame:
 
 
 def _one_per_table(definitions: DataFrame) -> DataFrame:
-    """One text per table and whether there are others; copies collapse before the shuffle."""
-    return definitions.groupBy("table_name").agg(
-        F.min("ddl").alias("ddl"), (F.min("ddl") != F.max("ddl")).alias("several")
+    """What one text per table says, and whether another text says something else.
+
+    Texts are read before they are shuffled, so comments stay behind, and copies
+    collapse to one row per task.
+    """
+    parsed = _entries(definitions, QUOTED_TEXT).select(
+        "table_name",
+        F.struct(
+            _type_finding().alias("finding"),
+            "names",
+            F.transform("types", F.upper).alias("types"),
+        ).alias("said"),
+    )
+    return parsed.groupBy("table_name").agg(
+        F.min("said").alias("said"), (F.min("said") != F.max("said")).alias("several")
     )
 
 
@@ -154,13 +166,11 @@ def ddl_compare(new: DataFrame, old: DataFrame) -> DataFrame:
     """
     sides = {}
     for side, frame in (("new", new), ("old", old)):
-        parsed = _entries(_one_per_table(frame), QUOTED_TEXT)
-        finding = F.when(F.col("several"), SEVERAL_DEFINITIONS).otherwise(_type_finding())
-        sides[side] = parsed.select(
+        sides[side] = _one_per_table(frame).select(
             "table_name",
-            finding.alias(f"{side}_finding"),
-            F.size("names").alias(f"{side}_count"),
-            F.arrays_zip("names", "types").alias(f"{side}_columns"),
+            F.when(F.col("several"), SEVERAL_DEFINITIONS).otherwise(F.col("said.finding")).alias(f"{side}_finding"),
+            F.size("said.names").alias(f"{side}_count"),
+            F.arrays_zip("said.names", "said.types").alias(f"{side}_columns"),
             F.lit(True).alias(f"in_{side}"),
         )
     tables = sides["new"].join(sides["old"], "table_name", "full")
@@ -175,7 +185,7 @@ def ddl_compare(new: DataFrame, old: DataFrame) -> DataFrame:
     old_columns = F.map_from_entries(
         F.transform(
             "old_columns",
-            lambda c, i: F.struct(c["names"], F.struct(F.upper(c["types"]).alias("type"), i.alias("at"))),
+            lambda c, i: F.struct(c["names"], F.struct(c["types"].alias("type"), i.alias("at"))),
         )
     )
     equal_sized = judged.where("finding is null").select(
@@ -185,7 +195,7 @@ def ddl_compare(new: DataFrame, old: DataFrame) -> DataFrame:
     columns = columns.where("at is not null").select(
         "table_name",
         F.col("c.names").alias("column_name"),
-        F.upper("c.types").alias("type"),
+        F.col("c.types").alias("type"),
         "at",
         F.try_element_at("old", F.col("c.names")).alias("before"),
     )

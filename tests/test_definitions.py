@@ -143,7 +143,7 @@ def test_compare(spark):
 
 
 def test_compare_of_copies_and_versions(spark):
-    copies = [("a", "T (A TEXT)")] * 50 + [("b", "T (A TEXT)"), ("b", "T (A DATE)")]
+    copies = [("a", "T (A TEXT)")] * 50 + [("a", "T (A text COMMENT 'x')"), ("b", "T (A TEXT)"), ("b", "T (A DATE)")]
     new = spark.createDataFrame(copies, "table_name string, ddl string")
     old = spark.createDataFrame([("a", "T (A TEXT)")] * 30 + [("b", "T (A TEXT)")], new.schema)
     assert listed(d.ddl_compare(new, old).fillna("")) == [("b", d.SEVERAL_DEFINITIONS, "")]
