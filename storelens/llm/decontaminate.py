@@ -28,6 +28,7 @@ WINDOW = 10
 BENCHMARK_BYTES = 4 << 20
 # Rolling hashes are first looked up in a bit map of 2 ** MAP_BITS entries.
 MAP_BITS = 22
+FOUND = "`{}` long, `{}` array<struct<start: int, end: int>>, `{}` array<string>"
 # The words of an original text, in the same places as those of ascii_words().
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -86,13 +87,14 @@ def find_hits(
     text: str = "text",
     size: int = WINDOW,
     max_bytes: int = BENCHMARK_BYTES,
+    names: tuple[str, str, str] = ("n_words", "spans", "items"),
 ) -> DataFrame:
     """`keep` columns, `n_words`, `spans` (word ranges hit, array of start and end) and `items` (their ids as
-    sorted strings), for every row of `docs`."""
+    sorted strings; all three under other `names` if given), for every row of `docs`."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     if small_enough(items, max_bytes):
-        return _hits_by_broadcast(docs, items, keep, text, size)
-    return _hits_by_join(docs, items, keep, text, size)
+        return _hits_by_broadcast(docs, items, keep, text, size, names)
+    return _hits_by_join(docs, items, keep, text, size, names)
 
 
 def _schema(docs: DataFrame, keep: list[str], more: str) -> str:
@@ -100,10 +102,10 @@ def _schema(docs: DataFrame, keep: list[str], more: str) -> str:
     return ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), more])
 
 
-def _hits_by_broadcast(docs, items, keep, text, size) -> DataFrame:
+def _hits_by_broadcast(docs, items, keep, text, size, names) -> DataFrame:
     rows = [(r["item"], r["text"]) for r in items.where("item is not null").collect()]
     sent = docs.sparkSession.sparkContext.broadcast(rows)
-    schema = _schema(docs, keep, "n_words long, spans array<struct<start: int, end: int>>, items array<string>")
+    schema = _schema(docs, keep, FOUND.format(*names))
 
     def each():
         windows = WindowSet(sent.value, size)
@@ -128,9 +130,9 @@ def _hits_by_broadcast(docs, items, keep, text, size) -> DataFrame:
                         found[k].update(ids)
             yield {
                 **{c: part.column(c) for c in keep},
-                "n_words": sizes,
-                "spans": [[{"start": a, "end": b} for a, b in merged(x)] for x in spans],
-                "items": [sorted(x) for x in found],
+                names[0]: sizes,
+                names[1]: [[{"start": a, "end": b} for a, b in merged(x)] for x in spans],
+                names[2]: [sorted(x) for x in found],
             }
 
         return step
@@ -138,7 +140,7 @@ def _hits_by_broadcast(docs, items, keep, text, size) -> DataFrame:
     return batches(docs.select(*keep, F.col(text).alias("_text")), schema, each)
 
 
-def _hits_by_join(docs, items, keep, text, size) -> DataFrame:
+def _hits_by_join(docs, items, keep, text, size, names) -> DataFrame:
     """The same from a shuffled join of windows, for a benchmark of any size.
 
     Windows are named by two independent 64-bit hashes of their words. Window
@@ -182,8 +184,8 @@ def _hits_by_join(docs, items, keep, text, size) -> DataFrame:
     once = keyed.groupBy("_key").agg(F.first("_text").alias("_text"))
     places = batches(once, "_key string, at int, length int, high long, low long", of_docs)
     # A window shared by many items meets each of its places once: its items come later, by window.
-    names = windows.select("length", "high", "low").distinct()
-    hits = checkpointed(places.join(names, ["length", "high", "low"], "left_semi"))
+    once_each = windows.select("length", "high", "low").distinct()
+    hits = checkpointed(places.join(once_each, ["length", "high", "low"], "left_semi"))
     covered = hits.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("at", "length"))).alias("_places"))
     named = (
         hits.select("_key", "length", "high", "low").distinct().join(windows, ["length", "high", "low"])
@@ -196,14 +198,14 @@ def _hits_by_join(docs, items, keep, text, size) -> DataFrame:
             spans = [merged([(p["at"], p["at"] + p["length"]) for p in x or []]) for x in places]
             yield {
                 **{c: part.column(c) for c in keep},
-                "n_words": [len(ascii_words(x or "")) for x in part.column("_text").to_pylist()],
-                "spans": [[{"start": a, "end": b} for a, b in x] for x in spans],
-                "items": [x or [] for x in found],
+                names[0]: [len(ascii_words(x or "")) for x in part.column("_text").to_pylist()],
+                names[1]: [[{"start": a, "end": b} for a, b in x] for x in spans],
+                names[2]: [x or [] for x in found],
             }
 
         return step
 
-    schema = _schema(docs, keep, "n_words long, spans array<struct<start: int, end: int>>, items array<string>")
+    schema = _schema(docs, keep, FOUND.format(*names))
     return batches(keyed.join(covered.join(named, "_key"), "_key", "left").drop("_key"), schema, finish)
 
 
@@ -222,13 +224,14 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", size: int = WINDOW) -> DataFrame:
     """`docs` without contaminated documents, or (`remove="spans"`) with the hit words cut from their texts."""
     columns = docs.columns
-    found = find_hits(docs, benchmark, columns, text, size)
+    names = ("_n_words", "_spans", "_items")
+    found = find_hits(docs, benchmark, columns, text, size, names=names)
     if remove == "documents":
-        return found.where(F.size("spans") == 0).select(*columns)
+        return found.where(F.size("_spans") == 0).select(*columns)
 
     def each():
         def step(part):
-            spans = [[(s["start"], s["end"]) for s in x] for x in part.column("spans").to_pylist()]
+            spans = [[(s["start"], s["end"]) for s in x] for x in part.column("_spans").to_pylist()]
             texts = [without_spans(x, s) for x, s in zip(part.column(text).to_pylist(), spans)]
             yield {**{c: part.column(c) for c in columns}, text: texts}
 

@@ -152,18 +152,18 @@ class Scorer:
         return names, scores
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
-    """`keep` columns, `lang_pred` and `score`, for every row of `docs`."""
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`keep` columns, `lang_pred` and `score` (or other `names` for them), for every row of `docs`."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.logs))
     kinds = dict(docs.select(*keep).dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string, `{names[1]}` double"])
 
     def each():
         scorer = Scorer(LanguageModel(*sent.value))
 
         def step(part):
-            names, scores = scorer.predict(part.column("_text").to_pylist())
-            yield {**{c: part.column(c) for c in keep}, "lang_pred": names, "score": scores}
+            found = scorer.predict(part.column("_text").to_pylist())
+            yield {**{c: part.column(c) for c in keep}, **dict(zip(names, found))}
 
         return step
 

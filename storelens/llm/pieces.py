@@ -12,20 +12,25 @@ are encoded alike; columns besides the text stay as they are.
 from __future__ import annotations
 
 import re
-from itertools import chain
+import sys
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import TABLE_ENTRIES, batches, lists
+from storelens.llm.common import batches, lists
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 # Longer chunks are rarely met again; they are segmented each time.
 KEPT_CHARS = 64
+# Distinct chunks a worker holds; beyond, the older half goes.
+TABLE_CHUNKS = 600_000
 # A model file is sent to the executors with each task; larger ones are refused.
 MODEL_BYTES = 64 << 20
 
@@ -47,13 +52,20 @@ def model_bytes(path: str) -> bytes:
 
 
 class ChunkTable:
-    """Ids and decoded text of each distinct chunk; a chunk is named by what follows its first marker."""
+    """Ids of each distinct chunk, as bytes, and its decoded text where that is not the chunk itself.
+
+    A chunk is named by what follows its first marker.
+    """
 
     def __init__(self, model: bytes):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.empty = {"": ([self.processor.piece_to_id(MARK)], " ")}
-        self.ids: dict[str, list[int]] = {}
-        self.texts: dict[str, str] = {}
+        size = self.processor.get_piece_size()
+        plain = (not (self.processor.is_byte(i) or self.processor.is_unknown(i) or self.processor.is_control(i)) for i in range(size))
+        # Pieces that decode to themselves; others go through the library's decoder.
+        self.pieces = [self.processor.id_to_piece(i) if p else "\n" for i, p in enumerate(plain)]
+        self.alone = [self.processor.piece_to_id(MARK)]
+        self.ids: dict[str, bytes] = {}
+        self.changed: dict[str, str] = {}
 
     def chunks(self, text: str) -> list[str]:
         marked = text.replace(" ", MARK)
@@ -63,29 +75,49 @@ class ChunkTable:
             return marked.split(MARK)
         return [chunk[1:] for chunk in CHUNK.findall(MARK + marked)]
 
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.ids) > TABLE_ENTRIES // 2:
-            self.ids.clear()
-            self.texts.clear()
-        new = list(set(chunks).difference(self.ids))
-        if not new:
-            return
+    def learn(self, new: list[str]) -> None:
+        """Segments chunks that are not in the table."""
+        names, pieces, ids, changed = {MARK + x: x for x in new}, self.pieces, self.ids, self.changed
         encoded = self.processor.encode([x.replace(MARK, " ") for x in new], num_threads=1)
-        for chunk, ids, text in zip(new, encoded, self.processor.decode(encoded, num_threads=1)):
-            self.ids[chunk], self.texts[chunk] = ids, " " + text
-        if "" in new:
-            self.ids[""], self.texts[""] = self.empty[""]
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        chunks = self.chunks(text)
-        self.learn(chunks)
-        ids = list(chain.from_iterable(map(self.ids.__getitem__, chunks)))
-        decoded = "".join(map(self.texts.__getitem__, chunks))[1:]
-        for chunk in chunks if max(map(len, chunks), default=0) > KEPT_CHARS else ():
-            if len(chunk) > KEPT_CHARS:
-                self.ids.pop(chunk, None)
-                self.texts.pop(chunk, None)
-        return ids, decoded
+        for (chunk, name), numbers in zip(names.items(), encoded):
+            if not name:
+                numbers = self.alone
+            ids[name] = array("i", numbers).tobytes()
+            if "".join([pieces[i] for i in numbers]) != chunk:
+                changed[name] = self.processor.decode(numbers) if name else ""
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids (as bytes of 32-bit numbers) and decoded texts."""
+        split = [self.chunks(x) for x in texts]
+        there = set().union(*split)
+        new = sorted(there.difference(self.ids))
+        if len(self.ids) + len(new) > TABLE_CHUNKS:
+            for name in list(islice(self.ids, len(self.ids) // 2)):
+                del self.ids[name]
+                self.changed.pop(name, None)
+            new = sorted(there.difference(self.ids))
+        self.learn(new)
+        ids = [b"".join(map(self.ids.__getitem__, x)) for x in split]
+        odd = self.changed.keys() & there
+        decoded = [
+            "".join([" " + (self.changed[c] if c in odd else c) for c in x])[1:] if odd and not odd.isdisjoint(x) else " ".join(x)
+            for x in split
+        ]
+        for name in new:
+            if len(name) > KEPT_CHARS:
+                del self.ids[name]
+                self.changed.pop(name, None)
+        return ids, [x.replace(MARK, " ") for x in decoded]
+
+
+def chunk_table(model: bytes) -> ChunkTable:
+    """The process's table of this model; a worker that runs several tasks keeps it."""
+    kept = sys.__dict__.setdefault("_storelens_chunk_tables", {})
+    name = xxhash.xxh3_128_digest(model)
+    if name not in kept:
+        kept.clear()
+        kept[name] = ChunkTable(model)
+    return kept[name]
 
 
 def encode(docs: DataFrame, model: bytes, keep: list[str], text: str = "text") -> DataFrame:
@@ -96,16 +128,14 @@ def encode(docs: DataFrame, model: bytes, keep: list[str], text: str = "text") -
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>", "decoded string"])
 
     def each():
-        table = ChunkTable(sent.value)
+        table = chunk_table(sent.value)
 
         def step(part):
-            done = [table.encode(x or "") for x in part.column("_text").to_pylist()]
-            sizes = [len(ids) for ids, _ in done]
-            flat = np.fromiter(chain.from_iterable(ids for ids, _ in done), np.int32, sum(sizes))
+            ids, decoded = table.encode([x or "" for x in part.column("_text").to_pylist()])
             yield {
                 **{c: part.column(c) for c in keep},
-                "ids": lists(flat, sizes, pa.int32()),
-                "decoded": [x for _, x in done],
+                "ids": lists(np.frombuffer(b"".join(ids), np.int32), [len(x) // 4 for x in ids], pa.int32()),
+                "decoded": decoded,
             }
 
         return step

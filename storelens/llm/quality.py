@@ -200,16 +200,16 @@ def line_marginals(texts: list[str | None], field: Field) -> list[tuple[np.ndarr
     return out
 
 
-def score(docs: DataFrame, field: Field, keep: list[str], text: str = "text") -> DataFrame:
-    """`keep` columns and `score`, for every row of `docs`."""
+def score(docs: DataFrame, field: Field, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """`keep` columns and `score` (or another `name` for it), for every row of `docs`."""
     kinds = dict(docs.select(*keep).dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{name}` double"])
 
     def each():
         def step(part):
             done = line_marginals(part.column("_text").to_pylist(), field)
             scores = [float((n * p).sum() / n.sum()) if len(n) else 0.0 for n, p in done]
-            yield {**{c: part.column(c) for c in keep}, "score": scores}
+            yield {**{c: part.column(c) for c in keep}, name: scores}
 
         return step
 

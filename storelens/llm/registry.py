@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import decontaminate, language, pieces, quality
+from storelens.llm import caps, chat, decontaminate, html_region, language, licences, ngram_join, pieces, quality, url_rules
 from storelens.llm.common import held_out, read
+from storelens.llm.registry_sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def tokenizer_path(name: str) -> str:
@@ -15,6 +18,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return ngram_join.similar_groups(docs, ngram_join.Rule(words=3, num=90, den=100))
+
+
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages").select("page_id", "url", "html")
+    found = html_region.extract(pages, html_region.fit(pages), ["page_id", "url"])
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(~held_out()))
@@ -43,5 +57,38 @@ def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(pieces.encode(docs, model, ["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_quality, op5_decontaminate, op6_pieces)}
-ORACLE_SQL: dict[str, str] = {}
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one that looks like control strings of templates."""
+    known = read(spark, folder, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    odd = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    messages = known.union(odd).withColumn("parts", chat.text_part(F.col("text")))
+    return chat.digests(chat.formatted(messages))
+
+
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages are labelled by the row of `labels` with their id: a page of quality 0 is to be blocked."""
+    pages = read(spark, folder, "pages").select("page_id", "url")
+    labels = read(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("blocked"))
+    rules = url_rules.mine(pages.join(labels.where("blocked is not null"), "page_id"))
+    return url_rules.judged(pages, rules, ["page_id"]).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_vector_caps(spark: SparkSession, folder: str) -> DataFrame:
+    return caps.near_duplicates(read(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(read(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join, op2_html_text, op3_language_id, op4_quality, op5_decontaminate,
+        op6_pieces, op7_chat, op8_url_filter, op9_vector_caps, op10_licence_scan,
+    )
+}
