@@ -171,6 +171,16 @@ class Weights:
             return False
         return odd_kind(kind) or (self.outside.get(kind, False) and name_of(kind) not in ("p", "div", "section", "span", "h1", "h2", "h3", "b", "i", "em", "strong"))
 
+    def judge(self, path: tuple[str, ...]) -> tuple[bool, bool]:
+        """Whether words under these elements are dropped, and whether the innermost stands in marked content.
+
+        Within marked content only names and classes count: a link there is text, whatever links are elsewhere.
+        """
+        marked = max((i for i, kind in enumerate(path) if name_of(kind) in CONTENT), default=-1)
+        if marked >= 0:
+            return any(map(odd_kind, path[marked + 1 :])), marked < len(path) - 1
+        return any(map(self.drops, path)), False
+
 
 def region(page: str, weights: Weights) -> list[tuple[str, str, bool]]:
     """(what, name or text, is content) of the tokens in the best run; a linear scan."""
@@ -178,15 +188,13 @@ def region(page: str, weights: Weights) -> list[tuple[str, str, bool]]:
     best, best_span, total, start = 0.0, (0, 0), 0.0, 0
     dropped: dict[tuple, bool] = {}
     for i, (what, value, path) in enumerate(placed(page)):
-        odd = dropped.get(path)
-        if odd is None:
-            odd = dropped[path] = any(map(weights.drops, path))
+        odd, inside = dropped.get(path) or dropped.setdefault(path, weights.judge(path))
         found.append((what, value, not odd))
         if what == "text":
             n = len(value.split())
             score = -n if odd else n
         else:
-            score = -weights.of_tag(path[-1] if path else value)
+            score = -LEAST_COST if inside and not odd else -weights.of_tag(path[-1] if path else value)
         if total <= 0:
             total, start = 0.0, i
         total += score

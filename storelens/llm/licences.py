@@ -73,26 +73,28 @@ def templates(spark, phrases=PHRASES, sentences=SENTENCES) -> DataFrame:
 def votes(docs: DataFrame, listed: DataFrame, keep: list[str], text: str) -> DataFrame:
     """Every match of a text's word pair with a template's, and one row without a template for each text."""
     places = listed.select("template", "label", "phrase", "t_words", "size", F.posexplode(gram_hashes(F.col("t_words"))).alias("offset", "hash"))
-    split = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("_words"))
+    # Kept columns travel as one, so that none of their names can clash.
+    kept = F.struct(*keep) if keep else F.struct(F.lit(1).alias("_"))
+    split = docs.select(kept.alias("_keep"), F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("_words"))
     split = split.withColumn("_grams", F.concat(F.array(F.lit(None).cast("long")), gram_hashes(F.col("_words"))))
-    rolled = split.select(*keep, "_row", "_words", F.posexplode("_grams").alias("_place", "_gram"))
+    rolled = split.select("_keep", "_row", "_words", F.posexplode("_grams").alias("_place", "_gram"))
     met = rolled.join(F.broadcast(places), F.col("_gram") == F.col("hash"), "left")
     met = met.where(F.col("_place").eqNullSafe(F.lit(0)) | F.col("hash").isNotNull())
     diagonal = F.col("_place") - 1 - F.col("offset")
     # The template's words that stand in their place on this diagonal.
     same = F.size(F.filter(F.transform("t_words", lambda w, i: F.coalesce((diagonal + i >= 0) & (F.get("_words", diagonal + i) == w), F.lit(False))), lambda x: x))
     return met.select(
-        *keep, "_row", F.size("_words").cast("long").alias("n_words"), "template", "label", "phrase", "size",
+        "_keep", "_row", F.size("_words").cast("long").alias("n_words"), "template", "label", "phrase", "size",
         F.when(F.col("hash").isNotNull(), diagonal).alias("diagonal"), F.col("offset"),
         F.when(F.col("hash").isNotNull(), same).alias("verified"),
     )
 
 
-def spans(found: DataFrame, keep: list[str]) -> DataFrame:
+def spans(found: DataFrame) -> DataFrame:
     """Merged and verified spans: one row per text, template and run of neighbouring diagonals, with the share of
     the template's words found, the span's first and last start and, for a phrase, the number of its places; and
     a row without a template for each text."""
-    text = [*keep, "_row", "n_words"]
+    text = ["_keep", "_row", "n_words"]
     # Placed by text once; all later groups and windows lie within one.
     lines = found.repartition("_row").groupBy(*text, "template", "label", "phrase", "size", "diagonal").agg(
         F.count("offset").alias("votes"), F.max("verified").alias("verified")
@@ -108,7 +110,7 @@ def spans(found: DataFrame, keep: list[str]) -> DataFrame:
         F.when(F.col("phrase"), F.count("diagonal")).alias("places"),
         F.min("diagonal").cast("long").alias("first"),
         F.max("diagonal").cast("long").alias("last"),
-        share.alias("share"),
+        F.when(F.col("template").isNotNull(), share).alias("share"),
     )
 
 
@@ -116,15 +118,16 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", phrases=PHRASES,
     """`keep` columns, `n_words`, `n_base` (places of all phrases), `first_word`, `last_word`, `base_labels`,
     `labels` (the sentences' too) and `score` (the best verified share), for every row of `docs`."""
     listed = templates(docs.sparkSession, phrases, sentences)
-    found = spans(votes(docs, listed, keep, text), keep)
+    found = spans(votes(docs, listed, keep, text))
     said = F.col("phrase") | (F.col("share") >= COVERAGE)
     base = F.col("phrase")
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    return found.groupBy(*keep, "_row", "n_words").agg(
+    done = found.groupBy("_keep", "_row", "n_words").agg(
         F.coalesce(F.sum("places"), F.lit(0)).cast("long").alias("n_base"),
         F.min(F.when(base, F.col("first"))).alias("first_word"),
         F.max(F.when(base, F.col("last"))).alias("last_word"),
         joined(F.when(base, F.col("label"))).alias("base_labels"),
         joined(F.when(said, F.col("label"))).alias("labels"),
         F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
-    ).drop("_row")
+    )
+    return done.select(*(F.col("_keep")[c].alias(c) for c in keep), *done.columns[2:])

@@ -2,7 +2,7 @@
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOW = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
-WORDS = rf"list_filter(string_split_regex({LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+WORDS = rf"list_filter(string_split_regex({LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 # Smallest id reachable by links a-b between nodes.
 REACH = """
@@ -16,13 +16,13 @@ smallest AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
 
 OP1 = rf"""
 WITH RECURSIVE split AS (
-    SELECT doc_id, list_filter(string_split_regex({LOW}, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+    SELECT doc_id, list_filter(string_split_regex({LOW}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ),
 sets AS (
     SELECT doc_id, CASE
         WHEN len(w) = 0 THEN []::VARCHAR[]
         WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
     END AS s FROM split
 ),
 elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
@@ -85,8 +85,8 @@ FROM sized GROUP BY conv_id
 OP9 = f"""
 WITH RECURSIVE vectors AS (
     SELECT vec_id AS node, CAST(embedding AS DOUBLE[]) AS v,
-        embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-            AND len(list_filter(embedding, x -> x <> 0)) > 0 AS good
+        embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good
     FROM embeddings
 ),
 links AS (

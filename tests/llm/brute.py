@@ -1,0 +1,76 @@
+"""Plain Python versions of what the operators compute, for small inputs."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from itertools import combinations
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+BLANK_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def shingle_set(text, size):
+    found = BLANK_WORD.findall((text or "").translate(LOWER))
+    if not found:
+        return frozenset()
+    return frozenset(tuple(found[i : i + size]) for i in range(max(1, len(found) - size + 1)))
+
+
+def groups(ids, links):
+    """Smallest id reachable from each."""
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def jaccard_groups(texts: dict, size, num, den):
+    sets = {i: shingle_set(t, size) for i, t in texts.items()}
+    links = [
+        (a, b)
+        for a, b in combinations(sets, 2)
+        if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])
+    ]
+    near = groups(list(texts), links)
+    return {i: (len(sets[i]), near[i]) for i in texts}
+
+
+def hits(text, items, size=10):
+    """(number of words, hit word places, ids of items) of a text."""
+    found = words(text)
+    places, ids = set(), set()
+    for item, item_text in items:
+        own = words(item_text)
+        for i in range(max(1, len(own) - size + 1)) if own else ():
+            window = own[i : i + size]
+            for at in range(len(found) - len(window) + 1):
+                if found[at : at + len(window)] == window:
+                    places.update(range(at, at + len(window)))
+                    ids.add(str(item))
+    return len(found), sorted(places), sorted(ids)
+
+
+def phrase_places(text, phrases):
+    found = words(text)
+    out = []
+    for phrase, label in phrases:
+        own = phrase.split()
+        out += [(i, label) for i in range(len(found) - len(own) + 1) if found[i : i + len(own)] == own]
+    return len(found), out
