@@ -22,7 +22,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from storelens.registry import QUERIES  # noqa: E402
 from storelens.registry_sql import ORACLE_SQL  # noqa: E402
-from storelens.session import local_session  # noqa: E402
+from storelens.session import single_machine_session  # noqa: E402
 
 
 def timed(query, spark, folder: str) -> float:
@@ -49,7 +49,7 @@ def main() -> None:
     chosen = os.environ.get("BENCH_QUERIES")
     names = chosen.split(",") if chosen else list(QUERIES)
 
-    spark = local_session(cores, **{"spark.ui.showConsoleProgress": "false"})
+    spark = single_machine_session(cores, **{"spark.ui.showConsoleProgress": "false"})
 
     def median(query) -> float:
         timed(query, spark, folder)

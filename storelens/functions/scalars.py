@@ -70,12 +70,15 @@ def in_optional_list(value: Column | str, items: Column | str) -> Column:
 
 
 def normalised_query(text: Column | str) -> Column:
-    """Lower case, punctuation to blanks, blanks collapsed and trimmed (formula is ours)."""
-    words = F.regexp_replace(F.lower(as_column(text)), r"[^\p{L}\p{N}]+", " ")
+    """Lower case, punctuation to blanks, blanks collapsed and trimmed (formula is ours).
+
+    Combining marks belong to their letters and stay.
+    """
+    words = F.regexp_replace(F.lower(as_column(text)), r"[^\p{L}\p{M}\p{N}]+", " ")
     return F.trim(words)
 
 
-def local_time(utc_moment: Column | str, zone: str) -> Column:
+def zone_time(utc_moment: Column | str, zone: str) -> Column:
     """A UTC wall-clock time as the wall-clock time of another zone."""
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), as_column(utc_moment))
 

@@ -18,10 +18,14 @@ from storelens.operators.timeline import last_before, running_numbers
 def dedup_events(events: DataFrame, key: str, received_at: str) -> DataFrame:
     """The first received row per key; ties go to the smallest other values.
 
-    A minimum of whole rows, so copies collapse before the shuffle.
+    A row without a time comes after all others of its key; rows without a key are
+    events of their own and stay. A minimum of whole rows, so copies collapse
+    before the shuffle.
     """
     rest = [c for c in events.columns if c not in (key, received_at)]
-    first = events.groupBy(key).agg(F.min(F.struct(received_at, *rest)).alias("_row"))
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id()).alias("_alone")
+    row = F.struct(F.col(received_at).isNull().alias("_late"), received_at, *rest)
+    first = events.groupBy(key, alone).agg(F.min(row).alias("_row"))
     return first.select(*[F.col(key) if c == key else F.col(f"_row.{c}") for c in events.columns])
 
 
@@ -210,34 +214,40 @@ def top_list(rows: DataFrame, group: str, item: str, size: int = 5) -> DataFrame
     return listed.select(group, F.col(f"_top.{item}").alias(f"top_{item}s"))
 
 
-def attached_orders(deliveries: DataFrame, ad_orders: DataFrame, promo_orders: DataFrame) -> DataFrame:
-    """Per day and cohort: orders and sales, and orders with a paid ad, a promotion, or either."""
+def attached_orders(
+    deliveries: DataFrame, ad_orders: DataFrame, promo_orders: DataFrame, banner_orders: DataFrame
+) -> DataFrame:
+    """Per day and cohort: orders and sales, and orders with a paid ad, a promotion, either, or a banner ad.
+
+    Several rows of one delivery are one order, with the values of the greatest
+    row. A delivery without an id is an order of its own without a mark; one
+    without a day is counted under no day.
+    """
+    values = ("active_date", "cohort", "sales")
+    marks = ("ad", "promo", "banner")
     rows = deliveries.select(
         "delivery_id",
-        "active_date",
-        "cohort",
-        "sales",
-        F.lit(0).alias("ad"),
-        F.lit(0).alias("promo"),
+        F.when(F.col("delivery_id").isNull(), F.monotonically_increasing_id()).alias("_alone"),
+        F.struct(F.lit(True).alias("there"), *values).alias("_row"),
+        *[F.lit(0).alias(mark) for mark in marks],
     )
-    empty = {
-        "active_date": F.lit(None).cast(deliveries.schema["active_date"].dataType),
-        "cohort": F.lit(None).cast(deliveries.schema["cohort"].dataType),
-        "sales": F.lit(None).cast(deliveries.schema["sales"].dataType),
-    }
-    for frame, ad, promo in ((ad_orders, 1, 0), (promo_orders, 0, 1)):
-        marks = frame.select("delivery_id").withColumns({**empty, "ad": F.lit(ad), "promo": F.lit(promo)})
-        rows = rows.unionByName(marks)
-    per_order = rows.groupBy("delivery_id").agg(
-        *[F.max(c).alias(c) for c in ("active_date", "cohort", "sales", "ad", "promo")]
-    )
-    known = per_order.where(F.col("active_date").isNotNull())
+    for frame, own in zip((ad_orders, promo_orders, banner_orders), marks):
+        marked = frame.where(F.col("delivery_id").isNotNull()).select(
+            "delivery_id",
+            F.lit(None).cast("bigint").alias("_alone"),
+            F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
+            *[F.lit(int(mark == own)).alias(mark) for mark in marks],
+        )
+        rows = rows.unionByName(marked)
+    per_order = rows.groupBy("delivery_id", "_alone").agg(F.max("_row").alias("_row"), *[F.max(m).alias(m) for m in marks])
+    known = per_order.where("_row.there").select(*[f"_row.{c}" for c in values], *marks)
     return known.groupBy("active_date", "cohort").agg(
         F.count(F.lit(1)).alias("store_orders"),
         F.sum("sales").alias("store_sales"),
         F.sum("ad").alias("paid_ads_attach_store_orders"),
         F.sum("promo").alias("paid_promotion_attach_store_orders"),
         F.sum(F.greatest("ad", "promo")).alias("paid_ads_promotion_attach_store_orders"),
+        F.sum("banner").alias("paid_banner_ads_attach_store_orders"),
     )
 
 

@@ -15,10 +15,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 from storelens.operators.joins import skew_join
-from storelens.sources.contracts import SPARK_TYPES, TYPE_NAMES
+from storelens.sources.contracts import TYPE_NAMES
 
 # Fixed patterns. Line breaks are gone when they run, so a dot may match anything.
 COMMENT_TEXT = r"(?s)COMMENT ?'.*?'"
@@ -219,16 +219,22 @@ DECIMAL_NAMES = (
     r"(?i)(^|_)(fee|fees|price|cost|sale|sales|amount|bid|budget|rate|roas|aov|cpa|subtotal|gov|discount|"
     r"revenue|profit|value|credit|score)(_|$)"
 )
+# Names the rule above gets wrong: averages with a fraction, and whole numbers named after money.
+DECIMAL_COLUMNS = frozenset({"AVERAGE_POSITION", "AVG_POSITION", "AVERAGE_RANK"})
+WHOLE_NAMES = r"(?i)_(seconds|minutes|hours|days|count|id)$"
 
 
 def catalog_fields(catalog: DataFrame, overrides: Mapping[str, str] | None = None) -> DataFrame:
     """table_name, ordinal, column_name, spark_type of every catalogue row.
 
     NUMBER comes without precision: names of money and rates become decimal(38,6),
-    others bigint. `overrides` gives the Spark type of single columns by name.
+    as do DECIMAL_COLUMNS; others, durations and counts of money among them, bigint. `overrides` gives the Spark type of single columns by name.
     """
     kind = F.upper("data_type")
-    mapped = F.when((kind == "NUMBER") & F.col("column_name").rlike(DECIMAL_NAMES), "decimal(38,6)")
+    name = F.col("column_name")
+    by_rule = name.rlike(DECIMAL_NAMES) & ~name.rlike(WHOLE_NAMES)
+    fractional = F.upper("column_name").isin(*sorted(DECIMAL_COLUMNS)) | by_rule
+    mapped = F.when((kind == "NUMBER") & fractional, "decimal(38,6)")
     for name, spark_type in TYPE_NAMES.items():
         mapped = mapped.when(kind == name, spark_type)
     chosen = mapped.otherwise("string")
@@ -237,17 +243,22 @@ def catalog_fields(catalog: DataFrame, overrides: Mapping[str, str] | None = Non
     return catalog.select("table_name", "ordinal", "column_name", chosen.alias("spark_type"))
 
 
-MAX_COLUMNS = 100_000
+def catalog_schemas(catalog: DataFrame, overrides: Mapping[str, str] | None = None) -> DataFrame:
+    """table_name and the columns of every table, in ordinal order, as the text of a Spark schema.
+
+    A group is the columns of one table.
+    """
+    fields = catalog_fields(catalog, overrides)
+    quoted = F.concat(F.lit("`"), F.replace("column_name", F.lit("`"), F.lit("``")), F.lit("` "), "spark_type")
+    column = F.struct("ordinal", "column_name", "spark_type", quoted.alias("ddl"))
+    columns = fields.groupBy("table_name").agg(F.array_sort(F.collect_list(column)).alias("columns"))
+    return columns.select("table_name", F.array_join("columns.ddl", ", ").alias("ddl"))
 
 
 def catalog_struct(catalog: DataFrame, table: str, overrides: Mapping[str, str] | None = None) -> StructType:
-    """Schema of one table, in ordinal order. Refuses a table too wide to be one."""
-    fields = catalog_fields(catalog.where(F.col("table_name") == table), overrides)
-    rows = fields.limit(MAX_COLUMNS + 1).collect()
-    if len(rows) > MAX_COLUMNS:
-        raise ValueError(f"{table} has more than {MAX_COLUMNS} columns")
-    rows.sort(key=lambda r: (r["ordinal"], r["column_name"]))
-    return StructType([StructField(r["column_name"], SPARK_TYPES[r["spark_type"]]) for r in rows])
+    """Schema of one table, in ordinal order; an unknown table has no columns."""
+    row = catalog_schemas(catalog.where(F.col("table_name") == table), overrides).first()
+    return StructType.fromDDL(row["ddl"]) if row else StructType([])
 
 
 def catalog_checks(catalog: DataFrame, tables: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.functions.scalars import local_time, normalised_query
+from storelens.functions.scalars import normalised_query, zone_time
 from storelens.operators.timeline import validity_ranges
 from storelens.plans import ads, definitions, eligibility, engagement, fees, history, overview, visibility
 from storelens.sources.star import StarTables
@@ -85,6 +85,7 @@ _register(
     lambda t: definitions.ddl_compare(t.part_definitions(new=True), t.part_definitions(new=False)),
 )
 _register("catalog_fields", lambda t: definitions.catalog_fields(t.catalog))
+_register("catalog_schemas", lambda t: definitions.catalog_schemas(t.priced_catalog))
 _register("catalog_checks", lambda t: definitions.catalog_checks(t.catalog, t.known_tables))
 
 # Eligibility.
@@ -211,7 +212,10 @@ def _attached(t: StarTables) -> DataFrame:
     )
     lines = t.raw("lineitem").withColumn("delivery_id", F.col("l_orderkey"))
     return ads.attached_orders(
-        orders, lines.where(F.col("l_discount") >= 0.08), lines.where(F.col("l_tax") >= 0.06)
+        orders,
+        lines.where(F.col("l_discount") >= 0.08),
+        lines.where(F.col("l_tax") >= 0.06),
+        lines.where(F.col("l_quantity") >= 45),
     )
 
 
@@ -225,9 +229,9 @@ _register(
     ),
 )
 _register(
-    "local_event_time",
+    "zone_event_time",
     lambda t: t.raw("events").select(
-        "event_id", "ts", local_time("ts", "America/Los_Angeles").alias("local_ts")
+        "event_id", "ts", zone_time("ts", "America/Los_Angeles").alias("zone_ts")
     ),
 )
 

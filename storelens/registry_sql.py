@@ -14,24 +14,24 @@ ROLES = {
     "near": """SELECT DISTINCT consumer_id FROM availability
         WHERE store_id IN (SELECT store_id FROM store)""",
     "impressions": """SELECT CAST(event_id AS VARCHAR) AS id, ts AS event_date, user_id AS consumer_id,
-        CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS store_id, value AS card_position,
+        TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS store_id, value AS card_position,
         CASE WHEN event_type <> 'error' THEN upper(event_type) END AS product_name,
         CASE WHEN event_type IN ('view', 'click') THEN ' ' || event_type || ' ' END AS search_term,
         CASE WHEN event_type IN ('view', 'click') THEN ' ' || event_type || ' ' END AS search_term_clean
         FROM events""",
     "shown": """SELECT * FROM impressions WHERE event_date >= TIMESTAMP '2024-01-05'
         AND event_date < TIMESTAMP '2024-01-20' + INTERVAL 1 DAY""",
-    "loads": """SELECT user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS store_id, ts
+    "loads": """SELECT user_id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS store_id, ts
         FROM events WHERE event_type = 'view'""",
-    "adds": """SELECT user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS store_id, ts, p_name AS item_name
+    "adds": """SELECT user_id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS store_id, ts, p_name AS item_name
         FROM events JOIN part ON p_partkey = event_id % (SELECT count(*) FROM part) WHERE event_type = 'click'""",
-    "deliveries": """SELECT l_orderkey * 100000 + l_suppkey AS delivery_id, l_suppkey AS store_id,
+    "deliveries": """SELECT l_orderkey || '-' || l_suppkey AS delivery_id, l_suppkey AS store_id,
         s_nationkey AS business_id, o_custkey AS creator_id, subtotal, o_orderdate AS created_at,
         CASE WHEN o_orderstatus = 'P' THEN o_orderdate END AS cancelled_at,
         l_orderkey AS order_cart_uuid, o_orderstatus = 'F' AS is_filtered_core
         FROM (SELECT l_orderkey, l_suppkey, sum(l_extendedprice) AS subtotal FROM lineitem GROUP BY ALL)
         JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey""",
-    "order_items": """SELECT l_orderkey * 100000 + l_suppkey AS delivery_id, p_name AS item_name
+    "order_items": """SELECT l_orderkey || '-' || l_suppkey AS delivery_id, p_name AS item_name
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "checkouts": "SELECT o_orderkey AS order_uuid, o_custkey AS user_id, o_orderdate AS ts FROM orders",
     "bought": """SELECT i.item_name, c.user_id FROM checkouts c
@@ -64,8 +64,8 @@ ROLES = {
         CASE WHEN p_brand <> 'Brand#2' THEN CAST(DATE '1995-01-01' + p_size * 40
             + CAST(floor(p_retailprice - 890) AS INTEGER) AS TIMESTAMP) END AS ends_at FROM part""",
     "actions": """SELECT event_id, user_id AS consumer_id, event_type, ts, value,
-        CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS store_id FROM events""",
-    "placed": """SELECT l_orderkey * 100000 + l_suppkey AS delivery_id, o_custkey AS consumer_id,
+        TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS store_id FROM events""",
+    "placed": """SELECT l_orderkey || '-' || l_suppkey AS delivery_id, o_custkey AS consumer_id,
         l_suppkey AS store_id, s_nationkey AS business_id, n_regionkey AS business_group_id,
         min(l_partkey) AS campaign_id, o_orderdate AS created_at, sum(l_extendedprice) AS subtotal
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
@@ -143,7 +143,7 @@ _DAY24 = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' + INTERVA
 _BRAND = "store_id IN (SELECT store_id FROM store)"
 _NEAR = "consumer_id IN (SELECT consumer_id FROM near)"
 
-# local_event_time: all events lie in one winter month, so the zone is 8 hours behind.
+# zone_event_time: all events lie in one winter month, so the zone is 8 hours behind.
 ORACLE_SQL: dict[str, str] = {
     "store_list": "SELECT s_suppkey AS store_id, s_name AS store_name FROM supplier WHERE s_nationkey = 15",
     "business_overview": _with(
@@ -269,6 +269,14 @@ ORACLE_SQL: dict[str, str] = {
         WHEN 'BOOLEAN' THEN 'boolean' WHEN 'TIMESTAMP_NTZ' THEN 'timestamp_ntz' WHEN 'FLOAT' THEN 'double'
         WHEN 'DATE' THEN 'date' ELSE 'array<string>' END AS spark_type FROM catalog""",
     ),
+    "catalog_schemas": _with(
+        "catalog",
+        """SELECT table_name, string_agg('`' || column_name || '` ' || spark_type, ', ' ORDER BY ordinal, column_name, spark_type) AS ddl
+        FROM (SELECT table_name, ordinal, column_name || CASE data_type WHEN 'NUMBER' THEN '_PRICE' WHEN 'FLOAT' THEN '_RATE' ELSE '' END
+            AS column_name, CASE data_type WHEN 'NUMBER' THEN 'decimal(38,6)' WHEN 'TEXT' THEN 'string'
+            WHEN 'BOOLEAN' THEN 'boolean' WHEN 'TIMESTAMP_NTZ' THEN 'timestamp_ntz' WHEN 'FLOAT' THEN 'double'
+            WHEN 'DATE' THEN 'date' ELSE 'array<string>' END AS spark_type FROM catalog) GROUP BY table_name""",
+    ),
     "catalog_checks": _with(
         "catalog",
         """SELECT 'ORDER_' || o_orderkey AS subject, 'empty_table' AS finding, '' AS detail FROM orders
@@ -399,13 +407,15 @@ ORACLE_SQL: dict[str, str] = {
     "attached_orders": """SELECT CAST(o_orderdate AS DATE) AS active_date, o_orderpriority AS cohort, count(*) AS store_orders,
         round(sum(o_totalprice), 4) AS store_sales, CAST(sum(ad) AS BIGINT) AS paid_ads_attach_store_orders,
         CAST(sum(promo) AS BIGINT) AS paid_promotion_attach_store_orders,
-        CAST(sum(greatest(ad, promo)) AS BIGINT) AS paid_ads_promotion_attach_store_orders FROM (SELECT *,
+        CAST(sum(greatest(ad, promo)) AS BIGINT) AS paid_ads_promotion_attach_store_orders,
+        CAST(sum(banner) AS BIGINT) AS paid_banner_ads_attach_store_orders FROM (SELECT *,
+            CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45) THEN 1 ELSE 0 END AS banner,
             CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount >= 0.08) THEN 1 ELSE 0 END AS ad,
             CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_tax >= 0.06) THEN 1 ELSE 0 END AS promo
             FROM orders) GROUP BY 1, 2""",
     "request_volume": """SELECT CAST(ts AS DATE) AS active_date, event_type AS placement, props AS feature_id,
         count(*) AS total_requests FROM events GROUP BY 1, 2, 3""",
-    "local_event_time": """SELECT event_id, ts, ts - INTERVAL 8 HOUR AS local_ts FROM events""",
+    "zone_event_time": """SELECT event_id, ts, ts - INTERVAL 8 HOUR AS zone_ts FROM events""",
     "membership_active_range": _with(
         "ranges",
         """SELECT l_orderkey, l_linenumber, l_suppkey, campaign_id, member_start, member_end,
@@ -416,7 +426,7 @@ ORACLE_SQL: dict[str, str] = {
             least(o_orderdate, l_shipdate) AS member_start, greatest(o_orderdate, l_shipdate) AS member_end
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     ),
-    "normalised_query": """SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS normalised
+    "normalised_query": """SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')) AS normalised
         FROM documents""",
     "allocate_fee": """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey AS campaign_id, l_extendedprice,
         round(p_retailprice * l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_partkey), 4) AS fee_alloc

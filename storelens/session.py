@@ -11,7 +11,7 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = 8, **settings: str) -> SparkSession:
+def single_machine_session(cores: int | str = 8, **settings: str) -> SparkSession:
     """A single-machine session for tests and the bench."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")

@@ -28,7 +28,7 @@ ROLES = {
     "cart_adds": {**EVENT, "item_name": "string"},
     "checkouts": {"order_uuid": "string", "user_id": "bigint", "timestamp": "timestamp_ntz"},
     "deliveries": {
-        "delivery_id": "bigint",
+        "delivery_id": "string",
         "store_id": "bigint",
         "business_id": "bigint",
         "creator_id": "bigint",
@@ -38,7 +38,7 @@ ROLES = {
         "order_cart_uuid": "string",
         "is_filtered_core": "boolean",
     },
-    "order_items": {"delivery_id": "bigint", "item_name": "string"},
+    "order_items": {"delivery_id": "string", "item_name": "string"},
     "ad_fees": {
         "store_id": "bigint",
         "consumer_id": "bigint",

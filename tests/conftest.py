@@ -11,8 +11,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from storelens.session import local_session
+    from storelens.session import single_machine_session
 
-    session = local_session(8, **{"spark.driver.memory": "4g"})
+    session = single_machine_session(8, **{"spark.driver.memory": "4g"})
     yield session
     session.stop()

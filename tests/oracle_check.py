@@ -63,10 +63,10 @@ def differences(spark, con, folder: str, query, text: str) -> tuple[list[str], i
 
 def main() -> int:
     from __spark_entry__ import oracle_sql, queries
-    from storelens.session import local_session
+    from storelens.session import single_machine_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark, con = local_session(), connect(folder)
+    spark, con = single_machine_session(), connect(folder)
     texts, bad = oracle_sql(), 0
     for name, query in queries().items():
         if sys.argv[2:] and name not in sys.argv[2:]:

@@ -28,6 +28,13 @@ def test_dedup_keeps_the_first_received(spark):
     assert listed(result) == [("a", 1, "x"), ("b", 2, None)]
 
 
+def test_dedup_keeps_rows_without_key_and_puts_missing_times_last(spark):
+    rows = [(None, 1, "p"), (None, 1, "p"), ("a", None, "q"), ("a", 5, "r"), ("b", None, "s")]
+    frame = spark.createDataFrame(rows, "id string, received int, v string")
+    found = sorted(map(str, map(tuple, ads.dedup_events(frame, "id", "received").collect())))
+    assert found == sorted(map(str, [(None, 1, "p"), (None, 1, "p"), ("a", 5, "r"), ("b", None, "s")]))
+
+
 @pytest.mark.parametrize("floor", [None, 0])
 def test_order_sequence_and_acquired(spark, floor):
     rows = [
@@ -140,8 +147,20 @@ def test_attached_orders(spark):
     )
     marks = spark.createDataFrame([(1,), (1,), (9,)], "delivery_id int")
     promos = spark.createDataFrame([(1,), (2,)], "delivery_id int")
-    result = ads.attached_orders(deliveries, marks, promos)
-    assert listed(result) == [("d", "x", 2, 12.0, 1, 2, 2), ("d", "y", 1, 1.0, 0, 0, 0)]
+    banners = spark.createDataFrame([(3,), (None,)], "delivery_id int")
+    result = ads.attached_orders(deliveries, marks, promos, banners)
+    assert listed(result) == [("d", "x", 2, 12.0, 1, 2, 2, 0), ("d", "y", 1, 1.0, 0, 0, 0, 1)]
+
+
+def test_attached_orders_without_day_or_id_and_repeated(spark):
+    deliveries = spark.createDataFrame(
+        [(1, None, "x", 5.0), (None, "d", "x", 7.0), (None, "d", "x", 1.0), (2, "d", "a", 9.0), (2, "d", "b", 2.0)],
+        "delivery_id int, active_date string, cohort string, sales double",
+    )
+    marks = spark.createDataFrame([(1,), (None,)], "delivery_id int")
+    found = ads.attached_orders(deliveries, marks, marks.limit(0), marks.limit(0)).collect()
+    rows = {(r["active_date"], r["cohort"]): (r["store_orders"], r["store_sales"], r["paid_ads_attach_store_orders"]) for r in found}
+    assert rows == {(None, "x"): (1, 5.0, 1), ("d", "x"): (2, 8.0, 0), ("d", "b"): (1, 2.0, 0)}
 
 
 def test_request_volume(spark):

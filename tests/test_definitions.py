@@ -188,6 +188,16 @@ def test_catalog_struct(spark):
     assert struct.simpleString() == (
         "struct<id:bigint,ads_fee:decimal(38,6),rank:double,tags:array<string>,seen:timestamp_ntz>"
     )
+    wide = d.catalog_struct(spark.createDataFrame(rows, CATALOG), "t", {"RANK": "decimal(18,2)"})
+    assert wide["rank"].dataType.simpleString() == "decimal(18,2)"
+    assert len(d.catalog_struct(spark.createDataFrame(rows, CATALOG), "none")) == 0
+
+
+def test_names_of_money_and_of_whole_numbers(spark):
+    names = ["AVERAGE_POSITION", "BUDGET_DURATION_SECONDS", "PRICE_ID", "UNIT_PRICE", "POSITION"]
+    rows = [("t", name, i, "NUMBER") for i, name in enumerate(names)]
+    types = {r["column_name"]: r["spark_type"] for r in d.catalog_fields(spark.createDataFrame(rows, CATALOG)).collect()}
+    assert types == {n: "decimal(38,6)" if n in ("AVERAGE_POSITION", "UNIT_PRICE") else "bigint" for n in names}
 
 
 def test_read_catalog(spark, tmp_path):
