@@ -1,9 +1,9 @@
 """Joins that hold when one key owns a large share of the rows.
 
 A side is broadcast only after its size was measured. Beyond the bound the join
-shuffles; keys that own much of the left side are found beforehand with a sketch,
-and their rows are spread over several tasks. Where no key is hot, and that is
-the usual case, the join is a plain one.
+shuffles and adaptive execution splits the partitions of hot keys (see the
+settings in session.py), so no fact is read beforehand to look for them. Steps
+that need all rows of a key in order look for its hot keys with an exact count.
 """
 
 from __future__ import annotations
@@ -16,13 +16,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 
-# A key is hot when it owns more than one HOT_SHARE-th of the rows and more rows
-# than HOT_FLOOR, which any task can hold. A rarer key's rows are at most that
-# share, so no task gets more of them than an even split over HOT_SHARE tasks gives.
-HOT_SHARE = 10_000
-HOT_FLOOR = 1_000_000
-SKETCH_ITEMS = 100_000
-SKETCH_GROUPS = 32
+# A key is hot when it has more rows than one task should order.
+HOT_ROWS = 1_000_000
 
 
 def measured_bytes(frame: DataFrame) -> int:
@@ -41,35 +36,16 @@ def key_hash(keys: list[str]) -> Column:
 
 
 def hot_keys(frame: DataFrame, keys: list[str], floor: int | None = None) -> list[tuple[int, int]]:
-    """(key hash, number of parts) of every hot key, from one job that shuffles only sketches.
+    """(key hash, number of parts) of every key with more than `floor` rows (HOT_ROWS), from one job.
 
-    The sketches of groups of tasks are merged apart, so no task merges them all;
-    each finds every key above half the hot share. The answer steers where rows
-    go and never which rows there are, so an estimate is enough. It has at most a
-    few HOT_SHARE entries, whatever the data size.
+    Tasks count before they shuffle, so a hot key is one row per task and the
+    counts are spread over all shuffle tasks. At most one key in `floor` rows is
+    listed.
     """
-    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
-    sketches = (
-        frame.select(key_hash(keys).alias("_hash"))
-        .groupBy(group.alias("_group"))
-        .agg(
-            F.expr(f"approx_top_k(_hash, {HOT_SHARE}, {SKETCH_ITEMS})").alias("_top"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-    )
-    frequent = F.filter("_top", lambda x: x["count"] * 2 * HOT_SHARE > F.col("_n"))
-    rows = sketches.select(frequent.alias("top"), F.col("_n").alias("n")).collect()
-    total = sum(row["n"] for row in rows)
-    counts: dict[int, int] = {}
-    for row in rows:
-        for item in row["top"]:
-            counts[item["item"]] = counts.get(item["item"], 0) + item["count"]
-    least = HOT_FLOOR if floor is None else floor
-    return [
-        (item, math.ceil(n * HOT_SHARE / total))
-        for item, n in sorted(counts.items())
-        if n > least and n * HOT_SHARE > total
-    ]
+    least = HOT_ROWS if floor is None else floor
+    counts = frame.select(key_hash(keys).alias("_hash")).groupBy("_hash").count()
+    rows = counts.where(F.col("count") > least).collect()
+    return sorted((row["_hash"], math.ceil(row["count"] / max(1, least))) for row in rows)
 
 
 def with_pieces(frame: DataFrame, keys: list[str], hot: list[tuple[int, int]]) -> DataFrame:
@@ -87,32 +63,16 @@ def row_part(columns: list[str], pieces: Column) -> Column:
     return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), pieces)
 
 
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    floor: int | None = None,
-    heat: DataFrame | None = None,
-) -> DataFrame:
-    """Equi join (inner, left, left_semi, left_anti) whose hot left keys are split.
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi join (inner, left, left_semi, left_anti) of keys of one type.
 
-    Left rows of a hot key get a part number and the right rows of that key are
-    repeated once per part, so every pair still meets exactly once. `heat` is a
-    frame with the same keys as `left` that is cheaper to look at.
+    The left side's hot partitions are split, and their partners repeated, by
+    adaptive execution once it has seen the shuffle.
     """
     kinds = [[dict(side.dtypes)[key] for key in on] for side in (left, right)]
     if kinds[0] != kinds[1]:
         raise ValueError(f"join keys {on} have types {kinds[0]} and {kinds[1]}")
-    hot = hot_keys(left if heat is None else heat, on, floor)
-    if not hot:
-        return left.join(right, on, how)
-    parted = with_pieces(left, on, hot).withColumn("_part", row_part(left.columns, F.col("_pieces")))
-    repeated = with_pieces(right, on, hot).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1))
-    )
-    joined = parted.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_part"], how)
-    return joined.drop("_part")
+    return left.join(right, on, how)
 
 
 def guarded_join(
@@ -122,16 +82,14 @@ def guarded_join(
     how: str = "inner",
     max_bytes: int | None = None,
     bound: DataFrame | None = None,
-    floor: int | None = None,
-    heat: DataFrame | None = None,
 ) -> DataFrame:
-    """Broadcasts `right` when its measured size allows it, else a skew join.
+    """Broadcasts `right` when its measured size allows it, else shuffles.
 
     `bound` is a frame at least as large as `right` that is cheaper to measure.
     """
     if fits_broadcast(right if bound is None else bound, max_bytes):
         return left.join(F.broadcast(right), on, how)
-    return skew_join(left, right, on, how, floor, heat)
+    return skew_join(left, right, on, how)
 
 
 def distinct_keys(members: DataFrame, key: str) -> DataFrame:
@@ -153,18 +111,18 @@ def cohort(members: DataFrame, key: str, max_bytes: int | None = None) -> Cohort
     return Cohort(keys, key, fits_broadcast(keys, max_bytes))
 
 
-def in_cohort(facts: DataFrame, members: Cohort, floor: int | None = None) -> DataFrame:
+def in_cohort(facts: DataFrame, members: Cohort) -> DataFrame:
     """Facts whose key is among the members; never repeats a fact."""
     if members.small:
         return facts.join(F.broadcast(members.keys), members.key, "left_semi")
-    return skew_join(facts, members.keys.distinct(), [members.key], "left_semi", floor)
+    return skew_join(facts, members.keys.distinct(), [members.key], "left_semi")
 
 
-def mark_cohort(facts: DataFrame, members: Cohort, flag: str, floor: int | None = None) -> DataFrame:
+def mark_cohort(facts: DataFrame, members: Cohort, flag: str) -> DataFrame:
     """All facts with a boolean column telling whether the key is among the members."""
     marked = members.keys.distinct().withColumn(flag, F.lit(True))
     if members.small:
         joined = facts.join(F.broadcast(marked), members.key, "left")
     else:
-        joined = skew_join(facts, marked, [members.key], "left", floor)
+        joined = skew_join(facts, marked, [members.key], "left")
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -142,7 +142,7 @@ def _in_slots(
     # A carried row sorts first in its slot: at the slot's start, with the lowest rank.
     ordered = rows.unionByName(carried).withColumn("last", _running_last([*keys, "_slot"]))
     answers = ordered.where(F.col("_rank") == left_rank).select(*keys, "_time", "last")
-    joined = skew_join(sought, answers, [*keys, "_time"], "left", floor, heat=known)
+    joined = skew_join(sought, answers, [*keys, "_time"], "left")
     return joined.select(*[c for c in sought.columns if c != "_time"], "last")
 
 

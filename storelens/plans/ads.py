@@ -88,9 +88,7 @@ def reorder_retention(deliveries: DataFrame) -> DataFrame:
     return result
 
 
-def view_to_conversion(
-    impressions: DataFrame, clicks: DataFrame, orders: DataFrame, floor: int | None = None
-) -> DataFrame:
+def view_to_conversion(impressions: DataFrame, clicks: DataFrame, orders: DataFrame) -> DataFrame:
     """Each impression with its first click and first order, and 0/1 flags for both."""
     ordered = orders.groupBy("click_event_id").agg(
         F.min(F.struct("order_timestamp", "delivery_id")).alias("_order")
@@ -105,7 +103,7 @@ def view_to_conversion(
             F.min("_order").alias("_order"),
         )
     )
-    joined = skew_join(impressions, answers, ["impression_event_id"], "left", floor)
+    joined = skew_join(impressions, answers, ["impression_event_id"], "left")
     return joined.select(
         *impressions.columns,
         F.col("_click").isNotNull().cast("int").alias("is_clicked"),

@@ -290,7 +290,7 @@ def catalog_checks(catalog: DataFrame, tables: DataFrame) -> DataFrame:
         .agg(F.sum("there").alias("times"))
     )
 
-    odd = skew_join(times.where("times <> 1"), per_table, ["table_name"], "left", heat=rows)
+    odd = skew_join(times.where("times <> 1"), per_table, ["table_name"], "left")
     ordinals = odd.where((F.col("times") > 1) | (F.col("ordinal") < F.col("last"))).select(
         F.col("table_name").alias("subject"),
         F.when(F.col("times") > 1, "duplicate_ordinal").otherwise("ordinal_gap").alias("finding"),

@@ -51,13 +51,13 @@ def with_last_order(impressions: DataFrame, orders: DataFrame, **cut) -> DataFra
     return dated.withColumn("days_since_last_order", days)
 
 
-def with_membership(impressions: DataFrame, memberships: DataFrame, floor: int | None = None) -> DataFrame:
+def with_membership(impressions: DataFrame, memberships: DataFrame) -> DataFrame:
     """Adds `cx_is_member`: 1 if the consumer is listed as a member on the impression's day."""
     daily = memberships.select(
         "consumer_id", F.to_date("day").alias("_day"), F.lit(1).alias("cx_is_member")
     ).distinct()
     dated = impressions.withColumn("_day", F.to_date("event_date"))
-    joined = skew_join(dated, daily, ["consumer_id", "_day"], "left", floor)
+    joined = skew_join(dated, daily, ["consumer_id", "_day"], "left")
     return joined.withColumn("cx_is_member", F.coalesce("cx_is_member", F.lit(0))).drop("_day")
 
 
@@ -67,39 +67,23 @@ def with_campaigns(
     start: Day,
     end: Day,
     max_bytes: int | None = None,
-    floor: int | None = None,
-    heat: DataFrame | None = None,
 ) -> DataFrame:
     """One row per impression in the days and campaign of its store then active.
 
     Active means starts_at <= impression < ends_at; no end is open. Campaigns are
-    listed per month of the window, so an impression meets only those of its own
-    month and store, never the store's whole history. `heat` is a frame with the
-    same stores and dates that is cheaper to look at.
+    listed per day of the window, so an impression meets only those of its own day
+    and store, never the store's whole history.
     """
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
     from_day = F.greatest(F.to_date("starts_at"), first)
     to_day = F.least(F.coalesce(F.to_date("ends_at"), last), last)
-    months = F.sequence(F.trunc(from_day, "month"), F.trunc(to_day, "month"), F.expr("interval 1 month"))
-    monthly = campaigns.where(from_day <= to_day).withColumn("_month", F.explode(months))
-
-    def dated(frame: DataFrame) -> DataFrame:
-        shown = frame.where(day_window("event_date", start, end))
-        return shown.withColumn("_month", F.trunc("event_date", "month"))
-
-    joined = guarded_join(
-        dated(impressions),
-        monthly,
-        ["store_id", "_month"],
-        "inner",
-        max_bytes,
-        floor=floor,
-        heat=None if heat is None else dated(heat),
-    )
+    daily = campaigns.where(from_day <= to_day).withColumn("_day", F.explode(F.sequence(from_day, to_day)))
+    shown = impressions.where(day_window("event_date", start, end)).withColumn("_day", F.to_date("event_date"))
+    joined = guarded_join(shown, daily, ["store_id", "_day"], "inner", max_bytes)
     active = (F.col("starts_at") <= F.col("event_date")) & (
         F.col("ends_at").isNull() | (F.col("event_date") < F.col("ends_at"))
     )
-    return joined.where(active).drop("_month", "starts_at", "ends_at")
+    return joined.where(active).drop("_day", "starts_at", "ends_at")
 
 
 def _required(setting: str, met: Column) -> Column:
@@ -144,5 +128,5 @@ def promo_eligibility(
     earlier = orders.where(F.col("created_at") < F.date_add(F.lit(end).cast("date"), 1))
     in_days = F.to_date("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     known = with_last_order(with_membership(shown, memberships.where(in_days)), earlier, heat=shown)
-    rows = with_campaigns(known, campaigns, start, end, heat=shown)
+    rows = with_campaigns(known, campaigns, start, end)
     return conform_to(with_eligibility(rows), ELIGIBILITY)

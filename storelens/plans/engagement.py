@@ -10,7 +10,7 @@ from storelens.operators.joins import distinct_keys, fits_broadcast, hot_keys, i
 from storelens.operators.metrics import union_all
 from storelens.plans.overview import brand_stores
 
-# Checkouts of one cart id beyond which its consumers are no longer paired with its items.
+# Checkouts of one cart id, counted exactly, beyond which its consumers are no longer paired with its items.
 CROWDED_CART = 1000
 
 

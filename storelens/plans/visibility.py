@@ -74,10 +74,10 @@ def consumer_reach(tables, business_id: int, start: Day, end: Day) -> DataFrame:
 def keyword_rank(tables, business_id: int, start: Day, end: Day) -> DataFrame:
     """Search terms and carousels that showed the brand, by impressions on it.
 
-    One scan and one shuffle of rows: the join with the eligible consumers leaves
-    the rows placed by consumer, as the sums per term, surface and consumer need
-    them; distinct consumers are then plain counts. A term the brand was never
-    shown for is left out.
+    One scan: rows are summed per term, surface and consumer, tasks first, before
+    they meet the eligible consumers, so a consumer with very many rows is a few;
+    distinct consumers are then plain counts. A term the brand was never shown for
+    is left out.
     """
     brand = brand_stores(tables, business_id)
     shown = _shown(tables, start, end).where(F.col("product_name").isNotNull())
@@ -89,17 +89,16 @@ def keyword_rank(tables, business_id: int, start: Day, end: Day) -> DataFrame:
         F.col("id").isNotNull().alias("counts"),
         F.when(F.col("on_brand"), F.col("card_position")).alias("position"),
     )
-    near = eligible_consumers(tables, brand)
-    eligible = skew_join(rows, near, ["consumer_id"], "left_semi", heat=shown)
-    per_consumer = eligible.groupBy("product_name", "product_surface", "consumer_id").agg(
+    per_consumer = rows.where(F.col("consumer_id").isNotNull()).groupBy("product_name", "product_surface", "consumer_id").agg(
         F.count_if("counts").alias("shown"),
         F.count_if(F.col("counts") & F.col("on_brand")).alias("shown_brand"),
         F.sum("position").alias("position_sum"),
         F.count("position").alias("position_count"),
         F.max("on_brand").alias("on_brand"),
     )
+    eligible = skew_join(per_consumer, eligible_consumers(tables, brand), ["consumer_id"], "left_semi")
     terms = (
-        per_consumer.groupBy("product_name", "product_surface")
+        eligible.groupBy("product_name", "product_surface")
         .agg(
             F.sum("shown").alias("shown"),
             F.sum("shown_brand").alias("shown_brand"),

@@ -76,8 +76,7 @@ def test_reorder_retention(spark):
     assert first["reorder_rate_since"] == 1.0 and first["cx_reordered_30_rate"] == 0.5
 
 
-@pytest.mark.parametrize("floor", [None, 0])
-def test_view_to_conversion(spark, floor):
+def test_view_to_conversion(spark):
     views = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (None, "d")], "impression_event_id bigint, s string")
     clicks = spark.createDataFrame(
         [(11, 1, at(5)), (12, 1, at(3)), (12, 1, at(3)), (13, 2, at(1)), (14, None, at(1))],
@@ -87,7 +86,7 @@ def test_view_to_conversion(spark, floor):
         [(21, 11, at(9)), (22, 11, at(8)), (23, None, at(1))],
         "delivery_id bigint, click_event_id bigint, order_timestamp timestamp_ntz",
     )
-    result = ads.view_to_conversion(views, clicks, orders, floor)
+    result = ads.view_to_conversion(views, clicks, orders)
     picked = result.select("impression_event_id", "is_clicked", "click_event_id", "is_converted", "delivery_id")
     assert listed(picked) == sorted(
         [(1, 1, 12, 1, 22), (1, 1, 12, 1, 22), (2, 1, 13, 0, None), (3, 0, None, 0, None), (None, 0, None, 0, None)],

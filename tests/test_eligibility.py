@@ -47,17 +47,16 @@ def test_last_order_is_strictly_before(spark, floor):
     assert found == {"a": (dt.date(2024, 3, 7), "3"), "b": (None, None), "c": (None, None)}
 
 
-@pytest.mark.parametrize("floor", [None, 0])
-def test_membership_is_of_the_day(spark, floor):
+def test_membership_is_of_the_day(spark):
     impressions = [("a", NOON, 1, 1), ("b", NOON + dt.timedelta(days=1), 1, 1), ("c", NOON, 1, None)]
     members = [(1, NOON.date()), (1, NOON.date()), (2, NOON.date())]
     result = eligibility.with_membership(
-        spark.createDataFrame(impressions, IMPRESSIONS), spark.createDataFrame(members, MEMBERS), floor
+        spark.createDataFrame(impressions, IMPRESSIONS), spark.createDataFrame(members, MEMBERS)
     )
     assert sorted((r["view_id"], r["cx_is_member"]) for r in result.collect()) == [("a", 1), ("b", 0), ("c", 0)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_bytes": -1, "floor": 0}])
+@pytest.mark.parametrize("limits", [{}, {"max_bytes": -1}])
 def test_campaigns_active_at_the_impression(spark, limits):
     impressions = [("a", NOON, 1, 1), ("b", dt.datetime(2024, 4, 1), 1, 1), ("c", NOON, 2, 1)]
     campaigns = [

@@ -32,7 +32,7 @@ def test_query_matches_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_duckdb_with_every_key_hot_and_nothing_broadcast(spark, duck, name, monkeypatch):
     monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
-    monkeypatch.setattr(joins, "HOT_FLOOR", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 0)
     monkeypatch.setattr(engagement, "CROWDED_CART", 0)
     problems, _ = differences(spark, duck, SMALL, QUERIES[name], ORACLE_SQL[name])
     assert problems == []

@@ -172,7 +172,7 @@ def cart_path(request, monkeypatch):
         from storelens.operators import joins
 
         monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
-        monkeypatch.setattr(joins, "HOT_FLOOR", 0)
+        monkeypatch.setattr(joins, "HOT_ROWS", 0)
         monkeypatch.setattr(engagement, "CROWDED_CART", 0)
     return request.param
 
@@ -223,7 +223,7 @@ def test_items_of_crowded_carts(spark, floor, monkeypatch):
 
     if floor is not None:
         monkeypatch.setattr(engagement, "CROWDED_CART", floor)
-        monkeypatch.setattr(joins, "HOT_FLOOR", floor)
+        monkeypatch.setattr(joins, "HOT_ROWS", floor)
     rng = random.Random(2)
     carts = ["A"] * 12 + ["B"] * 8 + list("CDEFGH")
     names = ["tea", "bun", "pie", "jam", None, "fig", "nut"]
