@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelens.llm.common import TABLE_ENTRIES, batches, bounded_sample
+from storelens.llm.common import TABLE_ENTRIES, batches, bounded_sample, checkpointed
 
 TRAIN_ROWS = 3000
 WORDS = 20_000
@@ -78,7 +78,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
         return step
 
-    counted = batches(sample, "lang string, size int, entry string, n long", each).groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
+    counted = batches(sample, "lang string, size int, entry string, n long", each)
+    counted = checkpointed(counted.groupBy("lang", "size", "entry").agg(F.sum("n").alias("n")))
     kind = F.col("size") > 0
     order = Window.partitionBy("lang", kind).orderBy(F.desc("n"), "size", "entry")
     most = F.when(kind, F.lit(GRAMS)).otherwise(F.lit(WORDS))
