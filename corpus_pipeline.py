@@ -30,8 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drops documents whose lines are more likely bad, at the operator's threshold."""
-    labels = read(spark, folder, "labels").select(F.col("doc_id"), F.col("quality").alias("_quality"))
-    field = quality.fit(docs.select("doc_id", "text").where(~held_out()).join(labels, "doc_id"), label="_quality")
+    field = quality.fit(docs.where(~held_out()), read(spark, folder, "labels"))
     scored = quality.score(docs, field, docs.columns, name="_quality_score")
     return scored.where(F.col("_quality_score") >= quality.THRESHOLD).select(*docs.columns)
 

@@ -152,10 +152,15 @@ def train(features: list[np.ndarray], labels: list[int], weights: list[float]) -
     return Field(w, pairs)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", rows: int = TRAIN_ROWS) -> Field:
-    """The field of the rows with a label 0 or 1 and a text that is not blank."""
-    known = labelled.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).cast("int").alias("_label"))
-    known = known.where("_label in (0, 1) and _text is not null")
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", rows: int = TRAIN_ROWS) -> Field:
+    """The field of the documents with a label 0 or 1 and a text that is not blank.
+
+    Ids and labels meet alone; only the sample's ids, some `rows` a label, are
+    broadcast to fetch its texts.
+    """
+    named = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    known = named.select("_key").join(labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")), "_key")
+    known = known.where("_label in (0, 1)")
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     width = 3 * OWN + 2
 
@@ -171,8 +176,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
         return step
 
     kind = dict(known.dtypes)["_key"]
-    sample = bounded_sample(known, "_label", rows, "_key")
-    got = batches(sample, f"_key {kind}, _label int, features binary", each).collect()  # bounded by `rows` and TRAIN_LINES
+    sample = named.where("_text is not null").join(F.broadcast(bounded_sample(known, "_label", rows, "_key")), "_key")
+    got = batches(sample.select("_key", "_label", "_text"), f"_key {kind}, _label int, features binary", each).collect()  # bounded by `rows` and TRAIN_LINES
     got = sorted((r for r in got if r["features"]), key=lambda r: (str(r["_key"]), bytes(r["features"])))
     if not got:
         return Field(np.zeros(width), np.zeros((2, 2)))

@@ -39,7 +39,7 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     labels = read(spark, folder, "labels").select("doc_id", "quality")
-    field = quality.fit(docs.where(~held_out()).join(labels, "doc_id"))
+    field = quality.fit(docs.where(~held_out()), labels)
     scored = quality.score(docs, field, ["doc_id"])
     predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))

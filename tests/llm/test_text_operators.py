@@ -180,7 +180,7 @@ def test_messages_equal_enumeration():
 
 
 def test_quality_edge_cases(spark):
-    field = quality.fit(spark.createDataFrame([], "doc_id long, text string, quality int"))
+    field = quality.fit(spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, quality int"))
     odd = [(1, None), (2, ""), (3, " \n "), (4, "some words"), (5, "a\n" * 3000), (6, "\x00 \x1c"), (6, "\x00 \x1c")]
     found = sorted(tuple(r) for r in quality.score(spark.createDataFrame(odd, DOCS), field, ["doc_id"]).collect())
     assert found == [(1, 0.0), (2, 0.0), (3, 0.0), (4, 0.5), (5, 0.5), (6, 0.5), (6, 0.5)]
