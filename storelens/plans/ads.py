@@ -40,24 +40,29 @@ def order_sequence(deliveries: DataFrame, **cut) -> DataFrame:
     return running_numbers(deliveries, "consumer_id", levels, "created_at", ["delivery_id"], **cut)
 
 
-def consumers_acquired(numbered: DataFrame) -> DataFrame:
-    """Per campaign and day: consumers whose first order at the store it was, and all others."""
+def consumers_acquired(numbered: DataFrame, memberships: DataFrame) -> DataFrame:
+    """Per campaign and day: consumers whose first order at the store it was, and all others; and of both, those
+    listed as members on that day."""
     per_consumer = numbered.groupBy("campaign_id", F.to_date("created_at").alias("day"), "consumer_id").agg(
         (F.min("store_cx_rn") == 1).alias("is_new")
     )
-    counts = per_consumer.groupBy("campaign_id", "day").agg(
-        F.count(F.when(F.col("is_new"), 1)).alias("new_cx_acquired"),
-        F.count(F.when(~F.col("is_new"), 1)).alias("existing_cx_acquired"),
+    listed = memberships.select("consumer_id", F.to_date("day").alias("day"), F.lit(True).alias("is_member")).distinct()
+    per_consumer = skew_join(per_consumer, listed, ["consumer_id", "day"], "left")
+    is_new, is_member = F.col("is_new"), F.col("is_member")
+    return per_consumer.groupBy("campaign_id", "day").agg(
+        F.count(F.when(is_new, 1)).alias("new_cx_acquired"),
+        F.count(F.when(~is_new, 1)).alias("existing_cx_acquired"),
         F.count(F.lit(1)).alias("total_cx_acquired"),
+        F.count(F.when(is_new & is_member, 1)).alias("new_member_cx_acquired"),
+        F.count(F.when(~is_new & is_member, 1)).alias("existing_member_cx_acquired"),
     )
-    return counts
 
 
 RETENTION_DAYS = (30, 60, 90)
 
 
 def reorder_retention(deliveries: DataFrame) -> DataFrame:
-    """Per store and day: later orders of that day's consumers at the same store.
+    """Per store and day: later orders, and their sales, of that day's consumers at the same store.
 
     Rows are first summed per consumer, store and day, so a consumer's history at
     a store is at most one row per calendar day, whatever the number of orders.
@@ -72,6 +77,7 @@ def reorder_retention(deliveries: DataFrame) -> DataFrame:
     spans["since"] = history.rangeBetween(1, Window.unboundedFollowing)
     for name, span in spans.items():
         daily = daily.withColumn(f"_again_{name}", F.coalesce(F.sum("deliveries").over(span), F.lit(0)))
+        daily = daily.withColumn(f"_sales_{name}", F.sum("sales").over(span))
     totals = [
         F.count(F.lit(1)).alias("cxs"),
         F.sum("deliveries").alias("deliveries"),
@@ -80,6 +86,7 @@ def reorder_retention(deliveries: DataFrame) -> DataFrame:
     for name in spans:
         again = F.col(f"_again_{name}")
         totals.append(F.sum(again).alias(f"reorder_deliv_{name}"))
+        totals.append(F.coalesce(F.sum(f"_sales_{name}"), F.lit(0.0)).alias(f"reorder_sales_{name}"))
         totals.append(F.count(F.when(again > 0, 1)).alias(f"cx_reordered_{name}"))
     result = daily.groupBy("store_id", "active_date").agg(*totals)
     for name in spans:
@@ -88,18 +95,26 @@ def reorder_retention(deliveries: DataFrame) -> DataFrame:
     return result
 
 
-def view_to_conversion(impressions: DataFrame, clicks: DataFrame, orders: DataFrame) -> DataFrame:
-    """Each impression with its first click and first order, and 0/1 flags for both."""
+def view_to_conversion(impressions: DataFrame, clicks: DataFrame, carts: DataFrame, orders: DataFrame) -> DataFrame:
+    """Each impression with its first click and first order, and 0/1 flags for click, cart and order.
+
+    A click without an id leads to no cart and no order; such clicks stay out of
+    the joins, so they do not meet in one task.
+    """
     ordered = orders.groupBy("click_event_id").agg(
         F.min(F.struct("order_timestamp", "delivery_id")).alias("_order")
     )
+    added = carts.select("click_event_id").distinct().withColumn("_added", F.lit(True))
+    followed = clicks.groupBy("impression_event_id", "click_event_id").agg(F.min("click_timestamp").alias("click_timestamp"))
+    known = followed.where(F.col("click_event_id").isNotNull())
+    known = known.join(ordered, "click_event_id", "left").join(added, "click_event_id", "left")
+    lost = followed.where(F.col("click_event_id").isNull())
     answers = (
-        clicks.groupBy("impression_event_id", "click_event_id")
-        .agg(F.min("click_timestamp").alias("click_timestamp"))
-        .join(ordered, "click_event_id", "left")
+        known.unionByName(lost, allowMissingColumns=True)
         .groupBy("impression_event_id")
         .agg(
             F.min(F.struct("click_timestamp", "click_event_id")).alias("_click"),
+            F.max("_added").alias("_added"),
             F.min("_order").alias("_order"),
         )
     )
@@ -109,6 +124,7 @@ def view_to_conversion(impressions: DataFrame, clicks: DataFrame, orders: DataFr
         F.col("_click").isNotNull().cast("int").alias("is_clicked"),
         F.col("_click.click_event_id").alias("click_event_id"),
         F.col("_click.click_timestamp").alias("click_timestamp"),
+        F.col("_added").isNotNull().cast("int").alias("is_added_to_cart"),
         F.col("_order").isNotNull().cast("int").alias("is_converted"),
         F.col("_order.delivery_id").alias("delivery_id"),
         F.col("_order.order_timestamp").alias("order_timestamp"),

@@ -126,12 +126,13 @@ def _order_sequence(t: StarTables) -> DataFrame:
 
 
 _register("order_sequence", _order_sequence, ("subtotal",))
-_register("consumers_acquired", lambda t: ads.consumers_acquired(_order_sequence(t)))
+_register("consumers_acquired", lambda t: ads.consumers_acquired(_order_sequence(t), t.memberships))
 _register(
     "reorder_retention",
     lambda t: ads.reorder_retention(t.numbered_orders),
     (
         "sales",
+        *[f"reorder_sales_{d}" for d in ("30", "60", "90", "since")],
         *[f"reorder_rate_{d}" for d in ("30", "60", "90", "since")],
         *[f"cx_reordered_{d}_rate" for d in ("30", "60", "90", "since")],
     ),
@@ -141,6 +142,7 @@ _register(
     lambda t: ads.view_to_conversion(
         t.ad_views,
         t.ad_clicks.select("click_event_id", "impression_event_id", "click_timestamp"),
+        t.ad_carts.select("click_event_id"),
         t.ad_orders.select("delivery_id", "click_event_id", "order_timestamp"),
     ),
 )

@@ -332,18 +332,23 @@ ORACLE_SQL: dict[str, str] = {
         FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey)""",
     "order_sequence": _with("placed numbered", "SELECT * REPLACE (round(subtotal, 4) AS subtotal) FROM numbered"),
     "consumers_acquired": _with(
-        "placed numbered",
+        "placed numbered membership",
         """SELECT campaign_id, CAST(created_at AS DATE) AS day,
         count(DISTINCT CASE WHEN store_cx_rn = 1 THEN consumer_id END) AS new_cx_acquired,
         count(DISTINCT consumer_id) - count(DISTINCT CASE WHEN store_cx_rn = 1 THEN consumer_id END) AS existing_cx_acquired,
-        count(DISTINCT consumer_id) AS total_cx_acquired FROM numbered GROUP BY 1, 2""",
+        count(DISTINCT consumer_id) AS total_cx_acquired,
+        count(DISTINCT CASE WHEN first_rn = 1 AND is_member THEN consumer_id END) AS new_member_cx_acquired,
+        count(DISTINCT CASE WHEN first_rn > 1 AND is_member THEN consumer_id END) AS existing_member_cx_acquired
+        FROM (SELECT *, min(store_cx_rn) OVER (PARTITION BY campaign_id, CAST(created_at AS DATE), consumer_id) AS first_rn,
+            (consumer_id, CAST(created_at AS DATE)) IN (SELECT consumer_id, day FROM membership) AS is_member FROM numbered)
+        GROUP BY 1, 2""",
     ),
     "reorder_retention": _with(
         "placed",
         "SELECT store_id, active_date, count(*) AS cxs, CAST(sum(n) AS BIGINT) AS deliveries, round(sum(s), 4) AS sales, "
         + ", ".join(
             f"""CAST(sum(a_{d}) AS BIGINT) AS reorder_deliv_{d}, count(*) FILTER (a_{d} > 0) AS cx_reordered_{d},
-            round(sum(a_{d}) / sum(n), 4) AS reorder_rate_{d},
+            round(sum(s_{d}), 4) AS reorder_sales_{d}, round(sum(a_{d}) / sum(n), 4) AS reorder_rate_{d},
             round(count(*) FILTER (a_{d} > 0) / count(*), 4) AS cx_reordered_{d}_rate"""
             for d in ("30", "60", "90", "since")
         )
@@ -354,15 +359,20 @@ ORACLE_SQL: dict[str, str] = {
             coalesce(sum(b.n) FILTER (b.active_date - a.active_date <= 30), 0) AS a_30,
             coalesce(sum(b.n) FILTER (b.active_date - a.active_date <= 60), 0) AS a_60,
             coalesce(sum(b.n) FILTER (b.active_date - a.active_date <= 90), 0) AS a_90,
-            coalesce(sum(b.n), 0) AS a_since FROM daily a LEFT JOIN daily b ON a.store_id = b.store_id
+            coalesce(sum(b.s) FILTER (b.active_date - a.active_date <= 30), 0) AS s_30,
+            coalesce(sum(b.s) FILTER (b.active_date - a.active_date <= 60), 0) AS s_60,
+            coalesce(sum(b.s) FILTER (b.active_date - a.active_date <= 90), 0) AS s_90,
+            coalesce(sum(b.s), 0) AS s_since, coalesce(sum(b.n), 0) AS a_since FROM daily a LEFT JOIN daily b ON a.store_id = b.store_id
             AND a.consumer_id = b.consumer_id AND b.active_date > a.active_date GROUP BY ALL)""",
     ),
     "view_to_conversion": _with(
         "actions",
         """SELECT v.event_id AS impression_event_id, v.consumer_id, v.store_id, v.ts AS impression_timestamp,
         CASE WHEN c.event_id IS NULL THEN 0 ELSE 1 END AS is_clicked, c.event_id AS click_event_id, c.ts AS click_timestamp,
+        CASE WHEN s.event_id IS NULL THEN 0 ELSE 1 END AS is_added_to_cart,
         CASE WHEN o.event_id IS NULL THEN 0 ELSE 1 END AS is_converted, o.event_id AS delivery_id, o.ts AS order_timestamp
         FROM actions v LEFT JOIN actions c ON c.event_id - 1 = v.event_id AND c.event_type = 'click'
+        LEFT JOIN actions s ON s.event_id - 1 = c.event_id AND s.event_type = 'signup'
         LEFT JOIN actions o ON o.event_id - 1 = c.event_id AND o.event_type = 'purchase' WHERE v.event_type = 'view'""",
     ),
     "request_funnel": _with(

@@ -251,6 +251,11 @@ class StarTables:
             "value",
         )
 
+    @cached_property
+    def ad_carts(self) -> DataFrame:
+        """Items put into a cart: sign-ups stand for them; one belongs to the event just before it."""
+        return self._events_of("signup").select((F.col("event_id") - 1).alias("click_event_id"))
+
     @cached_property
     def ad_orders(self) -> DataFrame:
         """An order belongs to the event just before it."""

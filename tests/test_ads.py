@@ -58,9 +58,10 @@ def test_order_sequence_and_acquired(spark, floor):
         (5, 1, 1, 1, 1),
     ]
     day = T0.date()
-    assert listed(ads.consumers_acquired(numbered)) == [(5, day, 2, 0, 2), (6, day, 1, 0, 1)]
-    later = ads.consumers_acquired(numbered.where("delivery_id = 3"))
-    assert listed(later) == [(5, day, 0, 1, 1)]
+    members = spark.createDataFrame([(7, day), (7, day), (8, day - dt.timedelta(days=1))], "consumer_id bigint, day date")
+    assert listed(ads.consumers_acquired(numbered, members)) == [(5, day, 2, 0, 2, 1, 0), (6, day, 1, 0, 1, 1, 0)]
+    later = ads.consumers_acquired(numbered.where("delivery_id = 3"), members)
+    assert listed(later) == [(5, day, 0, 1, 1, 0, 1)]
 
 
 def test_reorder_retention(spark):
@@ -72,6 +73,7 @@ def test_reorder_retention(spark):
     first = result.where(F.col("active_date") == T0.date()).first().asDict()
     assert (first["cxs"], first["deliveries"], first["sales"]) == (2, 3, 20.0)
     assert [first[f"reorder_deliv_{n}"] for n in ("30", "60", "90", "since")] == [1, 2, 2, 3]
+    assert [first[f"reorder_sales_{n}"] for n in ("30", "60", "90", "since")] == [10.0, 20.0, 20.0, 30.0]
     assert [first[f"cx_reordered_{n}"] for n in ("30", "60", "90", "since")] == [1, 1, 1, 1]
     assert first["reorder_rate_since"] == 1.0 and first["cx_reordered_30_rate"] == 0.5
 
@@ -86,14 +88,24 @@ def test_view_to_conversion(spark):
         [(21, 11, at(9)), (22, 11, at(8)), (23, None, at(1))],
         "delivery_id bigint, click_event_id bigint, order_timestamp timestamp_ntz",
     )
-    result = ads.view_to_conversion(views, clicks, orders)
-    picked = result.select("impression_event_id", "is_clicked", "click_event_id", "is_converted", "delivery_id")
+    carts = spark.createDataFrame([(12,), (12,), (None,)], "click_event_id bigint")
+    result = ads.view_to_conversion(views, clicks, carts, orders)
+    picked = result.select("impression_event_id", "is_clicked", "click_event_id", "is_added_to_cart", "is_converted", "delivery_id")
     assert listed(picked) == sorted(
-        [(1, 1, 12, 1, 22), (1, 1, 12, 1, 22), (2, 1, 13, 0, None), (3, 0, None, 0, None), (None, 0, None, 0, None)],
+        [(1, 1, 12, 1, 1, 22), (1, 1, 12, 1, 1, 22), (2, 1, 13, 0, 0, None), (3, 0, None, 0, 0, None), (None, 0, None, 0, 0, None)],
         key=str,
     )
 
 
+def test_clicks_without_id_are_clicks(spark):
+    views = spark.createDataFrame([(1,)], "impression_event_id bigint")
+    clicks = spark.createDataFrame([(None, 1, at(5))], "click_event_id bigint, impression_event_id bigint, click_timestamp timestamp_ntz")
+    carts = spark.createDataFrame([(None,)], "click_event_id bigint")
+    orders = spark.createDataFrame([(9, None, at(6))], "delivery_id bigint, click_event_id bigint, order_timestamp timestamp_ntz")
+    row = ads.view_to_conversion(views, clicks, carts, orders).first()
+    assert (row["is_clicked"], row["is_added_to_cart"], row["is_converted"], row["click_timestamp"]) == (1, 0, 0, at(5))
+
+
 def test_request_funnel(spark):
     def stage(rows, key, parent):
         return spark.createDataFrame(rows, f"{key} string, {parent} string")
