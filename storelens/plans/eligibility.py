@@ -20,20 +20,20 @@ ELIGIBILITY = contract(
     ("event_date", "timestamp_ntz", "when the impression happened, UTC"),
     ("store_id", "string", "store shown"),
     ("consumer_id", "string", "consumer it was shown to"),
-    ("cx_is_member", "int", "1 if the consumer was a member that day"),
+    ("cx_is_member", "bigint", "1 if the consumer was a member that day"),
     ("last_order_date", "date", "day of the consumer's latest earlier order at the store"),
     ("days_since_last_order", "string", "days from that order to the impression"),
     ("campaign_id", "bigint", "campaign of the store active at the impression"),
-    ("is_classic", "int", "1 if the campaign is for non-members only"),
-    ("is_new_store_consumers", "int", "1 if it is for consumers new to the store only"),
-    ("is_member", "int", "1 if it is for members only"),
-    ("is_winback", "int", "1 if it is for consumers who ordered at the store before"),
-    ("winback_days", "int", "days without an order a win-back campaign asks for"),
-    ("is_classic_eligible", "int", "1 if the non-member setting lets the consumer in"),
-    ("is_new_store_consumers_eligible", "int", "1 if the new-to-store setting does"),
-    ("is_winback_eligible", "int", "1 if the win-back setting does"),
-    ("is_member_eligible", "int", "1 if the member setting does"),
-    ("cx_eligible", "int", "1 if all four settings do"),
+    ("is_classic", "bigint", "1 if the campaign is for non-members only"),
+    ("is_new_store_consumers", "bigint", "1 if it is for consumers new to the store only"),
+    ("is_member", "bigint", "1 if it is for members only"),
+    ("is_winback", "bigint", "1 if it is for consumers who ordered at the store before"),
+    ("winback_days", "bigint", "days without an order a win-back campaign asks for"),
+    ("is_classic_eligible", "bigint", "1 if the non-member setting lets the consumer in"),
+    ("is_new_store_consumers_eligible", "bigint", "1 if the new-to-store setting does"),
+    ("is_winback_eligible", "bigint", "1 if the win-back setting does"),
+    ("is_member_eligible", "bigint", "1 if the member setting does"),
+    ("cx_eligible", "bigint", "1 if all four settings do"),
 )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -73,9 +75,15 @@ def conform_to(frame: DataFrame, schema: StructType) -> DataFrame:
     )
 
 
-def contract_findings(found: StructType, wanted: StructType) -> list[str]:
-    """How a schema departs from a contract; empty when it holds."""
+def contract_findings(found: StructType, wanted: StructType, renamed: Mapping[str, str] | None = None) -> list[str]:
+    """How a schema departs from a contract; empty when it holds.
+
+    `renamed` gives, for columns that have another name here, that name by the
+    contract's; findings use the contract's names.
+    """
     findings = []
+    back = {here.lower(): there.lower() for there, here in (renamed or {}).items()}
+    found = StructType([StructField(back.get(f.name.lower(), f.name), f.dataType) for f in found])
     positions = {f.name.lower(): (i, f) for i, f in enumerate(found)}
     names = {f.name.lower() for f in wanted}
     for i, field in enumerate(wanted):

@@ -138,3 +138,19 @@ column_definitions:
     schema = contract_from_yaml(text)
     assert schema.simpleString() == "struct<view_id:string,seen:timestamp_ntz,flag:bigint>"
     assert [f.metadata["comment"] for f in schema] == ["an id", "", "0/1"]
+
+
+def test_result_holds_against_a_contract_with_other_names(spark):
+    """A contract in text, with its own names for some columns and one integer type."""
+    names = {"cx_is_subscriber": "cx_is_member", "is_subscriber": "is_member", "is_subscriber_eligible": "is_member_eligible"}
+    theirs = {here: there for there, here in names.items()}
+    words = {"bigint": "number", "string": "text", "timestamp_ntz": "timestamp_ntz", "date": "date"}
+    lines = [
+        f"  - name: {theirs.get(f.name, f.name).upper()}\n    type: {words[f.dataType.simpleString()]}\n    comment: c"
+        for f in eligibility.ELIGIBILITY
+    ]
+    wanted = contract_from_yaml("column_definitions:\n" + "\n".join(lines))
+    empty = spark.createDataFrame([], eligibility.ELIGIBILITY)
+    assert contract_findings(empty.schema, wanted, names) == []
+    found = contract_findings(empty.schema, wanted)
+    assert "cx_is_subscriber: missing" in found and "cx_is_member: not in contract" in found
