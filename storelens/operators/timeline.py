@@ -1,12 +1,13 @@
 """Ordered operations per key (last before, running number, validity range).
 
 A window per key puts the whole key into one task. Here a hot key's timeline is
-cut into minutes: each minute is a group of its own, and what a minute must know
-of the others (the last value before it, the count so far, the first time after
-it) comes from per-minute aggregates as one extra row. Such a key has one
-aggregate row per minute it was active, so that step is bounded by the calendar.
-Keys that are not hot keep one group and get no extra row; without hot keys the
-plan is the plain window.
+cut into slots, and what a slot must know of the others (the last value before
+it, the count so far, the first time after it) comes from per-slot aggregates as
+one extra row. For the last value before, slots are minutes: only distinct times
+are ordered, and such a key has one aggregate row per minute it was active. For
+numbering, slots are ranges of (time, tie) of even size, so neither many rows at
+one instant nor rows without a time meet in one task. Keys that are not hot keep
+one group and get no extra row; without hot keys the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from storelens.operators.checkpoints import checkpointed
 from storelens.operators.joins import hot_keys, row_part, skew_join, with_pieces
 
 UNIT = "minute"
@@ -158,7 +160,6 @@ def running_numbers(
     time: str,
     tie: list[str],
     next_time: str | None = None,
-    unit: str = UNIT,
     floor: int | None = None,
     heat: DataFrame | None = None,
 ) -> DataFrame:
@@ -166,17 +167,24 @@ def running_numbers(
 
     `levels` maps an output column to the columns that, with the owner, form the
     group. `next_time` names a column for the time of the owner's next row. One
-    shuffle by owner (and minute, for hot owners) serves all of them. `heat` is a
+    shuffle by owner (and slot, for hot owners) serves all of them. Hot owners'
+    rows are first dealt into ordered ranges and written to the checkpoint folder,
+    as a range's number must not change when a task is run again. `heat` is a
     frame with the same owners that is cheaper to look at.
     """
     hot = hot_keys(rows if heat is None else heat, [owner], floor)
     placed = rows.withColumns({"_at": F.lit(_ROW), "_level": F.lit(""), "_weight": F.lit(1).cast("long")})
     place = [owner]
     if hot:
-        slot = F.when(F.col("_pieces") > 1, _slot(time, unit))
-        placed = with_pieces(placed, [owner], hot).withColumn("_slot", slot).drop("_pieces")
+        listed = with_pieces(placed, [owner], hot)
+        ranges = listed.where(F.col("_pieces") > 1).drop("_pieces")
+        # As many ranges as the rows ask for, or as a shuffle of this session has tasks.
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = ranges.repartitionByRange(min(tasks, sum(pieces for _, pieces in hot)), owner, time, *tie)
+        cut = checkpointed(ranges.withColumn("_slot", F.spark_partition_id()))
+        whole = listed.where(F.col("_pieces") <= 1).drop("_pieces").withColumn("_slot", F.lit(None).cast("int"))
+        placed = whole.unionByName(cut)
         place.append("_slot")
-        cut = placed.where(F.col("_slot").isNotNull())
         for name, columns in levels.items():
             group = [owner, *columns]
             before = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from storelens.operators.timeline import last_before, running_numbers, validity_ranges
 
@@ -83,3 +84,27 @@ def test_validity_ranges(spark, floor):
     assert [r["valid_to"] for r in result] == times[1:] + [None, None]
     assert [r["is_current"] for r in result] == [False] * 4 + [True, True]
     assert all(r["valid_from"] == r["updated"] for r in result)
+
+
+def test_one_owner_and_one_instant_are_numbered_by_several_tasks(spark):
+    """A hot owner's rows at one instant and without a time lie in several ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        check_one_owner(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def check_one_owner(spark):
+    frame = spark.range(4000).select(
+        F.lit(1).cast("bigint").alias("owner"),
+        F.when(F.col("id") % 2 == 0, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("at"),
+        "id",
+    ).repartition(5)
+    found = running_numbers(frame, "owner", {"n": []}, "at", ["id"], next_time="then", floor=100)
+    parts = found.withColumn("task", F.spark_partition_id())
+    assert parts.where("at is null").select("task").distinct().count() > 1
+    assert parts.where("at is not null").select("task").distinct().count() > 1
+    rows = sorted(found.collect(), key=lambda r: r["n"])
+    assert [r["n"] for r in rows] == list(range(1, 4001))
+    assert [r["id"] for r in rows] == [*range(1, 4000, 2), *range(0, 4000, 2)]
