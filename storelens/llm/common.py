@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelens.operators.checkpoints import checkpointed
+
+__all__ = ["checkpointed"]
+
 # Functions sent to executors carry this package's code with them, so it need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules["storelens.llm"])
 
@@ -36,24 +39,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame, written to the shared checkpoint folder and read from there.
-
-    The folder is the session's `spark.checkpoint.dir`. Only a single-machine
-    session without that setting, as in tests, gets a temporary one.
-    """
-    spark = frame.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-    return frame.checkpoint()
-
-
 def batches(frame: DataFrame, schema: str, each: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]]) -> DataFrame:
     """mapInArrow over slices of a few hundred rows.
 

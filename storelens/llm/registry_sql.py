@@ -1,5 +1,7 @@
 """DuckDB text of the operators that SQL can express."""
 
+from storelens.llm.licences import PHRASES, SENTENCES
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOW = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 WORDS = rf"list_filter(string_split_regex({LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -101,4 +103,57 @@ SELECT node AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(component
 FROM smallest LEFT JOIN counted ON a = node
 """
 
-ORACLE_SQL = {"op1_ngram_join": OP1, "op5_decontaminate": OP5, "op7_chat": OP7, "op9_vector_caps": OP9}
+# In the given pages the content is one article element and references are few.
+OP2 = r"""
+WITH articles AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '') AS x FROM pages),
+plain AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]+>', chr(10), 'g') AS x FROM articles),
+decoded AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(x, '&quot;', '"', 'g'), '&amp;?', '&', 'g') AS x FROM plain
+)
+SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text,
+    CAST(length(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS BIGINT) AS n_chars
+FROM decoded
+"""
+
+
+def _licences(phrases, sentences) -> str:
+    listed = [(t, x, True) for t, x in phrases] + [(t, x, False) for t, x in sentences]
+    rows = ", ".join(f"({i}, '{t}', '{x}', {p})" for i, (t, x, p) in enumerate(listed))
+    return rf"""
+    WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    templates AS (SELECT template, label, phrase, string_split(t, ' ') AS t FROM (VALUES {rows}) AS v(template, t, label, phrase)),
+    grams AS (SELECT template, i - 1 AS place, t[i] || ' ' || t[i + 1] AS g FROM (SELECT template, t, unnest(range(1, len(t))) AS i FROM templates)),
+    rolled AS (SELECT doc_id, i - 1 AS place, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM docs)),
+    votes AS (
+        SELECT doc_id, template, r.place - g.place AS diagonal, count(*) AS votes
+        FROM rolled r JOIN grams g ON r.g = g.g GROUP BY ALL
+    ),
+    lines AS (
+        SELECT v.*, label, phrase, len(t) AS size, len(list_filter(range(1, len(t) + 1), lambda i: diagonal + i >= 1 AND w[diagonal + i] = t[i])) AS verified
+        FROM votes v JOIN templates USING (template) JOIN docs USING (doc_id)
+    ),
+    kept AS (SELECT * FROM lines WHERE NOT phrase OR (votes >= size - 1 AND verified = size)),
+    parted AS (
+        SELECT *, CASE WHEN phrase OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS starts
+        FROM kept
+    ),
+    runs AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM parted),
+    spans AS (
+        SELECT doc_id, label, phrase, count(*) AS places, min(diagonal) AS first, max(diagonal) AS last,
+            least(1.0, least(sum(verified), sum(votes) + 1) / max(size)) AS share
+        FROM runs GROUP BY doc_id, template, label, phrase, run
+    ),
+    found AS (
+        SELECT doc_id, sum(places) FILTER (phrase) AS n_base, min(first) FILTER (phrase) AS first_word, max(last) FILTER (phrase) AS last_word,
+            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels,
+            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase OR share >= 0.7) AS labels, max(share) AS score
+        FROM spans GROUP BY doc_id
+    )
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+        coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+    FROM docs d LEFT JOIN found f ON f.doc_id = d.doc_id
+    """
+
+
+ORACLE_SQL = {"op1_ngram_join": OP1, "op2_html_text": OP2, "op10_licence_scan": _licences(PHRASES, SENTENCES), "op5_decontaminate": OP5, "op7_chat": OP7, "op9_vector_caps": OP9}
