@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scalars import Day, day_window
-from storelens.operators.joins import distinct_keys, fits_broadcast, hot_keys, in_cohort, skew_join, with_pieces
+from storelens.operators.joins import distinct_keys, in_cohort, skew_join
 from storelens.operators.metrics import union_all
 from storelens.plans.overview import brand_stores
 
@@ -65,21 +65,19 @@ def unique_items_added(tables, business_id: int, start: Day, end: Day) -> DataFr
     return rows.agg(F.countDistinct("item_name").alias("unique_item_count"))
 
 
-def _carts(tables, business_id: int) -> tuple[DataFrame, bool]:
-    """Brand deliveries and their carts, each pair once, and whether they may be broadcast."""
+def _carts(tables, business_id: int) -> DataFrame:
+    """Brand deliveries and their carts, each pair once.
+
+    How they are joined is left to adaptive execution, which knows their size
+    when it has built them; they are not run beforehand to be measured.
+    """
     core = tables.deliveries.where(F.col("is_filtered_core"))
     carts = (
         _on_brand(tables, core, business_id)
         .where(F.col("order_cart_uuid").isNotNull() & F.col("delivery_id").isNotNull())
         .select(F.col("order_cart_uuid").alias("order_uuid"), "delivery_id")
     )
-    return carts.distinct(), fits_broadcast(carts)
-
-
-def _meet(facts: DataFrame, carts: DataFrame, small: bool, key: str, how: str = "inner") -> DataFrame:
-    if small:
-        return facts.join(F.broadcast(carts), key, how)
-    return skew_join(facts, carts, [key], how)
+    return carts.distinct()
 
 
 def _checkouts(tables, start: Day, end: Day) -> DataFrame:
@@ -92,19 +90,19 @@ def items_ordered_by_consumers(tables, business_id: int, start: Day, end: Day) -
     Only which consumer met which item matters, so each step keeps distinct rows:
     copies of a checkout, delivery or item row never multiply in the joins.
     """
-    carts, small = _carts(tables, business_id)
+    carts = _carts(tables, business_id)
     checkouts = _checkouts(tables, start, end)
-    bought = _meet(checkouts, carts, small, "order_uuid", "left_semi")
+    bought = skew_join(checkouts, carts, ["order_uuid"], "left_semi")
     buyers = bought.select("order_uuid", "user_id").distinct()
-    lines = _meet(tables.order_items, carts, small, "delivery_id")
+    lines = skew_join(tables.order_items, carts, ["delivery_id"])
     items = lines.select("order_uuid", "item_name").distinct()
-    crowded = hot_keys(checkouts, ["order_uuid"], CROWDED_CART)
-    if crowded:
+    crowded = checkouts.groupBy("order_uuid").count().where(F.col("count") > CROWDED_CART).select("order_uuid")
+    if not crowded.isEmpty():
         return _by_item_of_crowded_carts(items, buyers, crowded)
     return _by_item(items.join(buyers, "order_uuid").select("item_name", "user_id"), "user_id")
 
 
-def _by_item_of_crowded_carts(items: DataFrame, buyers: DataFrame, crowded: list) -> DataFrame:
+def _by_item_of_crowded_carts(items: DataFrame, buyers: DataFrame, crowded: DataFrame) -> DataFrame:
     """The same when a cart id was used by very many consumers.
 
     Such a cart gives each of its items the same consumers, so they are counted
@@ -113,9 +111,7 @@ def _by_item_of_crowded_carts(items: DataFrame, buyers: DataFrame, crowded: list
     """
 
     def part(frame: DataFrame, in_crowded: bool) -> DataFrame:
-        split = F.col("_pieces") > 1
-        marked = with_pieces(frame, ["order_uuid"], crowded)
-        return marked.where(split if in_crowded else ~split).drop("_pieces")
+        return skew_join(frame, crowded, ["order_uuid"], "left_semi" if in_crowded else "left_anti")
 
     # There are few crowded carts, so an item's set of them is small.
     sets = part(items, True).groupBy("item_name").agg(F.array_sort(F.collect_set("order_uuid")).alias("carts"))
@@ -137,8 +133,8 @@ def _by_item_of_crowded_carts(items: DataFrame, buyers: DataFrame, crowded: list
 
 def unique_items_ordered(tables, business_id: int, start: Day, end: Day) -> DataFrame:
     """Distinct items checked out. Nothing of the checkout is kept, so semi joins suffice."""
-    carts, small = _carts(tables, business_id)
+    carts = _carts(tables, business_id)
     orders = distinct_keys(_checkouts(tables, start, end), "order_uuid")
     bought = carts.join(orders, "order_uuid", "left_semi").select("delivery_id").distinct()
-    items = _meet(tables.order_items, bought, small, "delivery_id", "left_semi")
+    items = skew_join(tables.order_items, bought, ["delivery_id"], "left_semi")
     return items.agg(F.countDistinct("item_name").alias("unique_item_count"))

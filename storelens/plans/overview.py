@@ -10,8 +10,11 @@ from storelens.operators.joins import Cohort, cohort
 
 
 def brand_stores(tables, business_id: int) -> Cohort:
-    """Store ids of one business."""
-    return cohort(tables.stores.where(F.col("business_id") == business_id), "store_id")
+    """Store ids of one business, measured once for all reports over the same tables."""
+    known = tables.__dict__.setdefault("_brand_stores", {})
+    if business_id not in known:
+        known[business_id] = cohort(tables.stores.where(F.col("business_id") == business_id), "store_id")
+    return known[business_id]
 
 
 def store_list(tables, business_id: int) -> DataFrame:

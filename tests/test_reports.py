@@ -167,7 +167,7 @@ def test_items_added(spark):
 
 @pytest.fixture(params=[True, False], ids=["broadcast", "shuffled"])
 def cart_path(request, monkeypatch):
-    """Both ways to join: carts small enough to broadcast, and not, with every key split."""
+    """Stores small enough to broadcast, and not, with every cart crowded."""
     if not request.param:
         from storelens.operators import joins
 
