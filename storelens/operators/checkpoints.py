@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,10 @@ def checkpointed(frame: DataFrame) -> DataFrame:
 
     The folder is the session's `spark.checkpoint.dir`. Only a single-machine
     session without that setting, as in tests, gets a temporary one.
+
+    Spark removes shuffle files when the driver's collector finds that no frame
+    needs them. It is asked to look here, so that the files of one step are gone
+    before the next one writes its own.
     """
     spark = frame.sparkSession
     context = spark.sparkContext
@@ -22,4 +27,8 @@ def checkpointed(frame: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
-    return frame.checkpoint()
+    done = frame.checkpoint()
+    del frame
+    gc.collect()
+    context._jvm.System.gc()
+    return done
