@@ -41,6 +41,8 @@ from storelens.llm.components import connected_components
 # The count table: 2 ** COUNT_BITS counters in CHUNKS rows. It steers the order of shingles, never the result.
 COUNT_BITS = 18
 CHUNKS = 16
+# Slots of document ids, marked where a text is needed again.
+SLOT_BITS = 24
 # Minimum hashes a set; each gives its class a bucket with one leader.
 LEADERS = 4
 
@@ -160,25 +162,27 @@ def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule,
     Only the texts of classes in some pair are read again. A text is recognised
     by its set's name, so a repeated document id cannot bring in another text.
     """
+    pairs = checkpointed(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    wanted = classes.select("name", "first").join(needed, "name")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS))
+    word, bit = lambda c: F.shiftright(slot(c), 6), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (slot(c) % 64).cast("int"))
+    # A bit per slot of document ids, in at most 2 ** (SLOT_BITS - 6) rows: lets few needless texts through.
+    marks = classes.join(needed, "name").select(word("first").alias("word"), bit("first").alias("bit"))
+    marks = marks.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    texts = docs.where(F.col(key).isNotNull()).select(word(key).alias("word"), bit(key).alias("bit"), F.col(text).alias("_text"))
+    texts = texts.join(F.broadcast(marks), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("_text")
 
     def whole():
         table = WordHashes()
 
         def step(part):
             found = [shingles(x, rule.words, table) for x in part.column("_text").to_pylist()]
-            keep = [i for i, (x, name) in enumerate(zip(found, part.column("name").to_pylist())) if set_name(x) == name]
-            kept = [found[i] for i in keep]
-            yield {
-                "name": part.column("name").take(pa.array(keep, pa.int64())),
-                "hashes": [x.tobytes() for x in kept],
-            }
+            found = [x for x in found if len(x)]
+            yield {"name": [set_name(x) for x in found], "hashes": [x.tobytes() for x in found]}
 
         return step
 
-    texts = docs.select(F.col(key).alias("first"), F.col(text).alias("_text")).where(F.col("first").isNotNull())
-    sets = batches(texts.join(wanted, "first").select("name", "_text"), "name binary, hashes binary", whole)
+    sets = batches(texts, "name binary, hashes binary", whole).join(needed, "name", "left_semi")
     sets = checkpointed(sets.dropDuplicates(["name"]))
 
     def compare():
@@ -216,9 +220,9 @@ def leader_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.where(like).select(F.col("name").alias("a"), F.col("leader.name").alias("b")).distinct()
 
 
-def block_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs across components. `classes` has name, n, prefix and group (a number of its component)."""
-    entries = classes.select(
+def block_pairs(grouped: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Candidate pairs across components. `grouped` has name, n, prefix and group (a number of its component)."""
+    entries = grouped.select(
         "n", "group", F.xxhash64("name").alias("id"), F.posexplode("prefix").alias("place", "entry")
     ).withColumn("rest", F.col("n") - F.col("place"))
     reach = rule.reach(F.col("rest"), F.col("n"))
@@ -268,19 +272,21 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", te
     rows = checkpointed(described(docs, rule, key, text))
     classes = checkpointed(
         rows.where("n > 0").groupBy("name").agg(
-            F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
-            F.first("least").alias("least"), F.first("prefix").alias("prefix"),
+            F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("least").alias("least")
         )
     )
     stars = overlaps(leader_pairs(classes, rule), classes, docs, rule, key, text)
     stars = _sizes(stars, classes).where(rule.linked(F.col("both"), F.col("n_a"), F.col("n_b")))
     stars = checkpointed(stars)
     near = checkpointed(connected_components(stars))
+    # One row of each class brings its prefix. Copies of that row add nothing: a list never pairs equal ids.
     grouped = classes.join(near.withColumnRenamed("node", "name"), "name", "left")
-    grouped = grouped.withColumn("group", F.xxhash64(F.coalesce("component", "name")))
+    grouped = grouped.select("name", F.col("first").alias(key), F.xxhash64(F.coalesce("component", "name")).alias("group"))
+    grouped = rows.select("name", key, "n", "prefix").join(grouped, ["name", key])
+    found = checkpointed(block_pairs(grouped, classes, rule))
     follow = stars.groupBy(F.col("a").alias("name")).agg(F.max(F.struct("both", "b", "n_b")).alias("s"))
     follow = follow.select("name", F.col("s.b").alias("leader"), F.col("s.both").alias("both"), F.col("s.n_b").alias("n_leader"))
-    links = derived(block_pairs(grouped, rule), classes, follow, docs, rule, key, text)
+    links = derived(found, classes, follow, docs, rule, key, text)
     # Links between components of the first step, as edges between those components.
     inner = near.select("node", "component")
     ends = links.join(inner.toDF("a", "c_a"), "a", "left").join(inner.toDF("b", "c_b"), "b", "left")
