@@ -11,7 +11,8 @@ to order each set from rare to common and keep its prefix. Then
    only reach partners up to a size that falls with i. Lists are cut into blocks
    by partner size; an entry is listed only in the blocks it reaches, and a
    probe reads the one block of its own size. Pairs whose components are known
-   to be equal are skipped.
+   to be equal are skipped, as are pairs whose parity bitmaps differ in more
+   places than linked sets of their sizes can (a differing shingle flips one bit).
 4. Derived answers: a remaining pair's overlap is bounded from its leaders'
    overlap and both differences. Only pairs that the bounds leave open, and
    leaders, are verified on their whole sets.
@@ -43,6 +44,8 @@ COUNT_BITS = 18
 CHUNKS = 16
 # Slots of document ids, marked where a text is needed again.
 SLOT_BITS = 24
+# Bits of a set's parity bitmap.
+PARITY_BITS = 1024
 # Minimum hashes a set; each gives its class a bucket with one leader.
 LEADERS = 4
 
@@ -85,6 +88,12 @@ def shingles(text: str | None, words: int, table: WordHashes) -> np.ndarray:
     return np.unique(gram_hashes(table.of(split), min(words, len(split))))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each bit, whether an odd number of shingles falls on it; as 64-bit numbers."""
+    odd = np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def set_name(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
@@ -126,20 +135,21 @@ def described(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
     """For every document the size and name of its set, its minimum hashes and its prefix, rare shingles first."""
     sent = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, rule, text).astype(np.float32))
     kind = dict(docs.dtypes)[key]
-    schema = f"`{key}` {kind}, n long, name binary, least array<long>, prefix array<long>"
+    schema = f"`{key}` {kind}, n long, name binary, least array<long>, bits array<long>, prefix array<long>"
 
     def each():
         table, counts = WordHashes(), sent.value
         seeds = np.arange(1, LEADERS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 
         def step(part):
-            sizes, names, least, prefixes = [], [], [], []
+            sizes, names, least, bits, prefixes = [], [], [], [], []
             for x in part.column("_text").to_pylist():
                 found = shingles(x, rule.words, table)
                 n = len(found)
                 sizes.append(n)
                 names.append(set_name(found) if n else None)
                 least.append([int(mixed(found ^ s).min().view(np.int64)) for s in seeds] if n else [])
+                bits.append(parity(found))
                 # Equal counts keep the order of the hashes, so all sets use one order.
                 order = np.argsort(counts[found >> np.uint64(64 - COUNT_BITS)], kind="stable")
                 prefixes.append(found[order[: rule.probe_length(n)]].view(np.int64) if n else np.zeros(0, np.int64))
@@ -148,6 +158,7 @@ def described(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
                 "n": sizes,
                 "name": names,
                 "least": least,
+                "bits": lists(np.concatenate(bits), [len(x) for x in bits], pa.int64()),
                 "prefix": lists(np.concatenate(prefixes), [len(x) for x in prefixes], pa.int64()),
             }
 
@@ -240,8 +251,12 @@ def block_pairs(grouped: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
     )
     found = met.select("id", "id_l").distinct()
     # Names again; classes whose numbers happen to be equal are all tried, and verified like any.
-    names = classes.select(F.xxhash64("name").alias("id"), "name")
-    return found.join(names.toDF("id", "a"), "id").join(names.toDF("id_l", "b"), "id_l").select("a", "b").where("a != b")
+    names = classes.select(F.xxhash64("name").alias("id"), "name", "n", "bits")
+    found = found.join(names.toDF("id", "a", "n_a", "x"), "id").join(names.toDF("id_l", "b", "n_b", "y"), "id_l")
+    # Sets differ in at least as many shingles as their bitmaps in bits, which bounds the overlap.
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    reachable = F.col("n_a") + F.col("n_b") - apart >= 2 * rule.overlap(F.col("n_a"), F.col("n_b"))
+    return found.where("a != b").where(reachable).select("a", "b")
 
 
 def derived(pairs: DataFrame, classes: DataFrame, follow: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
@@ -272,7 +287,8 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", te
     rows = checkpointed(described(docs, rule, key, text))
     classes = checkpointed(
         rows.where("n > 0").groupBy("name").agg(
-            F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("least").alias("least")
+            F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
+            F.first("least").alias("least"), F.first("bits").alias("bits"),
         )
     )
     stars = overlaps(leader_pairs(classes, rule), classes, docs, rule, key, text)
