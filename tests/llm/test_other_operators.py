@@ -144,6 +144,42 @@ def test_recall_on_the_given_vectors(spark):
     assert sum(found.values()) >= 0.98 * sum(links.values())
 
 
+def planted(size, n=120):
+    """Vectors, near copies at cosines from 0.90 to 0.92 on both sides of the threshold, and closest copies."""
+    drawn = np.random.default_rng(size)
+    unit = lambda x: x / np.linalg.norm(x)
+    rows = []
+    for k in range(n):
+        x = unit(drawn.normal(size=size))
+        rows.append((len(rows), x.tolist()))
+        for cosine in (drawn.uniform(0.9001, 0.92), drawn.uniform(0.88, 0.8999), 0.999999):
+            u = drawn.normal(size=size)
+            u = u - (u @ x) * x
+            rows.append((len(rows), (3 * (cosine * x + math.sqrt(1 - cosine**2) * unit(u))).tolist() if size > 1 else (2 * x).tolist()))
+    return rows
+
+
+@pytest.mark.parametrize("size, block, code", [(64, 4096, caps.Code()), (64, 50, caps.Code()), (16, 50, caps.Code()), (8, 50, caps.Code(2, 16, 1.0)), (3, 20, caps.Code()), (1, 20, caps.Code())])
+def test_no_link_is_lost(spark, monkeypatch, size, block, code):
+    """Every planted pair is found: by blocks, by blocks in several cells and chunks, and by filters that are sure."""
+    monkeypatch.setattr(caps, "BLOCK_ROWS", block)
+    monkeypatch.setattr(caps, "STRIP", 16)
+    rows = planted(size)
+    found = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), code=code).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == linked_plainly(rows)
+
+
+def test_sure_vectors_share_a_filter_with_all_partners():
+    code = caps.Code(2, 16, 1.0)
+    units = np.array([v for _, v in planted(8)])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    vectors, turn = code.vectors(8), code.turn(8)
+    sure, filters = code.sure(units, vectors, turn, 0.9), code.decode(units, vectors, turn)
+    assert 0.1 < sure.mean() < 1
+    for i, j in np.argwhere(units @ units.T >= 0.9):
+        assert not sure[i] or set(filters[i]) & set(filters[j])
+
+
 def test_decoding_lists_all_filters():
     code = caps.Code(2, 16, 1.5)
     drawn = np.random.default_rng(1)
