@@ -8,6 +8,8 @@ with its class) gets the share of its words that lie in the content; a tag
 costs the more, the more of its kind stand outside the content, so a run does
 not cross menus or footers to gain a few words. Words whose element, or one
 around it, is of a kind found outside count against the run and are not text.
+Dropped elements within marked content score nothing, so the run goes on past
+them and only their own words are left out.
 Kinds that no labelled page shows take the weights of BOILERPLATE names.
 
 Text: character references are decoded, white space inside a block becomes one
@@ -190,11 +192,13 @@ def region(page: str, weights: Weights) -> list[tuple[str, str, bool]]:
     for i, (what, value, path) in enumerate(placed(page)):
         odd, inside = dropped.get(path) or dropped.setdefault(path, weights.judge(path))
         found.append((what, value, not odd))
-        if what == "text":
+        if odd and inside:
+            score = 0.0
+        elif what == "text":
             n = len(value.split())
             score = -n if odd else n
         else:
-            score = -LEAST_COST if inside and not odd else -weights.of_tag(path[-1] if path else value)
+            score = -LEAST_COST if inside else -weights.of_tag(path[-1] if path else value)
         if total <= 0:
             total, start = 0.0, i
         total += score

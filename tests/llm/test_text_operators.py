@@ -115,6 +115,23 @@ def test_boilerplate_goes_and_odd_pages_are_read():
         assert html_region.main_text(odd, weights) == text
 
 
+def test_dropped_elements_within_the_content_are_bridged():
+    """The learned weights of an advert cost more than the paragraphs around it score."""
+    learned = "<body><div class='ad'>buy these very cheap things here now</div><article><p>some words</p></article></body>"
+    counts = html_region.Counter()
+    for _ in range(500):
+        html_region.count_page(learned, counts)
+    weights = html_region.Weights([(*k, n) for k, n in counts.items()])
+    assert weights.of_tag("div.ad") > 20
+    dropped = (
+        "<div class='ad'>buy these very cheap things here now</div>", "<div class='notice'>please note <b>this</b></div>",
+        "<aside><p>beside</p></aside>", "<form>your <input> name</form>", "<section class='comments'>" + "<p>nice <i>post</i> indeed</p>" * 200 + "</section>",
+    )
+    for odd in (*dropped, "".join(dropped)):
+        page = f"<body><div class='ad'>x y</div><article><h1>Head line</h1><p>First words here.</p>{odd}<p>Last ones.</p></article><footer>f</footer></body>"
+        assert html_region.main_text(page, weights) == html_region.main_text(page, html_region.Weights([])) == "Head line First words here. Last ones."
+
+
 def test_pages_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, html string, text string")
     assert html_region.extract(pages, html_region.fit(pages), ["page_id"]).collect() == []
