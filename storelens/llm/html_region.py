@@ -42,6 +42,10 @@ INLINE = frozenset({"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del
 ENDS_PARAGRAPH = frozenset({"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"})
 BOILERPLATE = frozenset({"nav", "header", "footer", "aside", "form", "menu", "button", "select", "option", "label", "dialog", "head"})
 BOILERPLATE_CLASS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|repl(?:y|ies)|share|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+# Words that name the shape or place of an element; with one of the above they make a name of boilerplate.
+SHAPES = frozenset("area articles bar block body bottom box button buttons col column container content cta form group header icon icons inline inner item items left link links list main modal outer overlay panel post posts right row section signup slot small thread title top unit wide widget wrap wrapper".split())
+# Elements whose ids are anchors of their own text.
+ANCHORED = frozenset({"h1", "h2", "h3", "h4", "h5", "h6", "p"})
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:[\"'][^>]*)?(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -52,8 +56,8 @@ LEAST_COST, MOST_COST = 0.05, 60.0
 def tokens(page: str):
     """("text", text, None), ("open", name, kind) and ("close", name, None) in page order.
 
-    A kind is the element's name and, in order, its classes, ids and role. What
-    stands inside RAW elements is passed over.
+    A kind is the element's name and, in order, its classes, ids (after a #) and
+    role. What stands inside RAW elements is passed over.
     """
     at = 0
     lowered = None
@@ -73,7 +77,7 @@ def tokens(page: str):
             yield "close", name, None
             continue
         marks = [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(found.group(3))] if found.group(3).strip() else []
-        kind = ".".join([name, *(" ".join(v.lower().split()) if k != "hidden" else "hidden" for k, v in marks)])
+        kind = ".".join([name, *("#" * (k == "id") + " ".join(v.lower().split()) if k != "hidden" else "hidden" for k, v in marks)])
         if name in RAW and not found.group(3).endswith("/"):
             lowered = page.lower() if lowered is None else lowered
             end = lowered.find(f"</{name}", at) if len(lowered) == len(page) else page.find(f"</{name}", at)
@@ -123,7 +127,21 @@ def name_of(kind: str) -> str:
 def odd_kind(kind: str) -> bool:
     """Whether an element's name or class says that it is not content."""
     name, _, marks = kind.partition(".")
-    return name in BOILERPLATE or (bool(marks) and (BOILERPLATE_CLASS.search(marks.replace(".", " ")) is not None or "hidden" in marks.split(".")))
+    return name in BOILERPLATE or (bool(marks) and (BOILERPLATE_CLASS.search(marks.replace(".", " ").replace("#", " ")) is not None or "hidden" in marks.split(".")))
+
+
+def odd_inside(kind: str) -> bool:
+    """odd_kind() within marked content, where a name counts only if all its words are of boilerplate or SHAPES.
+
+    Ids of headings and paragraphs say nothing there.
+    """
+    if not odd_kind(kind):
+        return False
+    name, *marks = kind.split(".")
+    if name in BOILERPLATE or "hidden" in marks:
+        return True
+    names = [x for m in marks if not (m.startswith("#") and name in ANCHORED) for x in m.replace("#", " ").split()]
+    return any(BOILERPLATE_CLASS.search(x) and all(w in SHAPES or w.isdigit() or BOILERPLATE_CLASS.search(w) for w in re.split("[_-]+", x) if w) for x in names)
 
 
 def count_page(page: str, counts: Counter) -> None:
@@ -180,7 +198,7 @@ class Weights:
         """
         marked = max((i for i, kind in enumerate(path) if name_of(kind) in CONTENT), default=-1)
         if marked >= 0:
-            return any(map(odd_kind, path[marked + 1 :])), marked < len(path) - 1
+            return any(map(odd_inside, path[marked + 1 :])), marked < len(path) - 1
         return any(map(self.drops, path)), False
 
 

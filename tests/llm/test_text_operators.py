@@ -132,6 +132,16 @@ def test_dropped_elements_within_the_content_are_bridged():
         assert html_region.main_text(page, weights) == html_region.main_text(page, html_region.Weights([])) == "Head line First words here. Last ones."
 
 
+def test_anchors_within_the_content_are_text():
+    weights = html_region.Weights([])
+    page = (
+        "<body><div id='social-links'>s</div><article><h2 id='related-work'>Related work</h2><p id='notice-period'>Four weeks.</p><p id='notice'>One more.</p>"
+        "<section id='social-policy'><p>Of the state.</p></section><div class='share-price'>Ten.</div>"
+        "<div class='related-posts'>a</div><div id='share'>b</div><section class='x comments-2'>c</section><p class='ad'>d</p><ul class='social_links'><li>e</ul><div hidden>f</div></article></body>"
+    )
+    assert html_region.main_text(page, weights) == "Related work Four weeks. One more. Of the state. Ten."
+
+
 def test_pages_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, html string, text string")
     assert html_region.extract(pages, html_region.fit(pages), ["page_id"]).collect() == []
