@@ -14,7 +14,8 @@ the empty text, a null role the empty role, and an unknown kind of part or a
 part without a reference still gets its placeholder (0 tokens if nothing tells
 its size). Rows that repeat a turn are turns of their own. A null conversation
 id is a conversation. The formatted conversation is one value, so a conversation
-must fit one row; everything before that is done turn by turn.
+must fit one row (four bytes a character in digests()); everything before that
+is done turn by turn.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ AUDIO_TOKENS = 25
 PAGE_TOKENS = 600
 TRAINED_ROLE = "assistant"
 OPEN, SHUT, END = "<|", "|>", "<|end|>"
+# Names the byte order of what follows, so that a first character that looks like one is kept.
+BYTE_ORDER = bytearray(b"\x00\x00\xfe\xff")
 
 
 def escaped(text: Column) -> Column:
@@ -127,12 +130,19 @@ def read_back(talks: DataFrame, text: str = "formatted") -> DataFrame:
     return talks.withColumn("turns", turns)
 
 
+def masked(text: str = "formatted", spans: str = "loss_spans") -> Column:
+    """The pieces of the text under the spans, in order; linear, as characters of four bytes are found by their place."""
+    wide = lambda x: F.decode(F.concat(F.lit(BYTE_ORDER), x), "UTF-32")
+    whole = F.encode(F.col(text), "UTF-32")
+    place = lambda x: (x * 4).cast("int")
+    return F.transform(spans, lambda s: wide(F.substring(whole, place(s["start"]) + 1, place(s["end"] - s["start"]))))
+
+
 def digests(talks: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Numbers and SHA-256 digests of what the formatted text says."""
+    """Numbers and SHA-256 digests of what the formatted text says; the loss is the text under `loss_spans`."""
     back = read_back(talks)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), unescaped(t["body"]), F.lit("\n"))), "")
-    trained = F.filter("turns", lambda t: t["role"] == TRAINED_ROLE)
-    loss = F.array_join(F.transform(trained, lambda t: unescaped(t["body"])), "")
+    loss = F.array_join(F.transform(masked(), unescaped), "")
     return back.select(
         key,
         F.size("turns").cast("long").alias("n_turns"),

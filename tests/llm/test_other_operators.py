@@ -41,6 +41,16 @@ def test_chats_read_back(spark):
         assert len(text) == found[r["conv_id"]]["formatted_chars"]
 
 
+def test_loss_is_what_the_mask_covers(spark):
+    rows = [(1, 0, "user", "é"), (1, 1, "assistant", "\ufeff😀<a\\"), (1, 2, "user", "漢"), (1, 3, "assistant", "\ufeffb")]
+    talks = chat.formatted(spark.createDataFrame(rows, TALK).withColumn("parts", chat.text_part(F.col("text"))))
+    loss = lambda frame: [(r["loss_chars"], r["loss_sha256"]) for r in chat.digests(frame).collect()]
+    assert loss(talks) == [(7, brute.sha("\ufeff😀<a\\\ufeffb"))]
+    other = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end")))
+    assert loss(talks.withColumn("loss_spans", other)) == [(5, brute.sha("😀<a\\b"))]
+    assert loss(talks.withColumn("loss_spans", F.slice("loss_spans", 2, 1))) == [(2, brute.sha("\ufeffb"))]
+
+
 def test_parts_become_placeholders(spark):
     part = lambda **k: {n: k.get(n) for n in ("kind", "text", "ref", "width", "height", "seconds", "pages")}
     rows = [
