@@ -4,10 +4,9 @@ Every line that is not blank is a node with two labels, good and bad. Its
 features are its own, its neighbours' and whether it is first or last; pairs of
 neighbouring labels have weights of their own. The field is fitted by gradient
 steps on the conditional likelihood of labelled documents, whose lines take the
-document's label, from at most `TRAIN_ROWS` documents of each label and
-`TRAIN_LINES` first lines of each. A document's score is the mean of its lines'
-forward-backward marginals of "good", weighted by their lengths, over the whole
-text.
+document's label, from the whole texts of at most `TRAIN_ROWS` documents of each
+label. A document's score is the mean of its lines' forward-backward marginals
+of "good", weighted by their lengths, over the whole text.
 
 A null, empty or blank text has score 0. Repeated rows score alike. Without a
 labelled document every other score is 0.5.
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 from storelens.llm.common import batches, bounded_sample
 
 TRAIN_ROWS = 1500
-TRAIN_LINES = 48
 STEPS = 250
 RATE = 0.1
 PENALTY = 1e-3
@@ -73,9 +71,9 @@ def line_features(line: str, before: str | None) -> list[float]:
     ]
 
 
-def document(text: str | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def document(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows and lengths of the lines that are not blank."""
-    lines = [x for x in (text or "").split("\n") if x and not x.isspace()][:most]
+    lines = [x for x in (text or "").split("\n") if x and not x.isspace()]
     if not lines:
         return np.zeros((0, 3 * OWN + 2), np.float32), np.zeros(0)
     own = np.array([line_features(x, b) for x, b in zip(lines, [None, *lines])], np.float32)
@@ -116,35 +114,52 @@ def messages(scores: np.ndarray, there: np.ndarray, pairs: np.ndarray) -> tuple[
     return forward, back
 
 
+def packed_messages(scores: np.ndarray, active: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """messages() of packed lines: place t has `active[t]` documents, the first of them at `ends[t]`."""
+    forward, back = scores.copy(), np.zeros_like(scores)
+    (a00, a01), (a10, a11) = pairs
+    for t in range(1, len(active)):
+        came = forward[ends[t - 1] : ends[t - 1] + active[t]]
+        forward[ends[t] : ends[t + 1]] += _soft(a11 + came, a01) - _soft(a10 + came, a00)
+    for t in range(len(active) - 2, -1, -1):
+        after = scores[ends[t + 1] : ends[t + 2]] + back[ends[t + 1] : ends[t + 2]]
+        back[ends[t] : ends[t] + active[t + 1]] = _soft(a11 + after, a10) - _soft(a01 + after, a00)
+    return forward, back
+
+
 def _good(odds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
 def train(features: list[np.ndarray], labels: list[int], weights: list[float]) -> Field:
     """Maximises the weighted conditional likelihood with an L2 penalty, by momentum steps of fixed number."""
-    longest = max(len(x) for x in features)
-    x = np.zeros((len(features), longest, 3 * OWN + 2), np.float32)
-    there = np.zeros((len(features), longest), bool)
-    for i, rows in enumerate(features):
-        x[i, : len(rows)], there[i, : len(rows)] = rows, True
-    y = np.array(labels, float)[:, None] * there
+    # Lines are packed by their place: first all first lines, then all second ones, of longer documents first.
+    order = sorted(range(len(features)), key=lambda i: -len(features[i]))
+    sizes = np.array([len(features[i]) for i in order])
+    active = np.array([(sizes > t).sum() for t in range(sizes[0])])
+    ends = np.concatenate([[0], np.cumsum(active)])
+    x = np.empty((ends[-1], 3 * OWN + 2), np.float32)
+    for rank, i in enumerate(order):
+        x[ends[: sizes[rank]] + rank] = features[i]
+    rank = np.concatenate([np.arange(n) for n in active])
+    y = np.array(labels, float)[order][rank]
     # A document counts once, however many lines it has.
-    share = np.array(weights) / np.maximum(there.sum(1), 1)
-    share /= np.array(weights).sum()
-    both = there[:, 1:]
-    w, pairs = np.zeros(x.shape[2]), np.zeros((2, 2))
+    share = (np.array(weights)[order] / sizes)[rank] / np.array(weights).sum()
+    second = active[0]
+    previous = np.arange(second, ends[-1]) - np.repeat(active[:-1], active[1:])
+    told = np.stack([1 - y[second:], 0 * y[second:], 0 * y[second:], y[second:]])
+    w, pairs = np.zeros(x.shape[1]), np.zeros((2, 2))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros((2, 2)), np.zeros((2, 2))]
     for step in range(1, STEPS + 1):
-        scores = (x @ w.astype(np.float32)).astype(float) * there
-        forward, back = messages(scores, there, pairs)
-        marginal = _good(forward + back) * there
-        slope = np.einsum("nt,ntd->d", (share[:, None] * (y - marginal)).astype(np.float32), x) - PENALTY * w
-        before, after = forward[:, :-1], scores[:, 1:] + back[:, 1:]
+        scores = (x @ w.astype(np.float32)).astype(float)
+        forward, back = packed_messages(scores, active, ends, pairs)
+        marginal = _good(forward + back)
+        slope = (share * (y - marginal)).astype(np.float32) @ x - PENALTY * w
+        before, after = forward[previous], scores[second:] + back[second:]
         joint = np.stack([pairs[0, 0] + 0 * before, pairs[0, 1] + after, pairs[1, 0] + before, pairs[1, 1] + before + after])
         joint = np.exp(joint - joint.max(0))
-        joint = joint / joint.sum(0) * both
-        told = np.stack([(1 - y[:, :-1]) * (1 - y[:, 1:]), 0 * before, 0 * before, y[:, :-1] * y[:, 1:]]) * both
-        pair_slope = ((told - joint) * share[:, None]).sum((1, 2)).reshape(2, 2) - PENALTY * pairs
+        joint = joint / joint.sum(0)
+        pair_slope = ((told - joint) * share[second:]).sum(1).reshape(2, 2) - PENALTY * pairs
         for value, gradient, (m, v) in ((w, slope, moments[:2]), (pairs, pair_slope, moments[2:])):
             m += 0.1 * (gradient - m)
             v += 0.01 * (gradient**2 - v)
@@ -166,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
 
     def each():
         def step(part):
-            found = [document(x, TRAIN_LINES)[0] for x in part.column("_text").to_pylist()]
+            found = [document(x)[0] for x in part.column("_text").to_pylist()]
             yield {
                 "_key": part.column("_key"),
                 "_label": part.column("_label"),
@@ -177,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
 
     kind = dict(known.dtypes)["_key"]
     sample = named.where("_text is not null").join(F.broadcast(bounded_sample(known, "_label", rows, "_key")), "_key")
-    got = batches(sample.select("_key", "_label", "_text"), f"_key {kind}, _label int, features binary", each).collect()  # bounded by `rows` and TRAIN_LINES
+    got = batches(sample.select("_key", "_label", "_text"), f"_key {kind}, _label int, features binary", each).collect()  # whole texts of some `rows` a label
     got = sorted((r for r in got if r["features"]), key=lambda r: (str(r["_key"]), bytes(r["features"])))
     if not got:
         return Field(np.zeros(width), np.zeros((2, 2)))

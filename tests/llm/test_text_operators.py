@@ -206,6 +206,16 @@ def test_messages_equal_enumeration():
     assert quality._good(forward + back)[0] == pytest.approx(weight[:, 1] / weight.sum(1))
 
 
+def test_what_makes_a_long_document_bad_is_learned_wherever_it_stands(spark):
+    clean, junk = "The river runs past the old town.\n", "$$ ## 12 %% $$ @@\n"
+    rows = [(i, clean * 60 + (junk * 200 if i % 2 else "")) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    field = quality.fit(spark.createDataFrame(rows, DOCS), labels)
+    found = quality.score(spark.createDataFrame([(1, clean * 9), (2, junk * 9)], DOCS), field, ["doc_id"])
+    scores = {r["doc_id"]: r["score"] for r in found.collect()}
+    assert scores[1] > 0.5 and scores[2] < 0.1
+
+
 def test_quality_edge_cases(spark):
     field = quality.fit(spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, quality int"))
     odd = [(1, None), (2, ""), (3, " \n "), (4, "some words"), (5, "a\n" * 3000), (6, "\x00 \x1c"), (6, "\x00 \x1c")]
