@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import caps, chat, decontaminate, html_region, language, licences, ngram_join, pieces, quality, url_rules
+from storelens.llm import caps, centroids, chat, decontaminate, exact, html_region, importance, language, licences, ngram_join, pieces, quality, url_rules
 from storelens.llm.common import held_out, read
 from storelens.llm.registry_sql import ORACLE_SQL
 
@@ -85,10 +85,24 @@ def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(read(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return importance.resample(docs, read(spark, folder, "benchmark"))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.clusters(read(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.duplicates(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_html_text, op3_language_id, op4_quality, op5_decontaminate,
         op6_pieces, op7_chat, op8_url_filter, op9_vector_caps, op10_licence_scan,
+        op11_importance, op12_centroids, op13_exact_dedup,
     )
 }

@@ -156,4 +156,91 @@ def _licences(phrases, sentences) -> str:
     """
 
 
-ORACLE_SQL = {"op1_ngram_join": OP1, "op2_html_text": OP2, "op10_licence_scan": _licences(PHRASES, SENTENCES), "op5_decontaminate": OP5, "op7_chat": OP7, "op9_vector_caps": OP9}
+# crc32 of each distinct word: its table of 256 values, then a fold over the word's bytes.
+OP11 = rf"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+targets AS (SELECT {WORDS} AS w FROM benchmark),
+crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(
+        list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+vocabulary AS (SELECT DISTINCT unnest(w) AS word FROM docs UNION SELECT DISTINCT unnest(w) FROM targets),
+word_bytes AS (
+    SELECT word, hex(encode(word)) AS h FROM vocabulary
+),
+buckets AS (
+    SELECT word, xor(list_reduce(
+        list_concat([4294967295], list_transform(range(1, length(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT))),
+        lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % 10000 AS bucket
+    FROM word_bytes, crc_table
+),
+features AS (SELECT doc_id, unnest(w) AS word FROM docs),
+source AS (SELECT bucket, count(*) AS n FROM features JOIN buckets USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(w) AS word FROM targets) JOIN buckets USING (word) GROUP BY bucket),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln(
+        (CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * ((SELECT sum(n) FROM source) + 10000))
+        / (CAST(s.n + 1 AS DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM target) + 10000)))) AS BIGINT) AS gain
+    FROM source s LEFT JOIN target t USING (bucket)
+),
+sums AS (
+    SELECT doc_id, CAST(sum(gain) AS BIGINT) AS total, count(*) AS n
+    FROM features JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+),
+weights AS (
+    SELECT d.doc_id, coalesce(n, 0) AS n_features, CAST(coalesce((total - ((total % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+        CAST('0x' || sha256('2024:' || d.doc_id)[1:8] AS BIGINT) AS h
+    FROM docs d LEFT JOIN sums s ON s.doc_id = d.doc_id
+),
+scores AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM weights),
+drawn AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, (SELECT count(*) FROM scores WHERE n_features >= 20) AS n
+    FROM scores WHERE n_features >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scores s LEFT JOIN drawn d ON d.doc_id = s.doc_id
+"""
+
+
+def _centroids(rounds: int = 10) -> str:
+    """The rounds as one step of SQL each."""
+    assign = """(
+        SELECT row, min_by(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM (
+            SELECT row, cluster, CAST(sum((x - y) * (x - y)) AS BIGINT) AS distance FROM long JOIN c{r} USING (i) GROUP BY row, cluster
+        ) GROUP BY row
+    )"""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED {assign.format(r=r)}")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (
+            SELECT cluster, i, CAST(coalesce((s - ((s % n) + n) % n) // n, y) AS BIGINT) AS y
+            FROM c{r} LEFT JOIN (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM long JOIN a{r} USING (row) GROUP BY cluster, i) USING (cluster, i)
+        )""")
+    steps.append(f"ends AS MATERIALIZED {assign.format(r=rounds)}")
+    return f"""
+    WITH kept AS (
+        SELECT row_number() OVER () AS row, vec_id, embedding AS e FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    long AS MATERIALIZED (
+        SELECT row, i, CAST(floor(1024 * CAST(e[i] AS DOUBLE)) AS HUGEINT) AS x FROM (SELECT row, e, unnest(range(1, 65)) AS i FROM kept)
+    ),
+    starts AS (SELECT row, row_number() OVER (ORDER BY sha256('3:' || vec_id), vec_id) - 1 AS cluster FROM kept),
+    c0 AS MATERIALIZED (SELECT CAST(cluster AS INTEGER) AS cluster, i, CAST(x AS BIGINT) AS y FROM long JOIN starts USING (row) WHERE cluster < 8),
+    {", ".join(steps)},
+    names AS (SELECT cluster, sha256(string_agg(y, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+    SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+        CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+    FROM ends JOIN kept USING (row) JOIN names USING (cluster)
+    """
+
+
+OP13 = r"""
+WITH plain AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
+    doc_id = min(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
+FROM plain
+"""
+
+
+ORACLE_SQL = {"op1_ngram_join": OP1, "op2_html_text": OP2, "op10_licence_scan": _licences(PHRASES, SENTENCES), "op5_decontaminate": OP5, "op7_chat": OP7, "op9_vector_caps": OP9, "op11_importance": OP11, "op12_centroids": _centroids(), "op13_exact_dedup": OP13}
