@@ -47,6 +47,8 @@ HUGE = 8 << 20
 MAP_BITS = 26
 # Bytes of texts a task holds to compare later ones with.
 HELD_BYTES = 64 << 20
+# Parts of a class that are joined apart, at most.
+PIECES = 1024
 
 SPACES = b" \t\n\x0b\x0c\r"
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
@@ -277,9 +279,14 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     of = [*name, "_class"]
     # Rows that share key and text are one row with a number of copies until the end.
     once = rows.groupBy(*of, "_key").agg(F.count(F.lit(1)).alias("_copies"), F.first("_digest").alias("text_sha256"))
-    groups = once.groupBy(of).agg(F.min("_key").alias("keep_id"), F.sum("_copies").alias("group_size"))
+    # A class meets its facts in as many pieces as its keys fall into, so copies of one text fill many tasks.
+    dealt = once.withColumn("_piece", F.pmod(F.xxhash64("_key"), F.lit(PIECES)))
+    parts = dealt.groupBy(*of, "_piece").agg(F.min("_key").alias("_least"), F.sum("_copies").alias("_n"))
+    groups = parts.groupBy(of).agg(
+        F.min("_least").alias("keep_id"), F.sum("_n").alias("group_size"), F.collect_list("_piece").alias("_pieces")
+    ).withColumn("_piece", F.explode("_pieces")).drop("_pieces")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")
-    return once.join(groups, of).select("*", copy).select(
+    return dealt.join(groups, [*of, "_piece"]).select("*", copy).select(
         F.col("_key").alias(key), "keep_id", "group_size",
         (F.col("_key").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256",
     )
