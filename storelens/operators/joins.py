@@ -20,11 +20,15 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_ROWS = 1_000_000
 
 
+def value_bytes(frame: DataFrame) -> Column:
+    """Size of a row's values as text, plus 16."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in frame.columns]
+    return sum(texts[1:], texts[0]).cast("long") + 16
+
+
 def measured_bytes(frame: DataFrame) -> int:
     """Size of all values as text, plus 16 bytes a row. Runs one aggregate job."""
-    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in frame.columns]
-    width = sum(texts[1:], texts[0]).cast("long") + 16
-    return frame.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return frame.agg(F.coalesce(F.sum(value_bytes(frame)), F.lit(0))).first()[0]
 
 
 def fits_broadcast(frame: DataFrame, max_bytes: int | None = None) -> bool:

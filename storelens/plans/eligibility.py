@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scalars import Day, day_window
-from storelens.operators.joins import guarded_join, skew_join
+from storelens.operators.intervals import moments_in_intervals
+from storelens.operators.joins import skew_join
 from storelens.operators.timeline import last_before
 from storelens.sources.contracts import conform_to, contract
 
@@ -70,20 +71,17 @@ def with_campaigns(
 ) -> DataFrame:
     """One row per impression in the days and campaign of its store then active.
 
-    Active means starts_at <= impression < ends_at; no end is open. Campaigns are
-    listed per day of the window, so an impression meets only those of its own day
-    and store, never the store's whole history.
+    Active means starts_at <= impression < ends_at; no end is open. A campaign
+    is at most two rows of the join, however long it runs, and an impression
+    meets only campaigns whose bin of the calendar holds it.
     """
-    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    from_day = F.greatest(F.to_date("starts_at"), first)
-    to_day = F.least(F.coalesce(F.to_date("ends_at"), last), last)
-    daily = campaigns.where(from_day <= to_day).withColumn("_day", F.explode(F.sequence(from_day, to_day)))
-    shown = impressions.where(day_window("event_date", start, end)).withColumn("_day", F.to_date("event_date"))
-    joined = guarded_join(shown, daily, ["store_id", "_day"], "inner", max_bytes)
-    active = (F.col("starts_at") <= F.col("event_date")) & (
-        F.col("ends_at").isNull() | (F.col("event_date") < F.col("ends_at"))
+    first = F.lit(start).cast("timestamp_ntz")
+    past = F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")
+    shown = impressions.where(day_window("event_date", start, end))
+    found = moments_in_intervals(
+        shown, campaigns, ["store_id"], "event_date", "starts_at", "ends_at", first, past, max_bytes
     )
-    return joined.where(active).drop("_day", "starts_at", "ends_at")
+    return found.drop("starts_at", "ends_at")
 
 
 def _required(setting: str, met: Column) -> Column:
