@@ -3,12 +3,11 @@
 A side is broadcast only after its size was measured. Beyond the bound the join
 shuffles and adaptive execution splits the partitions of hot keys (see the
 settings in session.py), so no fact is read beforehand to look for them. Steps
-that need all rows of a key in order look for its hot keys with an exact count.
+that need all rows of a key in order cut it into slots (see cuts.py).
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 
-# A key is hot when it has more rows than one task should order.
+# Rows one task should order.
 HOT_ROWS = 1_000_000
 
 
@@ -35,30 +34,6 @@ def fits_broadcast(frame: DataFrame, max_bytes: int | None = None) -> bool:
     return measured_bytes(frame) <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
-def key_hash(keys: list[str]) -> Column:
-    return F.xxhash64(*keys)
-
-
-def hot_keys(frame: DataFrame, keys: list[str], floor: int | None = None) -> list[tuple[int, int]]:
-    """(key hash, number of parts) of every key with more than `floor` rows (HOT_ROWS), from one job.
-
-    Tasks count before they shuffle, so a hot key is one row per task and the
-    counts are spread over all shuffle tasks. At most one key in `floor` rows is
-    listed.
-    """
-    least = HOT_ROWS if floor is None else floor
-    counts = frame.select(key_hash(keys).alias("_hash")).groupBy("_hash").count()
-    rows = counts.where(F.col("count") > least).collect()
-    return sorted((row["_hash"], math.ceil(row["count"] / max(1, least))) for row in rows)
-
-
-def with_pieces(frame: DataFrame, keys: list[str], hot: list[tuple[int, int]]) -> DataFrame:
-    """Adds `_pieces`: the hot key's number of parts, 1 for all other keys."""
-    listed = frame.sparkSession.createDataFrame(hot, "_hash long, _pieces long")
-    joined = frame.withColumn("_hash", key_hash(keys)).join(F.broadcast(listed), "_hash", "left")
-    return joined.drop("_hash").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
-
-
 def row_part(columns: list[str], pieces: Column) -> Column:
     """A part number that a rerun of the same task gives again.
 

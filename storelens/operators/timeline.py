@@ -1,13 +1,12 @@
 """Ordered operations per key (last before, running number, validity range).
 
-A window per key puts the whole key into one task. Here a hot key's timeline is
-cut into slots, and what a slot must know of the others (the last value before
-it, the count so far, the first time after it) comes from per-slot aggregates as
-one extra row. For the last value before, slots are minutes: only distinct times
-are ordered, and such a key has one aggregate row per minute it was active. For
-numbering, slots are ranges of (time, tie) of even size, so neither many rows at
-one instant nor rows without a time meet in one task. Keys that are not hot keep
-one group and get no extra row; without hot keys the plan is the plain window.
+A window per key puts the whole key into one task. Here the timeline of a key
+that is a large share of the rows is cut into slots of even size (see cuts.py),
+by time and a tie, so neither many rows at one instant nor rows without a time
+meet in one task. What a slot must know of the others (the last value before it,
+the count so far, the first time after it) comes from per-slot aggregates of
+those keys alone, as one extra row. All other keys keep one group and get no
+extra row, in the same pass; without cuts the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -17,13 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from storelens.operators.checkpoints import checkpointed
-from storelens.operators.joins import hot_keys, row_part, skew_join, with_pieces
-
-UNIT = "minute"
-
-
-def _slot(time: str, unit: str) -> Column:
-    return F.date_trunc(unit, F.col(time)).cast("timestamp_ntz")
+from storelens.operators.cuts import cut_table, slot_counts, with_slot
+from storelens.operators.joins import row_part
 
 
 def _known(columns: list[str]) -> Column:
@@ -45,7 +39,6 @@ def last_before(
     right_time: str,
     payload: list[str] | None = None,
     inclusive: bool = False,
-    unit: str = UNIT,
     floor: int | None = None,
     heat: DataFrame | None = None,
 ) -> DataFrame:
@@ -56,96 +49,51 @@ def last_before(
     `inclusive`. Both sides meet in one union, so no pairs are ever formed.
     `heat` is a frame with the left keys and times that is cheaper to look at.
     """
+    # Sort positions of left and right rows at the same time; 0 comes before both.
+    left_rank, right_rank = (2, 1) if inclusive else (1, 2)
+    place = ["_time", "_rank", "_tie"]
     values = F.struct(right_time, *(payload or []))
-    sought = left.withColumn("_time", F.col(left_time).cast("timestamp_ntz"))
+    columns = left.columns
+    # Left rows at one instant are told apart by a hash, so cuts can lie between them.
+    sought = left.withColumns({
+        "_time": F.col(left_time).cast("timestamp_ntz"), "_rank": F.lit(left_rank), "_tie": F.xxhash64(*columns, F.spark_partition_id())
+    })
     given = right.where(_known([*keys, right_time])).select(
-        *keys, F.col(right_time).cast("timestamp_ntz").alias("_time"), values.alias("_last")
+        *keys, F.col(right_time).cast("timestamp_ntz").alias("_time"), F.lit(right_rank).alias("_rank"),
+        F.lit(0).cast("long").alias("_tie"), values.alias("_last"),
     )
-    looked_at = sought if heat is None else heat.withColumn("_time", F.col(left_time).cast("timestamp_ntz"))
-    known = looked_at.where(_known([*keys, "_time"])).select(*keys, "_time")
-    hot = hot_keys(known.select(*keys).unionByName(given.select(*keys)), keys, floor)
-    if not hot:
-        return _in_one_group(sought, given, keys, inclusive)
-
-    def part(frame: DataFrame, of_hot: bool) -> DataFrame:
-        pieces = F.col("_pieces") > 1
-        return with_pieces(frame, keys, hot).where(pieces if of_hot else ~pieces).drop("_pieces")
-
-    cold = _in_one_group(part(sought, False), part(given, False), keys, inclusive)
-    split = _in_slots(
-        part(sought, True), part(given, True), part(known, True), keys, inclusive, unit, floor
-    )
-    return cold.unionByName(split)
-
+    looked_at = left if heat is None else heat
+    seen = looked_at.select(
+        *keys, F.col(left_time).cast("timestamp_ntz").alias("_time"), F.lit(left_rank).alias("_rank"),
+        F.xxhash64(F.lit("tie"), F.monotonically_increasing_id()).alias("_tie"),
+    ).where(_known([*keys, "_time"]))
+    cuts = cut_table(seen.unionByName(given.drop("_last")), keys, place, floor)
 
-def _ranks(inclusive: bool) -> tuple[int, int]:
-    """Sort positions of left and right rows at the same time; 0 comes before both."""
-    return (2, 1) if inclusive else (1, 2)
-
-
-def _running_last(group: list[str]) -> Column:
-    order = Window.partitionBy(*group).orderBy("_time", "_rank")
-    return F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
-def _in_one_group(sought: DataFrame, given: DataFrame, keys: list[str], inclusive: bool) -> DataFrame:
-    left_rank, right_rank = _ranks(inclusive)
-    columns = [c for c in sought.columns if c != "_time"]
+    last_type = given.schema["_last"].dataType
     row_type = sought.select(F.struct(*columns).alias("row")).schema["row"].dataType
     # Left rows that can have no match are spread, so that they form no large group.
     lone = 1 + row_part(columns, F.lit(1000))
     spread = F.when(_known([*keys, "_time"]), F.lit(0)).otherwise(lone).cast("long")
-    left_rows = sought.select(
-        *keys,
-        "_time",
-        F.lit(left_rank).alias("_rank"),
-        spread.alias("_spread"),
-        _missing(given.schema["_last"].dataType).alias("_last"),
-        F.struct(*columns).alias("_row"),
+    left_rows = with_slot(sought, cuts, keys, place).select(
+        *keys, "_slot", "_time", "_rank", spread.alias("_spread"), _missing(last_type).alias("_last"), F.struct(*columns).alias("_row")
     )
-    right_rows = given.withColumns(
-        {"_rank": F.lit(right_rank), "_spread": F.lit(0).cast("long"), "_row": _missing(row_type)}
-    )
-    found = left_rows.unionByName(right_rows).withColumn("last", _running_last([*keys, "_spread"]))
+    right_rows = with_slot(given, cuts, keys, place).drop("_tie").withColumns({"_spread": F.lit(0).cast("long"), "_row": _missing(row_type)})
+    rows = left_rows.unionByName(right_rows)
+    if cuts is not None:
+        rows = rows.unionByName(_carried(given, cuts, keys, place).withColumns({"_spread": F.lit(0).cast("long"), "_row": _missing(row_type)}))
+    order = Window.partitionBy(*keys, "_spread", "_slot").orderBy("_time", "_rank")
+    found = rows.withColumn("last", F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return found.where(F.col("_row").isNotNull()).select("_row.*", "last")
 
 
-def _in_slots(
-    sought: DataFrame,
-    given: DataFrame,
-    known: DataFrame,
-    keys: list[str],
-    inclusive: bool,
-    unit: str,
-    floor: int | None,
-) -> DataFrame:
-    """The same for hot keys: only distinct times are ordered, then the answers joined back.
-
-    However many rows share a time, a minute has at most as many distinct times
-    as it has microseconds.
-    """
-    left_rank, right_rank = _ranks(inclusive)
-    last_type = given.schema["_last"].dataType
-    times = sought.select(*keys, "_time").distinct()
-    acts = given.groupBy(*keys, "_time").agg(F.max("_last").alias("_last"))
-    rows = (
-        times.withColumns({"_last": _missing(last_type), "_rank": F.lit(left_rank)})
-        .unionByName(acts.withColumn("_rank", F.lit(right_rank)))
-        .withColumn("_slot", _slot("_time", unit))
-    )
+def _carried(given: DataFrame, cuts: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """One row per slot of a cut key, with the last value before the slot; it sorts first, having no time."""
+    acts = with_slot(given, cuts, keys, place, only_cut=True).groupBy(*keys, "_slot").agg(F.max("_last").alias("_last"))
+    slots = slot_counts(cuts, keys).withColumn("_last", _missing(given.schema["_last"].dataType))
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        rows.groupBy(*keys, "_slot")
-        .agg(F.max("_last").alias("_last"))
-        .withColumn("_last", F.max("_last").over(earlier))
-        .where(F.col("_last").isNotNull())
-        .withColumns({"_time": F.col("_slot"), "_rank": F.lit(0)})
-    )
-    # A carried row sorts first in its slot: at the slot's start, with the lowest rank.
-    ordered = rows.unionByName(carried).withColumn("last", _running_last([*keys, "_slot"]))
-    answers = ordered.where(F.col("_rank") == left_rank).select(*keys, "_time", "last")
-    joined = skew_join(sought, answers, [*keys, "_time"], "left")
-    return joined.select(*[c for c in sought.columns if c != "_time"], "last")
+    each = acts.unionByName(slots).groupBy(*keys, "_slot").agg(F.max("_last").alias("_last"))
+    carried = each.withColumn("_last", F.max("_last").over(earlier)).where(F.col("_last").isNotNull())
+    return carried.withColumns({"_time": _missing(given.schema["_time"].dataType), "_rank": F.lit(0)})
 
 
 # Sort positions within one group: the row that brings the count so far, the real
@@ -167,41 +115,41 @@ def running_numbers(
 
     `levels` maps an output column to the columns that, with the owner, form the
     group. `next_time` names a column for the time of the owner's next row. One
-    shuffle by owner (and slot, for hot owners) serves all of them. Hot owners'
-    rows are first dealt into ordered ranges and written to the checkpoint folder,
-    as a range's number must not change when a task is run again. `heat` is a
-    frame with the same owners that is cheaper to look at.
+    shuffle by owner (and slot, for cut owners) serves all of them. `heat` is a
+    frame with about as many rows that is cheaper to count.
     """
-    hot = hot_keys(rows if heat is None else heat, [owner], floor)
-    placed = rows.withColumns({"_at": F.lit(_ROW), "_level": F.lit(""), "_weight": F.lit(1).cast("long")})
+    cuts = cut_table(rows, [owner], [time, *tie], floor, heat)
+    listed = with_slot(rows, cuts, [owner], [time, *tie])
+    placed = listed.withColumns({"_at": F.lit(_ROW), "_level": F.lit(""), "_weight": F.lit(1).cast("long")})
     place = [owner]
-    if hot:
-        listed = with_pieces(placed, [owner], hot)
-        ranges = listed.where(F.col("_pieces") > 1).drop("_pieces")
-        # As many ranges as the rows ask for, or as a shuffle of this session has tasks.
-        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = ranges.repartitionByRange(min(tasks, sum(pieces for _, pieces in hot)), owner, time, *tie)
-        cut = checkpointed(ranges.withColumn("_slot", F.spark_partition_id()))
-        whole = listed.where(F.col("_pieces") <= 1).drop("_pieces").withColumn("_slot", F.lit(None).cast("int"))
-        placed = whole.unionByName(cut)
+    if cuts is not None:
         place.append("_slot")
+        finest = list(dict.fromkeys(c for columns in levels.values() for c in columns))
+        cut = with_slot(rows, cuts, [owner], [time, *tie], only_cut=True)
+        # Groups of cut owners and their slots; all that follows is prefix sums over these.
+        counts = checkpointed(
+            cut.groupBy(owner, *finest, "_slot").agg(
+                F.count(F.lit(1)).alias("_weight"), F.min(time).alias(time), F.max(F.col(time).isNull()).alias("_timeless")
+            )
+        )
         for name, columns in levels.items():
             group = [owner, *columns]
             before = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
             heads = (
-                cut.groupBy(*group, "_slot")
-                .agg(F.count(F.lit(1)).alias("_weight"))
+                counts.groupBy(*group, "_slot")
+                .agg(F.sum("_weight").alias("_weight"))
                 .withColumn("_weight", F.sum("_weight").over(before))
                 .where(F.col("_weight").isNotNull())
                 .withColumns({"_at": F.lit(_HEAD), "_level": F.lit(name)})
             )
             placed = placed.unionByName(heads, allowMissingColumns=True)
         if next_time:
-            after = Window.partitionBy(owner).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+            # Rows without a time come first, so a slot with one starts without a time.
+            first = F.when(~F.max("_timeless"), F.min(time)).alias(time)
             tails = (
-                cut.groupBy(owner, "_slot")
-                .agg(F.min(time).alias(time))
-                .withColumn(time, F.min(time).over(after))
+                counts.groupBy(owner, "_slot")
+                .agg(first)
+                .withColumn(time, F.lead(time).over(Window.partitionBy(owner).orderBy("_slot")))
                 .where(F.col(time).isNotNull())
                 .withColumns({"_at": F.lit(_TAIL), "_level": F.lit("next")})
             )

@@ -1,4 +1,4 @@
-"""Joins, and the search for hot keys."""
+"""Joins and measured broadcasts."""
 
 from __future__ import annotations
 
@@ -22,17 +22,6 @@ def rows(frame):
     return sorted([str(r) for r in frame.collect()])
 
 
-def test_hot_keys_are_found_and_counted(spark):
-    left, _ = frames(spark)
-    hot = dict(joins.hot_keys(left, ["k"], floor=0))
-    hashes = {r["k"]: r["h"] for r in left.select("k", joins.key_hash(["k"]).alias("h")).distinct().collect()}
-    assert len(hot) == len(hashes)
-    assert hot[hashes[1]] > hot[hashes[None]] > hot[hashes[2]]
-    assert joins.hot_keys(left, ["k"], floor=50) == [(hashes[1], 2)]
-    assert joins.hot_keys(left.where("v > 100"), ["k"], floor=0) == []
-    assert joins.hot_keys(left, ["k"]) == []
-
-
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_skew_join_equals_plain_join(spark, how):
     left, right = frames(spark)
@@ -40,18 +29,6 @@ def test_skew_join_equals_plain_join(spark, how):
     assert rows(joins.skew_join(left, right, ["k"], how)) == expected
 
 
-def test_skew_join_spreads_a_hot_key(spark):
-    left = spark.range(20_000).select(F.lit(1).cast("bigint").alias("k"), "id")
-    hot = joins.hot_keys(left, ["k"], floor=0)
-    parted = joins.with_pieces(left, ["k"], hot).select(joins.row_part(["k", "id"], F.col("_pieces")).alias("p"))
-    assert parted.distinct().count() > 5_000
-
-
-def test_a_hot_key_of_a_small_share_is_found(spark):
-    left = spark.range(300_000).select(F.when(F.col("id") < 30, F.lit(-1)).otherwise(F.col("id")).alias("k"))
-    assert [n for _, n in joins.hot_keys(left, ["k"], floor=10)] == [3]
-
-
 def test_skew_join_refuses_unlike_key_types(spark):
     left, right = frames(spark)
     with pytest.raises(ValueError):

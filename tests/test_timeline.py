@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from storelens.operators.cuts import cut_table, with_slot
 from storelens.operators.timeline import last_before, running_numbers, validity_ranges
 
 BASE = dt.datetime(2024, 1, 1)
@@ -108,3 +109,50 @@ def check_one_owner(spark):
     rows = sorted(found.collect(), key=lambda r: r["n"])
     assert [r["n"] for r in rows] == list(range(1, 4001))
     assert [r["id"] for r in rows] == [*range(1, 4000, 2), *range(0, 4000, 2)]
+
+
+def task_counts(frame, where):
+    parts = frame.withColumn("task", F.spark_partition_id()).where(where)
+    return [r["count"] for r in parts.groupBy("task").count().collect()]
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_a_hot_key_and_a_hot_instant_lie_in_several_tasks(spark, inclusive):
+    """One key has almost all rows, a third of them at one instant; acts lie around and at it."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        at = F.when(F.col("id") % 3 == 0, F.lit(5000)).otherwise(F.col("id"))
+        moment = F.timestamp_add("SECOND", at, F.lit(BASE).cast("timestamp_ntz"))
+        left = spark.range(9000).select(F.lit(1).cast("bigint").alias("k"), moment.alias("seen"), "id").union(
+            spark.range(9000, 9040).select("id", F.lit(BASE).cast("timestamp_ntz"), "id")
+        ).repartition(5)
+        acts = [(1, BASE + dt.timedelta(seconds=s), s) for s in (0, 1, 3000, 4999, 5000, 5000, 5001, 8000)] + [(9000, BASE, 1)]
+        right = spark.createDataFrame(acts, "k bigint, done timestamp_ntz, act bigint")
+        found = last_before(left, right, ["k"], "seen", "done", ["act"], inclusive=inclusive, floor=300)
+        instant = F.col("seen") == F.lit(BASE + dt.timedelta(seconds=5000)).cast("timestamp_ntz")
+        assert len(task_counts(found, instant)) > 2 and max(task_counts(found, F.col("k") == 1)) < 5000
+        plain = last_before(left, right, ["k"], "seen", "done", ["act"], inclusive=inclusive)
+        assert "Broadcast" not in plain._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_next_time_is_that_of_the_next_row_also_without_a_time(spark):
+    frame = spark.range(300).select(
+        (F.col("id") % 2).alias("owner"), F.when(F.col("id") % 5 > 1, F.timestamp_add("SECOND", F.col("id"), F.lit(BASE).cast("timestamp_ntz"))).alias("at"), "id"
+    ).repartition(3)
+    plain, cut = (
+        sorted(map(str, running_numbers(frame, "owner", {"n": []}, "at", ["id"], next_time="then", floor=floor).collect())) for floor in (None, 10)
+    )
+    assert plain == cut
+
+
+def test_keys_that_fit_a_range_are_not_cut(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
+    cuts = cut_table(rows, ["k"], ["id"], floor=100)
+    listed = {r["_key0"]: r["_cuts"] for r in cuts.collect()}
+    assert 5 <= len(listed[-1]) <= 10 and all(len(c) == 1 for k, c in listed.items() if k != -1)
+    slots = with_slot(rows, cuts, ["k"], ["id"]).where("k = -1").groupBy("_slot").count().collect()
+    assert len(slots) == len(listed[-1]) + 1 and max(r["count"] for r in slots) < 300
+    assert cut_table(rows, ["k"], ["id"]) is None and cut_table(rows.limit(0), ["k"], ["id"], floor=0) is None
