@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scalars import Day, day_window
+from storelens.operators.checkpoints import checkpointed
 from storelens.operators.joins import distinct_keys, in_cohort, skew_join
 from storelens.operators.metrics import union_all
 from storelens.plans.overview import brand_stores
@@ -106,29 +107,50 @@ def _by_item_of_crowded_carts(items: DataFrame, buyers: DataFrame, crowded: Data
     """The same when a cart id was used by very many consumers.
 
     Such a cart gives each of its items the same consumers, so they are counted
-    once per set of crowded carts that items share, not once per item. Consumers
-    an item has from other carts are added where the set does not hold them.
+    once per set of crowded carts that items share, not once per item. A set is
+    never held in one row: items are taken to share one when two sums of hashes
+    and the number of their carts agree, and held to it cart by cart; an item
+    that differs after all has a set of its own. A set bears the name of its first item.
+    Consumers an item has from other carts are added where the set does not hold them.
     """
+    key = F.when(F.col("item_name").isNull(), "").otherwise(F.concat(F.lit("="), "item_name"))
+    items = items.select("order_uuid", key.alias("item"))
 
     def part(frame: DataFrame, in_crowded: bool) -> DataFrame:
         return skew_join(frame, crowded, ["order_uuid"], "left_semi" if in_crowded else "left_anti")
 
-    # There are few crowded carts, so an item's set of them is small.
-    sets = part(items, True).groupBy("item_name").agg(F.array_sort(F.collect_set("order_uuid")).alias("carts"))
-    shared = sets.select("carts").distinct().select("carts", F.explode("carts").alias("order_uuid"))
-    crowd = skew_join(part(buyers, True), shared, ["order_uuid"]).select("carts", "user_id").distinct()
-    sizes = crowd.groupBy("carts").agg(F.count("user_id").alias("consumers"))
-    of_sets = skew_join(sets, sizes, ["carts"]).select("item_name", "consumers")
-
-    pairs = part(items, False).join(part(buyers, False), "order_uuid").select("item_name", "user_id").distinct()
-    named = sets.withColumnRenamed("item_name", "_name")
-    placed = pairs.join(named, F.col("item_name").eqNullSafe(F.col("_name")), "left").drop("_name")
-    held = crowd.where(F.col("user_id").isNotNull()).withColumn("held", F.lit(True))
-    others = placed.join(held, ["carts", "user_id"], "left").select(
-        "item_name", F.when(F.col("held").isNull() & F.col("user_id").isNotNull(), 1).otherwise(0).alias("consumers")
+    held = checkpointed(part(items, True))
+    sets = checkpointed(_shared_sets(held))
+    members = skew_join(held.withColumnRenamed("item", "set"), sets.select("set").distinct(), ["set"], "left_semi")
+    crowd = skew_join(members, part(buyers, True), ["order_uuid"]).where(F.col("user_id").isNotNull())
+    crowd = checkpointed(crowd.select("set", "user_id").distinct())
+    sizes = crowd.groupBy("set").agg(F.count(F.lit(1)).alias("consumers"))
+    of_sets = sets.join(sizes, "set", "left").select("item", F.coalesce("consumers", F.lit(0)).alias("consumers"))
+
+    pairs = part(items, False).join(part(buyers, False), "order_uuid").select("item", "user_id").distinct()
+    placed = skew_join(pairs, sets, ["item"], "left")
+    others = placed.join(crowd.withColumn("held", F.lit(True)), ["set", "user_id"], "left").select(
+        "item", F.when(F.col("held").isNull() & F.col("user_id").isNotNull(), 1).otherwise(0).cast("long").alias("consumers")
     )
-    counts = of_sets.unionByName(others).groupBy("item_name").agg(F.sum("consumers").alias("unique_cx_count"))
-    return counts.orderBy(F.desc("unique_cx_count"), "item_name")
+    counts = of_sets.unionByName(others).groupBy("item").agg(F.sum("consumers").alias("unique_cx_count"))
+    name = F.when(F.col("item") != "", F.expr("substring(item, 2)")).alias("item_name")
+    return counts.select(name, "unique_cx_count").orderBy(F.desc("unique_cx_count"), "item_name")
+
+
+def _shared_sets(held: DataFrame, digests: list[Column] | None = None) -> DataFrame:
+    """Each item with `set`, the first of the items that have the same carts, from distinct pairs of cart and item."""
+    if digests is None:
+        digests = [F.xxhash64("order_uuid"), F.xxhash64(F.lit("second"), "order_uuid")]
+    name = [f"_sum{i}" for i in range(len(digests))] + ["_carts"]
+    sums = [F.sum(d.cast("decimal(38,0)")).alias(n) for d, n in zip(digests, name)]
+    named = held.groupBy("item").agg(*sums, F.count(F.lit(1)).alias("_carts"))
+    first = named.groupBy(*name).agg(F.min("item").alias("set"))
+    taken = checkpointed(skew_join(named, first, name).select("item", "set"))
+    # As sizes agree, an item has the set's carts unless one of its own is not among them.
+    led = skew_join(held, taken.where("item <> set"), ["item"])
+    theirs = held.withColumnRenamed("item", "set")
+    odd = led.join(theirs, ["set", "order_uuid"], "left_anti").select("item", F.lit(True).alias("odd")).distinct()
+    return taken.join(odd, "item", "left").select("item", F.when(F.col("odd"), F.col("item")).otherwise(F.col("set")).alias("set"))
 
 
 def unique_items_ordered(tables, business_id: int, start: Day, end: Day) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from role_frames import metrics, role_tables
 
 from storelens.plans import engagement, fees, overview, visibility
@@ -250,6 +252,37 @@ def test_items_of_crowded_carts(spark, floor, monkeypatch):
     assert len(rows) == len(wanted)
 
 
+def test_a_hundred_thousand_crowded_carts_share_items(spark):
+    carts = spark.range(100_000).withColumn("order_uuid", F.concat(F.lit("c"), "id"))
+    of = {"all": "true", "same": "true", None: "true", "even": "id % 2 = 0", "odd": "id % 2 = 1", "one": "id = 7", "odd again": "id % 2 = 1"}
+    listed = [carts.where(c).select("order_uuid", F.lit(n).cast("string").alias("item_name")) for n, c in of.items()]
+    items = functools.reduce(lambda a, b: a.union(b), listed).repartition(8)
+    buyers = carts.select("order_uuid", (F.col("id") % 5000).alias("user_id")).union(
+        carts.select("order_uuid", F.when(F.col("id") % 3 == 0, F.col("id") % 7000))
+    )
+    few = spark.createDataFrame([("x", "even", 1), ("z", "lone", 900_000), ("y", "one", 900_001)], "order_uuid string, item_name string, user_id long")
+    found = engagement._by_item_of_crowded_carts(
+        items.union(few.select("order_uuid", "item_name")), buyers.union(few.select("order_uuid", "user_id")), carts.select("order_uuid")
+    )
+    plain = items.join(buyers, "order_uuid").union(few).groupBy("item_name").agg(F.countDistinct("user_id"))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, plain.collect())))
+    assert "collect_" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_of_one_sum_and_other_carts_are_told_apart(spark):
+    held = spark.createDataFrame(
+        [(c, i) for i, own in {"a": "12", "b": "34", "c": "12", "d": "1", "e": "34", "f": "56"}.items() for c in own], "order_uuid string, item string"
+    )
+    for digests in (None, [F.lit(0)], [F.xxhash64("order_uuid") % 2]):
+        sets = dict(map(tuple, engagement._shared_sets(held, digests).collect()))
+        assert sets["a"] == sets["c"] == "a" and sets["d"] == "d"
+        # Whoever shares a set has the same carts.
+        own = {"a": "12", "b": "34", "c": "12", "d": "1", "e": "34", "f": "56"}
+        assert all(own[item] == own[name] for item, name in sets.items())
+        if digests is None:
+            assert sets == {"a": "a", "b": "b", "c": "a", "d": "d", "e": "b", "f": "f"}
+
+
 def fee(consumer, store_id, amount, at=NOON):
     return {
         "consumer_id": consumer,
