@@ -23,12 +23,13 @@ result is exact (up to 64-bit hashes of shingles and 128-bit hashes of sets).
 A document without a word has an empty set and is linked with nothing; one with
 fewer words than a shingle has its whole sequence as one shingle. Rows that
 repeat a doc_id are rows of their own; equal sets always link. Rows without an id
-link by equal sets only.
+link like others; they take the smallest id of their component, null if it has none.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +103,7 @@ def shingle_counts(docs: DataFrame, rule: Rule, text: str = "text") -> np.ndarra
     """How many sets hold a shingle, by the top bits of its hash. Tables are added up as they stream by."""
     width = (1 << COUNT_BITS) // CHUNKS
 
-    def count(parts):
+    def tally(parts):
         table, total = WordHashes(), np.zeros(1 << COUNT_BITS, np.int64)
         for part in parts:
             found = [shingles(x, rule.words, table) for x in part.column("_text").to_pylist()]
@@ -121,7 +122,7 @@ def shingle_counts(docs: DataFrame, rule: Rule, text: str = "text") -> np.ndarra
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": [x.tobytes() for x in sums.values()]})
 
     schema = "chunk int, counts binary"
-    found = docs.select(F.col(text).alias("_text")).mapInArrow(count, schema)
+    found = docs.select(F.col(text).alias("_text")).mapInArrow(tally, schema)
     # First in as many tasks as the session's shuffles have, then one task a chunk.
     found = found.repartition("chunk", F.spark_partition_id()).mapInArrow(add, schema)
     found = found.repartition(CHUNKS, "chunk").mapInArrow(add, schema)
@@ -135,7 +136,7 @@ def described(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
     """For every document the size and name of its set, its minimum hashes and its prefix, rare shingles first."""
     sent = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, rule, text).astype(np.float32))
     kind = dict(docs.dtypes)[key]
-    schema = f"`{key}` {kind}, n long, name binary, least array<long>, bits array<long>, prefix array<long>"
+    schema = f"`{key}` {kind}, digest long, n long, name binary, least array<long>, bits array<long>, prefix array<long>"
 
     def each():
         table, counts = WordHashes(), sent.value
@@ -155,6 +156,7 @@ def described(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
                 prefixes.append(found[order[: rule.probe_length(n)]].view(np.int64) if n else np.zeros(0, np.int64))
             yield {
                 key: part.column(key),
+                "digest": part.column("_digest"),
                 "n": sizes,
                 "name": names,
                 "least": least,
@@ -164,7 +166,7 @@ def described(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
 
         return step
 
-    return batches(docs.select(key, F.col(text).alias("_text")), schema, each)
+    return batches(docs.select(key, F.xxhash64(text).alias("_digest"), F.col(text).alias("_text")), schema, each)
 
 
 def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
@@ -180,7 +182,7 @@ def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule,
     # A bit per slot of document ids, in at most 2 ** (SLOT_BITS - 6) rows: lets few needless texts through.
     marks = classes.join(needed, "name").select(word("first").alias("word"), bit("first").alias("bit"))
     marks = marks.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    texts = docs.where(F.col(key).isNotNull()).select(word(key).alias("word"), bit(key).alias("bit"), F.col(text).alias("_text"))
+    texts = docs.select(word(key).alias("word"), bit(key).alias("bit"), F.col(text).alias("_text"))
     texts = texts.join(F.broadcast(marks), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("_text")
 
     def whole():
@@ -193,8 +195,8 @@ def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule,
 
         return step
 
-    sets = batches(texts, "name binary, hashes binary", whole).join(needed, "name", "left_semi")
-    sets = checkpointed(sets.dropDuplicates(["name"]))
+    # Dealt by name once: both sides of a pair read the same shuffle.
+    sets = batches(texts, "name binary, hashes binary", whole).join(needed, "name", "left_semi").dropDuplicates(["name"])
 
     def compare():
         def step(part):
@@ -232,10 +234,11 @@ def leader_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def block_pairs(grouped: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs across components. `grouped` has name, n, prefix and group (a number of its component)."""
-    entries = grouped.select(
-        "n", "group", F.xxhash64("name").alias("id"), F.posexplode("prefix").alias("place", "entry")
-    ).withColumn("rest", F.col("n") - F.col("place"))
+    """Candidate pairs across components. `grouped` has id and n of a class, its prefix and group (a number of its component)."""
+    entries = grouped.select("n", "group", "id", F.posexplode("prefix").alias("place", "entry"))
+    # Only entries that lie in several components can bring a pair. Found by partial minima, so a common entry is one row a task.
+    ends = entries.groupBy("entry").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("entry")
+    entries = checkpointed(entries.join(checkpointed(ends), "entry", "left_semi")).withColumn("rest", F.col("n") - F.col("place"))
     reach = rule.reach(F.col("rest"), F.col("n"))
     blocks = F.sequence(rule.block(F.col("n")), rule.block(F.greatest(F.col("n"), reach)))
     listed = entries.where(F.col("place") < rule.index_length(F.col("n"))).where(reach >= F.col("n"))
@@ -281,9 +284,10 @@ def derived(pairs: DataFrame, classes: DataFrame, follow: DataFrame, docs: DataF
     return known.where("verdict").select("a", "b").union(verified.select("a", "b"))
 
 
-def similar_groups(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, `n_shingles` and `component_id` (the smallest key reachable by links) for every row of `docs`."""
-    docs = docs.select(key, text)
+def _answers(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
+    """`_id`, `digest` of the text, `n`, `component` and `heads` (whether the row's set stands for its group)."""
+    docs = docs.select(F.col(key).alias("_id"), F.col(text).alias("_words"))
+    key, text = "_id", "_words"
     rows = checkpointed(described(docs, rule, key, text))
     classes = checkpointed(
         rows.where("n > 0").groupBy("name").agg(
@@ -297,8 +301,9 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", te
     near = checkpointed(connected_components(stars))
     # One row of each class brings its prefix. Copies of that row add nothing: a list never pairs equal ids.
     grouped = classes.join(near.withColumnRenamed("node", "name"), "name", "left")
-    grouped = grouped.select("name", F.col("first").alias(key), F.xxhash64(F.coalesce("component", "name")).alias("group"))
-    grouped = rows.select("name", key, "n", "prefix").join(grouped, ["name", key])
+    grouped = grouped.select("name", F.col("first").alias("_first"), F.xxhash64(F.coalesce("component", "name")).alias("group"))
+    led = rows.select("name", key, "n", "prefix").join(grouped, "name").where(F.col(key).eqNullSafe(F.col("_first")))
+    grouped = checkpointed(led.select("n", F.xxhash64("name").alias("id"), "group", "prefix"))
     found = checkpointed(block_pairs(grouped, classes, rule))
     follow = stars.groupBy(F.col("a").alias("name")).agg(F.max(F.struct("both", "b", "n_b")).alias("s"))
     follow = follow.select("name", F.col("s.b").alias("leader"), F.col("s.both").alias("both"), F.col("s.n_b").alias("n_leader"))
@@ -310,18 +315,29 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", te
     near = classes.select("name", "first").join(inner.toDF("name", "c"), "name", "left")
     near = near.withColumn("c", F.coalesce("c", "name")).join(outer.toDF("c", "root"), "c", "left")
     near = near.select("name", "first", F.coalesce("root", "c").alias("root"))
-    smallest = near.groupBy("root").agg(F.min("first").alias("_component"))
-    answer = near.join(smallest, "root").select("name", "_component")
-    done = rows.select(key, "n", "name").join(answer, "name", "left")
-    return done.select(key, F.col("n").alias("n_shingles"), F.coalesce("_component", key).alias("component_id"))
+    # Of sets with the smallest id, as a repeated id can bring several, the one with the smallest name heads the group.
+    head = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "name"))).alias("head")
+    heads = near.groupBy("root").agg(head)
+    answer = near.join(heads, "root").select("name", F.col("head.first").alias("component"), (F.col("name") == F.col("head.name")).alias("heads"))
+    return rows.select(key, "digest", "n", "name").join(answer, "name", "left").select(
+        key, "digest", "n", F.coalesce("component", key).alias("component"), F.coalesce("heads", F.col("n") == 0).alias("heads")
+    )
+
+
+def similar_groups(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key`, `n_shingles` and `component_id` (the smallest key reachable by links) for every row of `docs`."""
+    return _answers(docs, rule, key, text).select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents of `docs` that are the smallest of their group; of rows that repeat an id and text one stays.
 
-    Documents without a word are linked with nothing and stay, as do rows without an id.
+    Two texts under one id are told apart, so of a group one row stays in any
+    case. Documents without a word are linked with nothing and stay, as do rows
+    without an id.
     """
-    groups = similar_groups(docs, rule, key, text)
-    kept = groups.where(F.col("component_id") == F.col(key)).select(key).distinct()
-    stays = docs.join(kept, key, "left_semi").dropDuplicates([key, text])
-    return stays.unionByName(docs.where(F.col(key).isNull()))
+    stays = _answers(docs, rule, key, text).where(F.col("heads") & (F.col("component") == F.col("_id"))).select("_id", "digest").distinct()
+    own = next(n for n in map("_digest{}".format, count()) if n not in docs.columns)
+    named = docs.withColumn(own, F.xxhash64(text))
+    kept = named.join(stays, (named[key] == stays["_id"]) & (named[own] == stays["digest"]), "left_semi")
+    return kept.dropDuplicates([key, own]).drop(own).unionByName(docs.where(F.col(key).isNull()))

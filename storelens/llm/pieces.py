@@ -12,14 +12,12 @@ are encoded alike; columns besides the text stay as they are.
 from __future__ import annotations
 
 import re
-import sys
 from array import array
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +27,8 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 # Longer chunks are rarely met again; they are segmented each time.
 KEPT_CHARS = 64
-# Distinct chunks a worker holds; beyond, the older half goes.
-TABLE_CHUNKS = 600_000
+# Distinct chunks a task holds; beyond, the older half goes.
+TABLE_CHUNKS = 200_000
 # A model file is sent to the executors with each task; larger ones are refused.
 MODEL_BYTES = 64 << 20
 
@@ -110,16 +108,6 @@ class ChunkTable:
         return ids, [x.replace(MARK, " ") for x in decoded]
 
 
-def chunk_table(model: bytes) -> ChunkTable:
-    """The process's table of this model; a worker that runs several tasks keeps it."""
-    kept = sys.__dict__.setdefault("_storelens_chunk_tables", {})
-    name = xxhash.xxh3_128_digest(model)
-    if name not in kept:
-        kept.clear()
-        kept[name] = ChunkTable(model)
-    return kept[name]
-
-
 def encode(docs: DataFrame, model: bytes, keep: list[str], text: str = "text") -> DataFrame:
     """`keep` columns, `ids` (array of int) and `decoded`, for every row of `docs`."""
     spark = docs.sparkSession
@@ -128,7 +116,7 @@ def encode(docs: DataFrame, model: bytes, keep: list[str], text: str = "text") -
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>", "decoded string"])
 
     def each():
-        table = chunk_table(sent.value)
+        table = ChunkTable(sent.value)
 
         def step(part):
             ids, decoded = table.encode([x or "" for x in part.column("_text").to_pylist()])

@@ -73,6 +73,24 @@ def test_groups_of_nothing_and_of_rows_without_id(spark):
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in found) == [(0, 0, 0), (0, 1, 5), (5, 1, 5)]
 
 
+def test_near_rows_without_an_id_link(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, far = " ".join(words), " ".join(reversed(words))
+    rows = [(None, near), (5, near + " x"), (9, near + " y"), (None, far), (None, far + " z"), (7, "other words entirely")]
+    frame = spark.createDataFrame(rows, DOCS).withColumnRenamed("doc_id", "name")
+    found = ngram_join.similar_groups(frame, ngram_join.Rule(3, 90, 100), key="name").collect()
+    assert sorted((str(r["name"]), str(r["component_id"])) for r in found) == [("5", "5"), ("7", "7"), ("9", "5"), ("None", "5"), ("None", "None"), ("None", "None")]
+
+
+def test_one_of_each_tells_texts_of_one_id_apart(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, far = " ".join(words), " ".join(reversed(words))
+    rows = [(1, near), (1, near + " x"), (1, near), (2, near + " y"), (2, far), (3, far), (1, ""), (1, ""), (4, None)]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, DOCS), ngram_join.Rule(3, 90, 100)).collect()
+    # One of the two near texts under id 1 stays; id 2 keeps the text that heads its group and loses the copy.
+    assert sorted((r["doc_id"], (r["text"] or "")[:3]) for r in kept) == [(1, ""), (1, "w0 "), (2, "w59"), (4, "")]
+
+
 def test_one_of_each_keeps_columns_and_clean_rows(spark):
     frame = spark.createDataFrame(near_rows(), DOCS).withColumn("n", F.lit(1)).withColumn("name", F.lit("x"))
     kept = ngram_join.one_of_each(frame, ngram_join.Rule(3, 90, 100))
