@@ -95,6 +95,15 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def planes(hashes: np.ndarray) -> bytes:
+    """Sorted hashes byte by byte, all first bytes first, which a shuffle can compress."""
+    return hashes.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64)[:, 0]
+
+
 def set_name(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
@@ -191,18 +200,18 @@ def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule,
         def step(part):
             found = [shingles(x, rule.words, table) for x in part.column("_text").to_pylist()]
             found = [x for x in found if len(x)]
-            yield {"name": [set_name(x) for x in found], "hashes": [x.tobytes() for x in found]}
+            yield {"name": [set_name(x) for x in found], "hashes": [planes(x) for x in found]}
 
         return step
 
-    # Dealt by name once: both sides of a pair read the same shuffle.
-    sets = batches(texts, "name binary, hashes binary", whole).join(needed, "name", "left_semi").dropDuplicates(["name"])
+    # A set that comes twice, from a repeated row, gives its pairs twice, which are made one at the end.
+    sets = checkpointed(batches(texts, "name binary, hashes binary", whole))
 
     def compare():
         def step(part):
             both = []
             for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = from_planes(x), from_planes(y)
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both.append(int((y[at] == x).sum()))
@@ -212,7 +221,7 @@ def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule,
 
     left = pairs.join(sets.select(F.col("name").alias("a"), F.col("hashes").alias("x")), "a")
     full = left.join(sets.select(F.col("name").alias("b"), F.col("hashes").alias("y")), "b")
-    return batches(full.select("a", "b", "x", "y"), "a binary, b binary, both long", compare)
+    return batches(full.select("a", "b", "x", "y"), "a binary, b binary, both long", compare).distinct()
 
 
 def _sizes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -220,6 +229,13 @@ def _sizes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
 
 
+def _reachable(rule: Rule) -> Column:
+    """Whether sets of sizes n_a, n_b and parity bitmaps x, y can link: they differ in at least as many shingles as
+    their bitmaps in bits, which bounds the overlap."""
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    return F.col("n_a") + F.col("n_b") - apart >= 2 * rule.overlap(F.col("n_a"), F.col("n_b"))
+
+
 def leader_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
     """Each class with the leader (most copies, then smallest name) of its minimum-hash buckets."""
     buckets = classes.select("name", "n", "copies", F.posexplode("least").alias("place", "least"))
@@ -230,7 +246,10 @@ def leader_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
     )
     pairs = buckets.join(best.where("size > 1"), keys).where("name != leader.name")
     like = F.least("n", "leader.n") * rule.den >= F.greatest("n", "leader.n") * rule.num
-    return pairs.where(like).select(F.col("name").alias("a"), F.col("leader.name").alias("b")).distinct()
+    pairs = pairs.where(like).select(F.col("name").alias("a"), F.col("leader.name").alias("b")).distinct()
+    own = classes.select("name", "n", "bits")
+    pairs = pairs.join(own.toDF("a", "n_a", "x"), "a").join(own.toDF("b", "n_b", "y"), "b")
+    return pairs.where(_reachable(rule)).select("a", "b")
 
 
 def block_pairs(grouped: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -256,10 +275,7 @@ def block_pairs(grouped: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
     # Names again; classes whose numbers happen to be equal are all tried, and verified like any.
     names = classes.select(F.xxhash64("name").alias("id"), "name", "n", "bits")
     found = found.join(names.toDF("id", "a", "n_a", "x"), "id").join(names.toDF("id_l", "b", "n_b", "y"), "id_l")
-    # Sets differ in at least as many shingles as their bitmaps in bits, which bounds the overlap.
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    reachable = F.col("n_a") + F.col("n_b") - apart >= 2 * rule.overlap(F.col("n_a"), F.col("n_b"))
-    return found.where("a != b").where(reachable).select("a", "b")
+    return found.where("a != b").where(_reachable(rule)).select("a", "b")
 
 
 def derived(pairs: DataFrame, classes: DataFrame, follow: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
