@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.llm import decontaminate, language, ngram_join, pieces, quality
-from storelens.llm.common import checkpointed, held_out, read
+from storelens.llm.common import held_out, read
 from storelens.llm.registry import tokenizer_path
+from storelens.operators.checkpoints import written
 
 # A text is rejected when no language is this likely.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -64,10 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over `documents`; each stage's rows are written to the shared checkpoint folder."""
+    """All stages over `documents`; each stage's rows are written as Parquet below the shared checkpoint folder and read again."""
     docs = read(spark, folder, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, folder)
         if number < len(STAGES) - 1:
-            docs = checkpointed(docs)
+            docs = written(docs)
     return docs
