@@ -1,7 +1,7 @@
 """Times the registered queries and prints one JSON line.
 
 BENCH_SF_DIR   folder of the tables       (default /root/testdata/sf0.1)
-BENCH_CPUS     local cores                (default 8)
+BENCH_CPUS     cores                      (default 8)
 BENCH_RUNS     timed runs, after one warm-up; the median counts (default 3)
 BENCH_QUERIES  comma-separated names      (default all)
 
