@@ -15,12 +15,13 @@ part without a reference still gets its placeholder (0 tokens if nothing tells
 its size). Rows that repeat a turn are turns of their own. A null conversation
 id is a conversation. The formatted conversation is one value, so a conversation
 must fit one row (four bytes a character in digests()); everything before that
-is done turn by turn.
+is done turn by turn. Time grows with the length of a conversation, not faster.
+Columns other than the four named are left out, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = "struct<kind: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>"
@@ -89,25 +90,24 @@ def formatted(messages: DataFrame, key: str = "conv_id", turn: str = "turn", rol
     role_text = F.coalesce(F.col(role).cast("string"), F.lit(""))
     head = F.concat(F.lit(OPEN), escaped_role(role_text), F.lit(SHUT + "\n"))
     lines = flat.select(
-        F.col(key),
+        F.col(key).alias("_key"),
         F.struct(
             F.col(turn).alias("turn"), role_text.alias("role"), F.col("body"), head.alias("head"),
             F.char_length(head).alias("n_head"), F.char_length("body").alias("n_body"), F.col("attachments"),
         ).alias("line"),
     )
-    talks = lines.groupBy(key).agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    # Where each turn starts, as a running sum. A turn is never empty, so starts are in the order of turns.
+    so_far = Window.partitionBy("_key").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.col("line.n_head") + F.col("line.n_body") + len(END) + 1
+    lines = lines.withColumn("at", F.sum(size).over(so_far) - size)
+    talks = lines.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("at", "line.*"))).alias("lines"))
     shown = F.array_join(F.transform("lines", lambda x: F.concat(x["head"], x["body"], F.lit(END + "\n"))), "")
-    # Running ends of the turns; one pass over a conversation's turns.
-    tail = len(END) + 1
-    trained = F.expr(f"""
-        aggregate(lines, named_struct('at', 0L, 'spans', cast(array() as array<struct<start: bigint, end: bigint>>)), (a, x) ->
-            named_struct(
-                'at', a.at + x.n_head + x.n_body + {tail},
-                'spans', if(x.role = '{TRAINED_ROLE}',
-                    concat(a.spans, array(named_struct('start', a.at + x.n_head, 'end', a.at + x.n_head + x.n_body))), a.spans)
-            )).spans""")
+    trained = F.transform(
+        F.filter("lines", lambda x: x["role"] == TRAINED_ROLE),
+        lambda x: F.struct((x["at"] + x["n_head"]).alias("start"), (x["at"] + x["n_head"] + x["n_body"]).alias("end")),
+    )
     placed = F.flatten(F.transform("lines", lambda x, i: F.transform(x["attachments"], lambda a: F.struct(i.alias("turn"), a["ordinal"].alias("ordinal"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["n_tokens"].alias("n_tokens")))))
-    done = talks.select(key, shown.alias("formatted"), trained.alias("loss_spans"), placed.alias("attachments"))
+    done = talks.select(F.col("_key").alias(key), shown.alias("formatted"), trained.alias("loss_spans"), placed.alias("attachments"))
     return done.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"]))
 
 
@@ -131,11 +131,15 @@ def read_back(talks: DataFrame, text: str = "formatted") -> DataFrame:
 
 
 def masked(text: str = "formatted", spans: str = "loss_spans") -> Column:
-    """The pieces of the text under the spans, in order; linear, as characters of four bytes are found by their place."""
+    """The pieces of the text under the spans, in order.
+
+    Linear: the text is encoded once, into characters of four bytes that are found by their place.
+    """
     wide = lambda x: F.decode(F.concat(F.lit(BYTE_ORDER), x), "UTF-32")
-    whole = F.encode(F.col(text), "UTF-32")
     place = lambda x: (x * 4).cast("int")
-    return F.transform(spans, lambda s: wide(F.substring(whole, place(s["start"]) + 1, place(s["end"] - s["start"]))))
+    cut = lambda whole: F.transform(spans, lambda s: wide(F.substring(whole, place(s["start"]) + 1, place(s["end"] - s["start"]))))
+    # An array of one, so that the inner function takes the encoded text as a value instead of encoding it for each span.
+    return F.element_at(F.transform(F.array(F.encode(F.col(text), "UTF-32")), cut), 1)
 
 
 def digests(talks: DataFrame, key: str = "conv_id") -> DataFrame:

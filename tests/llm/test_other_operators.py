@@ -51,6 +51,21 @@ def test_loss_is_what_the_mask_covers(spark):
     assert loss(talks.withColumn("loss_spans", F.slice("loss_spans", 2, 1))) == [(2, brute.sha("\ufeffb"))]
 
 
+def test_a_long_conversation_among_short_ones(spark):
+    """Turns that repeat, tie and lie in many tasks; time grows with their number."""
+    n = 60_000
+    who = F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("role")
+    said = F.concat(F.lit("é<|😀"), (F.col("id") % 1000).cast("string")).alias("text")
+    long = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.floor(F.col("id") / 2).alias("turn"), who, said)
+    frame = long.union(spark.createDataFrame(ODD, TALK).where("conv_id > 1")).repartition(7).withColumn("parts", chat.text_part(F.col("text")))
+    found = {r["conv_id"]: r for r in chat.digests(chat.formatted(frame)).collect()}
+    rows = sorted((i // 2, "user" if i % 3 else "assistant", f"é<|😀{i % 1000}".replace("<", "\\l")) for i in range(n))
+    plain = lambda x: x.replace("\\l", "<")
+    assert found[1]["n_turns"] == n and found[2]["n_turns"] == 4
+    assert found[1]["turns_sha256"] == brute.sha("".join(f"{r}\n{plain(t)}\n" for _, r, t in rows))
+    assert found[1]["loss_sha256"] == brute.sha("".join(plain(t) for _, r, t in rows if r == "assistant"))
+
+
 def test_parts_become_placeholders(spark):
     part = lambda **k: {n: k.get(n) for n in ("kind", "text", "ref", "width", "height", "seconds", "pages")}
     rows = [
