@@ -70,10 +70,12 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages are labelled by the row of `labels` with their id: a page of quality 0 is to be blocked."""
+    """Every url is labelled by the listed rules: blocked where one blocks it, else not.
+
+    The rows of `labels` are of documents; a page's number says nothing about them.
+    """
     pages = read(spark, folder, "pages").select("page_id", "url")
-    labels = read(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("blocked"))
-    rules = url_rules.mine(pages.join(labels.where("blocked is not null"), "page_id"))
+    rules = url_rules.mine(url_rules.listed_labels(pages))
     return url_rules.judged(pages, rules, ["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -1,6 +1,7 @@
 """DuckDB text of the operators that SQL can express."""
 
 from storelens.llm.licences import PHRASES, SENTENCES
+from storelens.llm.url_rules import CONFIDENCE, LISTED, SUPPORT, VOCABULARY, WIDTH
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOW = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -243,4 +244,57 @@ FROM plain
 """
 
 
-ORACLE_SQL = {"op1_ngram_join": OP1, "op2_html_text": OP2, "op10_licence_scan": _licences(PHRASES, SENTENCES), "op5_decontaminate": OP5, "op7_chat": OP7, "op9_vector_caps": OP9, "op11_importance": OP11, "op12_centroids": _centroids(), "op13_exact_dedup": OP13}
+def _urls() -> str:
+    """Listed rules by comparison, mined ones by counting all sets of up to three of a url's surest tokens."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in LISTED)
+    return rf"""
+    WITH parts AS (
+        SELECT row_number() OVER () AS row, page_id, contains(coalesce(url, ''), '://') AS there,
+            translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host,
+            regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+            regexp_extract(coalesce(url, ''), '\?([^#]*)', 1) AS query, regexp_extract(coalesce(url, ''), '(?s)^(.*?)://', 1) AS scheme
+        FROM pages
+    ),
+    listed AS (SELECT h, p, h || p AS rule, v FROM (VALUES {rules}) AS t(h, p, v)),
+    best AS (
+        SELECT row, max_by(rule, (length(rule), rule)) AS rule, max_by(v, (length(rule), rule)) AS v
+        FROM parts JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY row
+    ),
+    labelled AS (SELECT parts.*, rule, v, coalesce(v = 'block', false) AS blocked FROM parts LEFT JOIN best USING (row)),
+    tokens AS (
+        SELECT DISTINCT row, blocked, unnest(list_concat(
+            list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host=' || regexp_replace(x, '\d+', '0', 'g')),
+            list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path=' || regexp_replace(x, '\d+', '0', 'g')),
+            list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: split_part(x, '=', 1)), lambda x: x <> ''), lambda x: 'query=' || x),
+            ['scheme=' || scheme])) AS t
+        FROM labelled WHERE there
+    ),
+    least AS (SELECT ceil({SUPPORT}::DOUBLE * count(DISTINCT row)) AS n FROM tokens),
+    vocabulary AS (
+        SELECT t, row_number() OVER (ORDER BY count(*) FILTER (blocked) / count(*) DESC, count(*) DESC, t) AS place
+        FROM tokens GROUP BY t HAVING count(*) >= (SELECT n FROM least) ORDER BY place LIMIT {VOCABULARY}
+    ),
+    chosen AS (SELECT row, blocked, t FROM tokens JOIN vocabulary USING (t) QUALIFY row_number() OVER (PARTITION BY row ORDER BY place) <= {WIDTH}),
+    sets AS (
+        SELECT blocked, [t] AS s FROM chosen
+        UNION ALL SELECT a.blocked, [a.t, b.t] FROM chosen a JOIN chosen b ON a.row = b.row AND a.t < b.t
+        UNION ALL SELECT a.blocked, [a.t, b.t, c.t] FROM chosen a JOIN chosen b ON a.row = b.row AND a.t < b.t JOIN chosen c ON a.row = c.row AND b.t < c.t
+    ),
+    found AS (
+        SELECT s, count(*) FILTER (blocked) / count(*) AS confidence FROM sets GROUP BY s
+        HAVING count(*) FILTER (blocked) >= (SELECT n FROM least) AND count(*) FILTER (blocked) / count(*) >= {CONFIDENCE}::DOUBLE
+    ),
+    kept AS (
+        SELECT s FROM found f WHERE NOT EXISTS (
+            SELECT 1 FROM found g WHERE len(g.s) < len(f.s) AND list_has_all(f.s, g.s) AND g.confidence >= f.confidence)
+    ),
+    fired AS (
+        SELECT DISTINCT row FROM (
+            SELECT row, s FROM tokens JOIN (SELECT s, unnest(s) AS t FROM kept) USING (t) GROUP BY row, s HAVING count(*) = len(s))
+    )
+    SELECT page_id, host, path, rule, coalesce(v, CASE WHEN f.row IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+    FROM labelled l LEFT JOIN fired f ON f.row = l.row
+    """
+
+
+ORACLE_SQL = {"op1_ngram_join": OP1, "op2_html_text": OP2, "op10_licence_scan": _licences(PHRASES, SENTENCES), "op5_decontaminate": OP5, "op7_chat": OP7, "op8_url_filter": _urls(), "op9_vector_caps": OP9, "op11_importance": OP11, "op12_centroids": _centroids(), "op13_exact_dedup": OP13}

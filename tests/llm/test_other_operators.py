@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import combinations
 
 import brute
 import numpy as np
@@ -96,6 +97,7 @@ def judged_plainly(url):
 URLS = [
     None, "", "x", "http://net", "http://net/", "HTTP://A.Example.NET/en/1?x", "https://example.net/en", "ftp://example.com/de/9#a/b", "http://q.org/fr/",
     "http://org?x=/fr/", "://net/", "a://b://net/", "http://xnet/", "http://u@h.net:80/p", "http://É.org/fr/x", "http://.net/", "http:///fr/", "http://a.net/" + "p/" * 5000,
+    "a\nb://net/x", "http://n\net/x\ny", "http://a.net/\n?x\ny",
 ]
 
 
@@ -119,6 +121,79 @@ def test_mined_rules_equal_counting(spark):
     assert url_rules.mine(spark.createDataFrame([], "url string, blocked boolean")) == []
 
 
+def tokens_plainly(url):
+    if not url or "://" not in url:
+        return set()
+    host, path = judged_plainly(url)[:2]
+    query = re.search(r"\?([^#]*)", url)
+    names = [x.split("=")[0] for x in query.group(1).split("&")] if query else []
+    shape = lambda x: re.sub("[0-9]+", "0", x)
+    found = {"host=" + shape(x) for x in host.split(".") if x} | {"path=" + shape(x) for x in path.split("/") if x}
+    return found | {"query=" + x for x in names if x} | {"scheme=" + url.split("://")[0]}
+
+
+def mined_plainly(rows, support, confidence, longest, width, vocabulary):
+    sets = [(tokens_plainly(u), b) for u, b in rows if b is not None]
+    sets = [x for x in sets if x[0]]
+    least = math.ceil(support * len(sets))
+    share = {}
+    for t in set().union(*(x for x, _ in sets)):
+        marks = [b for x, b in sets if t in x]
+        if len(marks) >= least:
+            share[t] = (-sum(marks) / len(marks), -len(marks), t)
+    order = sorted(share, key=share.get)[:vocabulary]
+    chosen = [(set([t for t in order if t in x][:width]), b) for x, b in sets]
+    found = {}
+    for n in range(1, longest + 1):
+        for part in {p for x, _ in chosen for p in combinations(sorted(x), n)}:
+            marks = [b for x, b in chosen if x.issuperset(part)]
+            if sum(marks) >= max(1, least) and sum(marks) / len(marks) >= confidence:
+                found[part] = (sum(marks) / len(marks), sum(marks) / len(chosen))
+    return {p: v for p, v in found.items() if not any(set(k) < set(p) and w[0] >= v[0] for k, w in found.items())}
+
+
+@pytest.mark.parametrize("limits", [(0.002, 0.8, 3, 10, 1000), (0.05, 0.6, 2, 4, 12), (0.02, 0.7, 3, 6, 30)])
+def test_mined_rules_equal_all_sets(spark, limits):
+    drawn = np.random.default_rng(5)
+    pick = lambda *x: x[drawn.integers(len(x))]
+    rows = [(f"{pick('http', 'https')}://{pick('a', 'b', 'c')}{pick('', '.net', '.com')}/{pick('de', 'en')}/{pick('x', 'y', '1', '22')}?{pick('q', 'r=1', '')}&s", None) for _ in range(150)]
+    rows = [(u, (".net" in u and "/de/" in u) or bool(drawn.random() < 0.1)) for u, _ in rows]
+    rows += [(None, True), ("x", True), ("http://a.net/de/", None)]
+    found = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean"), "url", "blocked", *limits)
+    wanted = mined_plainly(rows, *limits)
+    assert len(wanted) > 2 and {r.tokens: r.confidence for r in found} == {p: c for p, (c, _) in wanted.items()}
+    assert all(abs(r.support - wanted[r.tokens][1]) < 1e-9 for r in found)
+    new = [(i, u) for i, (u, _) in enumerate(rows)]
+    judged = url_rules.judged(spark.createDataFrame(new, "page_id long, url string"), found, ["page_id"], listed=()).collect()
+    for r in judged:
+        assert (r["verdict"] == "block") == any(set(p) <= tokens_plainly(new[r["page_id"]][1]) for p in wanted)
+
+
+def test_few_labelled_urls_and_long_hot_ones(spark):
+    few = [("http://bad.io/a", True), ("http://good.io/a", False)]
+    assert [r.tokens for r in url_rules.mine(spark.createDataFrame(few, "url string, blocked boolean"))] == [("host=bad",)]
+    rows = [("http://hot.io/" + "/".join(f"s{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)), True)] * 500 + [("http://a.io/x", False)] * 500
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean"))
+    assert len(rules) == url_rules.WIDTH and all(len(r.tokens) == 1 and r.confidence == 1 for r in rules)
+
+
+def test_clashing_names_of_pages(spark):
+    pages = spark.createDataFrame([(1, "http://q.net/", "t", 5)], "page_id long, url string, tokens string, _url int")
+    found = url_rules.judged(pages, [], ["page_id", "tokens", "_url", "url"]).collect()
+    assert [tuple(r) for r in found] == [(1, "t", 5, "http://q.net/", "q.net", "/", "net/", [], "block")]
+    assert url_rules.judged(pages.limit(0), [], ["page_id"]).collect() == []
+    with pytest.raises(ValueError, match="host"):
+        url_rules.judged(pages.withColumnRenamed("tokens", "host"), [], ["page_id", "host"])
+
+
+def test_the_given_pages_have_mined_rules(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    labelled = url_rules.listed_labels(pages)
+    limits = (url_rules.SUPPORT, url_rules.CONFIDENCE, url_rules.LONGEST, url_rules.WIDTH, url_rules.VOCABULARY)
+    wanted = mined_plainly([tuple(r) for r in labelled.collect()], *limits)
+    assert {r.tokens for r in url_rules.mine(labelled)} == set(wanted) and len(wanted) > 10
+
+
 # --- operator 9
 
 
