@@ -126,28 +126,36 @@ def _licences(phrases, sentences) -> str:
     grams AS (SELECT template, i - 1 AS place, t[i] || ' ' || t[i + 1] AS g FROM (SELECT template, t, unnest(range(1, len(t))) AS i FROM templates)),
     rolled AS (SELECT doc_id, i - 1 AS place, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM docs)),
     votes AS (
-        SELECT doc_id, template, r.place - g.place AS diagonal, count(*) AS votes
-        FROM rolled r JOIN grams g ON r.g = g.g GROUP BY ALL
+        SELECT DISTINCT doc_id, template, r.place - g.place AS diagonal, g.place AS spot
+        FROM rolled r JOIN grams g ON r.g = g.g
     ),
     lines AS (
-        SELECT v.*, label, phrase, len(t) AS size, len(list_filter(range(1, len(t) + 1), lambda i: diagonal + i >= 1 AND w[diagonal + i] = t[i])) AS verified
-        FROM votes v JOIN templates USING (template) JOIN docs USING (doc_id)
+        SELECT doc_id, template, diagonal, label, phrase, len(t) AS size, count(*) AS votes
+        FROM votes JOIN templates USING (template) GROUP BY ALL
     ),
-    kept AS (SELECT * FROM lines WHERE NOT phrase OR (votes >= size - 1 AND verified = size)),
+    own AS (
+        SELECT a.template, list_distinct(flatten(list(list_filter(range(0, len(a.t)), lambda i: NOT list_contains(b.t, a.t[i + 1]))))) AS places
+        FROM templates a JOIN templates b ON a.label <> b.label AND NOT a.phrase AND NOT b.phrase
+            AND len(list_filter(a.t, lambda x: list_contains(b.t, x))) >= 0.7 * len(a.t)
+        GROUP BY a.template
+    ),
+    kept AS (SELECT * FROM lines WHERE NOT phrase OR votes = size - 1),
     parted AS (
         SELECT *, CASE WHEN phrase OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS starts
         FROM kept
     ),
     runs AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM parted),
     spans AS (
-        SELECT doc_id, label, phrase, count(*) AS places, min(diagonal) AS first, max(diagonal) AS last,
-            least(1.0, least(sum(verified), sum(votes) + 1) / max(size)) AS share
-        FROM runs GROUP BY doc_id, template, label, phrase, run
+        SELECT doc_id, label, phrase, count(DISTINCT diagonal) AS places, min(diagonal) AS first, max(diagonal) AS last,
+            count(DISTINCT word) / max(size) AS share, list_has_all(list(DISTINCT word), coalesce(any_value(o.places), [])) AS own_found
+        FROM (SELECT r.*, unnest([spot, spot + 1]) AS word FROM runs r JOIN votes v USING (doc_id, template, diagonal))
+        LEFT JOIN own o USING (template)
+        GROUP BY doc_id, template, label, phrase, run
     ),
     found AS (
         SELECT doc_id, sum(places) FILTER (phrase) AS n_base, min(first) FILTER (phrase) AS first_word, max(last) FILTER (phrase) AS last_word,
             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels,
-            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase OR share >= 0.7) AS labels, max(share) AS score
+            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase OR share >= 0.7 AND own_found) AS labels, max(share) AS score
         FROM spans GROUP BY doc_id
     )
     SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,

@@ -330,6 +330,17 @@ def licence_rows():
     ]
 
 
+@pytest.mark.parametrize("text, label, score", [
+    ("all rights x all rights", "", 2 / 3), ("all rights " * 3000, "", 2 / 3), ("rights reserved all rights", "all-rights-reserved", 1.0),
+    ("all rights reserved " * 3000, "all-rights-reserved", 1.0), ("licensed under cc by nc 4 0 licensed under cc", "cc-by-nc-4.0", 1.0),
+    ("licensed under cc by xx 4 0", "", 6 / 7), ("licensed under cc by sa 4 0 and licensed under cc by nc 4 0", "cc-by-nc-4.0,cc-by-sa-4.0", 1.0),
+    ("under cc by nc under cc by nc", "", 4 / 7), ("rights", "", 0.0),
+])
+def test_a_template_word_counts_once(spark, text, label, score):
+    found = licences.scan(spark.createDataFrame([(1, text)], DOCS), ["doc_id"]).first()
+    assert (found["labels"], found["n_base"]) == (label, 0) and abs(found["score"] - score) < 1e-12
+
+
 def test_licences_equal_brute_force(spark, texts):
     rows = licence_rows() + [(i + 1000, t) for i, t in texts.items()]
     found = licences.scan(spark.createDataFrame(rows, DOCS).withColumn("label", F.lit(1)), ["doc_id", "label"]).collect()
