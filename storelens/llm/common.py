@@ -63,6 +63,20 @@ def batches(frame: DataFrame, schema: str, each: Callable[[], Callable[[pa.Recor
     return frame.mapInArrow(run, schema)
 
 
+def kept_names(keep: list[str], added: list[str]) -> dict[str, str]:
+    """The names kept columns get beside added ones: their own, or with `_kept` behind it (again where that is taken too)."""
+    taken = {c.lower() for c in [*keep, *added]}
+    names = {}
+    for column in keep:
+        name = column
+        if column.lower() in {c.lower() for c in added}:
+            while name.lower() in taken:
+                name += "_kept"
+            taken.add(name.lower())
+        names[column] = name
+    return names
+
+
 def lists(flat: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.ListArray:
     """A list column from its concatenated values and the sizes of its lists."""
     ends = np.zeros(len(sizes) + 1, np.int32)

@@ -15,7 +15,8 @@ Kinds that no labelled page shows take the weights of BOILERPLATE names.
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one space. Null and empty
 pages, and pages without a word, give the empty text. Broken markup (elements
-left open, closed twice or cut off at the end) is read as far as it goes.
+left open, closed twice or cut off at the end) is read as far as it goes. Time
+grows with a page's tokens, not with their depth. Repeated rows give equal texts.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import batches
+from storelens.llm.common import batches, kept_names
 
 TRAIN_PAGES = 4000
 KINDS = 2000
@@ -36,6 +37,7 @@ KINDS = 2000
 # Fixed names of the markup language.
 CONTENT = frozenset({"article", "main"})
 RAW = frozenset({"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "noframes", "math"})
+RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
 INLINE = frozenset({"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"})
 # Opening one of these ends an open paragraph.
@@ -60,7 +62,6 @@ def tokens(page: str):
     role. What stands inside RAW elements is passed over.
     """
     at = 0
-    lowered = None
     while at < len(page):
         found = TOKEN.search(page, at)
         if found is None:
@@ -79,45 +80,59 @@ def tokens(page: str):
         marks = [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(found.group(3))] if found.group(3).strip() else []
         kind = ".".join([name, *("#" * (k == "id") + " ".join(v.lower().split()) if k != "hidden" else "hidden" for k, v in marks)])
         if name in RAW and not found.group(3).endswith("/"):
-            lowered = page.lower() if lowered is None else lowered
-            end = lowered.find(f"</{name}", at) if len(lowered) == len(page) else page.find(f"</{name}", at)
-            if end < 0 and name not in ("title", "textarea"):
+            end = RAW_END[name].search(page, at)
+            if end is None and name not in ("title", "textarea"):
                 return
-            if end >= 0:
-                close = page.find(">", end)
+            if end is not None:
+                close = page.find(">", end.start())
                 at = len(page) if close < 0 else close + 1
             continue
         yield "open", name, kind
 
 
+class Element:
+    """An element's place: its number in page order, the element around it, its kind, and how many elements
+    that are not INLINE it stands in, itself included."""
+
+    __slots__ = ("number", "around", "kind", "name", "blocks")
+
+    def __init__(self, number: int, around: Element | None, kind: str, name: str):
+        self.number, self.around, self.kind, self.name = number, around, kind, name
+        self.blocks = (around.blocks if around else 0) + (name not in INLINE)
+
+
 def placed(page: str):
-    """Each token with the kinds of the elements around it: (what, name or text, path of kinds, is an element's own tag).
+    """Each token with the element around it, which for a tag is its own: (what, name or text, element or None).
 
-    Elements left open end with the element around them.
+    Elements left open end with the element around them. Open elements are found by name, so a page costs time in
+    proportion to its tokens, however deep they are nested.
     """
-    open_names: list[str] = []
-    open_kinds: list[str] = []
+    stack: list[Element] = []
+    at_name: dict[str, list[int]] = {}
+    number = 0
+
+    def shut(last: int) -> None:
+        while len(stack) > last:
+            at_name[stack.pop().name].pop()
+
     for what, value, kind in tokens(page):
         if what == "open":
-            if value in ENDS_PARAGRAPH and "p" in open_names:
-                last = len(open_names) - 1 - open_names[::-1].index("p")
-                if not any(n not in INLINE for n in open_names[last + 1 :]):
-                    del open_names[last:], open_kinds[last:]
-            elif value == "li" and open_names and open_names[-1] == "li":
-                open_names.pop(), open_kinds.pop()
-            if value in VOID:
-                yield what, value, (*open_kinds, kind)
-                continue
-            open_names.append(value)
-            open_kinds.append(kind)
-            yield what, value, tuple(open_kinds)
-        elif what == "close":
-            yield what, value, tuple(open_kinds)
-            if value in open_names:
-                last = len(open_names) - 1 - open_names[::-1].index(value)
-                del open_names[last:], open_kinds[last:]
+            if value in ENDS_PARAGRAPH and at_name.get("p"):
+                last = at_name["p"][-1]
+                if stack[-1].blocks == stack[last].blocks:
+                    shut(last)
+            elif value == "li" and stack and stack[-1].name == "li":
+                shut(len(stack) - 1)
+            here = Element(number, stack[-1] if stack else None, kind, value)
+            number += 1
+            if value not in VOID:
+                at_name.setdefault(value, []).append(len(stack))
+                stack.append(here)
+            yield what, value, here
         else:
-            yield what, value, tuple(open_kinds)
+            yield what, value, stack[-1] if stack else None
+            if what == "close" and at_name.get(value):
+                shut(at_name[value][-1])
 
 
 def name_of(kind: str) -> str:
@@ -147,17 +162,46 @@ def odd_inside(kind: str) -> bool:
 def count_page(page: str, counts: Counter) -> None:
     """Adds the words and tags of each kind, inside and outside the content, of a page that marks its content."""
     found = list(placed(page))
-    if not any(name_of(kind) in CONTENT for _, _, path in found for kind in path):
+    # By number of element: it, whether it is or lies in content, whether none around it is of its kind, words inside and outside.
+    elements: list[Element] = []
+    content: list[bool] = []
+    words: list[list[int]] = []
+    for what, value, here in found:
+        if here is not None and here.number == len(elements):
+            elements.append(here)
+            content.append(name_of(here.kind) in CONTENT or (here.around is not None and content[here.around.number]))
+            words.append([0, 0])
+    if not any(content):
         return
-    for what, value, path in found:
-        inside = any(name_of(kind) in CONTENT for kind in path[:-1]) or (what == "text" and bool(path) and name_of(path[-1]) in CONTENT)
+    for what, value, here in found:
         if what == "text":
-            n = len(value.split())
-            if n:
-                for kind in set(path):
-                    counts[kind, "word", inside] += n
+            if here is not None:
+                words[here.number][content[here.number]] += len(value.split())
         else:
-            counts[path[-1] if path else value, "tag", inside] += 1
+            around = here.around if here is not None else None
+            counts[here.kind if here is not None else value, "tag", around is not None and content[around.number]] += 1
+    # Words of an element are those of all within it, once for each kind: numbers grow inwards, so sums go up in one pass.
+    for here in reversed(elements):
+        if here.around is not None:
+            for inside in (0, 1):
+                words[here.around.number][inside] += words[here.number][inside]
+    for here in outermost(elements):
+        for inside in (False, True):
+            if words[here.number][inside]:
+                counts[here.kind, "word", inside] += words[here.number][inside]
+
+
+def outermost(elements: list[Element]):
+    """The elements that lie in none of their own kind; `elements` are in page order."""
+    open_now: list[Element] = []
+    kinds: Counter = Counter()
+    for here in elements:
+        while open_now and open_now[-1] is not here.around:
+            kinds[open_now.pop().kind] -= 1
+        if not kinds[here.kind]:
+            yield here
+        open_now.append(here)
+        kinds[here.kind] += 1
 
 
 class Weights:
@@ -169,6 +213,7 @@ class Weights:
             counts[kind, what, inside] += n
         self.cost: dict[str, float] = {}
         self.outside: dict[str, bool] = {}
+        self.foreign: dict[str, bool] = {}
         for kind in {k for k, _, _ in counts}:
             inside, outside = counts[kind, "tag", True], counts[kind, "tag", False]
             # Log odds of standing outside, scaled by how many words such an element holds.
@@ -177,6 +222,8 @@ class Weights:
             self.cost[kind] = min(MOST_COST, max(LEAST_COST, odds * (1 + held)))
             words_in, words_out = counts[kind, "word", True], counts[kind, "word", False]
             self.outside[kind] = words_in == 0 and words_out > 0
+            # A class or id whose words stand outside nine times in ten is no content within an article either.
+            self.foreign[kind] = "." in kind and name_of(kind) not in INLINE and name_of(kind) not in ANCHORED and words_out > 9 * words_in
 
     def of_tag(self, kind: str) -> float:
         known = self.cost.get(kind)
@@ -184,31 +231,39 @@ class Weights:
             return known
         if name_of(kind) in INLINE:
             return LEAST_COST
-        return MOST_COST / 6 if odd_kind(kind) or name_of(kind) in CONTENT else 0.5
+        if odd_kind(kind) or name_of(kind) in CONTENT:
+            return MOST_COST / 6
+        # A heading's few words are worth its tags.
+        return LEAST_COST if name_of(kind) in ANCHORED else 0.5
 
     def drops(self, kind: str) -> bool:
         if name_of(kind) in CONTENT or name_of(kind) in ("html", "body"):
             return False
         return odd_kind(kind) or (self.outside.get(kind, False) and name_of(kind) not in ("p", "div", "section", "span", "h1", "h2", "h3", "b", "i", "em", "strong"))
 
-    def judge(self, path: tuple[str, ...]) -> tuple[bool, bool]:
-        """Whether words under these elements are dropped, and whether the innermost stands in marked content.
+    def judge(self, kind: str, around: tuple[bool, bool]) -> tuple[bool, bool]:
+        """Whether words in an element of a kind are dropped, and whether it is or lies in marked content; from the
+        same of the element around it.
 
-        Within marked content only names and classes count: a link there is text, whatever links are elsewhere.
+        Within marked content only names and classes count, those learned to be foreign to it included: a plain link
+        there is text, whatever links are elsewhere.
         """
-        marked = max((i for i, kind in enumerate(path) if name_of(kind) in CONTENT), default=-1)
-        if marked >= 0:
-            return any(map(odd_inside, path[marked + 1 :])), marked < len(path) - 1
-        return any(map(self.drops, path)), False
+        odd, marked = around
+        if name_of(kind) in CONTENT:
+            return False, True
+        return odd or (odd_inside(kind) or self.foreign.get(kind, False) if marked else self.drops(kind)), marked
 
 
 def region(page: str, weights: Weights) -> list[tuple[str, str, bool]]:
     """(what, name or text, is content) of the tokens in the best run; a linear scan."""
     found = []
     best, best_span, total, start = 0.0, (0, 0), 0.0, 0
-    dropped: dict[tuple, bool] = {}
-    for i, (what, value, path) in enumerate(placed(page)):
-        odd, inside = dropped.get(path) or dropped.setdefault(path, weights.judge(path))
+    judged: list[tuple[bool, bool]] = []
+    for i, (what, value, here) in enumerate(placed(page)):
+        if here is not None and here.number == len(judged):
+            judged.append(weights.judge(here.kind, judged[here.around.number] if here.around else (False, False)))
+        odd, marked = judged[here.number] if here is not None else (False, False)
+        inside = marked and name_of(here.kind) not in CONTENT
         found.append((what, value, not odd))
         if odd and inside:
             score = 0.0
@@ -216,7 +271,7 @@ def region(page: str, weights: Weights) -> list[tuple[str, str, bool]]:
             n = len(value.split())
             score = -n if odd else n
         else:
-            score = -LEAST_COST if inside else -weights.of_tag(path[-1] if path else value)
+            score = -LEAST_COST if inside else -weights.of_tag(here.kind if here is not None else value)
         if total <= 0:
             total, start = 0.0, i
         total += score
@@ -236,8 +291,8 @@ def main_text(page: str | None, weights: Weights) -> str:
     return " ".join("".join(parts).split())
 
 
-def fit(pages: DataFrame, text: str = "html", key: str = "page_id", rows: int = TRAIN_PAGES) -> list[tuple]:
-    """Counts of at most `rows` labelled pages and `KINDS` kinds, for Weights."""
+def fit(pages: DataFrame, text: str = "html", key: str = "page_id", rows: int = TRAIN_PAGES, kinds: int = KINDS) -> list[tuple]:
+    """Counts of about `rows` labelled pages, for Weights; of kinds the `kinds` with the most words and tags."""
     known = pages.select(F.col(key).alias("_key"), F.col(text).alias("_html"))
     marked = known.where(F.lower("_html").rlike("<(article|main)[ >]"))
     total = marked.count()
@@ -249,35 +304,36 @@ def fit(pages: DataFrame, text: str = "html", key: str = "page_id", rows: int =
             counts = Counter()
             for x in part.column("_html").to_pylist():
                 count_page(x or "", counts)
-            kinds = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
             yield {
-                "kind": [k for (k, _, _), _ in kinds],
-                "what": [w for (_, w, _), _ in kinds],
-                "inside": [i for (_, _, i), _ in kinds],
-                "n": [n for _, n in kinds],
+                "kind": [k for k, _, _ in counts],
+                "what": [w for _, w, _ in counts],
+                "inside": [i for _, _, i in counts],
+                "n": list(counts.values()),
             }
 
         return step
 
     counted = batches(sample, "kind string, what string, inside boolean, n long", each).groupBy("kind", "what", "inside").agg(F.sum("n").alias("n"))
-    got = counted.orderBy(F.desc("n"), "kind", "what", "inside").limit(4 * KINDS).collect()
-    return [tuple(r) for r in got]
+    each_kind = counted.groupBy("kind").agg(F.sum("n").alias("total"), F.collect_list(F.struct("kind", "what", "inside", "n")).alias("rows"))
+    got = each_kind.orderBy(F.desc("total"), "kind").limit(kinds).collect()
+    return [tuple(r) for kind in got for r in kind["rows"]]
 
 
 def extract(pages: DataFrame, rows: list[tuple], keep: list[str], text: str = "html") -> DataFrame:
-    """`keep` columns and `text`, for every row of `pages`."""
-    kinds = dict(pages.select(*keep).dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string"])
+    """`keep` columns and `text`, for every row of `pages`; a kept column `text` is named as kept_names() says."""
+    kept = kept_names(keep, ["text"])
+    frame = pages.select(*(F.col(c).alias(kept[c]) for c in keep), F.col(text).cast("string").alias("text"))
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in frame.dtypes)
 
     def each():
         weights = Weights(rows)
 
         def step(part):
             yield {
-                **{c: part.column(c) for c in keep},
-                "text": [main_text(x, weights) for x in part.column("_html").to_pylist()],
+                **{c: part.column(c) for c in kept.values()},
+                "text": [main_text(x, weights) for x in part.column("text").to_pylist()],
             }
 
         return step
 
-    return batches(pages.select(*keep, F.col(text).alias("_html")), schema, each)
+    return batches(frame, schema, each)

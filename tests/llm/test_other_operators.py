@@ -182,8 +182,9 @@ def test_clashing_names_of_pages(spark):
     found = url_rules.judged(pages, [], ["page_id", "tokens", "_url", "url"]).collect()
     assert [tuple(r) for r in found] == [(1, "t", 5, "http://q.net/", "q.net", "/", "net/", [], "block")]
     assert url_rules.judged(pages.limit(0), [], ["page_id"]).collect() == []
-    with pytest.raises(ValueError, match="host"):
-        url_rules.judged(pages.withColumnRenamed("tokens", "host"), [], ["page_id", "host"])
+    clash = url_rules.judged(pages.withColumnsRenamed({"tokens": "Host", "_url": "host_kept"}), [], ["page_id", "Host", "host_kept"])
+    assert clash.columns == ["page_id", "Host_kept_kept", "host_kept", *url_rules.ADDED]
+    assert tuple(clash.first())[:4] == (1, "t", 5, "q.net")
 
 
 def test_the_given_pages_have_mined_rules(spark):

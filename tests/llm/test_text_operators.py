@@ -160,6 +160,70 @@ def test_anchors_within_the_content_are_text():
     assert html_region.main_text(page, weights) == "Related work Four weeks. One more. Of the state. Ten."
 
 
+def test_headings_and_capital_ends_are_read():
+    weights = html_region.Weights([])
+    assert html_region.main_text("<body><h1>Title</h1><p>long text here now</p></body>", weights) == "Title long text here now"
+    page = "<p>\u0130stanbul first</p><SCRIPT>x</SCRIPT><p>second paragraph</p>"
+    assert html_region.main_text(page, weights) == "\u0130stanbul first second paragraph"
+
+
+def test_adverts_of_a_learned_class_go_within_the_content():
+    learned = "<div class=taboola>ten words of an advert that nobody wants to read</div><article><p>text</p><div class=figure>b</div></article><div class=figure>b</div>"
+    counts = html_region.Counter()
+    for _ in range(500):
+        html_region.count_page(learned, counts)
+    page = "<article><p>First.</p><div class=taboola>Buy</div><div class=figure>Second.</div><p>Third.</p></article>"
+    html_region.count_page(page, counts)
+    weights = html_region.Weights([(*k, n) for k, n in counts.items()])
+    assert html_region.main_text(page, weights) == "First. Second. Third."
+
+
+def counted_plainly(page):
+    """The counts of a page by walking up from each token."""
+    counts, found = html_region.Counter(), list(html_region.placed(page))
+    up = lambda x: [] if x is None else [x, *up(x.around)]
+    marked = lambda x: any(html_region.name_of(e.kind) in html_region.CONTENT for e in up(x))
+    if any(marked(x) for _, _, x in found):
+        for what, value, x in found:
+            if what != "text":
+                counts[x.kind if x else value, "tag", marked(x.around if x else None)] += 1
+            elif value.split():
+                for kind in {e.kind for e in up(x)}:
+                    counts[kind, "word", marked(x)] += len(value.split())
+    return counts
+
+
+def test_counts_of_pages_equal_walking_up(spark):
+    pages = [r[0] for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("html").limit(40).collect()]
+    odd = ["", "a", "<div><div>a b<p>c<div>d</div></div><article>e<div>f</div><p>g<p>h</article></span>i</div>j<br>k", "</p><main><li>a<li>b<li><ul><li>c</main>"]
+    for page in [*pages, *odd]:
+        counts = html_region.Counter()
+        html_region.count_page(page, counts)
+        assert counts == counted_plainly(page)
+
+
+def test_deep_and_long_pages():
+    weights = html_region.Weights([])
+    n = 100_000
+    for tag in ("div", "b", "p", "ul><li"):
+        page = f"<article>{f'<{tag}>' * n}fifty words {'</div>' * n}</article><nav>out</nav>"
+        assert html_region.main_text(page, weights) == "fifty words"
+        counts = html_region.Counter()
+        html_region.count_page(page, counts)
+        assert counts["article", "word", True] == 2
+    long = "<nav>menu</nav><article>" + "<p>one two</p>" * n + "</article>"
+    assert html_region.main_text(long, weights) == " ".join(["one two"] * n)
+
+
+def test_pages_without_an_article_and_clashing_names(spark):
+    rows = [(i, "<html><body><nav><a href=x>home</a></nav><h1>Head</h1><p>some words of text here</p><footer>f</footer></body></html>", "kept") for i in range(6)]
+    rows += [(0, rows[0][1], "kept"), (9, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string").withColumn("text_kept", F.lit(1))
+    found = html_region.extract(pages, html_region.fit(pages), ["page_id", "text", "text_kept"])
+    assert found.columns == ["page_id", "text_kept_kept", "text_kept", "text"]
+    assert sorted(tuple(r)[::3] for r in found.collect()) == sorted([*[(i, "Head some words of text here") for i in (0, 0, 1, 2, 3, 4, 5)], (9, "")])
+
+
 def test_pages_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, html string, text string")
     assert html_region.extract(pages, html_region.fit(pages), ["page_id"]).collect() == []
