@@ -296,3 +296,37 @@ def allocate_fee(
     lump = fees.groupBy("campaign_id").agg(F.sum("fee").alias("_fee")).join(weights, "campaign_id")
     joined = guarded_join(lines, lump, ["campaign_id"], "inner", max_bytes, bound=fees)
     return joined.select(*lines.columns, (F.col("_fee") * safe_ratio(weight, "_weights")).alias("fee_alloc"))
+
+
+def apportion_fee(
+    fees: DataFrame, lines: DataFrame, weight: str, ties: list[str], max_bytes: int | None = None, **cut
+) -> DataFrame:
+    """Spreads each campaign's `fee_cents` over its lines in whole cents, as `fee_alloc_cents`; shares sum to the fee.
+
+    `fee_cents` and `weight` are whole numbers. A line gets its share rounded down; the cents left over go one each
+    to the largest remainders, ties by the columns `ties`. Null and negative weights count as 0, and where all of a
+    campaign's do, its lines share equally. A negative fee is spread as its amount, with the sign put back. A fee
+    without lines and a line without a fee are left out.
+
+    Products are decimals of 38 digits, sums whole numbers, so no result depends on the order of rows. Lines are
+    ranked in ranges of (campaign, remainder), so a campaign with most lines is not in one task.
+    """
+    known = F.greatest(F.coalesce(F.col(weight).cast("bigint"), F.lit(0)), F.lit(0))
+    weights = lines.groupBy("campaign_id").agg(F.sum(known).alias("_sum"), F.count(F.lit(1)).alias("_lines"))
+    lump = fees.groupBy("campaign_id").agg(F.sum(F.col("fee_cents").cast("bigint")).alias("_fee")).where(F.col("_fee").isNotNull())
+    lump = lump.join(weights, "campaign_id").withColumn("_whole", F.when(F.col("_sum") > 0, F.col("_sum")).otherwise(F.col("_lines")))
+    joined = guarded_join(lines, lump, ["campaign_id"], "inner", max_bytes, bound=fees)
+    own = F.when(F.col("_sum") > 0, known).otherwise(F.lit(1).cast("bigint"))
+    amount = F.abs("_fee").cast("decimal(19,0)") * own.cast("decimal(19,0)")
+    over = amount % F.col("_whole").cast("decimal(19,0)")
+    parts = joined.select(
+        *lines.columns, "_fee", "_whole", over.cast("bigint").alias("_over"),
+        ((amount - over) / F.col("_whole")).cast("bigint").alias("_share"),
+    )
+    # The largest remainder comes first.
+    parts = parts.withColumn("_lack", F.col("_whole") - F.col("_over"))
+    left = parts.groupBy("campaign_id").agg((F.abs(F.first("_fee")) - F.sum("_share")).alias("_left"))
+    ranked = running_numbers(parts, "campaign_id", {"_place": []}, "_lack", ties, **cut)
+    spread = guarded_join(ranked, left, ["campaign_id"], "inner", max_bytes, bound=fees)
+    cents = F.col("_share") + (F.col("_place") <= F.col("_left")).cast("bigint")
+    return spread.select(*lines.columns, (F.signum("_fee").cast("bigint") * cents).alias("fee_alloc_cents"))

@@ -270,3 +270,21 @@ _register(
     ),
     ("fee_alloc",),
 )
+_register(
+    "apportion_fee",
+    lambda t: ads.apportion_fee(
+        t.raw("part").select(F.col("p_partkey").alias("campaign_id"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("fee_cents")),
+        t.raw("lineitem").select(
+            F.col("l_partkey").alias("campaign_id"), "l_orderkey", "l_linenumber",
+            F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price_cents"),
+        ),
+        "price_cents",
+        ["l_orderkey", "l_linenumber"],
+    ),
+)
+_register(
+    "zone_order_time",
+    lambda t: t.raw("orders")
+    .select("o_orderkey", F.timestamp_add("HOUR", F.pmod("o_orderkey", F.lit(24)).cast("int"), F.col("o_orderdate").cast("timestamp_ntz")).alias("ordered_at"))
+    .withColumn("zone_ts", zone_time("ordered_at", "America/Los_Angeles")),
+)

@@ -441,6 +441,31 @@ ORACLE_SQL: dict[str, str] = {
     "allocate_fee": """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey AS campaign_id, l_extendedprice,
         round(p_retailprice * l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_partkey), 4) AS fee_alloc
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "apportion_fee": """WITH parts AS (
+            SELECT l_partkey AS campaign_id, l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS price_cents,
+                CAST(round(p_retailprice * 100) AS HUGEINT) AS fee,
+                sum(CAST(round(l_extendedprice * 100) AS HUGEINT)) OVER (PARTITION BY l_partkey) AS whole
+            FROM lineitem JOIN part ON l_partkey = p_partkey
+        ),
+        placed AS (
+            SELECT *, fee * price_cents // whole AS share,
+                row_number() OVER (PARTITION BY campaign_id ORDER BY fee * price_cents % whole DESC, l_orderkey, l_linenumber) AS place
+            FROM parts
+        )
+        SELECT campaign_id, l_orderkey, l_linenumber, price_cents, CAST(share
+            + CASE WHEN place <= fee - sum(share) OVER (PARTITION BY campaign_id) THEN 1 ELSE 0 END AS BIGINT) AS fee_alloc_cents
+        FROM placed""",
+    # Summer time of the years up to 2006: from the first Sunday of April, 10:00 UTC, to the last of October, 9:00 UTC.
+    "zone_order_time": """WITH moments AS (
+            SELECT o_orderkey, o_orderdate + to_hours(o_orderkey % 24) AS ordered_at,
+                make_date(year(o_orderdate), 4, 1) AS april, make_date(year(o_orderdate), 10, 31) AS october
+            FROM orders
+        )
+        SELECT o_orderkey, ordered_at, ordered_at - CASE
+            WHEN ordered_at >= CAST(april + CAST((7 - dayofweek(april)) % 7 AS INTEGER) AS TIMESTAMP) + INTERVAL 10 HOUR
+                AND ordered_at < CAST(october - CAST(dayofweek(october) AS INTEGER) AS TIMESTAMP) + INTERVAL 9 HOUR
+            THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END AS zone_ts
+        FROM moments""",
 }
 
 _FEE_REPORTS = {

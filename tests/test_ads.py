@@ -196,3 +196,36 @@ def test_allocate_fee_spreads_all_of_it(spark, max_bytes):
     lines = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0), (2, "c", 0.0), (7, "d", 1.0)], "campaign_id int, line string, w double")
     result = ads.allocate_fee(fees, lines, "w", max_bytes)
     assert listed(result.select("line", "fee_alloc")) == [("a", 2.5), ("b", 7.5), ("c", 0.0)]
+
+
+def apportioned_plainly(fees, lines):
+    shares = {}
+    for campaign in {c for c, _ in fees if c is not None} & {c for c, *_ in lines}:
+        fee = sum(f or 0 for c, f in fees if c == campaign)
+        own = sorted((line, max(w or 0, 0)) for c, line, w in lines if c == campaign)
+        if not any(w for _, w in own):
+            own = [(line, 1) for line, _ in own]
+        whole = sum(w for _, w in own)
+        floors = {line: abs(fee) * w // whole for line, w in own}
+        left = abs(fee) - sum(floors.values())
+        first = sorted(own, key=lambda x: (-(abs(fee) * x[1] % whole), x[0]))[:left]
+        for line, _ in own:
+            shares[line] = (1 if fee >= 0 else -1) * (floors[line] + (line in [x for x, _ in first]))
+    return shares
+
+
+@pytest.mark.parametrize("max_bytes, floor", [(None, None), (-1, None), (-1, 50)])
+def test_apportioned_fees_sum_to_the_fee(spark, max_bytes, floor):
+    fees = [(1, 1000), (1, 1), (2, 7), (3, 100), (4, -1000), (5, 9), (6, 5), (7, 10**15 + 7), (8, None), (None, 3), (9, 0)]
+    lines = [(1, k, 3 + k % 4) for k in range(400)] + [(2, 1000 + k, 1) for k in range(3)] + [(3, 2000 + k, 0) for k in range(7)]
+    lines += [(4, 3000 + k, k) for k in range(9)] + [(6, 4000, None), (6, 4001, -5), (6, 4002, 2)] + [(7, 5000 + k, 10**12 + k) for k in range(11)]
+    lines += [(8, 6000, 1), (None, 6001, 1), (9, 6002, 1), (99, 6003, 1)]
+    made = spark.createDataFrame(fees, "campaign_id int, fee_cents long"), spark.createDataFrame(lines, "campaign_id int, line int, w long").repartition(5)
+    found = ads.apportion_fee(*made, "w", ["line"], max_bytes, **({"floor": floor} if floor else {}))
+    assert found.columns == ["campaign_id", "line", "w", "fee_alloc_cents"]
+    wanted = apportioned_plainly([f for f in fees if f[1] is not None], lines)
+    rows = found.collect()
+    assert len(rows) == len(wanted) and {r["line"]: r["fee_alloc_cents"] for r in rows} == wanted
+    for campaign, fee in ((1, 1001), (3, 100), (4, -1000), (6, 5), (7, 10**15 + 7)):
+        assert sum(r["fee_alloc_cents"] for r in rows if r["campaign_id"] == campaign) == fee
+    assert ads.apportion_fee(made[0], made[1].limit(0), "w", ["line"]).collect() == []
