@@ -41,8 +41,23 @@ def safe_ratio(part: Column | str, whole: Column | str) -> Column:
     )
 
 
+# The type amounts are summed in: six places after the point, below 10^12 each.
+EXACT = "decimal(18,6)"
+
+
+def exact_sum(amount: Column | str) -> Column:
+    """The sum of amounts in decimals, so that it depends neither on their order nor on partitions.
+
+    An amount is rounded to six places first; one of 10^12 or more and a sum of
+    10^32 or more are errors under ANSI mode (Spark's default) and null without
+    it. Not-a-number and infinities have no decimal and count as null.
+    """
+    return F.sum(as_column(amount).cast(EXACT))
+
+
 def cents(amount: Column | str) -> Column:
-    return as_column(amount) / 100
+    """An amount in cents, or an exact sum of them, as a double of whole units."""
+    return as_column(amount).cast("double") / 100
 
 
 def search_label(clean_term: Column | str, product_name: Column | str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelens.functions.scalars import overlap, safe_ratio
+from storelens.functions.scalars import EXACT, exact_sum, overlap, safe_ratio
 from storelens.operators.joins import guarded_join, skew_join
 from storelens.operators.metrics import union_all
 from storelens.operators.timeline import last_before, running_numbers
@@ -64,12 +64,12 @@ RETENTION_DAYS = (30, 60, 90)
 def reorder_retention(deliveries: DataFrame) -> DataFrame:
     """Per store and day: later orders, and their sales, of that day's consumers at the same store.
 
-    Rows are first summed per consumer, store and day, so a consumer's history at
+    Sales are exact sums, given as doubles. Rows are first summed per consumer, store and day, so a consumer's history at
     a store is at most one row per calendar day, whatever the number of orders.
     """
     daily = (
         deliveries.groupBy("store_id", "consumer_id", F.to_date("created_at").alias("active_date"))
-        .agg(F.count("delivery_id").alias("deliveries"), F.sum("subtotal").alias("sales"))
+        .agg(F.count("delivery_id").alias("deliveries"), exact_sum("subtotal").alias("sales"))
         .withColumn("_at", F.unix_date("active_date"))
     )
     history = Window.partitionBy("store_id", "consumer_id").orderBy("_at")
@@ -81,12 +81,12 @@ def reorder_retention(deliveries: DataFrame) -> DataFrame:
     totals = [
         F.count(F.lit(1)).alias("cxs"),
         F.sum("deliveries").alias("deliveries"),
-        F.sum("sales").alias("sales"),
+        F.sum("sales").cast("double").alias("sales"),
     ]
     for name in spans:
         again = F.col(f"_again_{name}")
         totals.append(F.sum(again).alias(f"reorder_deliv_{name}"))
-        totals.append(F.coalesce(F.sum(f"_sales_{name}"), F.lit(0.0)).alias(f"reorder_sales_{name}"))
+        totals.append(F.coalesce(F.sum(f"_sales_{name}").cast("double"), F.lit(0.0)).alias(f"reorder_sales_{name}"))
         totals.append(F.count(F.when(again > 0, 1)).alias(f"cx_reordered_{name}"))
     result = daily.groupBy("store_id", "active_date").agg(*totals)
     for name in spans:
@@ -186,28 +186,32 @@ def last_click_attribution(orders: DataFrame, clicks: DataFrame, limit_hours: in
     )
 
 
-MEASURES = ("impressions", "clicks", "orders", "sales", "cost")
+COUNTS, MONEY = ("impressions", "clicks", "orders"), ("sales", "cost")
 
 
 def campaign_performance(parts: list[DataFrame]) -> DataFrame:
     """Per campaign and day: sums of the measures and their ratios.
 
     Each part has campaign_id, day and any of the measures; all parts are summed
-    in one grouping instead of being joined.
+    in one grouping instead of being joined. Counts are whole numbers and amounts
+    decimals while they are summed.
     """
     padded = []
     for part in parts:
         columns = [
-            (F.col(m) if m in part.columns else F.lit(0)).cast("double").alias(m) for m in MEASURES
+            (F.col(m) if m in part.columns else F.lit(0)).cast(kind).alias(m)
+            for measures, kind in ((COUNTS, "bigint"), (MONEY, EXACT))
+            for m in measures
         ]
         padded.append(part.select("campaign_id", "day", *columns))
-    sums = union_all(padded).groupBy("campaign_id", "day").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    sums = union_all(padded).groupBy("campaign_id", "day").agg(
+        *[F.sum(m).alias(m) for m in COUNTS], *[exact_sum(m).cast("double").alias(m) for m in MONEY]
+    )
     return sums.select(
         "campaign_id",
         "day",
-        *[F.col(m).cast("bigint").alias(m) for m in MEASURES[:3]],
-        "sales",
-        "cost",
+        *COUNTS,
+        *MONEY,
         safe_ratio("clicks", "impressions").alias("click_through_rate"),
         safe_ratio("orders", "clicks").alias("conversion_rate"),
         safe_ratio("sales", "orders").alias("aov"),
@@ -257,7 +261,7 @@ def attached_orders(
     known = per_order.where("_row.there").select(*[f"_row.{c}" for c in values], *marks)
     return known.groupBy("active_date", "cohort").agg(
         F.count(F.lit(1)).alias("store_orders"),
-        F.sum("sales").alias("store_sales"),
+        exact_sum("sales").cast("double").alias("store_sales"),
         F.sum("ad").alias("paid_ads_attach_store_orders"),
         F.sum("promo").alias("paid_promotion_attach_store_orders"),
         F.sum(F.greatest("ad", "promo")).alias("paid_ads_promotion_attach_store_orders"),

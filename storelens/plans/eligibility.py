@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.scalars import Day, day_window
+from storelens.functions.scalars import Day
 from storelens.operators.intervals import moments_in_intervals
 from storelens.operators.joins import skew_join
 from storelens.operators.timeline import last_before
 from storelens.sources.contracts import conform_to, contract
+from storelens.sources.days import in_days
 
 # Fixed column order and types of the result.
 ELIGIBILITY = contract(
@@ -77,7 +78,7 @@ def with_campaigns(
     """
     first = F.lit(start).cast("timestamp_ntz")
     past = F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")
-    shown = impressions.where(day_window("event_date", start, end))
+    shown = in_days(impressions, "event_date", start, end)
     found = moments_in_intervals(
         shown, campaigns, ["store_id"], "event_date", "starts_at", "ends_at", first, past, max_bytes
     )
@@ -122,7 +123,7 @@ def promo_eligibility(
     end: Day,
 ) -> DataFrame:
     """The full result, one row per impression in the days and active campaign."""
-    shown = impressions.where(day_window("event_date", start, end))
+    shown = in_days(impressions, "event_date", start, end)
     earlier = orders.where(F.col("created_at") < F.date_add(F.lit(end).cast("date"), 1))
     in_days = F.to_date("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     known = with_last_order(with_membership(shown, memberships.where(in_days)), earlier, heat=shown)

@@ -5,34 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.scalars import Day, day_window
+from storelens.functions.scalars import Day
 from storelens.operators.checkpoints import checkpointed
 from storelens.operators.joins import distinct_keys, in_cohort, skew_join
 from storelens.operators.metrics import union_all
 from storelens.plans.overview import brand_stores
+from storelens.sources.days import in_days
 
 # Checkouts of one cart id, counted exactly, beyond which its consumers are no longer paired with its items.
 CROWDED_CART = 1000
 
 
+def _in_days_of_all(sources: list[DataFrame], start: Day, end: Day) -> DataFrame:
+    return union_all([in_days(source, "timestamp", start, end) for source in sources])
+
+
 def _on_brand(tables, facts: DataFrame, business_id: int) -> DataFrame:
     return in_cohort(facts, brand_stores(tables, business_id))
 
 
 def consumers_impressed(tables, business_id: int, start: Day, end: Day) -> DataFrame:
-    shown = tables.impressions.where(day_window("event_date", start, end))
+    shown = in_days(tables.impressions, "event_date", start, end)
     rows = _on_brand(tables, shown, business_id)
     return rows.agg(F.countDistinct("consumer_id").alias("unique_cx_count"))
 
 
 def consumers_visited(tables, business_id: int, start: Day, end: Day) -> DataFrame:
-    loads = union_all(tables.page_loads).where(day_window("timestamp", start, end))
+    loads = _in_days_of_all(tables.page_loads, start, end)
     rows = _on_brand(tables, loads, business_id)
     return rows.agg(F.countDistinct("user_id").alias("unique_cx_ct"))
 
 
 def _brand_adds(tables, business_id: int, start: Day, end: Day) -> DataFrame:
-    adds = union_all(tables.cart_adds).where(day_window("timestamp", start, end))
+    adds = _in_days_of_all(tables.cart_adds, start, end)
     return _on_brand(tables, adds, business_id)
 
 
@@ -43,9 +48,7 @@ def consumers_added_item(tables, business_id: int, start: Day, end: Day) -> Data
 
 def consumers_ordered(tables, business_id: int, start: Day, end: Day) -> DataFrame:
     """Consumers with an order that was not cancelled."""
-    kept = tables.deliveries.where(
-        day_window("created_at", start, end) & F.col("cancelled_at").isNull()
-    )
+    kept = in_days(tables.deliveries, "created_at", start, end).where(F.col("cancelled_at").isNull())
     rows = _on_brand(tables, kept, business_id)
     return rows.agg(F.countDistinct("creator_id").alias("unique_cx_count"))
 
@@ -82,7 +85,7 @@ def _carts(tables, business_id: int) -> DataFrame:
 
 
 def _checkouts(tables, start: Day, end: Day) -> DataFrame:
-    return union_all(tables.checkouts).where(day_window("timestamp", start, end))
+    return _in_days_of_all(tables.checkouts, start, end)
 
 
 def items_ordered_by_consumers(tables, business_id: int, start: Day, end: Day) -> DataFrame:

@@ -3,7 +3,8 @@
 One scan serves all three rows of a report. Fee rows are shuffled once, to meet
 the eligible consumers, with hot consumers split; they are then summed per store
 before they are shuffled again, and only those sums meet the store dimension, so
-nothing is broadcast and neither a store's nor a rival list's size matters.
+nothing is broadcast and neither a store's nor a rival list's size matters. Sums
+are exact decimals until the end.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.scalars import Day, cents, day_window, safe_ratio
+from storelens.functions.scalars import EXACT, Day, cents, exact_sum, safe_ratio
 from storelens.operators.joins import skew_join
 from storelens.operators.metrics import metric_rows, optional_in
 from storelens.plans.overview import brand_stores
 from storelens.plans.visibility import eligible_consumers
+from storelens.sources.days import in_days
 
 # The labels readers of the reports know.
 ADS_FEE_LABELS = (
@@ -67,24 +69,24 @@ def _fee_summary(
     """One row: fee sums and store counts of the reach, the brand and the rivals."""
     brand = brand_stores(tables, business_id)
     eligible = eligible_consumers(tables, brand).withColumn("eligible", F.lit(True))
-    rows = fees.where(day_window("created_at", start, end)).select(
-        "consumer_id", "store_id", cents(fee).alias("fee")
+    rows = in_days(fees, "created_at", start, end).select(
+        "consumer_id", "store_id", F.col(fee).cast(EXACT).alias("fee")
     )
     per_store = (
         skew_join(rows, eligible, ["consumer_id"], "left")
         .groupBy("store_id")
         .agg(
-            F.sum("fee").alias("fee"),
-            F.sum(F.when(F.col("eligible"), F.col("fee"))).alias("reach_fee"),
+            exact_sum("fee").alias("fee"),
+            exact_sum(F.when(F.col("eligible"), F.col("fee"))).alias("reach_fee"),
             F.max("eligible").alias("in_reach"),
         )
     )
     joined = per_store.join(_store_roles(tables, business_id, rivals), "store_id", "full")
     is_brand, is_rival = F.col("brand_rows") > 0, F.col("rival_rows") > 0
     return joined.agg(
-        F.sum("reach_fee").alias("reach_fee"),
-        F.sum(F.when(is_brand, F.col("fee"))).alias("brand_fee"),
-        F.sum(F.when(is_rival, F.col("fee"))).alias("rival_fee"),
+        cents(F.sum("reach_fee")).alias("reach_fee"),
+        cents(F.sum(F.when(is_brand, F.col("fee")))).alias("brand_fee"),
+        cents(F.sum(F.when(is_rival, F.col("fee")))).alias("rival_fee"),
         F.count(F.when(F.col("in_reach"), F.col("store_id"))).alias("reach_stores"),
         F.sum("brand_rows").alias("brand_stores"),
         F.sum("rival_rows").alias("rival_stores"),

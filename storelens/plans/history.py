@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storelens.sources.days import in_partitions
+
 
 def _instant(moment: str | dt.datetime, kind: str) -> Column:
     """Text may carry an offset such as -0700; a log without zones is in UTC wall time."""
@@ -22,8 +24,8 @@ def history_by_user(
 ) -> DataFrame:
     """Log rows of one user that ended in the range, both bounds included, newest first."""
     kind = dict(query_log.dtypes)["end_time"]
-    in_range = F.col("end_time").between(_instant(since, kind), _instant(until, kind))
-    rest = [c for c in query_log.columns if c != "end_time"]
-    return query_log.where((F.col("user_name") == user_name) & in_range).orderBy(
-        F.desc("end_time"), *rest
-    )
+    first, last = _instant(since, kind), _instant(until, kind)
+    found = query_log.where((F.col("user_name") == user_name) & F.col("end_time").between(first, last))
+    found = in_partitions(found, F.to_date(first), F.to_date(last))
+    rest = [c for c in found.columns if c != "end_time"]
+    return found.orderBy(F.desc("end_time"), *rest)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.scalars import Day, cents, date_part_between
+from storelens.functions.scalars import Day, cents, exact_sum
 from storelens.operators.joins import Cohort, cohort
+from storelens.sources.days import on_dates
 
 
 def brand_stores(tables, business_id: int) -> Cohort:
@@ -25,11 +26,9 @@ def store_list(tables, business_id: int) -> DataFrame:
 
 def business_overview(tables, business_id: int, start: Day, end: Day) -> DataFrame:
     """Stores with deliveries, deliveries, and sales; cancelled orders count too."""
-    rows = tables.deliveries.where(
-        (F.col("business_id") == business_id) & date_part_between("created_at", start, end)
-    )
+    rows = on_dates(tables.deliveries, "created_at", start, end).where(F.col("business_id") == business_id)
     return rows.agg(
         F.countDistinct("store_id").alias("store_count"),
         F.count("delivery_id").alias("orders"),
-        F.sum(cents("subtotal")).alias("sales"),
+        cents(exact_sum("subtotal")).alias("sales"),
     )

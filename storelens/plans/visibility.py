@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.scalars import Day, day_window, product_surface, safe_ratio, search_label
+from storelens.functions.scalars import Day, product_surface, safe_ratio, search_label
 from storelens.operators.joins import Cohort, distinct_keys, in_cohort, mark_cohort, skew_join
 from storelens.operators.metrics import metric_rows
 from storelens.plans.overview import brand_stores
+from storelens.sources.days import in_days
 
 # The labels readers of the reports know, one with a trailing blank.
 IMPRESSION_LABELS = (
@@ -34,7 +35,7 @@ def eligible_consumers(tables, brand: Cohort) -> DataFrame:
 
 
 def _shown(tables, start: Day, end: Day) -> DataFrame:
-    return tables.impressions.where(day_window("event_date", start, end))
+    return in_days(tables.impressions, "event_date", start, end)
 
 
 def impression_share(tables, business_id: int, start: Day, end: Day) -> DataFrame:

@@ -8,6 +8,8 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelens.sources.days import DayColumn, day_of
+
 # Fixed column contracts. Join keys are one type everywhere, although the raw
 # tables store the same id as a number in one place and as text in another.
 EVENT = {"user_id": "bigint", "store_id": "bigint", "timestamp": "timestamp_ntz"}
@@ -55,31 +57,42 @@ ROLES = {
 }
 
 
-def conform(frame: DataFrame, role: str) -> DataFrame:
+# Amounts stay decimals where the raw table has decimals, so that sums of them are exact.
+AMOUNTS = ("subtotal", "ads_fee", "promotion_fee")
+
+
+def conform(frame: DataFrame, role: str, day: DayColumn | None = None) -> DataFrame:
     """The role's columns in contract order and type; text that is no number becomes null.
 
     A column that already has the contract's type is passed as it is, so filters
-    on it still reach the file scan.
+    on it still reach the file scan. With `day`, the day of the row's partition
+    comes along for the reports' filters.
     """
     types = dict(frame.dtypes)
     columns = []
     for name, wanted in ROLES[role].items():
         column = F.col(name)
-        columns.append(column if types[name] == wanted else column.try_cast(wanted).alias(name))
-    return frame.select(*columns)
+        fits = types[name] == wanted or (name in AMOUNTS and types[name].startswith("decimal"))
+        columns.append(column if fits else column.try_cast(wanted).alias(name))
+    return frame.select(*columns, *([day_of(day)] if day else []))
 
 
 # Roles read from several tables of one shape.
 SEVERAL_SOURCES = ("page_loads", "cart_adds", "checkouts")
 
 
-def role_tables(spark: SparkSession, names: Mapping[str, str | list[str]]) -> SimpleNamespace:
-    """The reports' input from catalogue tables: role to table name, or to a list of them."""
-    tables = {}
+def role_tables(
+    spark: SparkSession, names: Mapping[str, str | list[str]], days: Mapping[str, DayColumn] | None = None
+) -> SimpleNamespace:
+    """The reports' input from catalogue tables: role to table name, or to a list of them.
+
+    `days` names, by role, the column its tables are partitioned by, where they are.
+    """
+    tables, days = {}, days or {}
     for role, name in names.items():
         if role in SEVERAL_SOURCES:
             sources = [name] if isinstance(name, str) else name
-            tables[role] = [conform(spark.table(source), role) for source in sources]
+            tables[role] = [conform(spark.table(source), role, days.get(role)) for source in sources]
         else:
-            tables[role] = conform(spark.table(name), role)
+            tables[role] = conform(spark.table(name), role, days.get(role))
     return SimpleNamespace(**tables)

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelens.functions.scalars import exact_sum
 from storelens.sources.roles import conform
 
 
@@ -105,7 +106,7 @@ class StarTables:
         keys = ("l_orderkey", "l_suppkey", "s_nationkey", "o_custkey", "o_orderdate", "o_orderstatus")
         frame = (
             lines.groupBy(*keys)
-            .agg(F.sum("l_extendedprice").alias("subtotal"))
+            .agg(exact_sum("l_extendedprice").cast("double").alias("subtotal"))
             .select(
                 _delivery_id("l_orderkey", "l_suppkey").alias("delivery_id"),
                 F.col("l_suppkey").alias("store_id"),
@@ -288,7 +289,7 @@ class StarTables:
         )
         return (
             self.order_lines.groupBy("l_orderkey", "l_suppkey", "o_custkey", "o_orderdate")
-            .agg(F.sum("l_extendedprice").alias("subtotal"), F.min("l_partkey").alias("campaign_id"))
+            .agg(exact_sum("l_extendedprice").cast("double").alias("subtotal"), F.min("l_partkey").alias("campaign_id"))
             .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
             .select(
                 _delivery_id("l_orderkey", "l_suppkey").alias("delivery_id"),

@@ -1,0 +1,156 @@
+"""Reports over tables partitioned by day: the same answers from fewer partitions."""
+
+from __future__ import annotations
+
+import datetime as dt
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+from storelens.plans import eligibility, history
+from storelens.plans.brand_report import brand_report
+from storelens.sources.days import DayColumn, in_days, on_dates, with_day, write_by_day
+from storelens.sources.roles import SEVERAL_SOURCES, role_tables
+from storelens.sources.star import StarTables
+
+SF = "/root/testdata/sf0.001"
+MOMENTS = {
+    "impressions": "event_date",
+    "page_loads": "timestamp",
+    "cart_adds": "timestamp",
+    "checkouts": "timestamp",
+    "deliveries": "created_at",
+    "ad_fees": "created_at",
+    "promo_fees": "created_at",
+    "query_log": "end_time",
+}
+WHOLE = ("stores", "availability", "order_items")
+WINDOWLESS = "store_list"
+EVENT_REPORTS = {
+    "impression_share", "consumer_reach", "keyword_rank", "consumers_impressed", "consumers_visited",
+    "consumers_added_item", "items_added_by_consumers", "unique_items_added",
+}
+
+
+@pytest.fixture(scope="module")
+def both(spark, tmp_path_factory):
+    """The star tables of 60 days, and copies partitioned by day under catalogue names."""
+    folder = tmp_path_factory.mktemp("days")
+    star, names, days = StarTables(spark, SF), {}, {}
+    span = {"query_log": ("2024-01-01", "2024-02-29"), "impressions": ("2024-01-01", "2024-02-29")}
+
+    def copy(name, frame, moment, role):
+        kept = in_days(frame, moment, *span.get(role, ("1997-01-01", "1997-02-28"))) if role not in ("page_loads", "cart_adds") else frame
+        days[role] = write_by_day(kept, moment, str(folder / name))
+        spark.read.parquet(str(folder / name)).createOrReplaceTempView(f"daily_{name}")
+        return f"daily_{name}", kept
+
+    plain = {role: getattr(star, role) for role in WHOLE}
+    for role in WHOLE:
+        plain[role].createOrReplaceTempView(f"daily_{role}")
+        names[role] = f"daily_{role}"
+    for role, moment in MOMENTS.items():
+        if role in SEVERAL_SOURCES:
+            made = [copy(f"{role}_{i}", f, moment, role) for i, f in enumerate(getattr(star, role))]
+            names[role], plain[role] = [n for n, _ in made], [f for _, f in made]
+        else:
+            names[role], plain[role] = copy(role, getattr(star, role), moment, role)
+    return SimpleNamespace(**plain), role_tables(spark, names, days)
+
+
+def physical(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def partition_filters(plan: str) -> list[str]:
+    return [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
+
+
+@pytest.mark.parametrize("start, end, of_events", [("2024-01-05", "2024-01-20", True), ("1997-01-10", "1997-02-03", False)])
+def test_reports_prune_days_and_answer_the_same(both, start, end, of_events):
+    plain, daily = both
+    brand = plain.stores.groupBy("business_id").count().orderBy(F.desc("count"), "business_id").first()[0]
+    expected = dict(brand_report(plain, brand, [1, 18], start, end))
+    assert EVENT_REPORTS < expected.keys()
+    for name, frame in brand_report(daily, brand, [1, 18], start, end):
+        if (name in EVENT_REPORTS) != of_events:
+            continue
+        assert frame.columns == expected[name].columns
+        assert sorted(map(str, frame.collect())) == sorted(map(str, expected[name].collect())), name
+        if name != WINDOWLESS:
+            assert any("day" in x for x in partition_filters(physical(frame))), name
+
+
+def test_the_log_prunes_days(both):
+    plain, daily = both
+    bounds = ("USER_8", "2024-01-03 00:00:00 -0700", "2024-01-24 12:30:00 -0700")
+    found = history.history_by_user(daily.query_log, *bounds)
+    expected = history.history_by_user(plain.query_log, *bounds)
+    assert found.columns == expected.columns and found.collect() == expected.collect()
+    assert any("day" in x for x in partition_filters(physical(found)))
+
+
+def test_only_days_asked_for_are_read(spark, both):
+    _, daily = both
+    found = in_days(daily.impressions, "event_date", "2024-01-05", "2024-01-07")
+    assert "_day" not in found.columns
+    files = {name.split("/day=")[1].split("/")[0] for (name,) in found.select(F.input_file_name()).distinct().collect()}
+    assert files == {"2024-01-05", "2024-01-06", "2024-01-07"}
+    scan = physical(found)
+    assert "PartitionFilters: [" in scan and "event_date" in scan.split("PushedFilters")[1]
+
+
+def test_eligibility_takes_partitioned_impressions(spark):
+    def moment(day, hour=0):
+        return dt.datetime(2024, 3, day, hour)
+
+    views = [("a", moment(1), 1, 5), ("b", moment(2, 23), 1, 5), ("c", moment(4), 1, 5)]
+    views = spark.createDataFrame(views, "view_id string, event_date timestamp_ntz, store_id long, consumer_id long")
+    campaigns = spark.createDataFrame(
+        [(7, 1, moment(1), None)], "campaign_id long, store_id long, starts_at timestamp_ntz, ends_at timestamp_ntz"
+    )
+    dated = with_day(views.withColumn("day", F.to_date("event_date")), DayColumn("day"))
+    found = eligibility.with_campaigns(dated, campaigns, "2024-03-01", "2024-03-02")
+    expected = eligibility.with_campaigns(views, campaigns, "2024-03-01", "2024-03-02")
+    assert found.columns == expected.columns
+    assert sorted(found.collect()) == sorted(expected.collect()) and found.count() == 2
+
+
+ROWS = [
+    # A row's moment, its partition, and what it is.
+    (1, dt.datetime(2024, 3, 2, 0), "20240302"),
+    (2, dt.datetime(2024, 3, 3, 23, 59), "20240304"),  # arrived a day late
+    (3, dt.datetime(2024, 3, 2, 5), "20240301"),  # partitioned by a zone behind
+    (4, dt.datetime(2024, 3, 3, 1), None),  # in no day's partition
+    (5, dt.datetime(2024, 3, 4, 0), "20240304"),  # after the days
+    (6, None, "20240302"),
+    (7, dt.datetime(2024, 3, 2, 7), "20240309"),  # farther off than stated
+]
+
+
+@pytest.mark.parametrize("number", [False, True])
+def test_partitions_that_lie_off_the_date(spark, number):
+    rows = spark.createDataFrame(ROWS, "id int, at timestamp_ntz, part string")
+    rows = rows.withColumn("part", F.col("part").cast("int")) if number else rows
+
+    def ids(partitions, keep):
+        frame = with_day(rows, partitions)
+        assert frame.columns == ["id", "at", "_day"]
+        return sorted(r["id"] for r in keep(frame, "at", "2024-03-02", "2024-03-03").collect())
+
+    for keep in (in_days, on_dates):
+        assert ids(DayColumn("part", early=1, late=1, pattern="yyyyMMdd"), keep) == [1, 2, 3, 4]
+        assert ids(DayColumn("part", late=1, pattern="yyyyMMdd"), keep) == [1, 2, 4]
+        assert ids(DayColumn("part", pattern="yyyyMMdd"), keep) == [1, 4]
+        assert ids(DayColumn("part", early=1, late=9, pattern="yyyyMMdd"), keep) == [1, 2, 3, 4, 7]
+        assert sorted(r["id"] for r in keep(rows, "at", "2024-03-02", "2024-03-03").collect()) == [1, 2, 3, 4, 7]
+
+
+def test_days_are_written_whole(spark, tmp_path):
+    hot = spark.range(20000).select("id", F.lit(dt.datetime(2024, 1, 1, 3)).cast("timestamp_ntz").alias("at"))
+    odd = spark.createDataFrame([(-1, dt.datetime(2024, 1, 2)), (-2, None)], "id long, at timestamp_ntz")
+    partitions = write_by_day(hot.unionByName(odd), "at", str(tmp_path / "t"))
+    back = with_day(spark.read.parquet(str(tmp_path / "t")), partitions)
+    assert back.count() == 20002 and in_days(back, "at", "2024-01-02", "2024-01-05").count() == 1
+    assert [r["id"] for r in back.where("at is null").collect()] == [-2]
