@@ -88,18 +88,32 @@ def _checkouts(tables, start: Day, end: Day) -> DataFrame:
     return _in_days_of_all(tables.checkouts, start, end)
 
 
+def _kept_by_cart(tables, business_id: int, start: Day, end: Day) -> tuple[DataFrame, DataFrame] | None:
+    """Brand items by cart and the days' checkouts from tables bucketed by cart, where there are such."""
+    kept = getattr(tables, "by_cart", None)
+    if kept is None:
+        return None
+    lines = _on_brand(tables, kept.lines.where(F.col("is_filtered_core")), business_id)
+    return lines.select("order_uuid", "item_name"), in_days(kept.checkouts, "timestamp", start, end)
+
+
 def items_ordered_by_consumers(tables, business_id: int, start: Day, end: Day) -> DataFrame:
     """Consumers per item checked out; an item without a name keeps its row.
 
     Only which consumer met which item matters, so each step keeps distinct rows:
-    copies of a checkout, delivery or item row never multiply in the joins.
+    copies of a checkout, delivery or item row never multiply in the joins. Tables
+    bucketed by cart are joined as they lie.
     """
-    carts = _carts(tables, business_id)
-    checkouts = _checkouts(tables, start, end)
-    bought = skew_join(checkouts, carts, ["order_uuid"], "left_semi")
-    buyers = bought.select("order_uuid", "user_id").distinct()
-    lines = skew_join(tables.order_items, carts, ["delivery_id"])
-    items = lines.select("order_uuid", "item_name").distinct()
+    if kept := _kept_by_cart(tables, business_id, start, end):
+        items, checkouts = kept[0].distinct(), kept[1]
+        buyers = checkouts.select("order_uuid", "user_id").distinct()
+    else:
+        carts = _carts(tables, business_id)
+        checkouts = _checkouts(tables, start, end)
+        bought = skew_join(checkouts, carts, ["order_uuid"], "left_semi")
+        buyers = bought.select("order_uuid", "user_id").distinct()
+        lines = skew_join(tables.order_items, carts, ["delivery_id"])
+        items = lines.select("order_uuid", "item_name").distinct()
     crowded = checkouts.groupBy("order_uuid").count().where(F.col("count") > CROWDED_CART).select("order_uuid")
     if not crowded.isEmpty():
         return _by_item_of_crowded_carts(items, buyers, crowded)
@@ -158,6 +172,9 @@ def _shared_sets(held: DataFrame, digests: list[Column] | None = None) -> DataFr
 
 def unique_items_ordered(tables, business_id: int, start: Day, end: Day) -> DataFrame:
     """Distinct items checked out. Nothing of the checkout is kept, so semi joins suffice."""
+    if kept := _kept_by_cart(tables, business_id, start, end):
+        bought = kept[0].join(kept[1], "order_uuid", "left_semi")
+        return bought.agg(F.countDistinct("item_name").alias("unique_item_count"))
     carts = _carts(tables, business_id)
     orders = distinct_keys(_checkouts(tables, start, end), "order_uuid")
     bought = carts.join(orders, "order_uuid", "left_semi").select("delivery_id").distinct()
