@@ -9,11 +9,14 @@ at least as surely. An inverted index lists for each token the rules it is part
 of; a rule fires where all its tokens were counted. A url for which a block rule
 fires is blocked, any other allowed.
 
-An itemset tree doubles with each token of a url, so mining is bounded before it
-starts: by the `vocabulary` surest frequent tokens and, of each url, the `width`
-surest of those (share of blocked urls, then number of urls, then name). Rules
-have at most `longest` tokens. All are parameters of mine(); supports and
-confidences count every labelled url, and matching reads every token of a url.
+An itemset tree doubles with each token of a url, so FP-growth is bounded before
+it starts: by the `vocabulary` surest frequent tokens and, of each url, the
+`width` surest of those (share of blocked urls, then number of urls, then name).
+Where these bounds would leave a token out, `whole` mining counts level by level
+instead: sets of one token, of two, of three, over every token of every url, as
+many as the third power of a url's length at most. Rules have at most `longest`
+tokens. All are parameters of mine(); supports and confidences count every
+labelled url, and matching reads every token of a url.
 
 The host stands after the first "://" up to "/", "?", "#" or the end, A-Z
 lower-cased; the path follows up to "?" or "#". A null url and one without
@@ -34,7 +37,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import kept_names
+from storelens.llm.common import checkpointed, kept_names
 
 # Listed rules as host + path; the verdicts are the contract's.
 LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -124,19 +127,23 @@ def listed_labels(pages: DataFrame, url: str = "url", listed=LISTED) -> DataFram
 
 def mine(
     labelled: DataFrame, url: str = "url", blocked: str = "blocked", support: float = SUPPORT, confidence: float = CONFIDENCE,
-    longest: int = LONGEST, width: int = WIDTH, vocabulary: int = VOCABULARY,
+    longest: int = LONGEST, width: int = WIDTH, vocabulary: int = VOCABULARY, whole: bool = False,
 ) -> list[Mined]:
     """Rules of the labelled urls, of at most `longest` tokens each.
 
-    An itemset must hold a share of `support` of all rows with a token. Of tokens and rules the driver holds only
-    what these parameters bound: `vocabulary` tokens, and no more rules than itemsets that `width` and `support` allow.
+    An itemset must hold a share of `support` of all rows with a token. With `whole`, no token is left out: where
+    `width` or `vocabulary` would leave one out, sets are counted by levels. Without, the driver holds only what these
+    parameters bound: `vocabulary` tokens, and no more rules than itemsets that `width` and `support` allow.
     """
     rows = labelled.where(F.col(blocked).isNotNull()).select(F.col(blocked).alias("blocked"), tokens(F.col(url)).alias("tokens")).where(F.size("tokens") > 0)
     # Equal sets of tokens become one row before they are taken apart, so a hot url is counted once.
     sets = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("n_blocked"))
     counted = sets.select(F.explode("tokens").alias("token"), "n", "n_blocked").groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_blocked").alias("n_blocked"))
-    total = rows.count()
+    look = sets.agg(F.sum("n").alias("rows"), F.max(F.size("tokens")).alias("most")).first()
+    total = look["rows"] or 0
     frequent = counted.where(F.col("n") >= math.ceil(support * total))
+    if whole and total and (look["most"] > width or frequent.count() > vocabulary):
+        return _shortest(_by_levels(sets, counted, total, max(1, math.ceil(support * total)), confidence, longest))
     surest = frequent.orderBy(F.desc(F.col("n_blocked") / F.col("n")), F.desc("n"), "token").limit(vocabulary)
     names = [r["token"] for r in surest.collect()]
     if not names:
@@ -146,13 +153,51 @@ def mine(
     items = rows.select(F.when(F.col("blocked"), F.array_append(chosen, F.lit(LABEL))).otherwise(chosen).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     says = model.associationRules.where(F.element_at("consequent", 1) == LABEL).where(F.size("antecedent") <= longest)
-    found = [Mined(tuple(sorted(r["antecedent"])), r["confidence"], r["support"]) for r in says.collect()]
+    return _shortest([Mined(tuple(sorted(r["antecedent"])), r["confidence"], r["support"]) for r in says.collect()])
+
+
+def _shortest(found: list[Mined]) -> list[Mined]:
+    """The rules of which no part says the same at least as surely."""
     sure = {rule.tokens: rule.confidence for rule in found}
     shorter = lambda rule: (part for n in range(1, len(rule.tokens)) for part in combinations(rule.tokens, n))
     kept = [rule for rule in found if not any(sure.get(part, -1.0) >= rule.confidence for part in shorter(rule))]
     return sorted(kept, key=lambda r: (len(r.tokens), r.tokens))
 
 
+def _by_levels(sets: DataFrame, counted: DataFrame, total: int, least: int, confidence: float, longest: int) -> list[Mined]:
+    """All rules of at most `longest` tokens that a part does not already say by having the same urls or no other than blocked ones.
+
+    A set in `least` blocked urls has only parts that are, so each level extends the sets of the one before. A set
+    without a url less than one of its parts, or without an allowed url, is not extended: whatever holds it has a
+    shorter rule that is at least as sure.
+    """
+    found: list[Mined] = []
+
+    def rules(level: DataFrame) -> None:
+        sure = level.where(F.col("n_blocked") / F.col("n") >= confidence)
+        found.extend(Mined(tuple(r["part"]), r["n_blocked"] / r["n"], r["n_blocked"] / total) for r in sure.collect())
+
+    level = checkpointed(counted.where(F.col("n_blocked") >= least).select(F.array("token").alias("part"), "n", "n_blocked"))
+    rules(level)
+    extended = level.where((F.col("n_blocked") < F.col("n")) & (F.col("n") < total))
+    own = sets.select("tokens", "n", "n_blocked", F.explode("tokens").alias("token"))
+    own = own.join(extended.select(F.col("part")[0].alias("token")), "token")
+    own = own.groupBy("tokens").agg(F.array_sort(F.collect_list("token")).alias("own"), F.first("n").alias("n"), F.first("n_blocked").alias("n_blocked"))
+    inside = own.groupBy("own").agg(F.sum("n").alias("n"), F.sum("n_blocked").alias("n_blocked"))
+    inside = checkpointed(inside.select("own", "n", "n_blocked", F.explode(F.transform("own", lambda t: F.array(t))).alias("part")))
+    for size in range(2, longest + 1):
+        more = F.filter("own", lambda t: t > F.element_at("part", -1))
+        inside = inside.withColumn("_token", F.explode(more)).withColumn("part", F.array_append("part", F.col("_token"))).drop("_token")
+        level = inside.groupBy("part").agg(F.sum("n").alias("n"), F.sum("n_blocked").alias("n_blocked")).where(F.col("n_blocked") >= least)
+        before = extended.select(F.col("part").alias("_part"), F.col("n").alias("_n"))
+        level = level.join(before, F.slice("part", 1, size - 1) == F.col("_part")).where(F.col("n") < F.col("_n"))
+        level = checkpointed(level.select("part", "n", "n_blocked"))
+        rules(level)
+        extended = level.where(F.col("n_blocked") < F.col("n"))
+        inside = inside.join(extended.select("part"), "part")
+    return found
+
+
 def fired(found: Column, rules: list[Mined]) -> Column:
     """Numbers of the mined rules all of whose tokens are among `found`, by an inverted index."""
     if not rules:
