@@ -5,20 +5,22 @@ each of `BLOCKS` blocks of coordinates, so `CODES ** BLOCKS` directions are
 described by a few vectors. A vector is decoded to the list of all directions
 whose inner product with it exceeds `CAP` (in units of a random direction's
 standard deviation); sorting each block's inner products lets the decoding stop
-early. A vector is sure when its best filter lies so close that every vector
-within the threshold must exceed it too (angles add up). Pairs with a sure
-vector meet where they share a filter, in blocks of at most `CHUNK` rows a side.
-
-All other pairs are compared in blocks, so no link is lost: vectors are dealt
-to the nearest of a few pivots, and two cells are compared unless their radii
-prove that no member of one reaches a member of the other. Where vectors point
-everywhere, as random ones in many dimensions do, nothing is sure and no cell
-is ruled out; then this is every pair, in matrix products. Up to 10 dimensions
-no filter can be exceeded and the cells do it all.
-
-A pair that shares several filters counts at the first one only. Tasks return
-sums and a spanning forest of each block's links instead of pairs. Cosines are
-those of double precision.
+early. Vectors meet where they share a filter, in blocks of at most `CHUNK` rows
+a side; that finds nearly all links. A vector is sure when its best filter lies
+so close that every vector within the threshold must exceed it too (angles add
+up): all its links are found there.
+
+An exact check follows for links between vectors that share no filter, so none
+is lost. Vectors that are not sure are dealt to the nearest of a few pivots, and
+two cells are compared unless their radii prove that no member of one reaches a
+member of the other. Where vectors point everywhere, as random ones in many
+dimensions do, nothing is sure and no cell is ruled out; then the check is over
+every pair, in matrix products. Up to 10 dimensions no filter can be exceeded
+and the check finds all.
+
+A pair that shares several filters counts at the first one only, in the check
+not at all. Tasks return sums and a spanning forest of each block's links
+instead of pairs. Cosines are those of double precision.
 
 Equal vectors are one class, counted as often as they occur. Vectors that are
 null, zero, or hold null or non-finite components link with nothing, as do
@@ -215,27 +217,35 @@ def _forest(left: np.ndarray, right: np.ndarray, size: int) -> list[tuple[int, i
     return kept
 
 
-def _met(filter_id: int, across: bool, sides: np.ndarray, sure: np.ndarray, units: np.ndarray, filters: list, threshold: float):
-    """Index pairs of linked rows, one of them sure, whose first common filter is this one. In a meeting
+def _met(across: bool, sides: np.ndarray, units: np.ndarray, before: list, threshold: float):
+    """Index pairs of linked rows of a filter that share none of the filters `before` it. In a meeting
     of two chunks (`across`) only rows of different sides meet."""
-    cosine = units @ units.T
-    left, right = np.nonzero(np.triu((cosine >= threshold) & (sure[:, None] | sure), 1))
+    left, right = np.nonzero(np.triu(units @ units.T >= threshold, 1))
     if across:
         met = sides[left] != sides[right]
         left, right = left[met], right[met]
-    if not len(left):
-        return left, right
     # Rows that share a smaller filter were met there.
-    before = [x[: np.searchsorted(x, filter_id)] for x in filters]
-    used, at = np.unique(np.concatenate(before), return_inverse=True)
-    if not len(used):
-        return left, right
-    own = np.zeros((len(before), len(used)), np.float32)
-    own[np.repeat(np.arange(len(before)), [len(x) for x in before]), at] = 1
-    first = (own @ own.T)[left, right] == 0
+    first = ~_share(before, left, right)
     return left[first], right[first]
 
 
+def _share(filters: list, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each pair of rows whether their lists of filters have one in common."""
+    out = np.zeros(len(left), bool)
+    rows = np.unique(np.concatenate([left, right]))
+    used, at = np.unique(np.concatenate([np.zeros(0, np.int32), *(filters[i] for i in rows)]), return_inverse=True)
+    if not len(used):
+        return out
+    place = np.zeros(len(filters), np.int64)
+    place[rows] = np.arange(len(rows))
+    own = np.zeros((len(rows), len(used)), bool)
+    own[np.repeat(np.arange(len(rows)), [len(filters[i]) for i in rows]), at] = True
+    for start in range(0, len(left), STRIP):
+        some = slice(start, start + STRIP)
+        out[some] = (own[place[left[some]]] & own[place[right[some]]]).any(1)
+    return out
+
+
 class _Found:
     """Rows (a, null, number of links of a) and (a, b, 0) of a link, as Arrow batches."""
 
@@ -289,13 +299,13 @@ def _compared(a: np.ndarray, b: np.ndarray | None, threshold: float):
 
 
 def blocks_linked(rest: DataFrame, threshold: float) -> DataFrame | None:
-    """Sums and links, as _Found, of all pairs of these classes; None if there are none."""
+    """Sums and links, as _Found, of all pairs of these classes that share no filter; None if there are none."""
     spark = rest.sparkSession
     any_row = rest.select("single").first()
     if any_row is None:
         return None
     single = any_row["single"]
-    rest = rest.select("name", "raw", "copies", F.length("raw").alias("size"))
+    rest = rest.select("name", "raw", "copies", "filters", F.length("raw").alias("size"))
     counts = {r["size"]: r["count"] for r in rest.groupBy("size").count().collect()}
     most = {size: max(1, min(BLOCK_ROWS, BLOCK_BYTES // size)) for size in counts}
     wanted = {size: min(CELLS, math.ceil(n / most[size])) for size, n in counts.items()}
@@ -319,11 +329,11 @@ def blocks_linked(rest: DataFrame, threshold: float) -> DataFrame | None:
                 cosine = units_of([raws[i] for i in own], single) @ pivots[size].T
                 cells[own] = cosine.argmax(1)
                 angles[own] = np.arccos(np.clip(cosine.max(1), -1, 1))
-            yield {**{c: part.column(c) for c in ("name", "raw", "copies", "size")}, "cell": cells, "angle": angles}
+            yield {**{c: part.column(c) for c in ("name", "raw", "copies", "filters", "size")}, "cell": cells, "angle": angles}
 
         return step
 
-    dealt = batches(rest, "name binary, raw binary, copies long, size int, cell int, angle double", each)
+    dealt = batches(rest, "name binary, raw binary, copies long, filters array<int>, size int, cell int, angle double", each)
     cells: dict[int, list[tuple]] = {}
     for r in dealt.groupBy("size", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect():
         cells.setdefault(r["size"], []).append((r["cell"], math.ceil(r["n"] / most[r["size"]]), r["radius"]))
@@ -339,7 +349,7 @@ def blocks_linked(rest: DataFrame, threshold: float) -> DataFrame | None:
     number = lambda cell, chunk: F.shiftleft(F.col(cell).cast("long"), 32) + F.col(chunk)
     block = dealt.join(spark.createDataFrame(chunked, "size int, cell int, chunks int"), ["size", "cell"])
     block = block.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "name"), F.col("chunks")))
-    block = block.groupBy("size", "cell", "chunk").agg(F.collect_list(F.struct("name", "raw", "copies")).alias("rows"))
+    block = block.groupBy("size", "cell", "chunk").agg(F.collect_list(F.struct("name", "raw", "copies", "filters")).alias("rows"))
     met = block.join(spark.createDataFrame(meetings, "size int, cell int, chunks int, other int, other_chunks int"), ["size", "cell"])
     met = met.withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.col("other_chunks") - 1)))
     met = met.withColumn("own", number("cell", "chunk")).withColumn("met", number("other", "other_chunk"))
@@ -356,7 +366,8 @@ def blocks_linked(rest: DataFrame, threshold: float) -> DataFrame | None:
             for row, (size, low, high, own) in enumerate(zip(*columns)):
                 fields = lists_[row].values
                 names = fields.field("name").to_pylist()
-                block_ = names, fields.field("copies").to_numpy(), units_of(fields.field("raw").to_pylist(), single)
+                filters = [x.values.to_numpy() for x in fields.field("filters")]
+                block_ = names, fields.field("copies").to_numpy(), units_of(fields.field("raw").to_pylist(), single), filters
                 if low == high:
                     compare(out, block_, None)
                 elif own == low:
@@ -371,11 +382,15 @@ def blocks_linked(rest: DataFrame, threshold: float) -> DataFrame | None:
     def compare(out, a, b):
         names = a[0] + (b[0] if b else [])
         copies = np.concatenate([a[1], b[1]]) if b else a[1]
+        filters = a[3] + (b[3] if b else [])
         links = np.zeros(len(names), np.int64)
         trees = []
         for left, right in _compared(a[2], b and b[2], threshold):
+            right = right + (len(a[0]) if b else 0)
+            # Rows that share a filter were met there.
+            apart = ~_share(filters, left, right)
+            left, right = left[apart], right[apart]
             if len(left):
-                right = right + (len(a[0]) if b else 0)
                 np.add.at(links, left, copies[right])
                 np.add.at(links, right, copies[left])
                 trees += _forest(left, right, len(names))
@@ -392,9 +407,7 @@ def blocks_linked(rest: DataFrame, threshold: float) -> DataFrame | None:
 def linked(classes: DataFrame, code: Code, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Sums of links (name, links) and links that connect the same components (a, b), both between classes."""
     listed = checkpointed(filtered(classes, code, threshold))
-    entries = listed.select("name", "raw", "single", "copies", "sure", "filters", F.explode("filters").alias("filter"))
-    # Two vectors that are not sure meet in their blocks, so a filter needs a sure one.
-    entries = entries.join(entries.where("sure").select("filter").distinct(), "filter", "left_semi")
+    entries = listed.select("name", "raw", "single", "copies", "filters", F.explode("filters").alias("filter"))
     sizes = entries.groupBy("filter").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     # A bucket of several chunks: each pair of chunks meets in a task of its own.
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
@@ -403,7 +416,8 @@ def linked(classes: DataFrame, code: Code, threshold: float) -> tuple[DataFrame,
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     met = met.select(
         "filter", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
-        (F.col("chunk") > F.col("other")).cast("int").alias("side"), "name", "raw", "single", "copies", "sure", "filters",
+        (F.col("chunk") > F.col("other")).cast("int").alias("side"), "name", "raw", "single", "copies",
+        F.filter("filters", lambda x: x < F.col("filter")).alias("before"),
     )
     # A block's rows come one after another; the order by name makes a rerun of a task give the same answer.
     keys = ["filter", "low", "high"]
@@ -415,14 +429,14 @@ def linked(classes: DataFrame, code: Code, threshold: float) -> tuple[DataFrame,
 
         def close():
             if len(held) > 1:
-                names, copies, filters = [r[2] for r in held], [r[3] for r in held], [r[6] for r in held]
+                names, copies, before = [r[2] for r in held], [r[3] for r in held], [r[6] for r in held]
                 by_size: dict[int, list[int]] = {}
                 for i, r in enumerate(held):
-                    by_size.setdefault(len(r[5]), []).append(i)
+                    by_size.setdefault(len(r[4]), []).append(i)
                 for rows in by_size.values():
-                    units = np.array([held[i][5] for i in rows])
-                    sides, sure = np.array([held[i][1] for i in rows], bool), np.array([held[i][4] for i in rows], bool)
-                    left, right = _met(held[0][0][0], held[0][0][1] != held[0][0][2], sides, sure, units, [filters[i] for i in rows], threshold)
+                    units = units_of([held[i][4] for i in rows], held[0][5])
+                    sides = np.array([held[i][1] for i in rows], bool)
+                    left, right = _met(held[0][0][1] != held[0][0][2], sides, units, [before[i] for i in rows], threshold)
                     if len(left):
                         weights = np.array([copies[i] for i in rows], np.int64)
                         links = np.zeros(len(rows), np.int64)
@@ -435,12 +449,13 @@ def linked(classes: DataFrame, code: Code, threshold: float) -> tuple[DataFrame,
             held.clear()
 
         for part in parts:
-            columns = [part.column(c).to_pylist() for c in (*keys, "side", "name", "copies", "sure", "raw", "single")]
-            lists_ = part.column("filters")
-            for row, (f, low, high, side, name, copies, sure, raw, single) in enumerate(zip(*columns)):
+            columns = [part.column(c).to_pylist() for c in (*keys, "side", "name", "copies", "raw", "single")]
+            lists_ = part.column("before")
+            flat, ends = lists_.values.to_numpy(), lists_.offsets.to_numpy()
+            for row, (f, low, high, side, name, copies, raw, single) in enumerate(zip(*columns)):
                 if held and held[0][0] != (f, low, high):
                     close()
-                held.append(((f, low, high), side, name, copies, sure, unpacked(raw, single), lists_[row].values.to_numpy()))
+                held.append(((f, low, high), side, name, copies, raw, single, flat[ends[row] : ends[row + 1]]))
             if out.full():
                 yield out.flush()
         close()

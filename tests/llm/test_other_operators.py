@@ -265,6 +265,21 @@ def test_vector_links_against_brute_force(spark, monkeypatch, chunk):
     assert caps.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_filters_find_links_of_vectors_that_are_not_sure(spark, monkeypatch):
+    """Without the exact check most links are found; with it all, none twice."""
+    rows = vector_rows()
+    units = np.array([v for k, v in rows if k < 300])
+    code = caps.Code()
+    assert not code.sure(units / np.linalg.norm(units, axis=1, keepdims=True), code.vectors(64), code.turn(64), 0.9).any()
+    wanted = linked_plainly(rows)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in caps.near_duplicates(frame).collect()} == wanted
+    monkeypatch.setattr(caps, "blocks_linked", lambda *_: None)
+    found = {r["vec_id"]: r["n_links"] for r in caps.near_duplicates(frame).collect()}
+    assert all(n <= wanted[i][0] for i, n in found.items())
+    assert sum(found.values()) >= 0.8 * sum(n for n, _ in wanted.values()) > 1000
+
+
 def test_recall_on_the_given_vectors(spark):
     folder = "/root/testdata/sf0.1"
     rows = [(r[0], list(r[1])) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
