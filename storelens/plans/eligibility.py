@@ -39,6 +39,11 @@ ELIGIBILITY = contract(
 )
 
 
+# Days of a member packed into one number.
+SPAN_BITS = 6
+SPAN = 1 << SPAN_BITS
+
+
 def with_last_order(impressions: DataFrame, orders: DataFrame, **cut) -> DataFrame:
     """Adds `last_order_date` and `days_since_last_order`.
 
@@ -53,14 +58,24 @@ def with_last_order(impressions: DataFrame, orders: DataFrame, **cut) -> DataFra
     return dated.withColumn("days_since_last_order", days)
 
 
+def member_spans(memberships: DataFrame) -> DataFrame:
+    """consumer_id, `_span` and `_days`: the days of a consumer, `SPAN` of them to a row, as bits of a number."""
+    day = F.unix_date(F.to_date("day"))
+    placed = memberships.select("consumer_id", F.shiftright(day, SPAN_BITS).alias("_span"), F.pmod(day, F.lit(SPAN)).alias("_bit"))
+    listed = placed.where(F.col("_bit").isNotNull())
+    return listed.groupBy("consumer_id", "_span").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_days"))
+
+
 def with_membership(impressions: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Adds `cx_is_member`: 1 if the consumer is listed as a member on the impression's day."""
-    daily = memberships.select(
-        "consumer_id", F.to_date("day").alias("_day"), F.lit(1).alias("cx_is_member")
-    ).distinct()
-    dated = impressions.withColumn("_day", F.to_date("event_date"))
-    joined = skew_join(dated, daily, ["consumer_id", "_day"], "left")
-    return joined.withColumn("cx_is_member", F.coalesce("cx_is_member", F.lit(0))).drop("_day")
+    """Adds `cx_is_member`: 1 if the consumer is listed as a member on the impression's day.
+
+    Days are packed before they are shuffled, so a month of membership is a row or two.
+    """
+    shown = F.unix_date(F.to_date("event_date"))
+    dated = impressions.withColumn("_span", F.shiftright(shown, SPAN_BITS))
+    joined = skew_join(dated, member_spans(memberships), ["consumer_id", "_span"], "left")
+    listed = F.getbit("_days", F.pmod(shown, F.lit(SPAN))).cast("int")
+    return joined.withColumn("cx_is_member", F.coalesce(listed, F.lit(0))).drop("_span", "_days")
 
 
 def with_campaigns(

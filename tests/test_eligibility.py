@@ -56,6 +56,23 @@ def test_membership_is_of_the_day(spark):
     assert sorted((r["view_id"], r["cx_is_member"]) for r in result.collect()) == [("a", 1), ("b", 0), ("c", 0)]
 
 
+def test_days_of_a_member_are_packed(spark):
+    """A month is a row or two, before and after 1970, with copies and nulls; a consumer with null days alone has none."""
+    first = dt.date(1969, 12, 1)
+    days = {1: [first + dt.timedelta(i) for i in range(0, 60, 2)], 2: [dt.date(2024, 2, 29)], 3: [None], None: [first]}
+    listed = [(c, d) for c, own in days.items() for d in own] * 3
+    members = spark.createDataFrame(listed, MEMBERS).repartition(4)
+    spans = eligibility.member_spans(members).collect()
+    assert sum(r["consumer_id"] == 1 for r in spans) <= 2 and not any(r["consumer_id"] == 3 for r in spans)
+    when = [dt.datetime.combine(first, dt.time(23)) + dt.timedelta(i) for i in range(-70, 140)] + [dt.datetime(2024, 2, 29), dt.datetime(2024, 3, 1), None]
+    views = [(f"{c} {i}", x, 1, c) for c in (1, 2, 3, None) for i, x in enumerate(when)]
+    found = eligibility.with_membership(spark.createDataFrame(views, IMPRESSIONS), members)
+    assert found.columns == ["consumer_id", "view_id", "event_date", "store_id", "cx_is_member"]
+    assert dict(found.dtypes)["cx_is_member"] == "int"
+    flags = {r["view_id"]: r["cx_is_member"] for r in found.collect()}
+    assert flags == {v: int(c is not None and x is not None and x.date() in days[c]) for v, x, _, c in views}
+
+
 @pytest.mark.parametrize("limits", [{}, {"max_bytes": -1}])
 def test_campaigns_active_at_the_impression(spark, limits):
     impressions = [("a", NOON, 1, 1), ("b", dt.datetime(2024, 4, 1), 1, 1), ("c", NOON, 2, 1)]
