@@ -49,6 +49,13 @@ def cut_table(rows: DataFrame, keys: list[str], order: list[str], floor: int | N
     return rows.sparkSession.createDataFrame(listed, StructType([*kinds, StructField("_cuts", ArrayType(place))]))
 
 
+def none_reaches(bound: DataFrame, floor: int | None = None) -> bool:
+    """Whether no value of the frame's columns has more rows than one range; one aggregate, whose tasks pass on a row a value."""
+    least = max(1, joins.HOT_ROWS if floor is None else floor)
+    counts = bound.na.drop().groupBy(*bound.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return (counts.agg(F.max("_n")).first()[0] or 0) <= least
+
+
 def slot_counts(cuts: DataFrame, keys: list[str]) -> DataFrame:
     """The cut keys and each of their slots, 0 to the number of cuts; at most 2 * RANGES rows."""
     named = [F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from storelens.operators.checkpoints import checkpointed
-from storelens.operators.cuts import cut_table, slot_counts, with_slot
+from storelens.operators.cuts import cut_table, none_reaches, slot_counts, with_slot
 from storelens.operators.joins import row_part
 
 
@@ -41,6 +41,7 @@ def last_before(
     inclusive: bool = False,
     floor: int | None = None,
     heat: DataFrame | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Left rows plus `last`, a struct of the latest right row at or before them.
 
@@ -48,6 +49,9 @@ def last_before(
     equal right times are decided by the larger payload. Strictly before unless
     `inclusive`. Both sides meet in one union, so no pairs are ever formed.
     `heat` is a frame with the left keys and times that is cheaper to look at.
+    `bound` has some of the keys as its columns and about as many rows of each of
+    their values as both sides together; where none of these reaches over a range,
+    no key does, and neither side is looked at before the pass.
     """
     # Sort positions of left and right rows at the same time; 0 comes before both.
     left_rank, right_rank = (2, 1) if inclusive else (1, 2)
@@ -62,28 +66,40 @@ def last_before(
         *keys, F.col(right_time).cast("timestamp_ntz").alias("_time"), F.lit(right_rank).alias("_rank"),
         F.lit(0).cast("long").alias("_tie"), values.alias("_last"),
     )
-    looked_at = left if heat is None else heat
-    seen = looked_at.select(
-        *keys, F.col(left_time).cast("timestamp_ntz").alias("_time"), F.lit(left_rank).alias("_rank"),
-        F.xxhash64(F.lit("tie"), F.monotonically_increasing_id()).alias("_tie"),
-    ).where(_known([*keys, "_time"]))
-    cuts = cut_table(seen.unionByName(given.drop("_last")), keys, place, floor)
+    cuts = None
+    if bound is None or not none_reaches(bound, floor):
+        looked_at = left if heat is None else heat
+        seen = looked_at.select(
+            *keys, F.col(left_time).cast("timestamp_ntz").alias("_time"), F.lit(left_rank).alias("_rank"),
+            F.xxhash64(F.lit("tie"), F.monotonically_increasing_id()).alias("_tie"),
+        ).where(_known([*keys, "_time"]))
+        cuts = cut_table(seen.unionByName(given.drop("_last")), keys, place, floor)
 
     last_type = given.schema["_last"].dataType
-    row_type = sought.select(F.struct(*columns).alias("row")).schema["row"].dataType
+    # What a row holds besides; keys and the time, where the union keeps their types, are not shuffled twice.
+    kinds, other = dict(left.dtypes), dict(right.dtypes)
+    told = {*(k for k in keys if kinds[k] == other[k]), *([left_time] if kinds[left_time] == "timestamp_ntz" else [])}
+    row = F.struct(F.lit(True).alias("_there"), *(c for c in columns if c not in told))
+    row_type = sought.select(row.alias("row")).schema["row"].dataType
     # Left rows that can have no match are spread, so that they form no large group.
     lone = 1 + row_part(columns, F.lit(1000))
     spread = F.when(_known([*keys, "_time"]), F.lit(0)).otherwise(lone).cast("long")
     left_rows = with_slot(sought, cuts, keys, place).select(
-        *keys, "_slot", "_time", "_rank", spread.alias("_spread"), _missing(last_type).alias("_last"), F.struct(*columns).alias("_row")
+        *keys, "_slot", "_time", "_rank", spread.alias("_spread"), _missing(last_type).alias("_last"), row.alias("_row")
     )
     right_rows = with_slot(given, cuts, keys, place).drop("_tie").withColumns({"_spread": F.lit(0).cast("long"), "_row": _missing(row_type)})
     rows = left_rows.unionByName(right_rows)
     if cuts is not None:
         rows = rows.unionByName(_carried(given, cuts, keys, place).withColumns({"_spread": F.lit(0).cast("long"), "_row": _missing(row_type)}))
-    order = Window.partitionBy(*keys, "_spread", "_slot").orderBy("_time", "_rank")
+    group = [*keys, "_spread"]
+    if cuts is None:
+        rows = rows.drop("_slot")
+    else:
+        group.append("_slot")
+    order = Window.partitionBy(*group).orderBy("_time", "_rank")
     found = rows.withColumn("last", F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return found.where(F.col("_row").isNotNull()).select("_row.*", "last")
+    held = [F.col(f"_row.`{c}`") if c not in told else F.col(c) if c in keys else F.col("_time").alias(c) for c in columns]
+    return found.where(F.col("_row").isNotNull()).select(*held, "last")
 
 
 def _carried(given: DataFrame, cuts: DataFrame, keys: list[str], place: list[str]) -> DataFrame:

@@ -89,7 +89,7 @@ _register("catalog_schemas", lambda t: definitions.catalog_schemas(t.priced_cata
 _register("catalog_checks", lambda t: definitions.catalog_checks(t.catalog, t.known_tables))
 
 # Eligibility.
-_register("last_order_before_view", lambda t: eligibility.with_last_order(t.store_views, t.past_orders))
+_register("last_order_before_view", lambda t: eligibility.with_last_order(t.store_views, t.past_orders, bound=t.lines_by_store))
 _register("membership_on_view", lambda t: eligibility.with_membership(t.store_views, t.memberships))
 _register(
     "campaigns_on_view", lambda t: eligibility.with_campaigns(t.store_views, t.campaigns, *ALL_DAYS)

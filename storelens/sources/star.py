@@ -191,6 +191,12 @@ class StarTables:
             F.col("o_orderdate").alias("created_at"),
         )
 
+    @cached_property
+    def lines_by_store(self) -> DataFrame:
+        """The store of each row of `store_views` and of `past_orders`, both being order lines."""
+        stores = self.raw("lineitem").select(F.col("l_suppkey").alias("store_id"))
+        return stores.unionByName(stores)
+
     @cached_property
     def memberships(self) -> DataFrame:
         """Members are consumers in the 30 days from an urgent order on, one row per day."""

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from storelens.operators import timeline
 from storelens.operators.cuts import cut_table, with_slot
 from storelens.operators.timeline import last_before, running_numbers, validity_ranges
 
@@ -138,6 +139,22 @@ def test_a_hot_key_and_a_hot_instant_lie_in_several_tasks(spark, inclusive):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("floor, looked", [(None, False), (400, False), (100, True)])
+def test_sides_whose_bound_fits_a_range_are_not_looked_at(spark, monkeypatch, floor, looked):
+    """The bound counts by one of two keys; 200 rows of a value reach over a range of 100. Null keys count for nothing."""
+    seen = []
+    monkeypatch.setattr(timeline, "cut_table", lambda *a, **k: seen.append(a) or cut_table(*a, **k))
+    at = F.timestamp_add("SECOND", F.col("id"), F.lit(BASE).cast("timestamp_ntz"))
+    key = F.when(F.col("id") < 1000, F.col("id") % 10)
+    left = spark.range(1800).select(key.alias("k"), F.lit(1).alias("m"), at.alias("seen"), "id")
+    right = spark.range(1400).select(key.alias("k"), F.lit(1).alias("m"), at.alias("done"))
+    bound = left.select("k").unionByName(right.select("k"))
+    found = last_before(left, right, ["k", "m"], "seen", "done", floor=floor, bound=bound)
+    plain = last_before(left, right, ["k", "m"], "seen", "done")
+    assert (len(seen) == 2) == looked
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_next_time_is_that_of_the_next_row_also_without_a_time(spark):
     frame = spark.range(300).select(
         (F.col("id") % 2).alias("owner"), F.when(F.col("id") % 5 > 1, F.timestamp_add("SECOND", F.col("id"), F.lit(BASE).cast("timestamp_ntz"))).alias("at"), "id"
