@@ -136,11 +136,12 @@ def promo_eligibility(
     campaigns: DataFrame,
     start: Day,
     end: Day,
+    **cut,
 ) -> DataFrame:
     """The full result, one row per impression in the days and active campaign."""
     shown = in_days(impressions, "event_date", start, end)
     earlier = orders.where(F.col("created_at") < F.date_add(F.lit(end).cast("date"), 1))
     of_days = F.to_date("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    known = with_last_order(with_membership(shown, memberships.where(of_days)), earlier, heat=shown)
+    known = with_last_order(with_membership(shown, memberships.where(of_days)), earlier, heat=shown, **cut)
     rows = with_campaigns(known, campaigns, start, end)
     return conform_to(with_eligibility(rows), ELIGIBILITY)

@@ -97,7 +97,7 @@ _register(
 _register(
     "promo_eligibility",
     lambda t: eligibility.promo_eligibility(
-        t.store_views, t.past_orders, t.memberships, t.campaigns, *ALL_DAYS
+        t.store_views, t.past_orders, t.memberships, t.campaigns, *ALL_DAYS, bound=t.lines_by_store
     ),
 )
 
