@@ -6,6 +6,8 @@ another, so rows that are many per key never multiply.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,18 +61,24 @@ def consumers_acquired(numbered: DataFrame, memberships: DataFrame) -> DataFrame
 
 
 RETENTION_DAYS = (30, 60, 90)
+# Rows of a consumer's history that one task should sort, look ahead in and sum.
+RETENTION_ROWS = 250_000
 
 
-def reorder_retention(deliveries: DataFrame) -> DataFrame:
+def reorder_retention(deliveries: DataFrame, heat: DataFrame | None = None) -> DataFrame:
     """Per store and day: later orders, and their sales, of that day's consumers at the same store.
 
     Sales are exact sums, given as doubles. Rows are first summed per consumer, store and day, so a consumer's history at
-    a store is at most one row per calendar day, whatever the number of orders.
+    a store is at most one row per calendar day, whatever the number of orders. Histories are dealt out by number of
+    rows, as a task holds several times what its shuffled rows take; `heat` is a frame with about as many rows as
+    `deliveries` that is cheaper to count.
     """
+    tasks = max(1, math.ceil((deliveries if heat is None else heat).count() / RETENTION_ROWS))
     daily = (
         deliveries.groupBy("store_id", "consumer_id", F.to_date("created_at").alias("active_date"))
         .agg(F.count("delivery_id").alias("deliveries"), exact_sum("subtotal").alias("sales"))
         .withColumn("_at", F.unix_date("active_date"))
+        .repartition(tasks, "store_id", "consumer_id")
     )
     history = Window.partitionBy("store_id", "consumer_id").orderBy("_at")
     spans = {str(days): history.rangeBetween(1, days) for days in RETENTION_DAYS}

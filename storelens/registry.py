@@ -129,7 +129,7 @@ _register("order_sequence", _order_sequence, ("subtotal",))
 _register("consumers_acquired", lambda t: ads.consumers_acquired(_order_sequence(t), t.memberships))
 _register(
     "reorder_retention",
-    lambda t: ads.reorder_retention(t.numbered_orders),
+    lambda t: ads.reorder_retention(t.numbered_orders, heat=t.raw("lineitem")),
     (
         "sales",
         *[f"reorder_sales_{d}" for d in ("30", "60", "90", "since")],

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storelens.plans import ads
+from storelens.sources import star
 
 T0 = dt.datetime(2024, 1, 1, 10)
 
@@ -78,6 +79,32 @@ def test_reorder_retention(spark):
     assert first["reorder_rate_since"] == 1.0 and first["cx_reordered_30_rate"] == 0.5
 
 
+def test_histories_are_dealt_out_by_rows(spark, monkeypatch):
+    """3,000 rows at 100 to a task are 30 tasks, whatever their bytes; results are the same, also for a hot pair and nulls."""
+    frame = spark.range(3000).select(
+        F.col("id").alias("delivery_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("store_id"),
+        F.when(F.col("id") % 5 > 0, F.when(F.col("id") < 900, F.lit(1)).otherwise(F.col("id") % 40)).alias("consumer_id"),
+        F.timestamp_add("HOUR", (F.col("id") * 37 % 4000).cast("int"), F.lit(T0).cast("timestamp_ntz")).alias("created_at"),
+        (F.col("id") % 11).cast("double").alias("subtotal"),
+    )
+    plain = listed(ads.reorder_retention(frame))
+    monkeypatch.setattr(ads, "RETENTION_ROWS", 100)
+    for heat in (None, spark.range(3000)):
+        dealt = ads.reorder_retention(frame, heat=heat)
+        assert "hashpartitioning(store_id" in (plan := dealt._jdf.queryExecution().toString()) and ", 30), REPARTITION_BY_NUM" in plan
+        assert listed(dealt) == plain
+
+
+def test_lines_of_orders_are_dealt_out_by_rows(spark, monkeypatch):
+    tables = star.StarTables(spark, "/root/testdata/sf0.001")
+    plain = listed(tables.numbered_orders)
+    monkeypatch.setattr(star, "SUMMED_ROWS", 500)
+    dealt = star.StarTables(spark, "/root/testdata/sf0.001").numbered_orders
+    tasks = -(-tables.raw("lineitem").count() // 500)
+    assert f", {tasks}), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString() and tasks > 5
+    assert listed(dealt) == plain
+
+
 def test_view_to_conversion(spark):
     views = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (None, "d")], "impression_event_id bigint, s string")
     clicks = spark.createDataFrame(
