@@ -316,6 +316,43 @@ def test_no_link_is_lost(spark, monkeypatch, size, block, code):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == linked_plainly(rows)
 
 
+@pytest.mark.parametrize("chunk, family, round_bytes, side", [(8, 64, 1 << 20, 20_000), (16384, 65536, 1 << 27, 1 << 25)])
+def test_links_of_cut_filters_rounds_and_sides(spark, monkeypatch, chunk, family, round_bytes, side):
+    """Filters that are cut, families sent in several rounds and blocks read by several tasks lose no link and find none twice."""
+    for name, value in (("CHUNK", chunk), ("FAMILY", family), ("ROUND_BYTES", round_bytes), ("SIDE_BYTES", side), ("BLOCK_ROWS", 40), ("STRIP", 16)):
+        monkeypatch.setattr(caps, name, value)
+    centre = np.random.default_rng(7).normal(size=64)
+    rows = vector_rows()
+    rows += [(500 + k, (centre + np.random.default_rng(k).normal(size=64) * 0.1).astype(np.float32).tolist()) for k in range(120)]
+    found = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == linked_plainly(rows)
+
+
+def test_each_vector_is_shuffled_once_for_the_exact_check(spark, monkeypatch):
+    """Blocks are packed once and meet without a shuffle; rounds that send families are bounded."""
+    plans = []
+    real = caps.checkpointed
+    monkeypatch.setattr(caps, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(caps, "checkpointed", lambda frame: (plans.append(frame._jdf.queryExecution().executedPlan().toString()), real(frame))[1])
+    rows = vector_rows()
+    caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    meeting = [x for x in plans if "CartesianProduct" in x]
+    assert len(meeting) == 1 and "Exchange hashpartitioning" not in meeting[0] and "Exchange SinglePartition" not in meeting[0]
+
+
+def test_bound_in_fewer_directions_loses_no_pair():
+    drawn = np.random.default_rng(5)
+    units = np.array([v for _, v in planted(64, 200)])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    wanted = {(i, j) for i, j in np.argwhere(np.triu(units @ units.T >= 0.9, 1)).tolist()}
+    for basis in (caps._basis(units, 0.9), np.linalg.qr(drawn.normal(size=(64, 7)))[0], None):
+        vectors = caps._Vectors(units.tobytes(), 64 * 8, False, basis)
+        assert {(int(i), int(j)) for left, right in caps._compared(vectors, None, 0.9) for i, j in zip(left, right)} == wanted
+    # Directions of most variance are found where there are some.
+    flat = drawn.normal(size=(600, 64)) * np.array([3.0] * 10 + [0.01] * 54)
+    assert caps._basis(flat / np.linalg.norm(flat, axis=1, keepdims=True), 0.9).shape[1] < 63
+
+
 def test_sure_vectors_share_a_filter_with_all_partners():
     code = caps.Code(2, 16, 1.0)
     units = np.array([v for _, v in planted(8)])
