@@ -397,15 +397,24 @@ def filters_linked(listed: DataFrame, single: bool, threshold: float) -> tuple[D
     held = np.repeat(counts / parts, parts)
     family = (np.cumsum(held) - held) // most
     starts = numbers[np.flatnonzero(np.diff(family, prepend=-1))]
+    # The family of each filter that is not cut, -1 of one with a single row; beyond this a search tells.
+    table = None
+    if not len(cut.filters) and filters[-1] < 1 << 22:
+        table = np.full(filters[-1] + 2, -1, np.int32)
+        table[filters] = np.searchsorted(starts, filters * _Cut.SPAN, "right") - 1
 
     def dealt(part):
         """Of each row and family with an entry of the row: both and the place behind the entry; and the row's places."""
         flat, lengths = _listed(part.column("filters"))
         own = np.repeat(np.arange(len(lengths)), lengths)
-        entries = cut.entries(flat, lengths, part.column("name").to_pylist())
-        alone = filters[np.minimum(np.searchsorted(filters, flat), len(filters) - 1)] != flat
-        families = np.searchsorted(starts, entries, "right") - 1
-        own, families, ends = own[~alone], families[~alone], np.flatnonzero(~alone) + 1
+        if table is not None:
+            families = table[np.minimum(flat, len(table) - 1)]
+        else:
+            alone = filters[np.minimum(np.searchsorted(filters, flat), len(filters) - 1)] != flat
+            entries = cut.entries(flat, lengths, part.column("name").to_pylist())
+            families = np.where(alone, -1, np.searchsorted(starts, entries, "right") - 1)
+        ends = np.flatnonzero(families >= 0) + 1
+        own, families = own[ends - 1], families[ends - 1]
         last = np.flatnonzero((np.diff(own, append=-1) != 0) | (np.diff(families, append=-1) != 0))
         return own[last], families[last], ends[last], np.concatenate([[0], np.cumsum(lengths)]), flat
 
